@@ -69,7 +69,7 @@ def _powers(n: int, base: np.uint64) -> np.ndarray:
         have = 1
         while have < n:
             more = min(have, n - have)
-            out[have : have + more] = out[:more] * (out[have - 1] * base)
+            out[have : have + more] = out[:more] * (out[have - 1 : have] * base)
             have += more
     return out
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from tamis.llm import curriculum, exact_dedup
+from tamis.llm import curriculum, exact_dedup, language_id, minhash, substring_dedup, suffix_dedup
 
 
 def queries() -> dict:
     return {
         "op4_exact_dedup": exact_dedup.query,
+        "op5_suffix_dedup": suffix_dedup.query,
+        "op6_substring_dedup": substring_dedup.query,
+        "op7_language_id": language_id.query,
+        "op8_minhash": minhash.query,
         "op10_curriculum_mix": curriculum.query,
     }
 
