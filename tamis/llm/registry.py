@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from tamis.llm import curriculum, exact_dedup, language_id, minhash, substring_dedup, suffix_dedup
+from tamis.llm import curriculum, decontaminate, exact_dedup, html_extract, language_id, minhash, substring_dedup, suffix_dedup, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_html_extract": html_extract.query,
+        "op2_url_filter": url_filter.query,
         "op4_exact_dedup": exact_dedup.query,
         "op5_suffix_dedup": suffix_dedup.query,
         "op6_substring_dedup": substring_dedup.query,
         "op7_language_id": language_id.query,
         "op8_minhash": minhash.query,
+        "op9_decontaminate": decontaminate.query,
         "op10_curriculum_mix": curriculum.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact_dedup.SQL}
+    return {"op2_url_filter": url_filter.SQL, "op4_exact_dedup": exact_dedup.SQL}
