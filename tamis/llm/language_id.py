@@ -146,6 +146,19 @@ def predict(docs: DataFrame, langs: list[str], logs: np.ndarray, bits: int = BUC
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, lang_pred string, score double")
 
 
+def accept(docs: DataFrame, langs: list[str], logs: np.ndarray, least: float = 0.5, bits: int = BUCKET_BITS) -> DataFrame:
+    """The rows of docs, all columns, whose text has a language with a posterior of ``least`` or more. No shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(logs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, offsets in pieces(batch, limit=max(1 << 14, (1 << 22) // max(4, len(langs)))):
+                letters, _, p = score(data, offsets, shared.value, bits)
+                yield batch.slice(rows.start, rows.stop - rows.start).filter(pa.array(letters & (p >= least)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 HELD_OUT = "pmod(crc32(cast(cast(doc_id as string) as binary)), 5) = 0"
 
 

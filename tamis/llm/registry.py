@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tamis.llm import curriculum, decontaminate, exact_dedup, html_extract, language_id, minhash, substring_dedup, suffix_dedup, url_filter
+import corpus_pipeline
+from tamis.llm import curriculum, decontaminate, exact_dedup, html_extract, language_id, minhash, pii, substring_dedup, suffix_dedup, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_html_extract": html_extract.query,
         "op2_url_filter": url_filter.query,
+        "op3_pii": pii.query,
         "op4_exact_dedup": exact_dedup.query,
         "op5_suffix_dedup": suffix_dedup.query,
         "op6_substring_dedup": substring_dedup.query,
@@ -16,8 +18,10 @@ def queries() -> dict:
         "op8_minhash": minhash.query,
         "op9_decontaminate": decontaminate.query,
         "op10_curriculum_mix": curriculum.query,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": url_filter.SQL, "op4_exact_dedup": exact_dedup.SQL}
+    sql = {"op2_url_filter": url_filter.SQL, "op4_exact_dedup": exact_dedup.SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+    return {name: text for name, text in sql.items() if text}
