@@ -114,10 +114,10 @@ def window_ids(docs: DataFrame, units: Units, width: int, check: bool) -> DataFr
     return docs.mapInArrow(run, "doc_id bigint, at int, bucket bigint, check bigint")
 
 
-def with_spans(docs: DataFrame, runs: DataFrame, windows: DataFrame) -> DataFrame:
-    """docs with ``spans``: the settled runs and single windows of each document, at most as many as it has units."""
+def spans_by_doc(runs: DataFrame, windows: DataFrame) -> DataFrame:
+    """(doc_id, spans): the settled runs and single windows of each document, at most as many as it has units."""
     spans = runs.select("doc_id", "first", "last").unionByName(windows.select("doc_id", F.col("at").alias("first"), F.col("at").alias("last")))
-    return docs.join(spans.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("spans")), "doc_id", "left")
+    return spans.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
 
 
 def covered(n: int, width: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:

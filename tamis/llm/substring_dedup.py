@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from tamis.llm import arrays
 from tamis.llm.arrays import pieces
-from tamis.llm.common import scratch_path, stored, table, text_or_empty
-from tamis.llm.passages import RUNS, covered, find_runs, spans_of, window_ids, with_spans, word_units
+from tamis.llm.common import drop_stored, scratch_path, stored, table, text_or_empty
+from tamis.llm.passages import RUNS, covered, find_runs, spans_by_doc, spans_of, window_ids, word_units
 
 WIDTH = 50
 GRAM = 20
@@ -65,17 +65,20 @@ def repeated(batch: DataFrame, history: DataFrame | None = None, index: list[str
     two = lambda name: (F.min(name).alias(f"{name}_low"), F.max(name).alias(f"{name}_high"))
     buckets = runs.groupBy("anchor").agg(*two("doc_id"), *two("whole"), F.max("own").alias("any_own")).where("doc_id_low < doc_id_high and any_own")
     buckets = stored(buckets.select("anchor", (F.col("whole_low") != F.col("whole_high")).alias("mixed")), "window-buckets")
-    hits = stored(runs.join(buckets, "anchor"), "window-hits")
+    matched = stored(runs.join(buckets, "anchor"), "window-hits")
     key = ["anchor", "whole", "check"]
-    lowest = stored(hits.groupBy(*key).agg(F.min("doc_id").alias("low")), "window-lowest")
-    hits = hits.join(lowest, key)
-    settled = hits.where("own and doc_id > low").select("doc_id", "first", "last")
+    lowest = stored(matched.groupBy(*key).agg(F.min("doc_id").alias("low")), "window-lowest")
+    hits = matched.join(lowest, key)
+    settled = stored(hits.where("own and doc_id > low").select("doc_id", "first", "last"), "window-settled")
     asked = hits.where("mixed and doc_id = low").groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("asked"))
     docs = batch if history is None else batch.unionByName(_texts(history))
     windows = stored(window_ids(docs.join(asked, "doc_id"), word_units, width, check=True), "windows")
     again = windows.groupBy("bucket", "check").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high")
-    later = windows.join(stored(again, "windows-again"), ["bucket", "check"]).where("doc_id > low")
-    return with_spans(batch, settled, later), new
+    again = stored(again, "windows-again")
+    later = windows.join(again, ["bucket", "check"]).where("doc_id > low")
+    spans = stored(spans_by_doc(settled, later), "window-spans")
+    drop_stored(buckets, matched, lowest, settled, windows, again)
+    return batch.join(spans, "doc_id", "left"), new
 
 
 def keep(docs: DataFrame, width: int = WIDTH) -> DataFrame:

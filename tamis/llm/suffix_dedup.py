@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.llm.common import stored, table, text_or_empty
-from tamis.llm.passages import byte_units, covered, find_runs, spans_of, window_ids, with_spans
+from tamis.llm.common import drop_stored, stored, table, text_or_empty
+from tamis.llm.passages import byte_units, covered, find_runs, spans_by_doc, spans_of, window_ids
 
 WIDTH = 200
-GRAM = 64
+GRAM = 100
 
 
 def repeated(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
@@ -33,13 +33,17 @@ def repeated(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame
     runs = stored(find_runs(docs, byte_units, width, gram, check=False).drop("check"), "suffix-runs")
     buckets = stored(runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("whole").alias("low"), F.max("whole").alias("high")).where("n > 1").select("anchor", (F.col("low") != F.col("high")).alias("mixed")), "suffix-buckets")
     hits = stored(runs.join(buckets, "anchor"), "suffix-hits")
+    drop_stored(runs, buckets)
     refined = stored(hits.groupBy("anchor", "whole", "mixed").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "first", "last")).alias("head")), "suffix-refined")
+    settled = stored(hits.join(refined.where("n > 1").select("anchor", "whole"), ["anchor", "whole"], "left_semi").select("doc_id", "first", "last"), "suffix-settled")
+    drop_stored(hits)
     # of runs alike as a whole, one stands for all where it must be compared window by window
     asked = refined.where("mixed").groupBy("head.doc_id").agg(F.collect_list(F.struct("head.first", "head.last")).alias("asked"))
     windows = stored(window_ids(docs.join(asked, "doc_id"), byte_units, width, check=False).drop("check"), "suffix-windows")
     again = stored(windows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"), "suffix-again")
-    settled = hits.join(refined.where("n > 1").select("anchor", "whole"), ["anchor", "whole"], "left_semi")
-    return with_spans(docs, settled, windows.join(again, "bucket", "left_semi"))
+    spans = stored(spans_by_doc(settled, windows.join(again, "bucket", "left_semi")), "suffix-spans")
+    drop_stored(refined, settled, windows, again)
+    return docs.join(spans, "doc_id", "left")
 
 
 def keep(docs: DataFrame, width: int = WIDTH) -> DataFrame:
