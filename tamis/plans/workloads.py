@@ -1,6 +1,264 @@
-"""Queries over the test tables, each with its DuckDB twin."""
+"""Queries over the test tables, each with its DuckDB twin where SQL can express it."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tamis import fixed
+from tamis.config import Config
+from tamis.functions.decode import decode_ladder, decode_lossy
+from tamis.functions.render import http_status, report, screening_json
+from tamis.functions.text import normalize_header
+from tamis.operators import logs
+from tamis.operators.blocks import as_map, block, field, narrative, parse_tickets
+from tamis.operators.classify import infer, vocabulary
+from tamis.operators.entities import anonymize, detect, mask_sensitive_data
+from tamis.operators.screening import bundles, has_artifact, has_time, role, screen
+from tamis.plans import oracles as o
+from tamis.plans.wrapping import FILES, LOG_LINES, NARRATIVES, TICKETS, read
+from tamis.sources import archives, generator, log_lines, tickets
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return screening_verdicts(spark, sf_dir)
+
+
+# ---- entities ---------------------------------------------------------------------------------------------
+_SPANS = o.chain(o.NARRATIVE_CTE, o.entity_ctes(), last="select ticket_id, kind, confidence, s as span_start, e as span_end from accepted")
+
+
+def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, NARRATIVES).select("ticket_id", F.explode(detect(F.col("text"))).alias("e"))
+    return rows.select("ticket_id", "e.kind", "e.confidence", F.col("e.start").alias("span_start"), F.col("e.end").alias("span_end"))
+
+
+@query(_SPANS)
+def entity_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spans(spark, sf_dir)
+
+
+@query(o.chain(o.NARRATIVE_CTE, o.entity_ctes(), last="select kind, confidence, count(*) as n, count(distinct ticket_id) as tickets from accepted group by kind, confidence"))
+def entity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spans(spark, sf_dir).groupBy("kind", "confidence").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("ticket_id").alias("tickets"))
+
+
+@query(o.chain(o.NARRATIVE_CTE, o.entity_ctes(), last="select ticket_id, masked from masked"))
+def masked_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, NARRATIVES).select("ticket_id", mask_sensitive_data(F.col("text")).alias("masked"))
+
+
+@query(o.chain("src as materialized (select cast(doc_id as varchar) as ticket_id, text from documents)", o.entity_ctes(), last="select ticket_id, kind, confidence, s as span_start, e as span_end from accepted"))
+def document_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = docs.select(F.col("doc_id").cast("string").alias("ticket_id"), F.explode(detect(F.col("text"))).alias("e"))
+    return rows.select("ticket_id", "e.kind", "e.confidence", F.col("e.start").alias("span_start"), F.col("e.end").alias("span_end"))
+
+
+@query(o.chain(o.NARRATIVE_CTE, o.entity_ctes(), last="select src.ticket_id, count(*) filter (where kind = 'TELEFONE' and confidence = 'ALTA') > 0 as high_phone, count(*) filter (where kind = 'TELEFONE') > 0 as any_phone from src left join accepted using (ticket_id) group by src.ticket_id"))
+def phone_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tamis.operators.entities import has_entity
+
+    rows = read(spark, sf_dir, NARRATIVES).select("ticket_id", detect(F.col("text")).alias("e"))
+    return rows.select("ticket_id", has_entity(F.col("e"), "TELEFONE", fixed.HIGH).alias("high_phone"), has_entity(F.col("e"), "TELEFONE").alias("any_phone"))
+
+
+# ---- blocks -----------------------------------------------------------------------------------------------
+@query(o.chain(o.TICKET_CTE, o.BLOCK_CTES, last="select ticket_id, cast(block_no as bigint) as block_no, block, cast(field_no as bigint) as field_no, key, value from fields"))
+def block_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = parse_tickets(read(spark, sf_dir, TICKETS)).select("ticket_id", F.posexplode("parsed.blocks").alias("b", "block"))
+    rows = parsed.select("ticket_id", (F.col("b") + 1).cast("bigint").alias("block_no"), F.col("block.name").alias("name"), F.posexplode("block.fields").alias("f", "field"))
+    return rows.select("ticket_id", "block_no", F.col("name").alias("block"), (F.col("f") + 1).cast("bigint").alias("field_no"), "field.key", "field.value")
+
+
+@query(o.chain(o.TICKET_CTE, o.BLOCK_CTES, o.ANALYSIS_CTES, last="select ticket_id, text as analysis_text from src"))
+def analysis_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse_tickets(read(spark, sf_dir, TICKETS)).select("ticket_id", "analysis_text")
+
+
+@query(o.chain(o.TICKET_CTE, o.BLOCK_CTES, last="select t.ticket_id, coalesce(string_agg(b.block, ',' order by b.block_no), '') as discarded from tickets t left join blocks b on b.ticket_id = t.ticket_id and b.block <> 'detalhes' group by t.ticket_id"))
+def discarded_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse_tickets(read(spark, sf_dir, TICKETS)).select("ticket_id", F.array_join("discarded_blocks", ",").alias("discarded"))
+
+
+_HEADERS = ("Detalhes:", "DETALHES", "  Categorização : ", "Info  Solicitante:", "INFO DEMANDANTE::", "Ação  Ímpar", "")
+
+
+@query("select header, trim(rtrim(trim(lower(strip_accents(regexp_replace(header, '\\s+', ' ', 'g')))), ':')) as normal from (values " + ", ".join(f"({o.q(h)})" for h in _HEADERS) + ") v(header)")
+def header_normalization(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(h,) for h in _HEADERS], "header string").select("header", normalize_header(F.col("header")).alias("normal"))
+
+
+@query()
+def ticket_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = parse_tickets(read(spark, sf_dir, TICKETS))
+    return rows.select("ticket_id", F.to_json(as_map(F.col("parsed"))).alias("blocks"), narrative(F.col("parsed")).alias("narrative"), field(block(F.col("parsed"), "info solicitante"), "contatonome").alias("requester"))
+
+
+# ---- classification ---------------------------------------------------------------------------------------
+@query(o.chain(o.MODEL_CTES, last="select gram, round(idf, 9) as idf, (select count(*) from weights w where w.gram = idf.gram) as anchors from idf"))
+def idf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocabulary(spark).select("gram", F.round("idf", 9).alias("idf"), F.size(F.filter("weights", lambda w: w > 0)).cast("bigint").alias("anchors"))
+
+
+_INFERRED = "select ticket_id, symptom, confidence from inferred"
+
+
+@query(o.chain(o.NARRATIVE_CTE, o.inference_ctes("src", "text"), last=_INFERRED))
+def symptom_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = infer(read(spark, sf_dir, NARRATIVES).select("ticket_id", "text"), "ticket_id", "text")
+    return out.select("ticket_id", "inference.symptom", "inference.confidence")
+
+
+@query(o.chain("src as materialized (select conv_id || '/' || turn as ticket_id, text from conversations where text is not null)", o.inference_ctes("src", "text"), last=_INFERRED))
+def conversation_symptoms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("text is not null").select(F.concat_ws("/", "conv_id", "turn").alias("ticket_id"), "text")
+    return infer(rows, "ticket_id", "text").select("ticket_id", "inference.symptom", "inference.confidence")
+
+
+@query(o.chain(o.NARRATIVE_CTE, o.inference_ctes("src", "text"), last=f"select ticket_id, cast(r - 1 as bigint) as place, label as symptom, round(score, 4) as score from ranks join inferred i using (ticket_id) where r > 1 and i.symptom <> {o.q(fixed.TOO_SHORT)}"))
+def runner_ups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = infer(read(spark, sf_dir, NARRATIVES).select("ticket_id", "text"), "ticket_id", "text").select("ticket_id", F.posexplode("inference.runner_ups").alias("i", "r"))
+    return out.select("ticket_id", (F.col("i") + 1).cast("bigint").alias("place"), "r.symptom", "r.score")
+
+
+# ---- logs -------------------------------------------------------------------------------------------------
+@query(o.chain(o.LOG_CTES, last="select ticket_id, line_number, symptom, label from hits"))
+def log_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.find_hits(read(spark, sf_dir, LOG_LINES)).select("ticket_id", "line_number", "symptom", "label")
+
+
+@query(o.chain(o.LOG_CTES, last="select ticket_id, symptom, count(*) as hits from hits group by ticket_id, symptom"))
+def signature_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.find_hits(read(spark, sf_dir, LOG_LINES)).groupBy("ticket_id", "symptom").agg(F.count(F.lit(1)).alias("hits"))
+
+
+@query(o.chain(o.LOG_CTES, "tally as (select ticket_id, symptom, count(*) as n from hits group by ticket_id, symptom)", last="select ticket_id, symptom as dominant, cast(sum_n as bigint) as total_hits from (select *, sum(n) over (partition by ticket_id) as sum_n, row_number() over (partition by ticket_id order by n desc, symptom) as r from tally) where r = 1"))
+def dominant_cause(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = read(spark, sf_dir, LOG_LINES)
+    files = lines.groupBy("ticket_id").agg(F.count_distinct("att_ord").alias("scanned_files"))
+    out = logs.analyze(logs.find_hits(lines), files).where("log_analysis.total_hits > 0")
+    return out.select("ticket_id", F.col("log_analysis.dominant_symptom").alias("dominant"), "log_analysis.total_hits")
+
+
+@query(o.chain(o.LOG_CTES, last="select ticket_id, line_number, label, trim(replace(line, '(11) 98765-4321', '[TELEFONE_MASK]')) as excerpt from (select *, row_number() over (partition by ticket_id order by line_number) as r from hits) where r <= 3"))
+def capped_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = logs.retain(logs.find_hits(read(spark, sf_dir, LOG_LINES)), Config(log_max_hits=3))
+    return kept.select("ticket_id", "line_number", "label", logs.excerpt(F.col("line")).alias("excerpt"))
+
+
+# ---- attachments and evidence -----------------------------------------------------------------------------
+@query(o.chain(o.FILE_CTE, last=f"select ticket_id, ord, name, {o.ROLE_SQL} as role from files"))
+def attachment_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, FILES).select("ticket_id", "ord", "name", role(F.col("name")).alias("role"))
+
+
+@query(o.chain(o.FILE_CTE, f"roles as (select ticket_id, {o.ROLE_SQL} as role from files)", last="select ticket_id, count(*) filter (where role = 'log') as logs, count(*) filter (where role = 'visual') as visuals, count(*) filter (where role = 'other') as others, count(*) as total from roles group by ticket_id"))
+def bundle_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bundles(read(spark, sf_dir, FILES)).select("ticket_id", "bundle.*")
+
+
+@query(o.chain(o.NARRATIVE_CTE, last=f"select ticket_id, regexp_matches(text, {o._TIME}) as has_time, regexp_matches(text, {o._ARTIFACT}) as has_artifact from src"))
+def text_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.struct(F.lit(0).alias("logs"), F.lit(0).alias("visuals"))
+    rows = read(spark, sf_dir, NARRATIVES)
+    return rows.select("ticket_id", has_time(F.col("text"), none, none).alias("has_time"), has_artifact(F.col("text"), none, none).alias("has_artifact"))
+
+
+# ---- screening --------------------------------------------------------------------------------------------
+_VERDICTS = (o.TICKET_CTE, o.BLOCK_CTES, o.ANALYSIS_CTES, o.entity_ctes(), o.inference_ctes("masked", "masked"), o.VERDICT_CTES)
+
+
+@query(o.chain(*_VERDICTS, last="select ticket_id, symptom, confidence, status, case status when 'APROVADO' then 0 when 'BLOQUEADO' then 1 else 2 end as exit_code, missing, masked from verdicts"))
+def screening_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = screen(read(spark, sf_dir, TICKETS))
+    return out.select("ticket_id", "symptom", "confidence", "status", "exit_code", F.array_join("missing", "; ").alias("missing"), "masked")
+
+
+@query(o.chain(*_VERDICTS, last="select symptom, status, count(*) as tickets from verdicts group by symptom, status"))
+def status_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return screen(read(spark, sf_dir, TICKETS)).groupBy("symptom", "status").agg(F.count(F.lit(1)).alias("tickets"))
+
+
+def _with_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = read(spark, sf_dir, LOG_LINES)
+    files = lines.select("ticket_id", F.lit(0).alias("ord"), F.col("file_name").alias("name")).distinct()
+    return screen(read(spark, sf_dir, TICKETS), files, lines)
+
+
+@query()
+def screening_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _with_logs(spark, sf_dir).select("ticket_id", screening_json().alias("body"), http_status(F.col("status")).alias("http_status"))
+
+
+@query()
+def screening_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _with_logs(spark, sf_dir).select("ticket_id", report().alias("report"))
+
+
+@query(o.chain(*_VERDICTS, o.LOG_CTES, "tally as (select ticket_id, symptom, count(*) as n from hits group by ticket_id, symptom)", "top as (select * from (select *, row_number() over (partition by ticket_id order by n desc, symptom) as r from tally) where r = 1)", last=f"select v.ticket_id, v.symptom, t.symptom as dominant, case when t.symptom is not null and v.symptom not in ({o.q(fixed.UNKNOWN)}, {o.q(fixed.TOO_SHORT)}) then t.symptom = v.symptom end as matches_text from verdicts v left join top t using (ticket_id)"))
+def log_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _with_logs(spark, sf_dir).select("ticket_id", "symptom", F.col("log_analysis.dominant_symptom").alias("dominant"), "matches_text")
+
+
+# ---- sources ----------------------------------------------------------------------------------------------
+@query("select doc_id, text as decoded, text as lossy from documents where doc_id % 4 <> 2 union all select doc_id, 'Ligação “caiu” às 14h – €5', 'x' from documents where doc_id % 4 = 2")
+def encoding_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    cp1252 = F.unhex(F.lit("Ligação “caiu” às 14h – €5".encode("cp1252").hex()))
+    content = F.when(F.col("doc_id") % 4 == 0, F.concat(F.unhex(F.lit("EFBBBF")), F.encode(text, "UTF-8"))).when(F.col("doc_id") % 4 == 2, cp1252).otherwise(F.encode(text, "UTF-8"))
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", content.alias("content"))
+    return rows.select("doc_id", decode_ladder(F.col("content")).alias("decoded"), F.when(F.col("doc_id") % 4 == 2, "x").otherwise(F.regexp_replace(decode_lossy(F.col("content")), "^﻿", "")).alias("lossy"))
+
+
+@query("select cast(event_id as varchar) as ticket_id, event_type as raw_text, event_id % 3 = 0 as bad from events")
+def payload_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("event_type").alias("text"))
+    made = tickets.from_payloads(rows.select(F.when(F.col("event_id") % 3 != 0, F.col("event_id")).alias("id"), "text", F.lit(None).cast("array<string>").alias("attachment_paths"), "event_id").drop("event_id").withColumn("keep", F.lit(1)).drop("keep"))
+    return made.select("ticket_id", "raw_text", F.col("error").isNotNull().alias("bad"))
+
+
+@query()
+def corpus_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = generator.tickets(spark, 200)
+    lines = generator.log_lines(spark, 200, 50)
+    files = lines.select("ticket_id", F.lit(0).alias("ord"), F.col("file_name").alias("name")).distinct()
+    out = screen(made, files, lines).join(made.select("ticket_id", "expected"), "ticket_id")
+    return out.groupBy("expected").agg(F.count(F.lit(1)).alias("tickets"), F.count_if(F.col("symptom") == F.col("expected")).alias("right"), F.count_if(F.col("matches_text")).alias("confirmed"))
+
+
+@query()
+def archive_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives built in the query, expanded, their logs numbered and scanned."""
+    import io
+    import zipfile
+
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        z.writestr("b/app.log", "INFO ok\r\nudp packet loss\nSIP/408 timeout")
+        z.writestr("a.png", b"x")
+        z.writestr("../evil.log", "packet loss")
+    files = spark.range(20).select(F.col("id").cast("string").alias("ticket_id"), F.lit(0).alias("ord"), F.lit("pacote.zip").alias("name"), F.when(F.col("id") % 5 == 0, F.unhex(F.lit("00"))).otherwise(F.unhex(F.lit(data.getvalue().hex()))).alias("content"))
+    out = archives.expand(files)
+    lines = log_lines.from_contents(out.where("error is null").where(role(F.col("name")) == "log"))
+    hits = logs.find_hits(lines).groupBy("ticket_id").agg(F.count(F.lit(1)).alias("hits"))
+    return out.groupBy("ticket_id").agg(F.count("name").alias("members"), F.count("error").alias("errors")).join(hits, "ticket_id", "left")
+
+
+@query()
+def anonymized_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", anonymize(F.col("html")).alias("a"))
+    return rows.select("page_id", F.size("a.entities").alias("entities"), F.length("a.masked").alias("n_chars"))
