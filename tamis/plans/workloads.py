@@ -224,11 +224,11 @@ def encoding_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", decode_ladder(F.col("content")).alias("decoded"), F.when(F.col("doc_id") % 4 == 2, "x").otherwise(F.regexp_replace(decode_lossy(F.col("content")), "^﻿", "")).alias("lossy"))
 
 
-@query("select cast(event_id as varchar) as ticket_id, event_type as raw_text, event_id % 3 = 0 as bad from events")
+@query("select case when event_id % 3 <> 0 then cast(event_id as varchar) end as ticket_id, event_type as raw_text, event_id % 3 = 0 as bad from events")
 def payload_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("event_type").alias("text"))
-    made = tickets.from_payloads(rows.select(F.when(F.col("event_id") % 3 != 0, F.col("event_id")).alias("id"), "text", F.lit(None).cast("array<string>").alias("attachment_paths"), "event_id").drop("event_id").withColumn("keep", F.lit(1)).drop("keep"))
-    return made.select("ticket_id", "raw_text", F.col("error").isNotNull().alias("bad"))
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    payloads = rows.select(F.when(F.col("event_id") % 3 != 0, F.col("event_id")).alias("id"), F.col("event_type").alias("text"), F.lit(None).cast("array<string>").alias("attachment_paths"))
+    return tickets.from_payloads(payloads).select("ticket_id", "raw_text", F.col("error").isNotNull().alias("bad"))
 
 
 @query()

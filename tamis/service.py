@@ -20,12 +20,14 @@ from tamis.sources import archives, log_lines, tickets
 PROBLEM = "application/problem+json"
 
 
-def screen_files(spark: SparkSession, loaded: DataFrame, paths: list[str], config: Config) -> DataFrame:
-    """Screening of loaded tickets, each with all the attachment paths."""
-    rows = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "ord int, path string").crossJoin(loaded.select("ticket_id").limit(1))
-    files = archives.expand(archives.read_attachments(rows), config).where("error is null") if paths else None
-    if files is None:
+def screen_files(spark: SparkSession, ticket_id: str, text: str, paths: list[str], config: Config) -> DataFrame:
+    """Screening of one loaded ticket with the attachments at ``paths``."""
+    loaded = spark.createDataFrame([(ticket_id, text)], "ticket_id string, raw_text string")
+    if not paths:
         return screen(loaded, config=config)
+    files = archives.expand(archives.read_given(spark, ticket_id, paths), config)
+    if bad := files.where("error is not null").select("error").first():
+        raise ValueError(bad["error"])
     numbered = files.select("ticket_id", (F.col("ord") * 1000 + F.col("member")).alias("ord"), "name", "content")
     return screen(loaded, numbered.select("ticket_id", "ord", "name"), log_lines.from_contents(numbered.where(role(F.col("name")) == "log")), config)
 
@@ -113,10 +115,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         loaded = spark.createDataFrame([("interativo", read_interactive(sys.stdin))], "ticket_id string, raw_text string").withColumn("error", F.lit(None).cast("struct<message:string,detail:string>"))
     else:
         loaded = tickets.from_texts(spark.createDataFrame([(args.text,)], "text string"))
-    if bad := loaded.where("error is not null").select("error.*").first():
-        print(f"{bad['message']} {bad['detail']}".strip(), file=sys.stderr)
+    ticket = loaded.first()
+    if ticket is None or ticket["error"]:
+        print(f"{ticket['error']['message']} {ticket['error']['detail']}".strip() if ticket else "Chamado não encontrado.", file=sys.stderr)
+        return fixed.EXIT_ERROR
+    try:
+        out = screen_files(spark, ticket["ticket_id"], ticket["raw_text"], args.attachments, config)
+    except ValueError as e:
+        print(f"Anexo inválido: {e}", file=sys.stderr)
         return fixed.EXIT_ERROR
-    out = screen_files(spark, loaded, args.attachments, config)
     row = out.select("exit_code", (screening_json() if args.json else report(config=config)).alias("text")).first()
     print(json.dumps(json.loads(row["text"]), ensure_ascii=False, indent=2) if args.json else row["text"])
     return 0 if args.interactive else row["exit_code"]

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from pathlib import PurePosixPath
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamis import fixed
@@ -62,13 +62,28 @@ def expand(files: DataFrame, config: Config = DEFAULT) -> DataFrame:
     return plain.unionByName(unpacked)
 
 
-def read_attachments(paths: DataFrame) -> DataFrame:
-    """(ticket_id, ord, name, content) of (ticket_id, ord, path); paths that don't exist are skipped."""
-    spark = paths.sparkSession
-    wanted = [r["path"] for r in paths.select("path").distinct().limit(10_000).collect()]
-    there = spark.read.format("binaryFile").option("ignoreMissingFiles", "true").load(wanted) if wanted else spark.createDataFrame([], "path string, content binary")
-    norm = lambda c: F.regexp_replace(c, "^file:/*", "/")
-    return paths.join(there.select(norm(F.col("path")).alias("at"), "content"), norm(F.col("path")) == F.col("at")).select("ticket_id", "ord", F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+FILES = "ticket_id string, ord int, name string, content binary"
+
+
+def _plain(path: Column) -> Column:
+    return F.regexp_replace(path, "^file:/*", "/")
+
+
+def read_attachments(paths: DataFrame, folder: str) -> DataFrame:
+    """(ticket_id, ord, name, content) of (ticket_id, ord, path) below a folder; paths that don't exist are skipped."""
+    there = paths.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return paths.join(there.select(_plain(F.col("path")).alias("at"), "content"), _plain(F.col("path")) == F.col("at")).select("ticket_id", "ord", F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+
+
+def read_given(spark: SparkSession, ticket_id: str, paths: list[str]) -> DataFrame:
+    """The same for the paths a user names for one ticket."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    there = [(i, p) for i, p in enumerate(paths) if (h := jvm.org.apache.hadoop.fs.Path(p)).getFileSystem(conf).exists(h)]
+    out = spark.createDataFrame([], FILES)
+    for i, p in there:
+        file = spark.read.format("binaryFile").load(p)
+        out = out.unionByName(file.select(F.lit(ticket_id).alias("ticket_id"), F.lit(i).alias("ord"), F.element_at(F.split("path", "/"), -1).alias("name"), "content"))
+    return out
 
 
 def upload_name(index: Column, name: Column) -> Column:
