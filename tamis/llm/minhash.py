@@ -7,9 +7,9 @@ shingle sets (two independent sums of the set's hashes) are one node.
 Candidates, without listing pairs inside a band bucket:
 1. every node of a bucket is paired with the bucket's leader, the node that shares buckets with most others, so
    the original of a family of copies;
-2. links are confirmed on full shingle sets and joined into components; only buckets whose nodes are still in
-   different components are paired across these, where the packed bits' collision-corrected estimate can reach
-   the threshold. Pairs inside one component can't change it.
+2. links are confirmed on full shingle sets and joined into components; pairs inside one component can't change
+   it. Only nodes of buckets that still span several components are paired across these, by their rare shingles
+   (``cross_pairs``) and where the packed bits' collision-corrected estimate can reach the threshold.
 
 At a similarity of 0.75, the bands miss a pair with probability (1 - 0.75^4)^32 = 5e-6, and the estimate,
 cut ``MARGIN`` below the threshold, misses 2e-5 of those in step 2.
@@ -26,7 +26,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tamis.llm import arrays
@@ -107,6 +107,43 @@ def sketch(docs: DataFrame, k: int = WORDS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, SKETCH)
 
 
+def shingle_rows(nodes: DataFrame, docs: DataFrame, k: int = WORDS) -> DataFrame:
+    """(node, shingle) of each of the nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column("node").to_numpy()
+            for rows, data, offsets in pieces(batch):
+                values, cuts = shingles(data, offsets, k)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names[rows], np.diff(cuts))), pa.array(values.view(np.int64))], names=["node", "shingle"])
+
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("node"), text_or_empty().alias("text"))
+    return texts.join(nodes.select("node"), "node", "left_semi").mapInArrow(run, "node bigint, shingle bigint")
+
+
+def cross_pairs(nodes: DataFrame, docs: DataFrame, least: float, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(a, b): nodes (node, component, bits, n) of different components that may be similar enough. Loses none on the sets' side.
+
+    Shingles are put in one order, rare ones first. Two sets can only reach the threshold if their first common
+    shingle is early enough in both: what comes from there on bounds the intersection. Copies with edits of their
+    own start with these, so they meet only nodes that share an edit, not their whole family.
+    """
+    rows = stored(shingle_rows(nodes, docs, k), "minhash-shingles")
+    common = stored(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "minhash-common")
+    ordered = Window.partitionBy("node").orderBy("df", "shingle")
+    shared = rows.join(common, "shingle").join(nodes, "node").select("*", F.row_number().over(ordered).alias("rank"), F.count(F.lit(1)).over(Window.partitionBy("node")).alias("shared"))
+    # shingles that no other node has come first and are in no intersection
+    reach = shared.select("node", "component", "bits", "n", "shingle", (F.col("shared") - F.col("rank") + 1).alias("reach")).where(100 * F.col("reach") >= percent * F.col("n"))
+    reach = stored(reach, "minhash-prefixes")
+    mixed = stored(reach.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("shingle"), "minhash-mixed")
+    x = reach.join(mixed, "shingle", "left_semi")
+    y = x.select("shingle", *(F.col(c).alias(f"other_{c}") for c in ("node", "component", "bits", "n", "reach")))
+    most = F.least("reach", "other_reach")
+    able = 100 * most >= percent * (F.col("n") + F.col("other_n") - most)
+    found = x.join(y, (x["shingle"] == y["shingle"]) & (F.col("component") < F.col("other_component")) & able & (estimate(F.col("bits"), F.col("other_bits")) >= least))
+    return found.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct()
+
+
 def estimate(a: Column, b: Column) -> Column:
     """Similarity from packed minima: the share of equal ones, corrected for chance equality of BITS bits."""
     ones = F.lit(int("1" * (64 // BITS), 1 << BITS))
@@ -168,9 +205,8 @@ def cluster(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFram
     placed = members.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
     split = stored(placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band"), "minhash-split")
     placed = stored(placed.join(split, "band", "left_semi").select("band", "node", "component", "bits"), "minhash-placed")
-    other = placed.select("band", *(F.col(c).alias(f"other_{c}") for c in ("node", "component", "bits")))
-    cross = placed.join(other, (placed["band"] == other["band"]) & (F.col("component") < F.col("other_component")) & (estimate(F.col("bits"), F.col("other_bits")) >= least))
-    cross = cross.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    cross = cross_pairs(stored(placed.select("node", "component", "bits").distinct().join(nodes.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n")), "node"), "minhash-left"), docs, least, k, percent)
+    cross = cross.join(star, ["a", "b"], "left_anti")
     more = stored(confirm(stored(cross, "minhash-cross"), docs, k, percent), "minhash-links")
     part = components(links.unionByName(more))
     groups = same.join(part, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("component"))
