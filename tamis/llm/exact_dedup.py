@@ -7,7 +7,8 @@
   (digest, text) compares the texts themselves, and copies collapse before the shuffle, so that a group
   with a third of all rows costs each task one row.
 
-Null text counts as empty; empty texts are equal to each other; repeated rows count each; a null identifier
+Null text counts as empty; empty texts are equal to each other; repeated rows count each, and
+those of the identifier that stays all stay; a null identifier
 is kept as a row, and stays only where its group has no other. Extra columns are ignored. Empty tables give
 no rows. DataFrame functions only.
 """
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.llm.common import scratch_path, table, text_or_empty
+from tamis.llm.common import scratch_path, stored, table, text_or_empty
 
 RUN_SCHEMA = "doc_id bigint, digest binary"
 
@@ -49,12 +50,15 @@ def compact(runs: DataFrame, keep: str = "min") -> DataFrame:
 
 
 def verify(docs: DataFrame, hits: DataFrame, keep: str = "min", digest=sha256) -> DataFrame:
-    """The groups of byte-equal texts among the rows whose digest was hit; ``texts``: distinct texts of that digest."""
+    """(digest, group struct<keep_id, group_size, exact>): groups of byte-equal texts among the rows whose digest was hit.
+
+    Texts are grouped before the hits are picked: a join by digest would first bring all copies of a text together.
+    """
     best = {"min": F.min, "max": F.max}[keep]
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text")).withColumn("digest", digest(F.col("text")))
-    groups = rows.join(hits.select("digest"), "digest", "left_semi").groupBy("digest", "text").agg(best("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = rows.groupBy("text", "digest").agg(best("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     texts = F.struct("keep_id", "group_size", F.sha2(F.encode("text", "UTF-8"), 512).alias("exact"))
-    return groups.select("digest", texts.alias("group"))
+    return groups.select("digest", texts.alias("group")).join(hits.select("digest"), "digest", "left_semi")
 
 
 def dedup(docs: DataFrame, keep: str = "min", runs: list[str] | None = None, digest=sha256) -> DataFrame:
@@ -65,24 +69,19 @@ def dedup(docs: DataFrame, keep: str = "min", runs: list[str] | None = None, dig
     """
     spark = docs.sparkSession
     run = flush(docs, scratch_path(spark, "digest-run"), digest)
-    index = compact(read_runs(spark, [run, *(runs or [])]), keep)
-    hits = index.where("group_size > 1")
-    groups = verify(docs, hits, keep, digest)
+    # the compacted run is a table of its own, so that the join by digest is between two exchanges and can be split where a digest is hot
+    index = stored(compact(read_runs(spark, [run, *(runs or [])]), keep), "digest-index")
+    groups = stored(verify(docs, index.where("group_size > 1"), keep, digest), "digest-groups")
     # one distinct text for a digest, as good as always: the bytes are equal and the index row holds
-    bad = groups.groupBy("digest").agg(F.count(F.lit(1)).alias("texts"), F.sum("group.group_size").alias("seen")).where("texts > 1").select("digest", "texts")
+    clash = stored(groups.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("digest"), "digest-clashes")
     own = read_runs(spark, [run])
-    indexed = index.join(bad, "digest", "left")
-    first = own.join(indexed, "digest", "left")
-    clean = first.where("texts is null").select("doc_id", "digest", "keep_id", "group_size")
-    # digests that two texts share: those rows alone are grouped by their texts
-    clash = (
-        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
-        .select("doc_id", digest(F.col("text")).alias("digest"), F.sha2(F.encode("text", "UTF-8"), 512).alias("exact"))
-        .join(bad.select("digest"), "digest", "left_semi")
-        .join(groups.select("digest", "group.*"), ["digest", "exact"])
-        .select("doc_id", "digest", "keep_id", "group_size")
-    )
-    out = clean.unionByName(clash)
+    out = own.join(index, "digest").select("doc_id", "digest", "keep_id", "group_size")
+    if not clash.isEmpty():
+        # digests that several texts share: those rows alone are grouped by their texts
+        rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
+        rows = rows.select("doc_id", digest(F.col("text")).alias("digest"), F.sha2(F.encode("text", "UTF-8"), 512).alias("exact")).join(clash, "digest", "left_semi")
+        rows = rows.join(groups.select("digest", "group.*"), ["digest", "exact"]).select("doc_id", "digest", "keep_id", "group_size")
+        out = out.join(clash, "digest", "left_anti").unionByName(rows)
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
 
 
