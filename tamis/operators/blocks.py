@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamis import fixed
-from tamis.functions.text import normalize_header, split_lines, strip
+from tamis.functions.text import let, normalize_header, split_lines, strip
 
 FIELDS = "array<struct<key:string,value:string>>"
 BLOCKS = f"array<struct<name:string,raw_header:string,fields:{FIELDS}>>"
@@ -26,14 +26,10 @@ def parse(raw: Column) -> Column:
     body = F.translate(F.regexp_replace(F.coalesce(raw, F.lit("")), "^﻿+", ""), " ", " ")
     lines = F.transform(
         split_lines(body),
-        lambda x: F.struct(x.alias("line"), is_header(x).alias("header"), F.contains(x, F.lit("->")).alias("field"), strip(x).alias("text")),
+        lambda x, i: F.struct(i.alias("i"), x.alias("line"), is_header(x).alias("header"), F.contains(x, F.lit("->")).alias("field"), strip(x).alias("text")),
     )
-    numbered = F.transform(lines, lambda x, i: F.struct(i.alias("i"), x["line"].alias("line"), x["header"].alias("header"), x["field"].alias("field"), x["text"].alias("text")))
-    heads = F.filter(numbered, lambda x: x["header"])
-
-    def fields_of(inner: Column) -> Column:
-        starts = F.filter(inner, lambda x: x["field"])
 
+    def fields_of(inner: Column, starts: Column) -> Column:
         def one(s: Column, k: Column) -> Column:
             to = F.coalesce(F.get(starts, k + 1)["i"], F.lit(1 << 30))
             more = F.filter(inner, lambda x: (x["i"] > s["i"]) & (x["i"] < to) & (x["text"] != ""))
@@ -43,13 +39,15 @@ def parse(raw: Column) -> Column:
 
         return F.transform(starts, one)
 
-    def block(h: Column, k: Column) -> Column:
-        to = F.coalesce(F.get(heads, k + 1)["i"], F.size(numbered))
-        inner = F.slice(numbered, h["i"] + 2, to - h["i"] - 1)
-        return F.struct(normalize_header(h["line"]).alias("name"), h["text"].alias("raw_header"), fields_of(inner).alias("fields"))
+    def blocks_of(all_: Column, heads: Column) -> Column:
+        def one(h: Column, k: Column) -> Column:
+            to = F.coalesce(F.get(heads, k + 1)["i"], F.size(all_))
+            fields = let(F.slice(all_, h["i"] + 2, to - h["i"] - 1), lambda inner: let(F.filter(inner, lambda x: x["field"]), lambda starts: fields_of(inner, starts)))
+            return F.struct(normalize_header(h["line"]).alias("name"), h["text"].alias("raw_header"), fields.alias("fields"))
+
+        return F.struct(F.transform(heads, one).alias("blocks"), (F.size(heads) > 0).alias("is_structured")).cast(PARSED)
 
-    blocks = F.transform(heads, block)
-    return F.struct(blocks.alias("blocks"), (F.size(heads) > 0).alias("is_structured")).cast(PARSED)
+    return let(lines, lambda all_: let(F.filter(all_, lambda x: x["header"]), lambda heads: blocks_of(all_, heads)))
 
 
 def block(parsed: Column, name: str) -> Column:
@@ -73,9 +71,11 @@ def narrative(parsed: Column) -> Column:
 
 def analysis_text(raw: Column, parsed: Column) -> Column:
     """The narrative, even if blank; else the details' values; else the whole body as it came."""
-    details = block(parsed, fixed.ANALYSIS_BLOCK)
-    told, values = field(details, fixed.NARRATIVE_FIELD), strip(values_text(details))
-    return F.when(told.isNotNull(), strip(told)).when(values != "", values).otherwise(strip(F.coalesce(raw, F.lit(""))))
+    def chosen(details: Column) -> Column:
+        values = let(strip(values_text(details)), lambda v: F.when(v != "", v).otherwise(strip(F.coalesce(raw, F.lit("")))))
+        return F.coalesce(strip(field(details, fixed.NARRATIVE_FIELD)), values, strip(F.coalesce(raw, F.lit(""))))
+
+    return let(block(parsed, fixed.ANALYSIS_BLOCK), chosen)
 
 
 def discarded_blocks(parsed: Column) -> Column:
@@ -94,5 +94,6 @@ def as_map(parsed: Column) -> Column:
 
 def parse_tickets(tickets: DataFrame) -> DataFrame:
     """(ticket_id, raw_text) with parsed, analysis_text, discarded_blocks."""
-    out = tickets.withColumn("parsed", parse(F.col("raw_text")))
-    return out.withColumns({"analysis_text": analysis_text(F.col("raw_text"), F.col("parsed")), "discarded_blocks": discarded_blocks(F.col("parsed"))})
+    raw = F.col("raw_text")
+    read = let(raw, lambda r: let(parse(r), lambda p: F.struct(p.alias("parsed"), analysis_text(r, p).alias("analysis_text"), discarded_blocks(p).alias("discarded_blocks"))))
+    return tickets.withColumn("_read", read).select(*tickets.columns, "_read.*")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tamis import fixed
 from tamis.config import DEFAULT, Config
-from tamis.functions.text import fold_accents, strip
+from tamis.functions.text import fold_accents, let, strip
 
 LABELS = tuple(sorted({label for label, _ in fixed.ANCHORS}))
 
@@ -80,6 +80,10 @@ def ranked(cosines: Column) -> Column:
 
 def decide(text: Column, order: Column, config: Config = DEFAULT) -> Column:
     """struct<symptom, confidence, runner_ups array<struct<symptom, score>>>."""
+    return let(order, lambda ranks: _decide(text, ranks, config))
+
+
+def _decide(text: Column, order: Column, config: Config) -> Column:
     short = text.isNull() | (F.length(strip(text)) < config.nlp_min_text_length)
     top = F.get(order, F.lit(0))
     known = (top["label"] != fixed.UNKNOWN) & (top["score"] >= config.nlp_threshold)

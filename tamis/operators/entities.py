@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tamis import fixed
-from tamis.functions.text import digits
+from tamis.functions.text import digits, let
 
 #: Sentinel around matches while spans are located; in the text itself it becomes OTHER, which is as long and as inert.
 MARK, OTHER = "\u0001", "\u0002"
@@ -15,10 +15,12 @@ ENTITIES = "array<struct<kind:string,start:int,end:int,raw:string,confidence:str
 
 
 def is_brazilian_phone(raw: Column) -> Column:
-    d = digits(raw)
-    mobile = (F.length(d) == 11) & (F.substring(d, 3, 1) == "9")
-    landline = (F.length(d) == 10) & F.substring(d, 3, 1).isin("2", "3", "4", "5")
-    return F.substring(d, 1, 2).isin(*fixed.AREA_CODES) & (mobile | landline)
+    def shaped(d: Column) -> Column:
+        mobile = (F.length(d) == 11) & (F.substring(d, 3, 1) == "9")
+        landline = (F.length(d) == 10) & F.substring(d, 3, 1).isin("2", "3", "4", "5")
+        return F.substring(d, 1, 2).isin(*fixed.AREA_CODES) & (mobile | landline)
+
+    return let(digits(raw), shaped)
 
 
 def _matches(text: Column, rule: tuple) -> Column:
@@ -32,27 +34,34 @@ def _matches(text: Column, rule: tuple) -> Column:
         span = F.struct(F.lit(priority).alias("priority"), acc["pos"].alias("start"), end.alias("end"), F.lit(kind).alias("kind"), F.lit(confidence).alias("confidence"), F.lit(check).cast("string").alias("check"))
         return F.struct(end.alias("pos"), (~acc["inside"]).alias("inside"), F.when(acc["inside"] & (part != ""), F.array_append(acc["found"], span)).otherwise(acc["found"]).alias("found"))
 
-    return F.when(F.size(parts) > 1, F.aggregate(parts, start, step, lambda acc: acc["found"])).otherwise(F.array().cast(CANDIDATES))
+    return let(parts, lambda x: F.when(F.size(x) > 1, F.aggregate(x, start, step, lambda acc: acc["found"])).otherwise(F.array().cast(CANDIDATES)))
 
 
 def detect(text: Column) -> Column:
     """array<struct<kind, start, end, raw, confidence>> by start; offsets are code points, end exclusive. Null text has none."""
-    none = F.array().cast(ENTITIES)
-    inert = F.translate(text, MARK, OTHER)
+    return let(text, _detect)
+
+
+def _detect(text: Column) -> Column:
+    none, empty = F.array().cast(ENTITIES), F.array().cast(CANDIDATES)
     digit, at = text.rlike(r"(?U)\d"), F.contains(text, F.lit("@"))
-    rules = [F.when(at if r[1] == "EMAIL" else digit, _matches(inert, r)).otherwise(F.array().cast(CANDIDATES)) for r in fixed.ENTITY_RULES]
+    emails = [r for r in fixed.ENTITY_RULES if r[1] == "EMAIL"]
+    others = [r for r in fixed.ENTITY_RULES if r[1] != "EMAIL"]
+    candidates = let(
+        F.translate(text, MARK, OTHER),
+        lambda inert: F.concat(F.when(at, F.concat(*(_matches(inert, r) for r in emails))).otherwise(empty), F.when(digit, F.concat(*(_matches(inert, r) for r in others))).otherwise(empty)),
+    )
 
     def raw(c: Column) -> Column:
         return F.substring(text, c["start"] + 1, c["end"] - c["start"])
 
     def holds(c: Column) -> Column:
-        phone = is_brazilian_phone(raw(c))
-        return F.when(c["check"] == "phone", phone).when(c["check"] == "not phone", ~phone).otherwise(True)
+        return F.when(c["check"].isNull(), True).otherwise(is_brazilian_phone(raw(c)) == (c["check"] == "phone"))
 
-    ranked = F.array_sort(F.filter(F.concat(*rules), holds))  # priority, then start: matches of a rule don't overlap
+    ranked = F.array_sort(F.filter(candidates, holds))  # priority, then start: matches of a rule don't overlap
     accepted = F.aggregate(
         ranked,
-        F.array().cast(CANDIDATES),
+        empty,
         lambda acc, c: F.when(F.exists(acc, lambda a: (a["start"] < c["end"]) & (c["start"] < a["end"])), acc).otherwise(F.array_append(acc, c)),
     )
     by_start = F.array_sort(F.transform(accepted, lambda c: F.struct(c["start"], c["end"], c["kind"], c["confidence"])))
@@ -64,23 +73,25 @@ def mask(text: Column, entities: Column) -> Column:
     """text with the personal spans replaced by their tokens; protocol numbers, registrations and addresses stay."""
     tokens = F.create_map(*(F.lit(x) for pair in fixed.MASKS.items() for x in pair))
     hidden = F.array_sort(F.transform(F.filter(entities, lambda e: ~e["kind"].isin(*fixed.VISIBLE_KINDS)), lambda e: F.struct(e["start"], e["end"], e["kind"])))
-    whole = F.aggregate(
-        hidden,
-        F.struct(F.lit("").alias("out"), F.lit(0).alias("pos")),
-        lambda acc, e: F.struct(F.concat(acc["out"], F.substring(text, acc["pos"] + 1, e["start"] - acc["pos"]), tokens[e["kind"]]).alias("out"), e["end"].alias("pos")),
-        lambda acc: F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.length(text))),
-    )
-    return F.when(F.size(hidden) > 0, whole).otherwise(text)
+
+    def masked(t: Column, spans: Column) -> Column:
+        return F.aggregate(
+            spans,
+            F.struct(F.lit("").alias("out"), F.lit(0).alias("pos")),
+            lambda acc, e: F.struct(F.concat(acc["out"], F.substring(t, acc["pos"] + 1, e["start"] - acc["pos"]), tokens[e["kind"]]).alias("out"), e["end"].alias("pos")),
+            lambda acc: F.concat(acc["out"], F.substring(t, acc["pos"] + 1, F.length(t))),
+        )
+
+    return let(text, lambda t: let(hidden, lambda spans: F.when(F.size(spans) > 0, masked(t, spans)).otherwise(t)))
 
 
 def anonymize(text: Column) -> Column:
     """struct<masked, entities>."""
-    entities = detect(text)
-    return F.struct(mask(text, entities).alias("masked"), entities.alias("entities"))
+    return let(text, lambda t: let(_detect(t), lambda found: F.struct(mask(t, found).alias("masked"), found.alias("entities"))))
 
 
 def mask_sensitive_data(text: Column) -> Column:
-    return mask(text, detect(text))
+    return anonymize(text)["masked"]
 
 
 def has_entity(entities: Column, kind: str, least: str = fixed.MEDIUM) -> Column:
@@ -90,5 +101,4 @@ def has_entity(entities: Column, kind: str, least: str = fixed.MEDIUM) -> Column
 def entity_counts(entities: Column) -> Column:
     """map kind -> count, kinds in the order they are first seen."""
     kinds = F.transform(entities, lambda e: e["kind"])
-    distinct = F.array_distinct(kinds)
-    return F.map_from_arrays(distinct, F.transform(distinct, lambda k: F.size(F.filter(kinds, lambda x: x == k))))
+    return let(kinds, lambda all_: let(F.array_distinct(all_), lambda some: F.map_from_arrays(some, F.transform(some, lambda k: F.size(F.filter(all_, lambda x: x == k))))))

@@ -25,7 +25,7 @@ def match(line: Column) -> Column:
 def find_hits(lines: DataFrame) -> DataFrame:
     """The lines (ticket_id, att_ord, file_name, line_number, line) with a signature, and its symptom and label."""
     hits = lines.where(F.col("line").rlike(ANY_SIGNATURE)).withColumn("m", match(F.col("line")))
-    return hits.where("m is not null").select(*lines.columns, "m.symptom", "m.label")
+    return hits.select(*lines.columns, "m.symptom", "m.label")
 
 
 def excerpt(line: Column, config: Config = DEFAULT) -> Column:

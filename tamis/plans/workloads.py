@@ -42,7 +42,7 @@ _SPANS = o.chain(o.NARRATIVE_CTE, o.entity_ctes(), last="select ticket_id, kind,
 
 
 def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, NARRATIVES).select("ticket_id", F.explode(detect(F.col("text"))).alias("e"))
+    rows = read(spark, sf_dir, NARRATIVES).select("ticket_id", F.explode_outer(detect(F.col("text"))).alias("e")).where("e is not null")
     return rows.select("ticket_id", "e.kind", "e.confidence", F.col("e.start").alias("span_start"), F.col("e.end").alias("span_end"))
 
 
@@ -64,7 +64,7 @@ def masked_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(o.chain("src as materialized (select cast(doc_id as varchar) as ticket_id, text from documents)", o.entity_ctes(), last="select ticket_id, kind, confidence, s as span_start, e as span_end from accepted"))
 def document_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    rows = docs.select(F.col("doc_id").cast("string").alias("ticket_id"), F.explode(detect(F.col("text"))).alias("e"))
+    rows = docs.select(F.col("doc_id").cast("string").alias("ticket_id"), F.explode_outer(detect(F.col("text"))).alias("e")).where("e is not null")
     return rows.select("ticket_id", "e.kind", "e.confidence", F.col("e.start").alias("span_start"), F.col("e.end").alias("span_end"))
 
 
@@ -79,8 +79,8 @@ def phone_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- blocks -----------------------------------------------------------------------------------------------
 @query(o.chain(o.TICKET_CTE, o.BLOCK_CTES, last="select ticket_id, cast(block_no as bigint) as block_no, block, cast(field_no as bigint) as field_no, key, value from fields"))
 def block_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = parse_tickets(read(spark, sf_dir, TICKETS)).select("ticket_id", F.posexplode("parsed.blocks").alias("b", "block"))
-    rows = parsed.select("ticket_id", (F.col("b") + 1).cast("bigint").alias("block_no"), F.col("block.name").alias("name"), F.posexplode("block.fields").alias("f", "field"))
+    parsed = parse_tickets(read(spark, sf_dir, TICKETS)).select("ticket_id", F.posexplode_outer("parsed.blocks").alias("b", "block"))
+    rows = parsed.select("ticket_id", (F.col("b") + 1).cast("bigint").alias("block_no"), F.col("block.name").alias("name"), F.posexplode_outer("block.fields").alias("f", "field")).where("f is not null")
     return rows.select("ticket_id", "block_no", F.col("name").alias("block"), (F.col("f") + 1).cast("bigint").alias("field_no"), "field.key", "field.value")
 
 
