@@ -102,6 +102,14 @@ def infer(texts: DataFrame, key: str = "ticket_id", text: str = "masked", config
     return out.withColumn("inference", decide(F.col(text), ranked(F.col("cosines")), config)).drop("cosines")
 
 
+def infer_distinct(texts: DataFrame, text: str = "masked", config: Config = DEFAULT) -> DataFrame:
+    """texts with ``inference``, each different text classified once: for streams of tickets that repeat bodies."""
+    once = texts.select(F.col(text).alias("_text")).where("_text is not null").distinct().withColumn("_key", F.sha2("_text", 256))
+    found = infer(once, "_key", "_text", config).select("_text", "inference")
+    empty = decide(F.lit(None).cast("string"), ranked(F.lit(None).cast("array<double>")), config)
+    return texts.join(found, F.col(text) == F.col("_text"), "left").withColumn("inference", F.coalesce("inference", empty)).drop("_text")
+
+
 def label_and_score(inference: Column) -> Column:
     return F.struct(inference["symptom"].alias("label"), inference["confidence"].alias("score"))
 

@@ -6,6 +6,8 @@ all is well.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +50,18 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     return from_payloads(spark.read.schema(PAYLOAD).option("primitivesAsString", "true").json(path))
 
 
+def fetch(spark: SparkSession, fetcher: Callable[[], dict]) -> DataFrame:
+    """The ticket that a service-desk client returns: a callable that gives {id, text, attachment_paths?}."""
+    payload = fetcher()
+    row = (str(payload.get("id") or ""), str(payload.get("text") or ""), [str(p) for p in payload.get("attachment_paths") or []])
+    return from_payloads(spark.createDataFrame([row], PAYLOAD))
+
+
+def pick(tickets: DataFrame, seed: int) -> DataFrame:
+    """One ticket of a pool, at random."""
+    return tickets.orderBy(F.rand(seed)).limit(1)
+
+
 def read_pool(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(tickets, attachments) of a folder of req*.md tickets and sibling <stem>_log.txt files."""
     tickets = read_text_files(spark, path, "req*.md")

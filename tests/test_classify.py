@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tamis import fixed
-from tamis.operators.classify import fit, infer, label_and_score, parse_symptom
+from tamis.operators.classify import fit, infer, infer_distinct, label_and_score, parse_symptom
 
 CASES = {
     "ligacao caiu no meio da chamada": (fixed.AUDIO, 0.6078),
@@ -54,3 +54,9 @@ def test_wire_values(spark, inferred):
     assert [r[0] for r in df.select(parse_symptom(F.col("s"))).collect()] == [fixed.UX, fixed.UNKNOWN, fixed.UNKNOWN]
     row = infer(spark.createDataFrame([("1", "xxxxx")], "ticket_id string, masked string")).select(label_and_score(F.col("inference")).alias("x")).first()
     assert row["x"]["label"] == fixed.UNKNOWN
+
+
+def test_repeated_texts_are_classified_once(spark, inferred):
+    texts = [t for t in CASES if t != ""] * 2
+    rows = infer_distinct(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "n bigint, masked string")).collect()
+    assert len(rows) == len(texts) and all(r["inference"] == inferred[r["masked"]] for r in rows)

@@ -91,3 +91,11 @@ def test_attachments_of_a_folder(spark, tmp_path):
     (tmp_path / "a.log").write_text("x")
     paths = spark.createDataFrame([("t", 0, str(tmp_path / "a.log")), ("t", 1, str(tmp_path / "gone.log"))], "ticket_id string, ord int, path string")
     assert [(r["ord"], r["name"], bytes(r["content"])) for r in archives.read_attachments(paths, str(tmp_path)).collect()] == [(0, "a.log", b"x")]
+
+
+def test_fetched_ticket_and_pick(spark):
+    row = tickets.fetch(spark, lambda: {"id": 5, "text": "oi", "attachment_paths": ["a.log"]}).first()
+    assert (row["ticket_id"], row["raw_text"], row["attachment_paths"], row["error"]) == ("5", "oi", ["a.log"], None)
+    assert tickets.fetch(spark, lambda: {"id": None, "text": "x"}).first()["error"] is not None
+    pool = generator.tickets(spark, 9)
+    assert tickets.pick(pool, 1).collect() == tickets.pick(pool, 1).collect()
