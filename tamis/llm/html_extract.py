@@ -42,6 +42,7 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 NEVER = set("nav footer aside form head button select menu dialog object canvas audio video".split())
 SECTIONS = set("body article main section div td".split())
 NAMED = set("ad ads adv advert advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent notice notices alert comment comments reply replies disqus sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead share sharing social related recommended subscribe newsletter popup modal widget toolbar pagination pager login signup search".split())
+NAMED_ARTICLES = set("ad ads advert advertisement sponsored promo comment comments reply replies related".split())
 #: a start tag closes an open element of these names, up to the boundaries
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BOUNDS = {"p": {"article", "main", "section", "div", "td", "li", "body", "blockquote"}, "li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr"}, "th": {"tr"}, "option": {"select"}}
@@ -105,7 +106,11 @@ def read_page(html: str) -> tuple[list[str], list[tuple[tuple[str, ...], bool, s
         top = stack[-1]
         names = [w for a in _NAMES.finditer(m[4]) for w in _WORD.findall((a[1] or a[2] or a[3] or "").lower())] if m[4] else []
         article = top.article or tag in ("article", "main") or "main" in names
-        never = top.never or tag in NEVER or (tag == "header" and not top.article) or tag not in ("html", "body", "article", "main") and not NAMED.isdisjoint(names) or bool(m[4] and _HIDDEN.search(m[4]))
+        if tag in ("article", "main"):  # an unclosed advert or menu before the article doesn't hide it
+            never = (top.never and top.article) or not NAMED_ARTICLES.isdisjoint(names)
+        else:
+            never = top.never or tag in NEVER or (tag == "header" and not top.article) or tag not in ("html", "body") and not NAMED.isdisjoint(names)
+        never = never or bool(m[4] and _HIDDEN.search(m[4]))
         path = top.path if inline else f"{top.path}/{tag}" + "".join(f".{n}" for n in names[:4])
         stack.append(_Open(tag, path, never, article))
         if tag in SECTIONS and not never:

@@ -157,6 +157,11 @@ def test_extract(spark):
     assert by[None].startswith("a < b\n\nw w") and len(by[None]) > 90000
 
 
+def test_unclosed_parts_do_not_hide_the_article():
+    _, blocks = html_extract.read_page("<body><div class='ad'>Buy<nav>Menu<article><p>Text<article class='comment'>No</article></article><footer>End")
+    assert [text for _, article, text in blocks if article] == ["Text"]
+
+
 def test_extract_of_nothing(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
