@@ -24,8 +24,23 @@ def scratch_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+_made: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all scratch tables of this session; results that read them must have been written."""
+    while _made:
+        delete(spark, _made.pop())
 
 
 #: Spark drops an execution's shuffle files when it ends, instead of when the driver collects its garbage.
@@ -51,10 +66,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def drop_stored(*tables: DataFrame) -> None:
     """Delete the files of tables made by ``stored`` once nothing will read them again."""
     for df in tables:
-        sc = df.sparkSession.sparkContext
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = sc._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+            delete(df.sparkSession, folder)
 
 
 def text_or_empty(name: str = "text") -> Column:

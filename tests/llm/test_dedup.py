@@ -7,7 +7,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from tamis.llm import exact_dedup, minhash, substring_dedup, suffix_dedup
-from tamis.llm.common import scratch_path
+from tamis.llm.common import drop_stored, scratch_path, stored, sweep
 from tamis.llm.components import components
 
 
@@ -155,3 +155,17 @@ def test_components_of_long_paths(spark):
     random.Random(2).shuffle(edges)
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {i: 0 for i in range(101)} | {200: 200, 201: 200}
+
+
+# ---- scratch tables ---------------------------------------------------------------------------------------
+def test_scratch_tables(spark):
+    one, two = stored(spark.range(3), "one"), stored(spark.range(0), "none")
+    assert one.count() == 3 and two.count() == 0
+    path = one.inputFiles()[0].rsplit("/", 1)[0]
+    drop_stored(one, two)
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    assert not files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(files)
+    three = stored(spark.range(2), "three").inputFiles()[0]
+    sweep(spark)
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(three)
+    assert not files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(files)
