@@ -3,9 +3,10 @@
 * ``flush``: every partition of a batch is a memtable; it is sorted by digest and written as one immutable
   sorted run (Parquet files with a Bloom filter on the digest, which lookups by digest can skip by).
 * ``compact``: the runs are merged; one row for each digest keeps the identifier that stays and the count.
-* ``verify``: only rows whose digest was hit more than once are compared byte for byte. Grouping them by
-  (digest, text) compares the texts themselves, and copies collapse before the shuffle, so that a group
-  with a third of all rows costs each task one row.
+* ``verify``: hits, rows whose digest occurs more than once, are held byte for byte: texts are grouped by
+  (text, digest), which compares the texts themselves. Copies collapse before that shuffle, so a group with a
+  third of all rows costs each task one row. A digest whose hits are of one text is settled by its index row;
+  rows of a digest that two texts share are settled by their texts.
 
 Null text counts as empty; empty texts are equal to each other; repeated rows count each, and
 those of the identifier that stays all stay; a null identifier

@@ -2,8 +2,8 @@
 
 Training counts hashed n-grams of a bounded sample of labelled documents (about ``per_language`` of each
 language, chosen by a hash of the identifier; the bound is a parameter), sums the counts with Spark and turns
-them into a matrix of log probabilities, ``buckets`` rows by one column a language: at most 32 MiB for 256
-languages, which is checked before it is broadcast. Prediction reads whole texts: numpy gathers the rows of
+them into a matrix of log probabilities, ``buckets`` rows by one column a language: at most 64 MiB for the 256 most
+frequent languages, the most that are learned, which is checked before it is broadcast. Prediction reads whole texts: numpy gathers the rows of
 the matrix at every n-gram of a batch and sums them by document.
 
 Null texts and texts without a letter are ``und`` with score 0, as is every text when nothing could be
