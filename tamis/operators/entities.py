@@ -42,15 +42,26 @@ def detect(text: Column) -> Column:
     return let(text, _detect)
 
 
+#: What a text must hold for a rule, by priority, to match at all; cheaper to look for than the rule.
+NEEDS = {10: "@", 11: "/", 12: "-", 13: "$", 14: ".", 30: "(", 32: "-"}
+BARE = (50, 51, 52)
+
+
 def _detect(text: Column) -> Column:
     none, empty = F.array().cast(ENTITIES), F.array().cast(CANDIDATES)
     digit, at = text.rlike(r"(?U)\d"), F.contains(text, F.lit("@"))
-    emails = [r for r in fixed.ENTITY_RULES if r[1] == "EMAIL"]
-    others = [r for r in fixed.ENTITY_RULES if r[1] != "EMAIL"]
-    candidates = let(
-        F.translate(text, MARK, OTHER),
-        lambda inert: F.concat(F.when(at, F.concat(*(_matches(inert, r) for r in emails))).otherwise(empty), F.when(digit, F.concat(*(_matches(inert, r) for r in others))).otherwise(empty)),
-    )
+
+    def found(inert: Column) -> Column:
+        def one(rule: tuple) -> Column:
+            matches = _matches(inert, rule)
+            return F.when(F.contains(inert, F.lit(NEEDS[rule[0]])), matches).otherwise(empty) if rule[0] in NEEDS else matches
+
+        emails = F.concat(*(one(r) for r in fixed.ENTITY_RULES if r[1] == "EMAIL"))
+        bare = F.concat(*(one(r) for r in fixed.ENTITY_RULES if r[0] in BARE))
+        others = F.concat(*(one(r) for r in fixed.ENTITY_RULES if r[1] != "EMAIL" and r[0] not in BARE), F.when(inert.rlike(r"(?U)\d{10}"), bare).otherwise(empty))
+        return F.concat(emails, F.when(digit, others).otherwise(empty))
+
+    candidates = let(F.translate(text, MARK, OTHER), found)
 
     def raw(c: Column) -> Column:
         return F.substring(text, c["start"] + 1, c["end"] - c["start"])
