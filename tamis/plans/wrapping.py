@@ -58,7 +58,7 @@ def _case(key: str, values: tuple[str, ...]) -> str:
 
 NARRATIVES = f"""
 select cast(doc_id as string) as ticket_id, doc_id,
-       trim({_case("doc_id % 5", STORIES)} || ' ' || split_part(coalesce(text, ''), chr(10), 1) || ' ' || {_case("doc_id % 16", FRAGMENTS)}
+       trim({_case("doc_id % 5", STORIES)} || ' ' || coalesce(text, '') || ' ' || {_case("doc_id % 16", FRAGMENTS)}
        || case when doc_id % 3 = 0 then ' desde 14:30' else '' end
        || case when doc_id % 7 = 0 then ' segue print' else '' end) as text
 from {{documents}}"""
