@@ -1,4 +1,6 @@
+import itertools
 import math
+import random
 import re
 
 import duckdb
@@ -121,6 +123,33 @@ def test_decontaminate(spark):
     assert got[1] == (True, [1]) and got[2] == (False, []) and got[3] == (True, [2]) and got[None] == (False, [])
 
 
+@pytest.mark.parametrize("length", [decontaminate.SPAN, decontaminate.LEAST])
+def test_masks_cover_what_verification_accepts(length):
+    """Every stretch of so many tokens with as many substitutions as verification accepts has a seed left."""
+    ones = [[i for i, c in enumerate(m) if c == "1"] for m in decontaminate.MASKS]
+    places = [{s + i for i in mask} for m, mask in zip(decontaminate.MASKS, ones, strict=True) for s in range(length - len(m) + 1)]
+    most = length - math.ceil(decontaminate.SHARE * length)
+    assert most == 2 and all(any(p.isdisjoint(lost) for p in places) for lost in itertools.combinations(range(length), most))
+
+
+def test_decontaminate_edited_passages(spark):
+    """Every placing of two substitutions in items of 12 and 13 tokens and in a part of a longer one, and random edits, against brute force."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    items = [(n, " ".join(word() for _ in range(n))) for n in (5, 7, 8, 10, 11, 12, 13, 15, 20, 40)]
+    docs = []
+    for n, text in items:
+        w = text.split()
+        at = rng.randint(0, max(0, n - 13))
+        part = w[at : at + 13]
+        edits = [*itertools.combinations(range(len(part)), 2)] if n in (12, 13, 40) else [rng.sample(range(len(part)), k) for k in (0, 1, 2, 3)]
+        docs += [" ".join(["left", *("zz" if i in lost else x for i, x in enumerate(part)), "right"]) for lost in edits]
+        docs += [" ".join(x if rng.random() > 0.2 else word() for x in w) for _ in range(20)]
+    docs = list(enumerate(docs))
+    got = {r["doc_id"]: r["item_ids"] for r in decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert got == leaks(docs, items)
+
+
 def test_decontaminate_of_nothing(spark, no_documents, documents):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert decontaminate.decontaminate(no_documents, none).count() == 0
