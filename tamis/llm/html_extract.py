@@ -8,8 +8,9 @@
    slot that holds the article is the backbone's ``article`` or ``main`` container, or else the deepest container
    with ``SHARE`` of the text. Where it is no ``article``, valid text tokens in it are template as well.
 3. Pages are joined with their host's template (one row a host) and the blocks in the article's slot are
-   extracted. Containers that are never article (menus, forms, scripts, comments, ...) are passed over by tag or
-   class name. A page without the host's slot is read by itself in the same way.
+   extracted. Containers that are never article (menus, forms, scripts, comments, ...) are passed over by tag, or
+   by a class, id or role that says only that, unless they hold most of the page's text. Headings and paragraphs
+   are not passed over by name, and sections in an article not by their id. A page without the host's slot is read by itself in the same way.
 
 Null html gives empty text; a null url or one without a host makes pages of one nameless host; a null page_id is
 kept. Repeated rows get equal results. Unclosed and misnested tags are closed as browsers close paragraphs and
@@ -33,8 +34,8 @@ SUPPORT = 0.5
 SHARE = 0.8
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|textarea|svg|title)\b(?:"[^"]*"|'[^']*'|[^'">])*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<[/!?][^>]*>|[^<]+|<""", re.S | re.I)
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 _WORD = re.compile(r"[a-z]+")
 
 INLINE = set("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -43,6 +44,10 @@ NEVER = set("nav footer aside form head button select menu dialog object canvas
 SECTIONS = set("body article main section div td".split())
 NAMED = set("ad ads adv advert advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent notice notices alert comment comments reply replies disqus sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead share sharing social related recommended subscribe newsletter popup modal widget toolbar pagination pager login signup search".split())
 NAMED_ARTICLES = set("ad ads advert advertisement sponsored promo comment comments reply replies related".split())
+#: words that say nothing beside a name of NAMED: comment-list, ad-slot
+NEUTRAL = set("area bar block bottom box btn button buttons col column container icon icons inner item items left link links list main outer page post right section site slot top unit wrap wrapper".split())
+#: headings and paragraphs are never dropped by name
+TOLD = set("h1 h2 h3 h4 h5 h6 p blockquote pre figure figcaption".split())
 #: a start tag closes an open element of these names, up to the boundaries
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BOUNDS = {"p": {"article", "main", "section", "div", "td", "li", "body", "blockquote"}, "li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr"}, "th": {"tr"}, "option": {"select"}}
@@ -52,24 +57,44 @@ def _key(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
+def _attributes(text: str) -> dict[str, str]:
+    out: dict[str, str] = {}
+    for a in _ATTRIBUTE.finditer(text):
+        out.setdefault(a[1].lower(), a[2] or a[3] or a[4] or "")
+    return out
+
+
+def _named(attributes: dict[str, str], kinds: tuple[str, ...], known: set[str]) -> bool:
+    """Whether some class, id or role consists of known names, and not just has one among other words."""
+    for kind in kinds:
+        for token in attributes.get(kind, "").lower().split():
+            words = set(_WORD.findall(token))
+            if words & known and words <= known | NEUTRAL:
+                return True
+    return False
+
+
 class _Open:
-    __slots__ = ("tag", "path", "never", "article")
+    __slots__ = ("tag", "path", "never", "article", "named")
 
-    def __init__(self, tag: str, path: str, never: bool, article: bool):
-        self.tag, self.path, self.never, self.article = tag, path, never, article
+    def __init__(self, tag: str, path: str, never: bool, article: bool, named: tuple[int, ...]):
+        self.tag, self.path, self.never, self.article, self.named = tag, path, never, article, named
 
 
 def read_page(html: str) -> tuple[list[str], list[tuple[tuple[str, ...], bool, str]]]:
-    """(paths of the section containers that were opened, text blocks as (paths of the containers around, in an article, text))."""
-    root = _Open("", "", False, False)
-    stack, opened, blocks, parts = [root], [], [], []
+    """(paths of the section containers that were opened, text blocks as (paths of the containers around, in an article, text)).
+
+    What is in an element with a name of NAMED goes, unless that element has more than ``SHARE`` of the page's text.
+    """
+    root = _Open("", "", False, False, ())
+    stack, opened, blocks, parts, names_open = [root], [], [], [], 0
 
     def flush() -> None:
         if parts:
             text = " ".join("".join(parts).split())
             parts.clear()
             if text and not stack[-1].never:
-                blocks.append((tuple(x.path for x in stack if x.tag in SECTIONS), stack[-1].article, text))
+                blocks.append((stack[-1].named, tuple(x.path for x in stack if x.tag in SECTIONS), stack[-1].article, text))
 
     for m in _TOKEN.finditer(html):
         tag = m[3]
@@ -104,19 +129,33 @@ def read_page(html: str) -> tuple[list[str], list[tuple[tuple[str, ...], bool, s
                 if stack[i].tag in BOUNDS[tag]:
                     break
         top = stack[-1]
-        names = [w for a in _NAMES.finditer(m[4]) for w in _WORD.findall((a[1] or a[2] or a[3] or "").lower())] if m[4] else []
+        own = _attributes(m[4]) if m[4] else {}
+        names = [w for kind, value in own.items() if kind in ("class", "id", "role") for w in _WORD.findall(value.lower())]
         article = top.article or tag in ("article", "main") or "main" in names
+        never, around = top.never, top.named
         if tag in ("article", "main"):  # an unclosed advert or menu before the article doesn't hide it
-            never = (top.never and top.article) or not NAMED_ARTICLES.isdisjoint(names)
+            if not top.article:
+                never, around = False, ()
+            named = bool(names) and _named(own, ("class", "id", "role"), NAMED_ARTICLES)
         else:
-            never = top.never or tag in NEVER or (tag == "header" and not top.article) or tag not in ("html", "body") and not NAMED.isdisjoint(names)
-        never = never or bool(m[4] and _HIDDEN.search(m[4]))
+            never = never or tag in NEVER or (tag == "header" and not top.article)
+            # in an article the id of a section is where links lead to
+            named = bool(names) and tag not in TOLD and tag not in ("html", "body") and _named(own, ("class", "role") if top.article and tag == "section" else ("class", "id", "role"), NAMED)
+        never = never or "hidden" in own or bool("style" in own and _NOT_SHOWN.search(own["style"]))
+        if named:
+            names_open += 1
+            around = (*around, names_open)
         path = top.path if inline else f"{top.path}/{tag}" + "".join(f".{n}" for n in names[:4])
-        stack.append(_Open(tag, path, never, article))
+        stack.append(_Open(tag, path, never, article, around))
         if tag in SECTIONS and not never:
-            opened.append(path)
+            opened.append((around, path))
     flush()
-    return opened, blocks
+    chars, total = [0] * (names_open + 1), sum(len(text) for *_, text in blocks)
+    for around, _, _, text in blocks:
+        for i in around:
+            chars[i] += len(text)
+    kept = [n > SHARE * total for n in chars]
+    return [path for around, path in opened if all(kept[i] for i in around)], [(paths, article, text) for around, paths, article, text in blocks if all(kept[i] for i in around)]
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -191,6 +191,17 @@ def test_unclosed_parts_do_not_hide_the_article():
     assert [text for _, article, text in blocks if article] == ["Text"]
 
 
+def test_names_alone_drop_no_text():
+    article = "<body><article><p>Start</p><section id='related-work'><p>Earlier work</p></section><section id='search'>Found</section><h2 id='search'>Search</h2><p class='share-price'>Price</p><div id='notice-period'>Three months</div><div data-id='ad'>Data</div>%s</article>"
+    dropped = "<div class='comments'>No</div><div class='x ad-slot'>No</div><div id='cookie-notice'>No</div><article class='comment'>No</article><nav>No</nav>"
+    hidden = "<p title='a hidden gem'>Gem</p><p class='hidden'>Class</p><p title='display:none'>Shown</p><p hidden>No</p><p HIDDEN=''>No</p><p style='color:red; display : none'>No</p>"
+    _, blocks = html_extract.read_page(article % (dropped + hidden))
+    assert [t for _, _, t in blocks] == ["Start", "Earlier work", "Found", "Search", "Price", "Three months", "Data", "Gem", "Class", "Shown"]
+    for name in ("layout has-sidebar", "sidebar"):
+        opened, blocks = html_extract.read_page(f"<body><nav>Menu</nav><div class='{name}'><p>{'All the text. ' * 20}</p><div class='ad'>Buy</div></div>")
+        assert len(blocks) == 1 and blocks[0][2].startswith("All the text.") and len(opened) == 2
+
+
 def test_extract_of_nothing(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
