@@ -6,7 +6,10 @@
 2. Tokens of a host with equal vectors are one equivalence class. Classes on at least ``SUPPORT`` of the host's
    pages are valid. The class that occurs once on every page is the backbone; the others nest in its slots. The
    slot that holds the article is the backbone's ``article`` or ``main`` container, or else the deepest container
-   with ``SHARE`` of the text. Where it is no ``article``, valid text tokens in it are template as well.
+   with ``SHARE`` of the text. Outside ``article`` and ``main`` valid text tokens in it are template as well; inside
+   them those of the class of the container around them, which are there wherever it is. Three pages or fewer don't
+   tell template from text, nor does a host whose articles have over ``COPIES`` of their text in such tokens, as
+   its pages are copies.
 3. Pages are joined with their host's template (one row a host) and the blocks in the article's slot are
    extracted. Containers that are never article (menus, forms, scripts, comments, ...) are passed over by tag, or
    by a class, id or role that says only that, unless they hold most of the page's text. Headings and paragraphs
@@ -32,6 +35,8 @@ from tamis.llm.common import stored, table
 
 SUPPORT = 0.5
 SHARE = 0.8
+COPIES = 0.5
+LEAST_PAGES = 4
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|textarea|svg|title)\b(?:"[^"]*"|'[^']*'|[^'">])*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<[/!?][^>]*>|[^<]+|<""", re.S | re.I)
 _ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -74,6 +79,11 @@ def _named(attributes: dict[str, str], kinds: tuple[str, ...], known: set[str])
     return False
 
 
+def _text_key(path: str, article: bool, text: str) -> int:
+    """Texts in an article are told apart by their container too."""
+    return _key(f"{path}\0{text}" if article else text)
+
+
 class _Open:
     __slots__ = ("tag", "path", "never", "article", "named")
 
@@ -170,17 +180,17 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for paths, article, text in blocks:
                 for path in ("", *dict.fromkeys(paths)):
                     chars[path] = chars.get(path, 0) + len(text)
-                if not article:
-                    k = (paths[-1] if paths else "", article, text)
-                    texts[k] = texts.get(k, 0) + 1
-            found = [(path, None, n, chars.get(path, 0)) for path, n in counts.items()] + [(p, _key(t), n, len(t)) for (p, _, t), n in texts.items()]
-            for path, text, n, c in found:
-                row = seen.setdefault((host, path, text), [0, 0, 0])
+                k = (paths[-1] if paths else "", article, text)
+                texts[k] = texts.get(k, 0) + 1
+            found = [(path, False, None, n, chars.get(path, 0)) for path, n in counts.items()] + [(p, a, _text_key(p, a, t), n, n * len(t)) for (p, a, t), n in texts.items()]
+            found.append(("", True, None, 1, sum(len(t) for _, a, t in blocks if a)))  # all text in articles
+            for path, article, text, n, c in found:
+                row = seen.setdefault((host, path, article, text), [0, 0, 0])
                 row[0] ^= _key(f"{page}:{n}")
                 row[1] += 1
                 row[2] += c
         keys, rows = list(seen), list(seen.values())
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.int64()), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(3))], names=["host", "path", "text_key", "vector", "pages", "chars"])
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.bool_()), pa.array([k[3] for k in keys], pa.int64()), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(3))], names=["host", "path", "article", "text_key", "vector", "pages", "chars"])
 
 
 def with_host(pages: DataFrame) -> DataFrame:
@@ -189,11 +199,11 @@ def with_host(pages: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """One row a host: (host, slot: path of the article's container, boilerplate: keys of template texts in it)."""
-    tokens = pages.select("page_id", "host", "html").mapInArrow(_tokens, "host string, path string, text_key bigint, vector bigint, pages bigint, chars bigint")
-    tokens = tokens.groupBy("host", "path", "text_key").agg(F.bit_xor("vector").alias("vector"), F.sum("pages").alias("pages"), F.sum("chars").alias("chars"))
+    """One row a host: (host, slot: path of the article's container, boilerplate: keys of template texts)."""
+    tokens = pages.select("page_id", "host", "html").mapInArrow(_tokens, "host string, path string, article boolean, text_key bigint, vector bigint, pages bigint, chars bigint")
+    tokens = tokens.groupBy("host", "path", "article", "text_key").agg(F.bit_xor("vector").alias("vector"), F.sum("pages").alias("pages"), F.sum("chars").alias("chars"))
     tokens = stored(tokens.where("text_key is null or pages > 1"), "html-tokens")
-    roots = tokens.where("path = '' and text_key is null").select("host", F.col("vector").alias("backbone"), F.col("pages").alias("all_pages"), F.col("chars").alias("all_chars"))
+    roots = tokens.where("path = '' and text_key is null and not article").select("host", F.col("vector").alias("backbone"), F.col("pages").alias("all_pages"), F.col("chars").alias("all_chars"))
     known = tokens.join(roots, "host").where(F.col("pages") >= SUPPORT * F.col("all_pages"))
     containers = known.where("text_key is null and path <> ''")
     last = F.element_at(F.split("path", "/"), -1)
@@ -201,23 +211,29 @@ def templates(pages: DataFrame) -> DataFrame:
     depth = F.size(F.split("path", "/"))
     once = containers.where((F.col("vector") == F.col("backbone")) & (named | (F.col("chars") >= SHARE * F.col("all_chars"))))
     best = F.struct(named.cast("int").alias("named"), F.when(named, -depth).otherwise(depth).alias("depth"), F.col("path"))
-    slots = once.groupBy("host").agg(F.max(best).alias("slot")).select("host", "slot.path", "slot.named")
-    texts = known.where("text_key is not null and all_pages > 3").groupBy("host").agg(F.collect_set("text_key").alias("boilerplate"))
-    return slots.join(texts, "host", "full").select("host", F.coalesce("path", F.lit("")).alias("slot"), F.coalesce("named", F.lit(0)).alias("named"), F.when(F.coalesce("named", F.lit(0)) == 0, F.col("boilerplate")).alias("boilerplate"))
-
-
-def _article(html: str, slot: str | None, named: bool, boilerplate: set[int]) -> str:
+    slots = once.groupBy("host").agg(F.max(best).alias("slot")).select("host", "slot.path")
+    texts = known.where((F.col("all_pages") >= LEAST_PAGES) & F.col("text_key").isNotNull())
+    told = tokens.where("path = '' and text_key is null and article").select("host", F.col("chars").alias("told_chars"))
+    nested = texts.where("article").join(containers.select("host", "path", "vector"), ["host", "path", "vector"])
+    nested = nested.groupBy("host").agg(F.collect_set("text_key").alias("keys"), F.sum("chars").alias("chars")).join(told, "host")
+    nested = nested.where(F.col("chars") <= COPIES * F.col("told_chars")).select("host", "keys")
+    texts = texts.where("not article").groupBy("host").agg(F.collect_set("text_key").alias("keys")).unionByName(nested)
+    texts = texts.groupBy("host").agg(F.flatten(F.collect_list("keys")).alias("boilerplate"))
+    return slots.join(texts, "host", "full").select("host", F.coalesce("path", F.lit("")).alias("slot"), "boilerplate")
+
+
+def _article(html: str, slot: str | None, boilerplate: set[int]) -> str:
     _, blocks = read_page(html)
-    inside = [(article, text) for paths, article, text in blocks if slot and slot in paths]
+    inside = [b for b in blocks if slot and slot in b[0]]
     if not inside:  # the page lacks its host's slot
-        inside = [(article, text) for _, article, text in blocks if article] or [(article, text) for _, article, text in blocks]
-    return "\n\n".join(text for article, text in inside if article or not boilerplate or _key(text) not in boilerplate)
+        inside = [b for b in blocks if b[1]] or blocks
+    return "\n\n".join(text for paths, article, text in inside if not boilerplate or _text_key(paths[-1] if paths else "", article, text) not in boilerplate)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = zip(*(batch.column(c).to_pylist() for c in ("html", "slot", "named", "boilerplate")), strict=True)
-        texts = [_article(h or "", s, bool(n), set(b or ())) for h, s, n, b in rows]
+        rows = zip(*(batch.column(c).to_pylist() for c in ("html", "slot", "boilerplate")), strict=True)
+        texts = [_article(h or "", s, set(b or ())) for h, s, b in rows]
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), batch.column("slot")], names=["page_id", "url", "text", "slot"])
 
 
@@ -225,7 +241,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, slot) of every page."""
     pages = with_host(pages)
     rows = pages.join(stored(templates(pages), "html-templates"), "host", "left")
-    return rows.select("page_id", "url", "html", "slot", "named", "boilerplate").mapInArrow(_extract, "page_id bigint, url string, text string, slot string")
+    return rows.select("page_id", "url", "html", "slot", "boilerplate").mapInArrow(_extract, "page_id bigint, url string, text string, slot string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

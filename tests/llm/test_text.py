@@ -202,6 +202,20 @@ def test_names_alone_drop_no_text():
         assert len(blocks) == 1 and blocks[0][2].startswith("All the text.") and len(opened) == 2
 
 
+def test_template_texts_in_articles(spark):
+    """An unnamed notice of every page goes inside main as well; copies of one article stay whole, and so do texts of some pages."""
+    page = "<body><nav>Menu</nav><main><p>We use many partners</p><h1>Story %d</h1><p>%s</p><div class='x'><p>Call us today</p></div></main></body>"
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    rows = [(i, "http://a.example/", page % (i, f"Told {i}: {words}" if i % 2 else f"Shared by half: {words}")) for i in range(6)]
+    rows += [(10 + i, "http://copies.example/", page % (1, f"{words}</p><p>Copy {i}")) for i in range(5)] + [(20 + i, "http://few.example/", page % (i, words)) for i in range(3)]
+    rows += [(30, "http://a.example/lacks", "<body><p>No main here</p></body>")]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert all(got[i] == f"Story {i}\n\n" + (f"Told {i}: {words}" if i % 2 else f"Shared by half: {words}") for i in range(6))
+    assert all(got[10 + i] == f"We use many partners\n\nStory 1\n\n{words}\n\nCopy {i}\n\nCall us today" for i in range(5))
+    assert all(got[20 + i] == f"We use many partners\n\nStory {i}\n\n{words}\n\nCall us today" for i in range(3))
+    assert got[30] == "No main here"
+
+
 def test_extract_of_nothing(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
