@@ -6,12 +6,14 @@ size (or by its longest document), not by the partition.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 POSITION_BITS = np.uint64(28)
 
 _SEED = np.random.default_rng(20240607)
@@ -27,9 +29,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def pieces(batch: pa.RecordBatch, key: str = "doc_id", text: str = "text", limit: int = PIECE_BYTES) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
-    """(rows of the batch, their bytes in one array, offsets) with at most ``limit`` bytes unless one row has more."""
-    column = batch.column(text)
+def cut(column: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """(rows of a text column, their bytes in one array, offsets) with at most ``limit`` bytes unless one row has more."""
     if column.null_count:
         column = column.fill_null("" if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else b"")
     column = column.cast(pa.large_binary())
@@ -47,6 +48,26 @@ def pieces(batch: pa.RecordBatch, key: str = "doc_id", text: str = "text", limit
         at = to
 
 
+def pieces(batch: pa.RecordBatch, text: str = "text", limit: int = PIECE_BYTES) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    return cut(batch.column(text), limit)
+
+
+def lean(run: Callable) -> Callable:
+    """run, a task's generator of batches, and then give what the worker has freed back: workers stay for the tasks after."""
+
+    @wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every word, and the word offsets of the rows. Words never cross rows."""
     if not len(data):
@@ -74,15 +95,12 @@ def _powers(n: int, base: np.uint64) -> np.ndarray:
     return out
 
 
-class _Powers:
-    size, up, down = 0, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+_UP, _DOWN = _powers(PIECE_BYTES + 1, _BASE), _powers(PIECE_BYTES + 1, _BASE_INVERSE)
+
 
-    @classmethod
-    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > cls.size:
-            size = max(n, PIECE_BYTES + 1)
-            cls.size, cls.up, cls.down = size, _powers(size, _BASE), _powers(size, _BASE_INVERSE)
-        return cls.up, cls.down
+def _powers_for(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers for n bytes; those of the rare longer texts are not kept."""
+    return (_UP, _DOWN) if n <= len(_UP) else (_powers(n, _BASE), _powers(n, _BASE_INVERSE))
 
 
 def finish(x: np.ndarray) -> np.ndarray:
@@ -99,7 +117,7 @@ def word_ids(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, seed: int
     """A 64-bit identifier of each word's bytes."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    up, down = _Powers.of(len(data) + 1)
+    up, down = _powers_for(len(data) + 1)
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(BYTE_CODES[seed][data] * up[: len(data)], out=sums[1:])
     return finish((sums[stops] - sums[starts]) * down[starts] + (stops - starts).astype(np.uint64))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,22 +16,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is set, as in tests."""
+    """The shared folder that the cluster names; a temporary one only where none is set and all tasks run in this process."""
     sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root.rstrip("/")
-    if sc.getCheckpointDir() is None:
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return sc.getCheckpointDir().rstrip("/")
+        root = sc.getCheckpointDir()
+    return root.rstrip("/")
 
 
-_made: list[str] = []
+#: Scratch tables by session.
+_made: WeakKeyDictionary[SparkSession, list[str]] = WeakKeyDictionary()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    _made.append(f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}")
-    return _made[-1]
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark, []).append(path)
+    return path
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -39,12 +44,21 @@ def delete(spark: SparkSession, path: str) -> None:
 
 def sweep(spark: SparkSession) -> None:
     """Delete all scratch tables of this session; results that read them must have been written."""
-    while _made:
-        delete(spark, _made.pop())
+    made = _made.get(spark, [])
+    while made:
+        delete(spark, made.pop())
 
 
-#: Spark drops an execution's shuffle files when it ends, instead of when the driver collects its garbage.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: What the operators ask of a session, set once and never back, so that queries side by side don't disturb each other:
+#: an execution's shuffle files go when it ends, instead of when the driver collects its garbage, and Arrow batches are
+#: bounded in bytes, as texts differ in length.
+SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(2 << 20)}
+
+
+def settle(spark: SparkSession) -> None:
+    for key, value in SETTINGS.items():
+        if spark.conf.get(key) != value:
+            spark.conf.set(key, value)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -53,13 +67,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     The shuffles behind it are not needed again, so their files go as soon as the table is written.
     """
     spark = df.sparkSession
+    settle(spark)
     path = scratch_path(spark, name)
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -72,3 +82,23 @@ def drop_stored(*tables: DataFrame) -> None:
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def row_key(name: str = "text") -> Column:
+    """With doc_id, the name of a row: a hash of its text, so that rows of one doc_id with other texts, or of none, stay apart."""
+    return F.xxhash64(F.col("doc_id").isNull(), text_or_empty(name))
+
+
+#: Rows of a few bytes that may be broadcast; about 64 MiB in memory.
+BROADCAST_ROWS = 1 << 20
+
+
+def small(keys: DataFrame) -> DataFrame:
+    """A stored table of short keys, marked for broadcast if it has at most ``BROADCAST_ROWS`` rows; else Spark shuffles."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
+def without(docs: DataFrame, rejected: DataFrame, key: Column, name: str) -> DataFrame:
+    """docs less the rows in rejected (doc_id, row): row is key's value there, so other rows of a doc_id stay, and null ids can go."""
+    gone = small(stored(rejected.select(F.col("doc_id").alias("rejected_id"), F.col("row").alias("rejected_row")).distinct(), name))
+    return docs.join(gone, F.col("doc_id").cast("bigint").eqNullSafe(gone["rejected_id"]) & (key == gone["rejected_row"]), "left_anti")

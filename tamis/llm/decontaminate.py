@@ -12,8 +12,8 @@ joined to the benchmark's seeds by key. Neighbouring hits of a document share on
 
 Tokens are runs of letters, digits and non-ASCII bytes; A-Z count as a-z. Null and empty texts and items match
 nothing. An item of fewer than ``SPAN`` tokens has one seed of all its tokens, and must agree in all. Repeated
-items and rows give equal results; rows with a null item_id are left out of the benchmark; a document with a
-null doc_id is returned without items. Extra columns are ignored; empty tables give no rows or no hits.
+items and rows give equal results; rows with a null item_id are left out of the benchmark; rows are told apart by
+doc_id and a hash of the text, so a null or repeated doc_id is no matter. Extra columns are ignored; empty tables give no rows or no hits.
 """
 
 from __future__ import annotations
@@ -22,12 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamis.llm import arrays
-from tamis.llm.arrays import pieces
-from tamis.llm.common import stored, table, text_or_empty
+from tamis.llm.arrays import lean, pieces
+from tamis.llm.common import row_key, settle, stored, table, text_or_empty
 
 #: Ones are the token positions that a seed looks at. Every placing of two substitutions in ``LEAST`` or ``SPAN``
 #: tokens, the most that verification accepts, leaves some mask whole; found by enumeration, and a test enumerates them.
@@ -67,7 +67,7 @@ def hash_mask(mask: str) -> int:
 def _bench(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         items = batch.column("item_id").to_pylist()
-        for rows, data, offsets in pieces(batch, key="item_id"):
+        for rows, data, offsets in pieces(batch):
             ids, cuts = tokens(data, offsets)
             out = {"item_id": [], "n": [], "item_tokens": [], "seeds": []}
             for i, item in enumerate(items[rows]):
@@ -108,18 +108,24 @@ def seed_filter(items: DataFrame) -> tuple[np.ndarray, list[int]]:
     return bits, sorted(int(s) for s in cells.loc[cells["at"] < 0, "span"])
 
 
-REGION = "doc_id bigint, start int, doc_tokens binary, hits array<struct<seed: bigint, at: int>>"
+def doc_key() -> Column:
+    """doc_id without nulls; row tells null from zero."""
+    return F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("doc")
+
+
+REGION = "doc bigint, row bigint, start int, doc_tokens binary, hits array<struct<seed: bigint, at: int>>"
 
 
 def find_hits(docs: DataFrame, bits: np.ndarray, short: list[int]) -> DataFrame:
     """Stretches of documents around neighbouring seeds that may be the benchmark's, with their tokens."""
+    settle(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(bits)
     masks = [*MASKS, *("1" * n for n in short)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = shared.value
         for batch in batches:
-            names = batch.column("doc_id")
+            names, keys_of = batch.column("doc"), batch.column("row")
             for rows, data, offsets in pieces(batch):
                 ids, cuts = tokens(data, offsets)
                 found_at, found = [], []
@@ -138,16 +144,17 @@ def find_hits(docs: DataFrame, bits: np.ndarray, short: list[int]) -> DataFrame:
                 at, key = at[order], key[order].view(np.int64)
                 row = np.searchsorted(cuts, at, side="right") - 1
                 heads = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (at[1:] - at[:-1] > CONTEXT)]))
-                out = {"doc_id": [], "start": [], "doc_tokens": [], "hits": []}
+                out = {"doc": [], "row": [], "start": [], "doc_tokens": [], "hits": []}
                 for a, b in zip(heads, [*heads[1:], len(at)], strict=True):
                     low, high = max(cuts[row[a]], at[a] - CONTEXT), min(cuts[row[a] + 1], at[b - 1] + SPAN + CONTEXT)
-                    out["doc_id"].append(names[rows.start + int(row[a])].as_py())
+                    out["doc"].append(names[rows.start + int(row[a])].as_py())
+                    out["row"].append(keys_of[rows.start + int(row[a])].as_py())
                     out["start"].append(int(low - cuts[row[a]]))
                     out["doc_tokens"].append(ids[low:high].tobytes())
                     out["hits"].append([{"seed": int(k), "at": int(i - low)} for k, i in zip(key[a:b], at[a:b], strict=True)])
-                yield pa.RecordBatch.from_arrays([pa.array(out["doc_id"], pa.int64()), pa.array(out["start"], pa.int32()), pa.array(out["doc_tokens"], pa.binary()), pa.array(out["hits"], pa.list_(pa.struct([("seed", pa.int64()), ("at", pa.int32())])))], names=list(out))
+                yield pa.RecordBatch.from_arrays([pa.array(out["doc"], pa.int64()), pa.array(out["row"], pa.int64()), pa.array(out["start"], pa.int32()), pa.array(out["doc_tokens"], pa.binary()), pa.array(out["hits"], pa.list_(pa.struct([("seed", pa.int64()), ("at", pa.int32())])))], names=list(out))
 
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, REGION)
+    return docs.select(doc_key(), row_key().alias("row"), text_or_empty().alias("text")).mapInArrow(lean(run), REGION)
 
 
 def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int) -> int:
@@ -164,30 +171,30 @@ def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int) -> int:
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        docs, items, texts, diagonals = (batch.column(c) for c in ("doc_tokens", "item_tokens", "doc_id", "diagonal"))
+        docs, items, diagonals = (batch.column(c) for c in ("doc_tokens", "item_tokens", "diagonal"))
         best = [overlap(np.frombuffer(docs[i].as_py(), np.uint64), np.frombuffer(items[i].as_py(), np.uint64), diagonals[i].as_py()) for i in range(batch.num_rows)]
-        yield pa.RecordBatch.from_arrays([texts, batch.column("item_id"), pa.array(best, pa.int32())], names=["doc_id", "item_id", "agree"]).filter(pa.array([b > 0 for b in best]))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc", "row", "item_id")), pa.array(best, pa.int32())], names=["doc", "row", "item_id", "agree"]).filter(pa.array([b > 0 for b in best]))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, agree): verified overlaps; agree is the most tokens that agree in a window."""
+    """(doc, row, item_id, agree): verified overlaps of rows named by doc_key and row_key; agree is the most tokens that agree in a window."""
     items = prepare(benchmark)
     bits, short = seed_filter(items)
     regions = stored(find_hits(docs, bits, short), "bench-regions")
-    hits = regions.select("doc_id", "start", F.explode("hits").alias("h")).select("doc_id", "start", "h.seed", "h.at")
+    hits = regions.select("doc", "row", "start", F.explode("hits").alias("h")).select("doc", "row", "start", "h.seed", "h.at")
     seeds = stored(items.select("item_id", F.explode("seeds").alias("s")).select("item_id", "s.seed", F.col("s.at").alias("item_at")), "bench-seeds")
-    lines = hits.join(seeds, "seed").select("doc_id", "start", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
-    lines = lines.join(regions.select("doc_id", "start", "doc_tokens"), ["doc_id", "start"]).join(items.select("item_id", "item_tokens"), "item_id")
-    found = lines.select("doc_id", "item_id", "diagonal", "doc_tokens", "item_tokens").mapInArrow(_verify, "doc_id bigint, item_id bigint, agree int")
-    return found.groupBy("doc_id", "item_id").agg(F.max("agree").alias("agree"))
+    lines = hits.join(seeds, "seed").select("doc", "row", "start", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
+    lines = lines.join(regions.select("doc", "row", "start", "doc_tokens"), ["doc", "row", "start"]).join(items.select("item_id", "item_tokens"), "item_id")
+    found = lines.select("doc", "row", "item_id", "diagonal", "doc_tokens", "item_tokens").mapInArrow(lean(_verify), "doc bigint, row bigint, item_id bigint, agree int")
+    return found.groupBy("doc", "row", "item_id").agg(F.max("agree").alias("agree"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, contaminated, item_ids, agree) of every row of docs."""
-    by_doc = overlaps(docs, benchmark).groupBy("doc_id").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.max("agree").cast("bigint").alias("agree"))
-    out = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).join(by_doc, "doc_id", "left")
-    return out.select("doc_id", F.col("item_ids").isNotNull().alias("contaminated"), F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"), F.coalesce("agree", F.lit(0).cast("bigint")).alias("agree"))
+    """(doc_id, row, contaminated, item_ids, agree) of every row of docs; row is its row_key."""
+    by_doc = overlaps(docs, benchmark).groupBy("doc", "row").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.max("agree").cast("bigint").alias("agree"))
+    out = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), doc_key(), row_key().alias("row")).join(by_doc, ["doc", "row"], "left")
+    return out.select("doc_id", "row", F.col("item_ids").isNotNull().alias("contaminated"), F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"), F.coalesce("agree", F.lit(0).cast("bigint")).alias("agree"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")

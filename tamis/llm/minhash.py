@@ -15,8 +15,9 @@ At a similarity of 0.75, the bands miss a pair with probability (1 - 0.75^4)^32
 cut ``MARGIN`` below the threshold, misses 2e-5 of those in step 2.
 
 Null texts and texts without a word have no shingles and link with nothing; shorter texts than a shingle are
-one shingle as a whole; repeated rows are one node. A null doc_id is returned, linked with nothing. Extra
-columns are ignored; empty tables give no rows.
+one shingle as a whole. Nodes have numbers of their own, given when the sketches are stored: rows with one doc_id
+and different texts are documents of their own, repeated rows are one node. A null doc_id is returned, linked with
+nothing. Extra columns are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -30,15 +31,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tamis.llm import arrays
-from tamis.llm.arrays import Doubling, pieces
-from tamis.llm.common import stored, table, text_or_empty
+from tamis.llm.arrays import Doubling, lean, pieces
+from tamis.llm.common import row_key, settle, small, stored, table, text_or_empty
 from tamis.llm.components import components
 
 WORDS = 5
 PERCENT = 75
 HASHES, ROWS, BITS = 128, 4, 4
 MARGIN = 0.17
-SKETCH = "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, bits array<bigint>, bands array<bigint>"
+#: Sizes of sets that differ by less than this factor are one class.
+STEP = 1.1
+SKETCH = "doc_id bigint, row bigint, n_shingles bigint, set_a bigint, set_b bigint, bits array<bigint>, bands array<bigint>"
 
 _SEEDS = np.random.default_rng(8).integers(0, 1 << 32, size=(2, HASHES), dtype=np.uint32) | np.array([[0], [1]], dtype=np.uint32)
 
@@ -102,13 +105,21 @@ def sketch(docs: DataFrame, k: int = WORDS) -> DataFrame:
                         key = arrays.pair(key, parts[:, :, r].copy(), r + 3)
                     bands[some] = key
                 lists = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32)), pa.array(m.reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[rows.start : rows.stop], pa.array(n.astype(np.int64)), *(pa.array(s.view(np.int64)) for s in sums), lists(bits), lists(bands)], names=["doc_id", "n_shingles", "set_a", "set_b", "bits", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[rows], batch.column("row")[rows], pa.array(n.astype(np.int64)), *(pa.array(s.view(np.int64)) for s in sums), lists(bits), lists(bands)], names=["doc_id", "row", "n_shingles", "set_a", "set_b", "bits", "bands"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, SKETCH)
+    settle(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), row_key().alias("row"), "text").mapInArrow(lean(run), SKETCH)
 
 
-def shingle_rows(nodes: DataFrame, docs: DataFrame, k: int = WORDS) -> DataFrame:
-    """(node, shingle) of each of the nodes."""
+def texts_of(docs: DataFrame, nodes: DataFrame, repeated: bool) -> DataFrame:
+    """(node, text) of nodes (node, doc_id, row); of repeated rows one."""
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), row_key().alias("row"), text_or_empty().alias("text"))
+    found = own.join(small(stored(nodes.select("node", "doc_id", "row"), "minhash-wanted")), ["doc_id", "row"]).select("node", "text")
+    return stored(found.dropDuplicates(["node"]) if repeated else found, "minhash-texts")
+
+
+def shingle_rows(texts: DataFrame, k: int = WORDS) -> DataFrame:
+    """(node, shingle) of (node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,18 +128,24 @@ def shingle_rows(nodes: DataFrame, docs: DataFrame, k: int = WORDS) -> DataFrame
                 values, cuts = shingles(data, offsets, k)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names[rows], np.diff(cuts))), pa.array(values.view(np.int64))], names=["node", "shingle"])
 
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("node"), text_or_empty().alias("text"))
-    return texts.join(nodes.select("node"), "node", "left_semi").mapInArrow(run, "node bigint, shingle bigint")
+    return texts.mapInArrow(lean(run), "node bigint, shingle bigint")
+
 
+def size_class(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(STEP))).cast("int")
 
-def cross_pairs(nodes: DataFrame, docs: DataFrame, least: float, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
+
+def cross_pairs(nodes: DataFrame, texts: DataFrame, least: float, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(a, b): nodes (node, component, bits, n) of different components that may be similar enough. Loses none on the sets' side.
 
     Shingles are put in one order, rare ones first. Two sets can only reach the threshold if their first common
     shingle is early enough in both: what comes from there on bounds the intersection. Copies with edits of their
-    own start with these, so they meet only nodes that share an edit, not their whole family.
+    own start with these, so they meet only nodes that share an edit, not their whole family. The same bound tells
+    how large a partner can be: with I common shingles at most, sets of n and m reach the threshold only if
+    m <= I (100 + percent) / percent - n. Nodes meet by (shingle, class of the partner's size), so documents of one
+    template that are too different for each other don't meet at the template's shingles, however many they are.
     """
-    rows = stored(shingle_rows(nodes, docs, k), "minhash-shingles")
+    rows = stored(shingle_rows(texts, k), "minhash-shingles")
     common = stored(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "minhash-common")
     ordered = Window.partitionBy("node").orderBy("df", "shingle")
     shared = rows.join(common, "shingle").join(nodes, "node").select("*", F.row_number().over(ordered).alias("rank"), F.count(F.lit(1)).over(Window.partitionBy("node")).alias("shared"))
@@ -136,11 +153,13 @@ def cross_pairs(nodes: DataFrame, docs: DataFrame, least: float, k: int = WORDS,
     reach = shared.select("node", "component", "bits", "n", "shingle", (F.col("shared") - F.col("rank") + 1).alias("reach")).where(100 * F.col("reach") >= percent * F.col("n"))
     reach = stored(reach, "minhash-prefixes")
     mixed = stored(reach.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("shingle"), "minhash-mixed")
-    x = reach.join(mixed, "shingle", "left_semi")
-    y = x.select("shingle", *(F.col(c).alias(f"other_{c}") for c in ("node", "component", "bits", "n", "reach")))
+    met = stored(reach.join(mixed, "shingle", "left_semi"), "minhash-met")
+    least_size, most_size = F.expr(f"({percent} * n + 99) div 100"), F.expr(f"({100 + percent} * reach) div {percent} - n")
+    x = met.where(least_size <= most_size).withColumn("size", F.explode(F.sequence(size_class(least_size), size_class(most_size))))
+    y = met.select("shingle", size_class(F.col("n")).alias("size"), *(F.col(c).alias(f"other_{c}") for c in ("node", "component", "bits", "n", "reach")))
     most = F.least("reach", "other_reach")
     able = 100 * most >= percent * (F.col("n") + F.col("other_n") - most)
-    found = x.join(y, (x["shingle"] == y["shingle"]) & (F.col("component") < F.col("other_component")) & able & (estimate(F.col("bits"), F.col("other_bits")) >= least))
+    found = x.join(y, (x["shingle"] == y["shingle"]) & (x["size"] == y["size"]) & (F.col("component") < F.col("other_component")) & able & (estimate(F.col("bits"), F.col("other_bits")) >= least))
     return found.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct()
 
 
@@ -161,11 +180,11 @@ def estimate(a: Column, b: Column) -> Column:
     return (equal - chance) / (1 - chance)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) of docs whose full shingle sets have 100 * intersection >= percent * union."""
+def confirm(pairs: DataFrame, texts: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) of nodes whose full shingle sets have 100 * intersection >= percent * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in batches:  # of bounded bytes
             right = pieces(batch, text="text_b", limit=1 << 62)
             _, data_b, offsets_b = next(right, (None, None, None))
             for rows, data, offsets in pieces(batch, text="text_a"):
@@ -179,41 +198,48 @@ def confirm(pairs: DataFrame, docs: DataFrame, k: int = WORDS, percent: int = PE
                     ok.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
                 yield batch.slice(rows.start, rows.stop - rows.start).select(["a", "b"]).filter(pa.array(ok))
 
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
-    rows = pairs.select("a", "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return rows.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
+    settle(pairs.sparkSession)
+    rows = pairs.select("a", "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    return rows.select("a", "b", "text_a", "text_b").mapInArrow(lean(run), "a bigint, b bigint")
 
 
 def cluster(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of docs."""
+    """(doc_id, row, n_shingles, component_id, kept) of every row of docs; row is its row_key."""
     least = percent / 100 - MARGIN
-    sketches = stored(sketch(docs, k), "minhash-sketches")
+    sketches = stored(sketch(docs, k).withColumn("node", F.monotonically_increasing_id()), "minhash-sketches")
     usable = sketches.where("n_shingles > 0 and doc_id is not null")
-    same = stored(usable.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node")), "minhash-nodes")
-    nodes = usable.join(same.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    bands = nodes.select(F.col("doc_id").alias("node"), F.explode("bands").alias("band"))
+    repeated = not usable.groupBy("doc_id", "row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    same = stored(usable.groupBy("set_a", "set_b").agg(F.min("node").alias("node"), F.min("doc_id").alias("low")), "minhash-nodes")
+    nodes = usable.join(same.select("node"), "node", "left_semi")
+    bands = nodes.select("node", F.explode("bands").alias("band"))
     shared = stored(bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "minhash-buckets")
     members = stored(bands.join(shared, "band"), "minhash-members")
     fame = stored(members.groupBy("node").agg(F.sum("n").alias("fame")), "minhash-fame")
-    members = stored(members.select("node", "band").join(fame, "node").join(nodes.select(F.col("doc_id").alias("node"), "bits"), "node"), "minhash-members")
+    members = stored(members.select("node", "band").join(fame, "node").join(nodes.select("node", "bits"), "node"), "minhash-members")
     leaders = stored(members.groupBy("band").agg(F.min(F.struct((-F.col("fame")).alias("f"), F.col("node").alias("leader"), F.col("bits").alias("leader_bits"))).alias("top")).select("band", "top.leader", "top.leader_bits"), "minhash-leaders")
     star = members.join(leaders, "band").where((F.col("node") != F.col("leader")) & (estimate(F.col("bits"), F.col("leader_bits")) >= least))
     star = stored(star.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct(), "minhash-star")
-    links = stored(confirm(star, docs, k, percent), "minhash-links")
+    ends = lambda pairs: pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    links = stored(confirm(star, texts_of(docs, nodes.join(ends(star), "node"), repeated), k, percent), "minhash-links")
     part = components(links)
     # buckets that still span components
     placed = members.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
     split = stored(placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band"), "minhash-split")
     placed = stored(placed.join(split, "band", "left_semi").select("band", "node", "component", "bits"), "minhash-placed")
-    cross = cross_pairs(stored(placed.select("node", "component", "bits").distinct().join(nodes.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n")), "node"), "minhash-left"), docs, least, k, percent)
+    left = stored(placed.select("node", "component", "bits").distinct().join(nodes.select("node", F.col("n_shingles").alias("n"), "doc_id", "row"), "node"), "minhash-left")
+    texts = texts_of(docs, left, repeated)
+    cross = cross_pairs(left.drop("doc_id", "row"), texts, least, k, percent)
     cross = cross.join(star, ["a", "b"], "left_anti")
-    more = stored(confirm(stored(cross, "minhash-cross"), docs, k, percent), "minhash-links")
+    more = stored(confirm(stored(cross, "minhash-cross"), texts, k, percent), "minhash-links")
     part = components(links.unionByName(more))
-    groups = same.join(part, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("component"))
-    out = sketches.select("doc_id", "n_shingles", "set_a", "set_b").join(groups, ["set_a", "set_b"], "left")
-    id_ = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", id_.alias("component_id"), id_.eqNullSafe(F.col("doc_id")).alias("kept"))
+    groups = stored(same.join(part, "node", "left").select("set_a", "set_b", "low", F.coalesce("component", "node").alias("component")), "minhash-groups")
+    lowest = stored(groups.groupBy("component").agg(F.min("low").alias("component_id")), "minhash-components")
+    groups = groups.join(lowest, "component").select("set_a", "set_b", "component_id")
+    out = sketches.select("doc_id", "row", "n_shingles", "set_a", "set_b").join(groups, ["set_a", "set_b"], "left")
+    id_ = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
+    id_ = F.when(F.col("doc_id").isNotNull(), id_)
+    return out.select("doc_id", "row", "n_shingles", id_.alias("component_id"), id_.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster(table(spark, sf_dir, "documents"))
+    return cluster(table(spark, sf_dir, "documents")).drop("row")

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-from tamis.llm import curriculum, decontaminate, exact_dedup, html_extract, language_id, minhash, pii, substring_dedup, suffix_dedup, url_filter
+from tamis.llm import curriculum, decontaminate, exact_dedup, html_extract, language_id, minhash, pii, pipeline, substring_dedup, suffix_dedup, url_filter
 
 
 def queries() -> dict:
@@ -18,10 +17,10 @@ def queries() -> dict:
         "op8_minhash": minhash.query,
         "op9_decontaminate": decontaminate.query,
         "op10_curriculum_mix": curriculum.query,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    sql = {"op2_url_filter": url_filter.SQL, "op4_exact_dedup": exact_dedup.SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+    sql = {"op2_url_filter": url_filter.SQL, "op4_exact_dedup": exact_dedup.SQL, "pipeline": pipeline.ORACLE_SQL}
     return {name: text for name, text in sql.items() if text}

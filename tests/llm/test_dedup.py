@@ -146,6 +146,25 @@ def test_minhash(spark, documents, corpus):
     assert got == minhash_expected(corpus + more)
 
 
+def test_minhash_rows_of_one_identifier(spark):
+    """Each text of a doc_id has its own links; repeated rows are one node; null ids link with nothing."""
+    a, b = (" ".join(f"{x}{i}" for i in range(50)) for x in "ab")
+    rows = [(5, a), (5, b), (5, b), (3, a + " x"), (9, b + " y"), (None, a), (None, None), (7, "")]
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.cluster(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()), key=str)
+    assert got == sorted([(5, 46, 3, False), (5, 46, 5, True), (5, 46, 5, True), (3, 47, 3, True), (9, 47, 5, False), (None, 46, None, True), (None, 0, None, True), (7, 0, 7, True)], key=str)
+
+
+def test_minhash_template_documents(spark):
+    """Documents of one template that are less similar than the threshold meet no partner at its shingles."""
+    rng = random.Random(6)
+    shared = " ".join(f"t{i}" for i in range(120))
+    docs = [(i, shared + " " + " ".join(f"o{i}x{j}" for j in range(33 + rng.randint(0, 4)))) for i in range(60)]
+    docs += [(100 + i, docs[i][1] + " tail") for i in range(5)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.cluster(df).collect()}
+    assert got == minhash_expected(docs)
+
+
 def test_minhash_of_nothing(no_documents):
     assert minhash.cluster(no_documents).count() == 0
 
