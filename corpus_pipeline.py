@@ -1,63 +1,5 @@
-"""The training-data pipeline: each stage works on all that the one before kept.
+"""The training-data pipeline of ``tamis.llm.pipeline``: STAGES, ORACLE_SQL and run(spark, sf_dir)."""
 
-Language identification, exact deduplication, MinHash near-deduplication, benchmark decontamination, and mixing
-of sources to target weights. Every stage but the last returns the columns of documents; stages drop rows by an
-anti-join with the identifiers they reject, a stored table whose size Spark knows, so texts are shuffled only
-where those are many.
-"""
+from tamis.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from tamis.llm import curriculum, decontaminate, exact_dedup, language_id, minhash
-from tamis.llm.common import stored, table
-
-
-def _without(docs: DataFrame, rejected: DataFrame, name: str) -> DataFrame:
-    return docs.join(stored(rejected.where("doc_id is not null").select("doc_id"), name), "doc_id", "left_anti").select(*docs.columns)
-
-
-def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or of no language with half the posterior, go."""
-    return language_id.accept(docs, *language_id.train_held_in(docs))
-
-
-def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the largest doc_id stays."""
-    return _without(docs, exact_dedup.dedup(docs, keep="max").where("not kept"), "exact-rejected")
-
-
-def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near-duplicates the smallest doc_id stays."""
-    return _without(docs, minhash.cluster(docs).where("not kept"), "near-rejected")
-
-
-def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap a benchmark item go."""
-    return _without(docs, decontaminate.overlaps(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "benchmark-rejected")
-
-
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of every document that is left, and the positions of its copies in training."""
-    return curriculum.curriculum(docs).sort(F.get("positions", F.lit(0)).asc_nulls_last(), "doc_id")
-
-
-STAGES = [
-    ("language_id", languages),
-    ("exact_dedup", exact_copies),
-    ("minhash_dedup", near_copies),
-    ("decontaminate", benchmark_free),
-    ("mix_sources", mix),
-]
-
-#: Naive Bayes, MinHash families and hash orders are not expressible in SQL; tests hold run() against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
