@@ -3,10 +3,13 @@
 * ``flush``: every partition of a batch is a memtable; it is sorted by digest and written as one immutable
   sorted run (Parquet files with a Bloom filter on the digest, which lookups by digest can skip by).
 * ``compact``: the runs are merged; one row for each digest keeps the identifier that stays and the count.
-* ``verify``: hits, rows whose digest occurs more than once, are held byte for byte: texts are grouped by
-  (text, digest), which compares the texts themselves. Copies collapse before that shuffle, so a group with a
-  third of all rows costs each task one row. A digest whose hits are of one text is settled by its index row;
-  rows of a digest that two texts share are settled by their texts.
+* ``lookup``: the digests that occur more than once, the hits, are folded into a filter of fixed size
+  (``FILTER_BITS`` bits, 2 MiB, however many there are). Rows that it passes are all rows of hits and few others;
+  only their texts are shuffled.
+* ``verify``: these are held byte for byte: texts are grouped by (text, digest), which compares the texts
+  themselves. Copies collapse before that shuffle, so a group with a third of all rows costs each task one row. A
+  digest whose hits are of one text is settled by its index row; rows of a digest that two texts share are settled
+  by their texts. Rows of earlier runs are verified as well: their documents are passed along with the runs.
 
 Null text counts as empty; empty texts are equal to each other; repeated rows count each, and
 those of the identifier that stays all stay; a null identifier
@@ -22,6 +25,7 @@ from pyspark.sql import functions as F
 from tamis.llm.common import scratch_path, stored, table, text_or_empty
 
 RUN_SCHEMA = "doc_id bigint, digest binary"
+FILTER_BITS = 24
 
 
 def sha256(text: Column) -> Column:
@@ -50,37 +54,55 @@ def compact(runs: DataFrame, keep: str = "min") -> DataFrame:
     return runs.groupBy("digest").agg(best("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
 
 
+def place(digest: Column) -> Column:
+    """Bit of the filter for a digest."""
+    return F.pmod(F.xxhash64(digest), F.lit(1 << FILTER_BITS))
+
+
+def lookup(hits: DataFrame) -> Column:
+    """Whether a row's digest may be among the hits, by a filter of 2^FILTER_BITS bits in words of 64, one array for all rows."""
+    words = hits.select(place(F.col("digest")).alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits"))
+    every = hits.sparkSession.range(1 << FILTER_BITS - 6).select(F.col("id").alias("word")).join(words, "word", "left")
+    table = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits")))), lambda w: w["bits"]).alias("words"))
+    at = place(F.col("digest"))
+    return F.getbit(F.get(stored(table, "digest-filter").scalar(), F.shiftright(at, 6).cast("int")), (at % 64).cast("int")) == 1
+
+
+def _rows(docs: DataFrame, digest) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text")).withColumn("digest", digest(F.col("text")))
+
+
 def verify(docs: DataFrame, hits: DataFrame, keep: str = "min", digest=sha256) -> DataFrame:
     """(digest, group struct<keep_id, group_size, exact>): groups of byte-equal texts among the rows whose digest was hit.
 
-    Texts are grouped before the hits are picked: a join by digest would first bring all copies of a text together.
+    Texts are grouped before the hits are joined: a join by digest would first bring all copies of a text together.
     """
     best = {"min": F.min, "max": F.max}[keep]
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text")).withColumn("digest", digest(F.col("text")))
-    groups = rows.groupBy("text", "digest").agg(best("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = _rows(docs, digest).where(lookup(hits)).groupBy("text", "digest").agg(best("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     texts = F.struct("keep_id", "group_size", F.sha2(F.encode("text", "UTF-8"), 512).alias("exact"))
     return groups.select("digest", texts.alias("group")).join(hits.select("digest"), "digest", "left_semi")
 
 
-def dedup(docs: DataFrame, keep: str = "min", runs: list[str] | None = None, digest=sha256) -> DataFrame:
-    """(doc_id, keep_id, group_size, kept, digest) of every row of ``docs``; ``runs`` adds those of earlier batches.
+def dedup(docs: DataFrame, keep: str = "min", runs: list[str] | None = None, digest=sha256, history: DataFrame | None = None) -> DataFrame:
+    """(doc_id, keep_id, group_size, kept, digest) of every row of ``docs``; ``runs`` adds those of earlier batches, ``history`` are their documents.
 
-    Rows of earlier runs take part in keep_id and group_size but are not returned. Their bytes are verified
-    only where they are among ``docs``.
+    Rows of earlier runs take part in keep_id and group_size but are not returned.
     """
+    if runs and history is None:
+        raise ValueError("hits of earlier runs are verified by their texts: pass the documents of the runs as history")
     spark = docs.sparkSession
     run = flush(docs, scratch_path(spark, "digest-run"), digest)
     # the compacted run is a table of its own, so that the join by digest is between two exchanges and can be split where a digest is hot
     index = stored(compact(read_runs(spark, [run, *(runs or [])]), keep), "digest-index")
-    groups = stored(verify(docs, index.where("group_size > 1"), keep, digest), "digest-groups")
+    texts = docs.select("doc_id", "text") if history is None else docs.select("doc_id", "text").unionByName(history.select("doc_id", "text"))
+    groups = stored(verify(texts, index.where("group_size > 1"), keep, digest), "digest-groups")
     # one distinct text for a digest, as good as always: the bytes are equal and the index row holds
     clash = stored(groups.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("digest"), "digest-clashes")
     own = read_runs(spark, [run])
     out = own.join(index, "digest").select("doc_id", "digest", "keep_id", "group_size")
     if not clash.isEmpty():
         # digests that several texts share: those rows alone are grouped by their texts
-        rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
-        rows = rows.select("doc_id", digest(F.col("text")).alias("digest"), F.sha2(F.encode("text", "UTF-8"), 512).alias("exact")).join(clash, "digest", "left_semi")
+        rows = _rows(docs, digest).select("doc_id", "digest", F.sha2(F.encode("text", "UTF-8"), 512).alias("exact")).join(clash, "digest", "left_semi")
         rows = rows.join(groups.select("digest", "group.*"), ["digest", "exact"]).select("doc_id", "digest", "keep_id", "group_size")
         out = out.join(clash, "digest", "left_anti").unionByName(rows)
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")

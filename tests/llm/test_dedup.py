@@ -43,11 +43,22 @@ def test_exact_repeated_and_null_rows(spark):
 
 
 def test_exact_later_batch_meets_earlier_run(spark, documents):
-    first = exact_dedup.flush(documents.where("doc_id < 20"), scratch_path(spark, "run"))
-    got = {r["doc_id"]: r["keep_id"] for r in exact_dedup.dedup(documents.where("doc_id between 25 and 30"), keep="min", runs=[first]).collect()}
+    earlier = documents.where("doc_id < 20")
+    first = exact_dedup.flush(earlier, scratch_path(spark, "run"))
+    got = {r["doc_id"]: r["keep_id"] for r in exact_dedup.dedup(documents.where("doc_id between 25 and 30"), keep="min", runs=[first], history=earlier).collect()}
     assert got == {25: 0, 26: 1, 27: 2, 28: 3, 29: 0, 30: 1}
 
 
+def test_exact_earlier_run_with_digests_that_clash(spark):
+    """Earlier texts take part in the groups where digests of different texts are equal, too."""
+    weak = lambda text: F.unhex(F.substring(F.sha2(F.encode(text, "UTF-8"), 256), 1, 1))
+    make = lambda first: spark.createDataFrame([(first + i, f"text {i}") for i in range(300)], "doc_id bigint, text string")
+    earlier = make(0)
+    run = exact_dedup.flush(earlier, scratch_path(spark, "run"), weak)
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.dedup(make(1000), runs=[run], digest=weak, history=earlier).collect()}
+    assert got == {1000 + i: (i, 2, False) for i in range(300)}
+
+
 # ---- bytes ------------------------------------------------------------------------------------------------
 def suffix_expected(corpus, width):
     texts = {d: (t or "").encode() for d, t in corpus}
