@@ -100,5 +100,16 @@ def small(keys: DataFrame) -> DataFrame:
 
 def without(docs: DataFrame, rejected: DataFrame, key: Column, name: str) -> DataFrame:
     """docs less the rows in rejected (doc_id, row): row is key's value there, so other rows of a doc_id stay, and null ids can go."""
-    gone = small(stored(rejected.select(F.col("doc_id").alias("rejected_id"), F.col("row").alias("rejected_row")).distinct(), name))
+    gone = small(stored(rejected.select(F.col("doc_id").alias("rejected_id"), F.col("row").alias("rejected_row")), name))
     return docs.join(gone, F.col("doc_id").cast("bigint").eqNullSafe(gone["rejected_id"]) & (key == gone["rejected_row"]), "left_anti")
+
+
+def name_rows(docs: DataFrame, salted: bool) -> DataFrame:
+    """(doc_id, doc, row, text): doc is doc_id without nulls; row tells rows of one doc where salted, else it is 0 and costs nothing."""
+    id_ = F.col("doc_id").cast("bigint")
+    return docs.select(id_.alias("doc_id"), F.coalesce(id_, F.lit(0)).alias("doc"), (row_key() if salted else F.lit(0).cast("bigint")).alias("row"), text_or_empty().alias("text"))
+
+
+def odd_names(docs: DataFrame) -> bool:
+    """Whether a doc_id is null or repeated."""
+    return not docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").isEmpty()

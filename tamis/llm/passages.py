@@ -6,7 +6,7 @@ the length at this and a later offset (``arrays.Doubling``). Then:
 
 1. *Initial buckets.* In every window the leftmost smallest identifier of ``gram`` units is its anchor, so equal
    windows have equal anchors at the same place. Consecutive windows with one anchor form a run, one row:
-   (doc_id, first, last window, anchor's bucket, bucket of the whole run). That is about one row for
+   (document, first, last window, anchor's bucket, bucket of the whole run). That is about one row for
    (width - gram) / 2 units.
 2. *Refinement.* Runs whose anchor's bucket has one member are done: their windows are unique. Runs alike as a
    whole (same refined bucket) are settled at once. Only runs that share the anchor's bucket but not the whole,
@@ -15,7 +15,12 @@ the length at this and a later offset (``arrays.Doubling``). Then:
 
 Nothing is paired: all steps count buckets with partial aggregation and join the counts back by bucket, which
 adaptive execution can split where a bucket is hot. A document's spans come together with its text once, at
-the end. Identifiers have 64 bits; ``check`` adds 64 independent ones.
+the end.
+
+Identifiers are names by content in place of names by rank: those need a sort of all suffixes in every round, one row
+for each unit. A whole run or window is named by 96 bits, ``whole`` or ``bucket`` and 32 independent bits ``check``:
+among 10^12 of them 6 * 10^-6 chance collisions are expected. An anchor's name of 64 bits only chooses what to compare.
+Rows are named by (doc, row), see ``common.name_rows``.
 """
 
 from __future__ import annotations
@@ -28,9 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamis.llm import arrays
-from tamis.llm.arrays import Doubling, pieces
+from tamis.llm.arrays import Doubling, lean, pieces
+from tamis.llm.common import settle
 
-RUNS = "doc_id bigint, first int, last int, anchor bigint, whole bigint, check bigint"
+RUNS = "doc bigint, row bigint, first int, last int, anchor bigint, whole bigint, check int"
+ROW = ["doc", "row"]
 #: bytes of a piece, offsets, seed -> (identifiers of its units, offsets of the rows in units)
 Units = Callable[[np.ndarray, np.ndarray, int], tuple[np.ndarray, np.ndarray]]
 
@@ -74,30 +81,38 @@ def _bigint(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def find_runs(docs: DataFrame, units: Units, width: int, gram: int, check: bool) -> DataFrame:
-    """Runs of all windows of (doc_id, text); step 1."""
+def _check(x: np.ndarray) -> pa.Array:
+    return pa.array((x >> np.uint64(32)).astype(np.uint32).view(np.int32))
+
+
+def _names(batch: pa.RecordBatch, rows: slice, row: np.ndarray) -> dict[str, pa.Array]:
+    at = pa.array(row + rows.start)
+    return {c: batch.column(c).take(at) for c in ROW}
+
+
+def find_runs(docs: DataFrame, units: Units, width: int, gram: int) -> DataFrame:
+    """Runs of all windows of (doc, row, text); step 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for rows, data, offsets in pieces(batch):
                 u, cuts = units(data, offsets, 0)
                 ids = Doubling(u, width)
                 row, first, last, anchor = runs_of(ids, cuts, width, gram)
                 if len(row):
-                    more = whole_ids(Doubling(units(data, offsets, 1)[0], width), first, last, width) if check else np.zeros(len(row), np.uint64)
+                    more = whole_ids(Doubling(units(data, offsets, 1)[0], width), first, last, width)
                     base = cuts[row]
-                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array(names[rows][row], pa.int64()), "first": pa.array((first - base).astype(np.int32)), "last": pa.array((last - base).astype(np.int32)), "anchor": _bigint(ids.at(anchor, gram)), "whole": _bigint(whole_ids(ids, first, last, width)), "check": _bigint(more)})
+                    yield pa.RecordBatch.from_pydict(_names(batch, rows, row) | {"first": pa.array((first - base).astype(np.int32)), "last": pa.array((last - base).astype(np.int32)), "anchor": _bigint(ids.at(anchor, gram)), "whole": _bigint(whole_ids(ids, first, last, width)), "check": _check(more)})
 
-    return docs.mapInArrow(run, RUNS)
+    settle(docs.sparkSession)
+    return docs.select(*ROW, "text").mapInArrow(lean(run), RUNS)
 
 
-def window_ids(docs: DataFrame, units: Units, width: int, check: bool) -> DataFrame:
-    """Bucket of every window of the asked runs of (doc_id, text, asked array<struct<first, last>>); step 2."""
+def window_ids(docs: DataFrame, units: Units, width: int) -> DataFrame:
+    """Bucket of every window of the asked runs of (doc, row, text, asked array<struct<first, last>>); step 2."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.column("doc_id").to_numpy(zero_copy_only=False)
             asked = batch.column("asked")
             for rows, data, offsets in pieces(batch):
                 u, cuts = units(data, offsets, 0)
@@ -108,16 +123,17 @@ def window_ids(docs: DataFrame, units: Units, width: int, check: bool) -> DataFr
                 row = np.repeat(np.repeat(np.arange(len(counts)), counts), n)
                 at = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 flat = at + cuts[row]
-                more = Doubling(units(data, offsets, 1)[0], width).at(flat, width) if check else np.zeros(len(flat), np.uint64)
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(names[rows][row], pa.int64()), "at": pa.array(at.astype(np.int32)), "bucket": _bigint(Doubling(u, width).at(flat, width)), "check": _bigint(more)})
+                more = Doubling(units(data, offsets, 1)[0], width).at(flat, width)
+                yield pa.RecordBatch.from_pydict(_names(batch, rows, row) | {"at": pa.array(at.astype(np.int32)), "bucket": _bigint(Doubling(u, width).at(flat, width)), "check": _check(more)})
 
-    return docs.mapInArrow(run, "doc_id bigint, at int, bucket bigint, check bigint")
+    settle(docs.sparkSession)
+    return docs.select(*ROW, "text", "asked").mapInArrow(lean(run), "doc bigint, row bigint, at int, bucket bigint, check int")
 
 
 def spans_by_doc(runs: DataFrame, windows: DataFrame) -> DataFrame:
-    """(doc_id, spans): the settled runs and single windows of each document, at most as many as it has units."""
-    spans = runs.select("doc_id", "first", "last").unionByName(windows.select("doc_id", F.col("at").alias("first"), F.col("at").alias("last")))
-    return spans.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    """(doc, row, spans): the settled runs and single windows of each row, at most as many as it has units."""
+    spans = runs.select(*ROW, "first", "last").unionByName(windows.select(*ROW, F.col("at").alias("first"), F.col("at").alias("last")))
+    return spans.groupBy(*ROW).agg(F.collect_list(F.struct("first", "last")).alias("spans"))
 
 
 def covered(n: int, width: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:

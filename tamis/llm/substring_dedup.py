@@ -6,40 +6,41 @@ that starts in a document with a smaller identifier.
 The index is a list of immutable runs, each the fingerprints of one batch sorted by anchor (see ``passages``):
 about one row for (width - gram) / 2 words. ``dedup_batch`` writes the new batch's run, merge-joins its buckets
 with those of the historical runs, settles whole runs, refines the others to single windows, and returns the
-batch. Hits are verified by a second identifier, of 64 independent bits, of the same words. ``compact`` merges
+batch. Hits are verified by 32 independent bits of the same words. ``compact`` merges
 sorted runs into one and drops the fingerprints that can't decide anything any more: of equal runs the one of
 the smallest identifier is enough. Refining needs the words of historical documents, so their table is passed.
+``dedup`` takes a table as ``BATCHES`` batches by identifier, and compacts the index before each batch that meets
+more than one run.
 
 Null and empty texts have no words; texts of fewer words than a window keep all. Batches may come in any order
 of identifiers, but a batch is judged against what came before it and itself only. Rows with a repeated doc_id
-count as one document that starts the windows of all; a null doc_id removes nothing and is removed by nothing.
-Extra columns are ignored; empty tables give no rows.
+count as one document that starts the windows of all, each row cut by its own text; a null doc_id removes nothing
+and is removed by nothing. Extra columns are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamis.llm import arrays
-from tamis.llm.arrays import pieces
-from tamis.llm.common import drop_stored, scratch_path, stored, table, text_or_empty
-from tamis.llm.passages import RUNS, covered, find_runs, spans_by_doc, spans_of, window_ids, word_units
+from tamis.llm.arrays import lean, pieces
+from tamis.llm.common import drop_stored, name_rows, scratch_path, settle, stored, table
+from tamis.llm.passages import ROW, RUNS, covered, find_runs, spans_by_doc, spans_of, window_ids, word_units
 
+BATCHES = 3
 WIDTH = 50
 GRAM = 20
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
-
-
 def flush(docs: DataFrame, path: str, width: int = WIDTH, gram: int = GRAM) -> str:
     """Write a batch's fingerprints as one immutable sorted run."""
-    find_runs(_texts(docs), word_units, width, gram, check=True).where("doc_id is not null").sortWithinPartitions("anchor").write.parquet(path)
+    named = name_rows(docs, salted=True).where("doc_id is not null")
+    find_runs(named, word_units, width, gram).sortWithinPartitions("anchor").write.parquet(path)
     return path
 
 
@@ -47,38 +48,38 @@ def read_runs(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.read.schema(RUNS).parquet(*paths)
 
 
+WHOLE = ["anchor", "whole", "check"]
+
+
 def compact(spark: SparkSession, paths: list[str], to: str) -> str:
     """Merge runs into one: of runs alike as a whole, those of the smallest identifier stay."""
-    runs = read_runs(spark, paths)
-    key = ["anchor", "whole", "check"]
-    first = runs.groupBy(*key).agg(F.min(F.struct("doc_id", "first", "last")).alias("head"))
-    first.select("head.*", *key).repartitionByRange("anchor", "whole").sortWithinPartitions("anchor").write.parquet(to)
+    first = read_runs(spark, paths).groupBy(*WHOLE).agg(F.min(F.struct(*ROW, "first", "last")).alias("head"))
+    first.select("head.*", *WHOLE).repartitionByRange("anchor", "whole").sortWithinPartitions("anchor").write.parquet(to)
     return to
 
 
 def repeated(batch: DataFrame, history: DataFrame | None = None, index: list[str] | None = None, width: int = WIDTH, gram: int = GRAM) -> tuple[DataFrame, str]:
     """((doc_id, text, spans) of the batch, path of its new run). history: documents of the runs in ``index``."""
-    spark, batch = batch.sparkSession, _texts(batch)
+    spark, named = batch.sparkSession, name_rows(batch, salted=True)
     new = flush(batch, scratch_path(spark, "window-run"), width, gram)
     own = read_runs(spark, [new]).withColumn("own", F.lit(True))
     runs = own.unionByName(read_runs(spark, index).withColumn("own", F.lit(False))) if index else own
-    two = lambda name: (F.min(name).alias(f"{name}_low"), F.max(name).alias(f"{name}_high"))
-    buckets = runs.groupBy("anchor").agg(*two("doc_id"), *two("whole"), F.max("own").alias("any_own")).where("doc_id_low < doc_id_high and any_own")
+    two = lambda name, of: (F.min(of).alias(f"{name}_low"), F.max(of).alias(f"{name}_high"))
+    buckets = runs.groupBy("anchor").agg(*two("doc", "doc"), *two("whole", F.struct("whole", "check")), F.max("own").alias("any_own")).where("doc_low < doc_high and any_own")
     buckets = stored(buckets.select("anchor", (F.col("whole_low") != F.col("whole_high")).alias("mixed")), "window-buckets")
     matched = stored(runs.join(buckets, "anchor"), "window-hits")
-    key = ["anchor", "whole", "check"]
-    lowest = stored(matched.groupBy(*key).agg(F.min("doc_id").alias("low")), "window-lowest")
-    hits = matched.join(lowest, key)
-    settled = stored(hits.where("own and doc_id > low").select("doc_id", "first", "last"), "window-settled")
-    asked = hits.where("mixed and doc_id = low").groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("asked"))
-    docs = batch if history is None else batch.unionByName(_texts(history))
-    windows = stored(window_ids(docs.join(asked, "doc_id"), word_units, width, check=True), "windows")
-    again = windows.groupBy("bucket", "check").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high")
+    lowest = stored(matched.groupBy(*WHOLE).agg(F.min("doc").alias("low")), "window-lowest")
+    hits = matched.join(lowest, WHOLE)
+    settled = stored(hits.where("own and doc > low").select(*ROW, "first", "last"), "window-settled")
+    asked = hits.where("mixed and doc = low").groupBy(*ROW).agg(F.collect_list(F.struct("first", "last")).alias("asked"))
+    docs = named if history is None else named.unionByName(name_rows(history, salted=True))
+    windows = stored(window_ids(docs.where("doc_id is not null").join(asked, ROW), word_units, width), "windows")
+    again = windows.groupBy("bucket", "check").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").drop("high")
     again = stored(again, "windows-again")
-    later = windows.join(again, ["bucket", "check"]).where("doc_id > low")
+    later = windows.join(again, ["bucket", "check"]).where("doc > low")
     spans = stored(spans_by_doc(settled, later), "window-spans")
     drop_stored(buckets, matched, lowest, settled, windows, again)
-    return batch.join(spans, "doc_id", "left"), new
+    return named.join(spans, ROW, "left").drop(*ROW), new
 
 
 def keep(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -99,7 +100,8 @@ def keep(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                     out["kept"].append(b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g) if len(first) else b" ".join(words))
             yield pa.RecordBatch.from_arrays([out["doc_id"], pa.array(out["n_words"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["kept"], pa.binary())], names=list(out))
 
-    return docs.mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept binary")
+    settle(docs.sparkSession)
+    return docs.select("doc_id", "text", "spans").mapInArrow(lean(run), "doc_id bigint, n_words bigint, n_removed bigint, kept binary")
 
 
 def dedup_batch(batch: DataFrame, history: DataFrame | None = None, index: list[str] | None = None, width: int = WIDTH, gram: int = GRAM) -> tuple[DataFrame, list[str]]:
@@ -108,6 +110,21 @@ def dedup_batch(batch: DataFrame, history: DataFrame | None = None, index: list[
     return keep(found, width), [*(index or []), new]
 
 
+def dedup(docs: DataFrame, batches: int = BATCHES, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+    """What is left of every row of docs, taken in batches of rising identifiers; where they are cut doesn't change the result."""
+    spark, id_ = docs.sparkSession, F.col("doc_id").cast("bigint")
+    cuts = sorted(set(docs.agg(F.percentile_approx(id_, [i / batches for i in range(1, batches)])).first()[0] or [])) if batches > 1 else []
+    parts, index, history = [], [], None
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        above = id_ > low if low is not None else F.lit(True)
+        batch = docs.where((above & (id_ <= high)) if high is not None else above | id_.isNull())
+        if len(index) > 1:
+            index = [compact(spark, index, scratch_path(spark, "window-merged"))]
+        out, index = dedup_batch(batch, history, index, width, gram)
+        parts.append(out)
+        history = docs.where(id_ <= high) if high is not None else None
+    return reduce(DataFrame.unionByName, parts)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, _ = dedup_batch(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

@@ -6,9 +6,9 @@ buckets with more members are refined by the identifiers of the buckets at later
 ``width`` bytes apart, each length from the identifiers of half the length (see ``passages``).
 
 Null and empty texts have no bytes; texts shorter than ``width`` keep all; matches never cross documents;
-copies of a document remove each other (both go), as both start elsewhere. A row with a repeated or null
-doc_id gets what all rows of that identifier get together: identifiers are expected to be unique. Extra
-columns are ignored; empty tables give no rows.
+copies of a document remove each other (both go), as both start elsewhere. Every row is a document of its own, also
+with a null doc_id or one that other rows have too; equal rows are copies of each other. Extra columns are
+ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -20,8 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.llm.common import drop_stored, stored, table, text_or_empty
-from tamis.llm.passages import byte_units, covered, find_runs, spans_by_doc, spans_of, window_ids
+from tamis.llm.arrays import lean
+from tamis.llm.common import drop_stored, name_rows, odd_names, settle, stored, table
+from tamis.llm.passages import ROW, byte_units, covered, find_runs, spans_by_doc, spans_of, window_ids
 
 WIDTH = 200
 GRAM = 100
@@ -29,21 +30,23 @@ GRAM = 100
 
 def repeated(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """(doc_id, text, spans): window starts of each text that occur elsewhere too, as runs."""
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
-    runs = stored(find_runs(docs, byte_units, width, gram, check=False).drop("check"), "suffix-runs")
-    buckets = stored(runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("whole").alias("low"), F.max("whole").alias("high")).where("n > 1").select("anchor", (F.col("low") != F.col("high")).alias("mixed")), "suffix-buckets")
+    docs = name_rows(docs, odd_names(docs))
+    whole = ["anchor", "whole", "check"]
+    runs = stored(find_runs(docs, byte_units, width, gram), "suffix-runs")
+    name = F.struct("whole", "check")
+    buckets = stored(runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min(name).alias("low"), F.max(name).alias("high")).where("n > 1").select("anchor", (F.col("low") != F.col("high")).alias("mixed")), "suffix-buckets")
     hits = stored(runs.join(buckets, "anchor"), "suffix-hits")
     drop_stored(runs, buckets)
-    refined = stored(hits.groupBy("anchor", "whole", "mixed").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "first", "last")).alias("head")), "suffix-refined")
-    settled = stored(hits.join(refined.where("n > 1").select("anchor", "whole"), ["anchor", "whole"], "left_semi").select("doc_id", "first", "last"), "suffix-settled")
+    refined = stored(hits.groupBy(*whole, "mixed").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*ROW, "first", "last")).alias("head")), "suffix-refined")
+    settled = stored(hits.join(refined.where("n > 1").select(*whole), whole, "left_semi").select(*ROW, "first", "last"), "suffix-settled")
     drop_stored(hits)
     # of runs alike as a whole, one stands for all where it must be compared window by window
-    asked = refined.where("mixed").groupBy("head.doc_id").agg(F.collect_list(F.struct("head.first", "head.last")).alias("asked"))
-    windows = stored(window_ids(docs.join(asked, "doc_id"), byte_units, width, check=False).drop("check"), "suffix-windows")
-    again = stored(windows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"), "suffix-again")
-    spans = stored(spans_by_doc(settled, windows.join(again, "bucket", "left_semi")), "suffix-spans")
+    asked = refined.where("mixed").groupBy("head.doc", "head.row").agg(F.collect_list(F.struct("head.first", "head.last")).alias("asked"))
+    windows = stored(window_ids(docs.join(asked, ROW), byte_units, width), "suffix-windows")
+    again = stored(windows.groupBy("bucket", "check").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "check"), "suffix-again")
+    spans = stored(spans_by_doc(settled, windows.join(again, ["bucket", "check"], "left_semi")), "suffix-spans")
     drop_stored(refined, settled, windows, again)
-    return docs.join(spans, "doc_id", "left")
+    return docs.join(spans, ROW, "left").drop(*ROW)
 
 
 def keep(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -63,7 +66,8 @@ def keep(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 out["kept"].append(data[~gone].tobytes() if len(first) else text.as_py())
             yield pa.RecordBatch.from_arrays([out["doc_id"], *(pa.array(out[k], pa.int64()) for k in ("n_bytes", "n_removed", "n_spans")), pa.array(out["kept"], pa.binary())], names=list(out))
 
-    return docs.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    settle(docs.sparkSession)
+    return docs.select("doc_id", "text", "spans").mapInArrow(lean(run), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,6 +81,20 @@ def test_suffix(documents, corpus, no_documents):
     assert suffix_dedup.keep(suffix_dedup.repeated(no_documents)).count() == 0
 
 
+def test_suffix_of_odd_rows(spark):
+    """Null and repeated identifiers: every row is a document of its own; identifiers of more than 53 bits stay whole."""
+    rng = random.Random(9)
+    make = lambda n: "".join(rng.choices(string.ascii_letters, k=n))
+    shared, big = make(260), (1 << 60) + 1
+    rows = [(1, make(300) + shared), (1, make(50) + shared + make(10)), (None, shared + make(400)), (None, make(30)), (0, make(20) + shared[:220]), (big, make(500)), (big, make(100) + shared[20:]), (7, None), (7, "x")]
+    for some in (rows, [(big - i, t) for i, (_, t) in enumerate(rows)]):
+        out = suffix_dedup.keep(suffix_dedup.repeated(spark.createDataFrame(some, "doc_id bigint, text string"))).collect()
+        want = suffix_expected(list(enumerate(t for _, t in some)), 200)
+        got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in out)
+        assert got == sorted((str(some[i][0]), *x) for i, x in want.items())
+        assert sum(x[1] for x in want.values()) > 1000
+
+
 # ---- words ------------------------------------------------------------------------------------------------
 def substring_expected(corpus, width):
     first, out = {}, {}
@@ -115,6 +129,23 @@ def test_substring_in_batches_with_compaction(spark, documents, corpus):
     assert got == substring_expected(corpus, 12)
 
 
+def test_substring_of_whole_tables(spark, documents, corpus, no_documents):
+    for batches in (1, 2, 4):
+        got = {r["doc_id"]: (r["n_words"], r["n_removed"], bytes(r["kept"])) for r in substring_dedup.dedup(documents, batches, 12, 5).collect()}
+        assert got == substring_expected(corpus, 12)
+    assert substring_dedup.dedup(no_documents).count() == 0
+
+
+def test_substring_of_odd_rows(spark):
+    """Rows of one doc_id start the windows of all of them and are cut each by its own text; null identifiers take no part."""
+    rng = random.Random(9)
+    make = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    a, b = make(30), make(30)
+    rows = [(1, a + " " + make(20)), (1, b), (2, make(3) + " " + b + " " + make(9)), (2, make(40)), (3, a), (None, a), (None, make(5)), (None, None), (3, "")]
+    got = sorted((str(r["doc_id"]), r["n_words"], r["n_removed"]) for r in substring_dedup.dedup(spark.createDataFrame(rows, "doc_id bigint, text string"), 2, 12, 5).collect())
+    assert got == sorted([("1", 50, 0), ("1", 30, 0), ("2", 42, 30), ("2", 40, 0), ("3", 30, 30), ("None", 30, 0), ("None", 5, 0), ("None", 0, 0), ("3", 0, 0)])
+
+
 # ---- near copies ------------------------------------------------------------------------------------------
 LOW = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
