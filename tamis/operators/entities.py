@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tamis import fixed
-from tamis.functions.text import digits, let
+from tamis.functions.text import digits, let, marked_spans
 
 #: Sentinel around matches while spans are located; in the text itself it becomes OTHER, which is as long and as inert.
 MARK, OTHER = "\u0001", "\u0002"
@@ -23,18 +23,16 @@ def is_brazilian_phone(raw: Column) -> Column:
     return let(digits(raw), shaped)
 
 
-def _matches(text: Column, rule: tuple) -> Column:
-    priority, kind, confidence, before, body, after, any_case, check = rule
+def _parts(text: Column, rule: tuple) -> Column:
+    """The text split around the rule's matches, which are every second part."""
+    _, _, _, before, body, after, any_case, _ = rule
     pattern = f"{'(?iuU)' if any_case else '(?U)'}({before})({body}){after}"
-    parts = F.split(F.regexp_replace(text, pattern, f"$1{MARK}$2{MARK}"), MARK, -1)
-    start = F.struct(F.lit(0).alias("pos"), F.lit(False).alias("inside"), F.array().cast(CANDIDATES).alias("found"))
+    return F.split(F.regexp_replace(text, pattern, f"$1{MARK}$2{MARK}"), MARK, -1)
 
-    def step(acc: Column, part: Column) -> Column:
-        end = acc["pos"] + F.length(part)
-        span = F.struct(F.lit(priority).alias("priority"), acc["pos"].alias("start"), end.alias("end"), F.lit(kind).alias("kind"), F.lit(confidence).alias("confidence"), F.lit(check).cast("string").alias("check"))
-        return F.struct(end.alias("pos"), (~acc["inside"]).alias("inside"), F.when(acc["inside"] & (part != ""), F.array_append(acc["found"], span)).otherwise(acc["found"]).alias("found"))
 
-    return let(parts, lambda x: F.when(F.size(x) > 1, F.aggregate(x, start, step, lambda acc: acc["found"])).otherwise(F.array().cast(CANDIDATES)))
+def _labelled(rule: tuple, parts: Column) -> Column:
+    priority, kind, confidence, *_, check = rule
+    return F.struct(F.lit(priority).alias("priority"), F.lit(kind).alias("kind"), F.lit(confidence).alias("confidence"), F.lit(check).cast("string").alias("check"), parts.alias("parts"))
 
 
 def detect(text: Column) -> Column:
@@ -48,18 +46,24 @@ BARE = (50, 51, 52)
 
 
 def _detect(text: Column) -> Column:
-    none, empty = F.array().cast(ENTITIES), F.array().cast(CANDIDATES)
+    none, empty, nothing = F.array().cast(ENTITIES), F.array().cast(CANDIDATES), F.array().cast("array<string>")
     digit, at = text.rlike(r"(?U)\d"), F.contains(text, F.lit("@"))
 
     def found(inert: Column) -> Column:
-        def one(rule: tuple) -> Column:
-            matches = _matches(inert, rule)
-            return F.when(F.contains(inert, F.lit(NEEDS[rule[0]])), matches).otherwise(empty) if rule[0] in NEEDS else matches
-
-        emails = F.concat(*(one(r) for r in fixed.ENTITY_RULES if r[1] == "EMAIL"))
-        bare = F.concat(*(one(r) for r in fixed.ENTITY_RULES if r[0] in BARE))
-        others = F.concat(*(one(r) for r in fixed.ENTITY_RULES if r[1] != "EMAIL" and r[0] not in BARE), F.when(inert.rlike(r"(?U)\d{10}"), bare).otherwise(empty))
-        return F.concat(emails, F.when(digit, others).otherwise(empty))
+        def one(rule: tuple, able: Column) -> Column:
+            wanted = F.contains(inert, F.lit(NEEDS[rule[0]])) if rule[0] in NEEDS else F.lit(True)
+            if rule[1] != "EMAIL":
+                wanted = wanted & digit
+            if rule[0] in BARE:
+                wanted = wanted & able
+            return _labelled(rule, F.when(wanted, _parts(inert, rule)).otherwise(nothing))
+
+        def spans(rule: Column) -> Column:
+            of = F.filter(marked_spans(rule["parts"]), lambda s: s["raw"] != "")
+            return F.transform(of, lambda s: F.struct(rule["priority"], s["start"], s["end"], rule["kind"], rule["confidence"], rule["check"]))
+
+        # one expression finds the places of all rules' matches
+        return let(inert.rlike(r"(?U)\d{10}"), lambda able: F.flatten(F.transform(F.array(*(one(r, able) for r in fixed.ENTITY_RULES)), spans)).cast(CANDIDATES))
 
     candidates = let(F.translate(text, MARK, OTHER), found)
 

@@ -81,3 +81,18 @@ def test_masking_is_idempotent(spark):
 def test_counts_and_floor(spark):
     row = spark.createDataFrame([("11987654321 a@b.com e c@d.org",)], "t string").select(detect(F.col("t")).alias("e")).select(entity_counts(F.col("e")).alias("n"), has_entity(F.col("e"), "TELEFONE", "ALTA").alias("high"), has_entity(F.col("e"), "TELEFONE").alias("any")).first()
     assert row["n"] == {"TELEFONE": 1, "EMAIL": 2} and not row["high"] and row["any"]
+
+
+def test_many_matches_in_one_text(spark):
+    """Offsets stay right over many blocks of matches, and time linear: 1 MB of numbers is no trouble."""
+    import time
+
+    from tamis.functions.text import BLOCK
+
+    texts = ["é a@b.co " * n + "fim" for n in (1, BLOCK // 2, BLOCK // 2 + 1, BLOCK * 3, 1000)] + ["12 x " * 200_000]
+    began = time.time()
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", detect(F.col("text")).alias("e")).collect()
+    assert time.time() - began < 60
+    for r in rows:
+        want = [(m.start(), m.end()) for m in re.finditer("a@b.co", texts[r["i"]])]
+        assert [(e["start"], e["end"]) for e in r["e"]] == want and all(e["raw"] == "a@b.co" for e in r["e"])
