@@ -1,19 +1,21 @@
 """Main text of web pages by equivalence-class template deduction.
 
 1. Every page is cut into tokens: its containers, told apart by their path of tags and classes, and its text
-   blocks, told apart by path and text. A token's occurrence vector over the pages of a host is folded into one
-   number, the exclusive or of a hash of (page, count), so hosts of any size aggregate partition by partition.
-2. Tokens of a host with equal vectors are one equivalence class. Classes on at least ``SUPPORT`` of the host's
-   pages are valid. The class that occurs once on every page is the backbone; the others nest in its slots. The
-   slot that holds the article is the backbone's ``article`` or ``main`` container, or else the deepest container
-   with ``SHARE`` of the text. Outside ``article`` and ``main`` valid text tokens in it are template as well; inside
-   them those of the class of the container around them, which are there wherever it is. Three pages or fewer don't
-   tell template from text, nor does a host whose articles have over ``COPIES`` of their text in such tokens, as
-   its pages are copies.
-3. Pages are joined with their host's template (one row a host) and the blocks in the article's slot are
-   extracted. Containers that are never article (menus, forms, scripts, comments, ...) are passed over by tag, or
-   by a class, id or role that says only that, unless they hold most of the page's text. Headings and paragraphs
-   are not passed over by name, and sections in an article not by their id. A page without the host's slot is read by itself in the same way.
+   blocks, told apart by path and text. A token's occurrence vector over the pages of a host is folded into two
+   numbers, sums of hashes of (page, count), so hosts of any size aggregate partition by partition. A page is known
+   by its html: repeated rows add the same to every token and change no equality.
+2. Tokens of a host with equal vectors are one equivalence class; those on ``SUPPORT`` of the host's pages are valid.
+   The class of the page itself is the backbone. Classes nest by position: a text whose class is that of a container
+   around it, however far out, is there wherever that container is, so it is a fixed part of its template. The other
+   texts fill the template's slots. That needs ``LEAST_PAGES`` different pages: fewer don't tell template from text.
+   Nor does a host whose pages are copies, with over ``COPIES`` of the text of articles in fixed texts, or over
+   ``PLAIN_COPIES`` of all text where they have no articles.
+3. The slots to extract are the outermost valid ``article`` or ``main`` containers, or else the deepest container
+   of the backbone with ``SHARE`` of the text. Pages are joined with their host's template (one row a host) and the
+   blocks in its slots are extracted but for the fixed ones. Containers that are never article (menus, forms,
+   scripts, comments, ...) are passed over by tag, or by a class, id or role that says only that, unless they hold
+   most of the page's text and the page has no article. Headings and paragraphs are not passed over by name, and
+   sections in an article not by their id. A page without the host's slots is read by itself in the same way.
 
 Null html gives empty text; a null url or one without a host makes pages of one nameless host; a null page_id is
 kept. Repeated rows get equal results. Unclosed and misnested tags are closed as browsers close paragraphs and
@@ -28,14 +30,16 @@ from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.llm.common import stored, table
+from tamis.llm.arrays import lean
+from tamis.llm.common import settle, stored, table
 
 SUPPORT = 0.5
 SHARE = 0.8
 COPIES = 0.5
+PLAIN_COPIES = 0.9
 LEAST_PAGES = 4
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|textarea|svg|title)\b(?:"[^"]*"|'[^']*'|[^'">])*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<[/!?][^>]*>|[^<]+|<""", re.S | re.I)
@@ -45,7 +49,9 @@ _WORD = re.compile(r"[a-z]+")
 
 INLINE = set("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-NEVER = set("nav footer aside form head button select menu dialog object canvas audio video".split())
+NEVER = set("head button select menu dialog object canvas audio video".split())
+#: these go too, unless they are left open around, or wrap, most of a page that has no article
+BESIDE = set("nav footer aside form header".split())
 SECTIONS = set("body article main section div td".split())
 NAMED = set("ad ads adv advert advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent notice notices alert comment comments reply replies disqus sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead share sharing social related recommended subscribe newsletter popup modal widget toolbar pagination pager login signup search".split())
 NAMED_ARTICLES = set("ad ads advert advertisement sponsored promo comment comments reply replies related".split())
@@ -79,9 +85,8 @@ def _named(attributes: dict[str, str], kinds: tuple[str, ...], known: set[str])
     return False
 
 
-def _text_key(path: str, article: bool, text: str) -> int:
-    """Texts in an article are told apart by their container too."""
-    return _key(f"{path}\0{text}" if article else text)
+def _text_key(path: str, text: str) -> int:
+    return _key(f"{path}\0{text}")
 
 
 class _Open:
@@ -94,10 +99,11 @@ class _Open:
 def read_page(html: str) -> tuple[list[str], list[tuple[tuple[str, ...], bool, str]]]:
     """(paths of the section containers that were opened, text blocks as (paths of the containers around, in an article, text)).
 
-    What is in an element with a name of NAMED goes, unless that element has more than ``SHARE`` of the page's text.
+    What is in an element with a name of NAMED goes, unless that element has more than ``SHARE`` of the page's text;
+    so does what is in an element of BESIDE, unless it has as much of it and the page has no article.
     """
     root = _Open("", "", False, False, ())
-    stack, opened, blocks, parts, names_open = [root], [], [], [], 0
+    stack, opened, blocks, parts, names_open, beside = [root], [], [], [], 0, set()
 
     def flush() -> None:
         if parts:
@@ -148,9 +154,12 @@ def read_page(html: str) -> tuple[list[str], list[tuple[tuple[str, ...], bool, s
                 never, around = False, ()
             named = bool(names) and _named(own, ("class", "id", "role"), NAMED_ARTICLES)
         else:
-            never = never or tag in NEVER or (tag == "header" and not top.article)
+            never = never or tag in NEVER
             # in an article the id of a section is where links lead to
-            named = bool(names) and tag not in TOLD and tag not in ("html", "body") and _named(own, ("class", "role") if top.article and tag == "section" else ("class", "id", "role"), NAMED)
+            named = tag in BESIDE and not (tag == "header" and top.article)
+            if named:
+                beside.add(names_open + 1)
+            named = named or bool(names) and tag not in TOLD and tag not in ("html", "body") and _named(own, ("class", "role") if top.article and tag == "section" else ("class", "id", "role"), NAMED)
         never = never or "hidden" in own or bool("style" in own and _NOT_SHOWN.search(own["style"]))
         if named:
             names_open += 1
@@ -160,90 +169,107 @@ def read_page(html: str) -> tuple[list[str], list[tuple[tuple[str, ...], bool, s
         if tag in SECTIONS and not never:
             opened.append((around, path))
     flush()
-    chars, total = [0] * (names_open + 1), sum(len(text) for *_, text in blocks)
+    chars, total, told = [0] * (names_open + 1), 0, any(article and not beside & set(around) for around, _, article, _ in blocks)
+    everything = sum(len(text) for *_, text in blocks)
     for around, _, _, text in blocks:
+        total += 0 if beside & set(around) else len(text)
         for i in around:
             chars[i] += len(text)
-    kept = [n > SHARE * total for n in chars]
+    kept = [n > SHARE * everything and not told if i in beside else n > SHARE * (total or everything) for i, n in enumerate(chars)]
     return [path for around, path in opened if all(kept[i] for i in around)], [(paths, article, text) for around, paths, article, text in blocks if all(kept[i] for i in around)]
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         seen: dict[tuple, list[int]] = {}
-        for page, host, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "host", "html")), strict=True):
+        for page, host, html in zip(*(batch.column(c).to_pylist() for c in ("page", "host", "html")), strict=True):
             opened, blocks = read_page(html or "")
             counts, chars = {"": 1}, {"": 0}
             for path in opened:
                 counts[path] = counts.get(path, 0) + 1
-            texts: dict[tuple[str, bool, str], int] = {}
+            texts: dict[tuple[str, str, bool], int] = {}
             for paths, article, text in blocks:
                 for path in ("", *dict.fromkeys(paths)):
                     chars[path] = chars.get(path, 0) + len(text)
-                k = (paths[-1] if paths else "", article, text)
+                k = (paths[-1] if paths else "", text, article)
                 texts[k] = texts.get(k, 0) + 1
-            found = [(path, False, None, n, chars.get(path, 0)) for path, n in counts.items()] + [(p, a, _text_key(p, a, t), n, n * len(t)) for (p, a, t), n in texts.items()]
+            found = [(path, False, None, n, chars.get(path, 0)) for path, n in counts.items()] + [(p, a, _text_key(p, t), n, n * len(t)) for (p, t, a), n in texts.items()]
             found.append(("", True, None, 1, sum(len(t) for _, a, t in blocks if a)))  # all text in articles
             for path, article, text, n, c in found:
-                row = seen.setdefault((host, path, article, text), [0, 0, 0])
-                row[0] ^= _key(f"{page}:{n}")
-                row[1] += 1
-                row[2] += c
+                row = seen.setdefault((host, path, article, text), [0, 0, 0, 0])
+                v = _key(f"{page}:{n}")
+                row[0] += v & 0xFFFFFFFF
+                row[1] += v >> 32 & 0xFFFFFFFF
+                row[2] += 1
+                row[3] += c
         keys, rows = list(seen), list(seen.values())
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.bool_()), pa.array([k[3] for k in keys], pa.int64()), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(3))], names=["host", "path", "article", "text_key", "vector", "pages", "chars"])
+        kinds = (pa.string(), pa.string(), pa.bool_(), pa.int64())
+        yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], kind) for i, kind in enumerate(kinds)), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(4))], names=["host", "path", "article", "text_key", "low", "high", "pages", "chars"])
 
 
 def with_host(pages: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    return pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html", host.alias("host"))
+    return pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html", host.alias("host"), F.xxhash64(F.coalesce("html", F.lit(""))).alias("page"))
+
+
+def enclosing(path: Column) -> Column:
+    """The paths of the containers around, the page's own first."""
+    steps = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, F.lit(1), i), "/"))
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """One row a host: (host, slot: path of the article's container, boilerplate: keys of template texts)."""
-    tokens = pages.select("page_id", "host", "html").mapInArrow(_tokens, "host string, path string, article boolean, text_key bigint, vector bigint, pages bigint, chars bigint")
-    tokens = tokens.groupBy("host", "path", "article", "text_key").agg(F.bit_xor("vector").alias("vector"), F.sum("pages").alias("pages"), F.sum("chars").alias("chars"))
+    """One row a host: (host, slots: paths of the containers to extract, boilerplate: keys of the fixed texts in them)."""
+    settle(pages.sparkSession)
+    tokens = pages.select("page", "host", "html").mapInArrow(lean(_tokens), "host string, path string, article boolean, text_key bigint, low bigint, high bigint, pages bigint, chars bigint")
+    tokens = tokens.groupBy("host", "path", "article", "text_key").agg(*(F.sum(c).alias(c) for c in ("low", "high", "pages", "chars")))
+    tokens = tokens.withColumn("vector", F.struct("low", "high"))
     tokens = stored(tokens.where("text_key is null or pages > 1"), "html-tokens")
+    different = pages.groupBy("host").agg(F.count_distinct("page").alias("different"))
+    told = tokens.where("path = '' and text_key is null and article").select("host", F.col("chars").alias("told_chars"))
     roots = tokens.where("path = '' and text_key is null and not article").select("host", F.col("vector").alias("backbone"), F.col("pages").alias("all_pages"), F.col("chars").alias("all_chars"))
-    known = tokens.join(roots, "host").where(F.col("pages") >= SUPPORT * F.col("all_pages"))
-    containers = known.where("text_key is null and path <> ''")
+    roots = stored(roots.join(different, "host").join(told, "host"), "html-hosts")
+    valid = stored(tokens.join(roots, "host").where(F.col("pages") >= SUPPORT * F.col("all_pages")), "html-classes")
+    containers = valid.where("text_key is null and not article")
+    # slots
     last = F.element_at(F.split("path", "/"), -1)
     named = last.rlike(r"^(article|main)(\.|$)") | last.rlike(r"\.main(\.|$)")
     depth = F.size(F.split("path", "/"))
-    once = containers.where((F.col("vector") == F.col("backbone")) & (named | (F.col("chars") >= SHARE * F.col("all_chars"))))
-    best = F.struct(named.cast("int").alias("named"), F.when(named, -depth).otherwise(depth).alias("depth"), F.col("path"))
-    slots = once.groupBy("host").agg(F.max(best).alias("slot")).select("host", "slot.path")
-    texts = known.where((F.col("all_pages") >= LEAST_PAGES) & F.col("text_key").isNotNull())
-    told = tokens.where("path = '' and text_key is null and article").select("host", F.col("chars").alias("told_chars"))
-    nested = texts.where("article").join(containers.select("host", "path", "vector"), ["host", "path", "vector"])
-    nested = nested.groupBy("host").agg(F.collect_set("text_key").alias("keys"), F.sum("chars").alias("chars")).join(told, "host")
-    nested = nested.where(F.col("chars") <= COPIES * F.col("told_chars")).select("host", "keys")
-    texts = texts.where("not article").groupBy("host").agg(F.collect_set("text_key").alias("keys")).unionByName(nested)
-    texts = texts.groupBy("host").agg(F.flatten(F.collect_list("keys")).alias("boilerplate"))
-    return slots.join(texts, "host", "full").select("host", F.coalesce("path", F.lit("")).alias("slot"), "boilerplate")
-
-
-def _article(html: str, slot: str | None, boilerplate: set[int]) -> str:
+    open_ = containers.where((F.col("path") != "") & (named | ((F.col("vector") == F.col("backbone")) & (F.col("chars") >= SHARE * F.col("all_chars")))))
+    open_ = open_.select("host", "path", F.when(named, depth).otherwise(10_000 - depth).alias("rank"))
+    slots = open_.groupBy("host", "rank").agg(F.collect_set("path").alias("slots")).groupBy("host").agg(F.min(F.struct("rank", F.array_sort("slots").alias("slots")))["slots"].alias("slots"))
+    # fixed texts: their class is that of a container around them
+    texts = valid.where((F.col("different") >= LEAST_PAGES) & F.col("text_key").isNotNull())
+    around = texts.select("host", "text_key", "article", "vector", "chars", "told_chars", "all_chars", F.explode(enclosing(F.col("path"))).alias("path"))
+    fixed = around.join(containers.select("host", "path", "vector"), ["host", "path", "vector"], "left_semi").select("host", "text_key", "article", "chars", "told_chars", "all_chars").distinct()
+    fixed = fixed.groupBy("host", "article").agg(F.collect_list("text_key").alias("keys"), F.sum("chars").alias("chars"), F.first("told_chars").alias("told_chars"), F.first("all_chars").alias("all_chars"))
+    fixed = fixed.where(F.col("chars") <= F.when(F.col("article"), COPIES * F.col("told_chars")).when(F.col("told_chars") == 0, PLAIN_COPIES * F.col("all_chars")).otherwise(F.col("all_chars")))
+    fixed = fixed.groupBy("host").agg(F.flatten(F.collect_list("keys")).alias("boilerplate"))
+    return slots.join(fixed, "host", "full").select("host", F.coalesce("slots", F.array().cast("array<string>")).alias("slots"), "boilerplate")
+
+
+def _article(html: str, slots: list[str], boilerplate: set[int]) -> str:
     _, blocks = read_page(html)
-    inside = [b for b in blocks if slot and slot in b[0]]
-    if not inside:  # the page lacks its host's slot
+    inside = [b for b in blocks if not set(slots).isdisjoint(b[0])]
+    if not inside:  # the page lacks its host's slots
         inside = [b for b in blocks if b[1]] or blocks
-    return "\n\n".join(text for paths, article, text in inside if not boilerplate or _text_key(paths[-1] if paths else "", article, text) not in boilerplate)
+    return "\n\n".join(text for paths, _, text in inside if not boilerplate or _text_key(paths[-1] if paths else "", text) not in boilerplate)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = zip(*(batch.column(c).to_pylist() for c in ("html", "slot", "boilerplate")), strict=True)
-        texts = [_article(h or "", s, set(b or ())) for h, s, b in rows]
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), batch.column("slot")], names=["page_id", "url", "text", "slot"])
+        rows = zip(*(batch.column(c).to_pylist() for c in ("html", "slots", "boilerplate")), strict=True)
+        texts = [_article(h or "", s or [], set(b or ())) for h, s, b in rows]
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), batch.column("slots")], names=["page_id", "url", "text", "slots"])
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, slot) of every page."""
+    """(page_id, url, text, slots) of every page."""
     pages = with_host(pages)
     rows = pages.join(stored(templates(pages), "html-templates"), "host", "left")
-    return rows.select("page_id", "url", "html", "slot", "boilerplate").mapInArrow(_extract, "page_id bigint, url string, text string, slot string")
+    return rows.select("page_id", "url", "html", "slots", "boilerplate").mapInArrow(lean(_extract), "page_id bigint, url string, text string, slots array<string>")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = extract(table(spark, sf_dir, "pages"))
-    return out.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"), "slot")
+    return out.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"), F.array_join("slots", " ").alias("slots"))

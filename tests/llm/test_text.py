@@ -293,7 +293,7 @@ def test_extract(spark):
     plain = "<html><body><div>Menu always here</div><div id='c'>Story %d of today</div><div>Terms always here</div></body></html>"
     rows = [(i, "http://a.example/x", PAGE % i) for i in range(3)] + [(10 + i, f"https://b.example/{i}", plain % i) for i in range(5)]
     rows += [(20, None, None), (21, "http://c.example", ""), (22, "nonsense", "just text &amp; more"), (23, "http://a.example/odd", "<p>no article <b>here"), (23, "http://a.example/odd", "<p>no article <b>here"), (None, "http://a.example", "a < b <p>" + "w " * 50000)]
-    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("slot", F.lit(1)).withColumn("host", F.lit("z"))
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("slots", F.lit(1)).withColumn("host", F.lit("z")).withColumn("page", F.lit("z"))
     got = html_extract.extract(pages).collect()
     assert len(got) == len(rows)
     by = {r["page_id"]: r["text"] for r in got}
@@ -333,6 +333,47 @@ def test_template_texts_in_articles(spark):
     assert got[30] == "No main here"
 
 
+def test_repeated_pages_and_wrappers(spark):
+    """Repeated rows count once; a text under half of a host's urls is no template; forms and open menus may wrap a page."""
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    plain = "<body><div class='top'>Site name</div><div class='text'><p>%s</p></div><div class='low'>Imprint</div></body>"
+    rows = [(i, f"http://twice.example/{i}", plain % f"Page {i % 2}: {words}") for i in range(4)] + [(None, "http://twice.example/", plain % f"Page 0: {words}")]
+    rows += [(10 + i, f"http://half.example/{i}", plain % (f"Syndicated: {words}</p><p>More of it: {words}" if i % 2 else f"Own {i}: {words}")) for i in range(8)]
+    rows += [(30, "http://form.example/", f"<body><form id='aspnetForm'><div><p>{words}</p></div><nav>Menu</nav></form></body>"), (31, "http://open.example/", f"<body><nav><ul><li>Menu</ul><p>{words} {words}</p></body>")]
+    rows += [(32, "http://long.example/", f"<body><article><p>Short</p></article><footer>{words} {words}</footer></body>")]
+    rows += [(40 + i, f"http://two.example/{i}", f"<body><main><p>Intro {i}</p></main><div><p>Aside of all pages</p></div><main><p>Rest {i}</p></main></body>") for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert all(f"Page {i % 2}: {words}" in got[i] for i in range(4)) and f"Page 0: {words}" in got[None]
+    assert all(got[10 + i] == (f"Syndicated: {words}\n\nMore of it: {words}" if i % 2 else f"Own {i}: {words}") for i in range(8))
+    assert words in got[30] and "Menu" not in got[30] and words in got[31] and got[32] == "Short"
+    assert all(got[40 + i] == f"Intro {i}\n\nRest {i}" for i in range(6))
+
+
+def test_classes_against_brute_force(spark):
+    """Fixed texts of a host are those that occur exactly as often, page by page, as some container around them."""
+    rng = random.Random(2)
+    pages = []
+    for i in range(12):
+        parts = ["<div class='head'><p>Fixed head</p></div>"]
+        if i % 3:
+            parts.append("<div class='third'><p>Two of three</p></div>")
+        parts += [f"<div class='item'><p>Label</p><p>{rng.random()} {'word ' * 20}</p></div>" for _ in range(1 + i % 4)]
+        if i % 2:
+            parts.append("<p>On odd pages</p>")
+        pages.append(f"<body><div class='all'>{''.join(parts)}</div></body>")
+    rows = spark.createDataFrame([(i, "http://a.example/", h) for i, h in enumerate(pages)], "page_id bigint, url string, html string")
+    template = html_extract.templates(html_extract.with_host(rows)).first()
+    vectors, texts = {}, {}
+    for i, h in enumerate(pages):
+        opened, blocks = html_extract.read_page(h)
+        for path in ["", *opened]:
+            vectors.setdefault(path, Counter())[i] += 1
+        for paths, _, text in blocks:
+            texts.setdefault((paths[-1], text), Counter())[i] += 1
+    want = {html_extract._text_key(p, t) for (p, t), seen in texts.items() if len(seen) >= 6 and any(vectors[x] == seen for x in vectors if p == x or p.startswith(x + "/") or x == "")}
+    assert set(template["boilerplate"]) == want and len(want) == 3
+
+
 def test_extract_of_nothing(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
