@@ -79,7 +79,7 @@ def lookup(value: Column, table: dict[str, object]) -> Column:
     return out
 
 
-def screen(tickets: DataFrame, attachments: DataFrame | None = None, log_lines: DataFrame | None = None, config: Config = DEFAULT, rules: dict[str, tuple[tuple[str, Predicate], ...]] = RULES) -> DataFrame:
+def screen(tickets: DataFrame, attachments: DataFrame | None = None, log_lines: DataFrame | None = None, config: Config = DEFAULT, rules: dict[str, tuple[tuple[str, Predicate], ...]] = RULES, held: list[DataFrame] | None = None) -> DataFrame:
     """One verdict a ticket.
 
     tickets (ticket_id, raw_text); attachments (ticket_id, ord, name); log_lines (ticket_id, att_ord, file_name,
@@ -87,10 +87,13 @@ def screen(tickets: DataFrame, attachments: DataFrame | None = None, log_lines:
 
     The masked tickets are read twice, by the classifier and by the rules, so they are persisted (memory, then
     local disk; a lost part is computed again). Without that the parser and detector would run twice, and filters
-    pushed through them would copy their expressions many times over.
+    pushed through them would copy their expressions many times over. The persisted table is added to ``held``,
+    for the caller to unpersist when the verdicts are used.
     """
     masked = parse_tickets(tickets).withColumn("a", anonymize(F.col("analysis_text"))).select("ticket_id", "discarded_blocks", "a.masked", "a.entities")
     masked = masked.persist(StorageLevel.MEMORY_AND_DISK)
+    if held is not None:
+        held.append(masked)
     out = infer(masked, "ticket_id", "masked", config)
     none = F.struct(*(F.lit(0).cast("bigint").alias(n) for n in ("logs", "visuals", "others", "total")))
     if attachments is None:

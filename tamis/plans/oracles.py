@@ -14,6 +14,10 @@ def q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def case(value: str, names: dict) -> str:
+    return f"case {value} " + " ".join(f"when {q(k)} then {q(v)}" for k, v in names.items()) + " end"
+
+
 def chain(*parts: str, last: str) -> str:
     return "with recursive " + ",\n".join(parts) + "\n" + last
 
@@ -112,9 +116,11 @@ inferred as materialized (
 
 _TIME = q("(?i)" + fixed.TIME_PATTERN)
 _ARTIFACT = q(rf"(?i)\b(?:{'|'.join(fixed.ARTIFACT_WORDS)})\b")
-VERDICT_CTES = f"""
+def verdict_ctes(artifact: str = "false") -> str:
+    """verdicts(ticket_id, symptom, confidence, masked, status, missing); artifact: what counts as one beside the text."""
+    return f"""
 checks as (
-  select i.ticket_id, i.symptom, i.confidence, m.masked, regexp_matches(m.masked, {_TIME}) as has_time, regexp_matches(m.masked, {_ARTIFACT}) as has_artifact,
+  select i.ticket_id, i.symptom, i.confidence, m.masked, regexp_matches(m.masked, {_TIME}) as has_time, (regexp_matches(m.masked, {_ARTIFACT}) or {artifact}) as has_artifact,
          exists (select 1 from accepted a where a.ticket_id = i.ticket_id and a.kind = 'TELEFONE' and a.confidence = 'ALTA') as has_phone
   from inferred i join masked m using (ticket_id)),
 verdicts as (

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamis import fixed
 from tamis.config import Config
 from tamis.functions.decode import decode_ladder, decode_lossy
-from tamis.functions.render import http_status, report, screening_json
+from tamis.functions.render import http_status, problem, report, screening_json
 from tamis.functions.text import normalize_header
 from tamis.operators import logs
 from tamis.operators.blocks import as_map, block, field, narrative, parse_tickets
-from tamis.operators.classify import infer, vocabulary
+from tamis.operators.classify import infer, infer_distinct, label_and_score, parse_symptom, vocabulary
 from tamis.operators.entities import anonymize, detect, mask_sensitive_data
 from tamis.operators.screening import bundles, has_artifact, has_time, role, screen
 from tamis.plans import oracles as o
@@ -108,6 +110,24 @@ def ticket_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("ticket_id", F.to_json(as_map(F.col("parsed"))).alias("blocks"), narrative(F.col("parsed")).alias("narrative"), field(block(F.col("parsed"), "info solicitante"), "contatonome").alias("requester"))
 
 
+_LAST_BLOCKS = "last_blocks as (select ticket_id, block, max(block_no) as block_no from blocks group by ticket_id, block)"
+
+
+@query(o.chain(o.TICKET_CTE, o.BLOCK_CTES, _LAST_BLOCKS, last="select ticket_id, block, key, value from (select f.ticket_id, f.block, f.key, f.value, row_number() over (partition by f.ticket_id, f.block, f.key order by f.field_no desc) as r from fields f join last_blocks l on l.ticket_id = f.ticket_id and l.block = f.block and l.block_no = f.block_no) where r = 1"))
+def ticket_map_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    maps = parse_tickets(read(spark, sf_dir, TICKETS)).select("ticket_id", F.explode(as_map(F.col("parsed"))).alias("block", "fields"))
+    return maps.select("ticket_id", "block", F.explode("fields").alias("key", "value"))
+
+
+_REQUESTERS = "requesters as (select f.ticket_id, arg_min(f.value, f.field_no) as requester from fields f join (select ticket_id, min(block_no) as block_no from blocks where block = 'info solicitante' group by ticket_id) b using (ticket_id, block_no) where lower(f.key) = 'contatonome' group by f.ticket_id)"
+
+
+@query(o.chain(o.TICKET_CTE, o.BLOCK_CTES, o.ANALYSIS_CTES, _REQUESTERS, last="select t.ticket_id, coalesce(d.told, d.vals, '') as narrative, r.requester from tickets t left join details d using (ticket_id) left join requesters r using (ticket_id)"))
+def ticket_narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = F.col("parsed")
+    return parse_tickets(read(spark, sf_dir, TICKETS)).select("ticket_id", narrative(parsed).alias("narrative"), field(block(parsed, "info solicitante"), "contatonome").alias("requester"))
+
+
 # ---- classification ---------------------------------------------------------------------------------------
 @query(o.chain(o.MODEL_CTES, last="select gram, round(idf, 9) as idf, (select count(*) from weights w where w.gram = idf.gram) as anchors from idf"))
 def idf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,6 +155,19 @@ def runner_ups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("ticket_id", (F.col("i") + 1).cast("bigint").alias("place"), "r.symptom", "r.score")
 
 
+@query(o.chain(o.NARRATIVE_CTE, o.inference_ctes("src", "text"), last="select ticket_id, symptom as label, confidence as score from inferred"))
+def symptom_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each different text classified once."""
+    out = infer_distinct(read(spark, sf_dir, NARRATIVES).select("ticket_id", "text"), "text")
+    return out.select("ticket_id", label_and_score(F.col("inference")).alias("x")).select("ticket_id", "x.*")
+
+
+@query(f"select event_id, case event_id % 5 when 0 then {o.q(fixed.UX)} when 1 then {o.q(fixed.AUDIO)} when 2 then {o.q(fixed.TOO_SHORT)} else {o.q(fixed.UNKNOWN)} end as symptom from events")
+def parsed_symptoms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = F.when(F.col("event_id") % 5 == 0, fixed.UX).when(F.col("event_id") % 5 == 1, fixed.AUDIO).when(F.col("event_id") % 5 == 2, fixed.TOO_SHORT).when(F.col("event_id") % 5 == 3, F.col("event_type"))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", parse_symptom(told).alias("symptom"))
+
+
 # ---- logs -------------------------------------------------------------------------------------------------
 @query(o.chain(o.LOG_CTES, last="select ticket_id, line_number, symptom, label from hits"))
 def log_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,6 +193,35 @@ def capped_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("ticket_id", "line_number", "label", logs.excerpt(F.col("line")).alias("excerpt"))
 
 
+@query(o.chain(o.LOG_CTES, o.FILE_CTE, f"logged as (select ticket_id, count(*) as scanned_files from files where {o.ROLE_SQL} = 'log' group by ticket_id)", "tally as (select ticket_id, count(*) as n from hits group by ticket_id)", last="select ticket_id, scanned_files, coalesce(n, 0) as total_hits, coalesce(n, 0) > 3 as truncated, cast(least(coalesce(n, 0), 3) as bigint) as retained from logged left join tally using (ticket_id)"))
+def log_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tickets with log files, those without a hit too."""
+    files = bundles(read(spark, sf_dir, FILES)).where("bundle.logs > 0").select("ticket_id", F.col("bundle.logs").alias("scanned_files"))
+    out = logs.analyze(logs.find_hits(read(spark, sf_dir, LOG_LINES)), files, Config(log_max_hits=3))
+    return out.select("ticket_id", "log_analysis.scanned_files", "log_analysis.total_hits", "log_analysis.truncated", F.size("log_analysis.hits").cast("bigint").alias("retained"))
+
+
+@query(r"select doc_id, cast(i as bigint) as line_number, md5(line) as line from (select doc_id, unnest(l) as line, generate_subscripts(l, 1) as i from (select doc_id, regexp_split_to_array(regexp_replace(text, '(\r\n|\r|\n)$', ''), '\r\n|\r|\n') as l from documents where text <> ''))")
+def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents as log files, cut into numbered lines."""
+    files = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("ticket_id"), F.lit(0).alias("ord"), F.lit("app.log").alias("name"), F.encode("text", "UTF-8").alias("content"))
+    return log_lines.from_contents(files).select(F.col("ticket_id").cast("bigint").alias("doc_id"), "line_number", F.md5("line").alias("line"))
+
+
+@query(o.chain(o.LOG_CTES, last="select symptom, label, count(*) as hits from hits group by symptom, label"))
+def streamed_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log lines as a stream of files, tallied until it has run dry; the result has a row for each signature."""
+    from tamis.streaming import log_stream
+
+    path = f"{sf_dir}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", "true").parquet(sf_dir)
+    name = f"tally_{uuid.uuid4().hex}"
+    stream = log_stream.run(spark.sql(LOG_LINES, events=events), name, log_stream.checkpoint(spark, name))
+    stream.awaitTermination()
+    return spark.table(name)
+
+
 # ---- attachments and evidence -----------------------------------------------------------------------------
 @query(o.chain(o.FILE_CTE, last=f"select ticket_id, ord, name, {o.ROLE_SQL} as role from files"))
 def attachment_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,8 +240,13 @@ def text_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("ticket_id", has_time(F.col("text"), none, none).alias("has_time"), has_artifact(F.col("text"), none, none).alias("has_artifact"))
 
 
+@query(o.chain(o.FILE_CTE, f"flat as (select ticket_id, ord, name, regexp_replace(regexp_replace(regexp_replace(replace(name, '/', ' '), '\\s+', '_', 'g'), '[^A-Za-z0-9_.-]', '', 'g'), '^[._]+|[._]+$', '', 'g') as f from files)", "safe as (select *, case when f = '' then 'anexo_' || (ord % 100) else f end as s from flat)", last="select ticket_id, ord, name, case when regexp_matches(lower(s), '^.+\\.(txt|log|csv|json|out|png|jpg|jpeg|gif|bmp|pdf|zip)$') then lpad(cast(ord % 100 as varchar), 2, '0') || '_' || s end as upload from safe"))
+def upload_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, FILES).select("ticket_id", "ord", "name", archives.upload_name(F.col("ord") % 100, F.col("name")).alias("upload"))
+
+
 # ---- screening --------------------------------------------------------------------------------------------
-_VERDICTS = (o.TICKET_CTE, o.BLOCK_CTES, o.ANALYSIS_CTES, o.entity_ctes(), o.inference_ctes("masked", "masked"), o.VERDICT_CTES)
+_VERDICTS = (o.TICKET_CTE, o.BLOCK_CTES, o.ANALYSIS_CTES, o.entity_ctes(), o.inference_ctes("masked", "masked"), o.verdict_ctes())
 
 
 @query(o.chain(*_VERDICTS, last="select ticket_id, symptom, confidence, status, case status when 'APROVADO' then 0 when 'BLOQUEADO' then 1 else 2 end as exit_code, missing, masked from verdicts"))
@@ -214,16 +281,90 @@ def log_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_logs(spark, sf_dir).select("ticket_id", "symptom", F.col("log_analysis.dominant_symptom").alias("dominant"), "matches_text")
 
 
+_DISCARDED = "discarded as (select t.ticket_id, coalesce(string_agg(b.block, ',' order by b.block_no), '') as names from tickets t left join blocks b on b.ticket_id = t.ticket_id and b.block <> 'detalhes' group by t.ticket_id)"
+_LOGGED = "logged as (select l.ticket_id, count(h.line_number) as n from (select distinct ticket_id from log_lines) l left join hits h using (ticket_id) group by l.ticket_id)"
+#: A log file is an artifact.
+_LOGGED_VERDICTS = (*_VERDICTS[:-1], o.LOG_CTES, o.verdict_ctes("i.ticket_id in (select ticket_id from log_lines)"))
+_TOP = ("tally as (select ticket_id, symptom, count(*) as n from hits group by ticket_id, symptom)", "top as (select * from (select *, row_number() over (partition by ticket_id order by n desc, symptom) as r from tally) where r = 1)")
+
+
+@query(
+    o.chain(
+        *_LOGGED_VERDICTS, _DISCARDED, _LOGGED, *_TOP,
+        last=f"""select v.ticket_id, v.status, {o.case("v.status", fixed.ACTIONS)} as action, v.symptom, {o.case("v.symptom", fixed.SYMPTOM_LABELS)} as description, v.confidence, v.masked, v.missing,
+            d.names as discarded, case when l.ticket_id is not null then 1 else 0 end as logs, coalesce(l.n, 0) as hits, t.symptom as dominant,
+            case v.status when 'APROVADO' then 0 when 'BLOQUEADO' then 1 else 2 end as exit_code, case when v.status = 'BLOQUEADO' then 422 else 200 end as http_status
+            from verdicts v join discarded d using (ticket_id) left join logged l using (ticket_id) left join top t using (ticket_id)""",
+    )
+)
+def screening_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the JSON documents hold, read back from them."""
+    body = lambda path, kind="string": F.get_json_object("body", f"$.{path}").cast(kind)
+    rows = _with_logs(spark, sf_dir).select(screening_json().alias("body"), http_status(F.col("status")).alias("http_status"))
+    names = lambda path, by: F.array_join(F.from_json(body(path), "array<string>"), by)
+    return rows.select(
+        body("chamado").alias("ticket_id"), body("status").alias("status"), body("acao_necessaria").alias("action"), body("sintoma.codigo").alias("symptom"), body("sintoma.descricao").alias("description"),
+        body("confianca", "double").alias("confidence"), body("texto_analisado").alias("masked"), names("pendencias", "; ").alias("missing"), names("blocos_descartados", ",").alias("discarded"),
+        body("anexos.logs", "int").alias("logs"), F.coalesce(body("analise_log.ocorrencias", "bigint"), F.lit(0)).alias("hits"), body("analise_log.causa_dominante").alias("dominant"), body("codigo_saida", "int").alias("exit_code"), "http_status",
+    )
+
+
+@query(
+    o.chain(
+        *_LOGGED_VERDICTS, _LOGGED,
+        last=f"""select v.ticket_id, {o.case("v.status", fixed.STATUS_TITLES)} as title, case when v.status = 'BLOQUEADO' then 'Devolver chamado ao solicitante cobrando: ' || replace(v.missing, '; ', ', ') else {o.case("v.status", fixed.ACTIONS)} end as action,
+            case when l.n > 0 then l.n || ' ocorrência(s) em 1 arquivo(s)' || case when l.n > 100 then ' (exibindo os primeiros)' else '' end || ':' when l.n = 0 then 'Nenhuma assinatura de erro conhecida encontrada.' else '' end as log,
+            cast(least(coalesce(l.n, 0), 100) as bigint) as listed
+            from verdicts v left join logged l using (ticket_id)""",
+    )
+)
+def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the text reports, read back from them."""
+    line = lambda head: F.regexp_extract("report", rf"(?m)^\[{head}\] *: (.*)$", 1)
+    rows = _with_logs(spark, sf_dir).select("ticket_id", report().alias("report"))
+    tail = F.substring_index("report", "[ANÁLISE DE LOG]", -1)
+    listed = F.when(F.contains("report", F.lit("[ANÁLISE DE LOG]")), F.size(F.split(tail, r"\n  - app\.log:")) - 1).otherwise(0)
+    return rows.select("ticket_id", line("STATUS").alias("title"), line("AÇÃO NECESSÁRIA").alias("action"), line("ANÁLISE DE LOG").alias("log"), listed.cast("bigint").alias("listed"))
+
+
 # ---- sources ----------------------------------------------------------------------------------------------
-@query("select doc_id, text as decoded, text as lossy from documents where doc_id % 4 <> 2 union all select doc_id, 'Ligação “caiu” às 14h – €5', 'x' from documents where doc_id % 4 = 2")
+_LATIN = r"regexp_replace(text, '[^\x00-\xff]', '?', 'g')"
+
+
+@query(f"select doc_id, text as decoded, text as lossy from documents where doc_id % 4 <> 2 union all select doc_id, {_LATIN} || ' “€5”', 'x' from documents where doc_id % 4 = 2")
 def encoding_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.col("text")
-    cp1252 = F.unhex(F.lit("Ligação “caiu” às 14h – €5".encode("cp1252").hex()))
+    """Documents in three encodings, a quarter of them in Windows-1252, decoded again."""
+    text, marks = F.col("text"), " “€5”".encode("cp1252").hex()
+    cp1252 = F.concat(F.encode(F.regexp_replace(text, r"[^\x00-\xff]", "?"), "ISO-8859-1"), F.unhex(F.lit(marks)))
     content = F.when(F.col("doc_id") % 4 == 0, F.concat(F.unhex(F.lit("EFBBBF")), F.encode(text, "UTF-8"))).when(F.col("doc_id") % 4 == 2, cp1252).otherwise(F.encode(text, "UTF-8"))
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", content.alias("content"))
     return rows.select("doc_id", decode_ladder(F.col("content")).alias("decoded"), F.when(F.col("doc_id") % 4 == 2, "x").otherwise(F.regexp_replace(decode_lossy(F.col("content")), "^﻿", "")).alias("lossy"))
 
 
+@query("select doc_id, text as raw_text, not regexp_matches(coalesce(text, ''), '\\S') as bad, 8 as id_chars from documents")
+def inline_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = tickets.from_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
+    return made.select("doc_id", "raw_text", F.col("error").isNotNull().alias("bad"), F.length("ticket_id").alias("id_chars"))
+
+
+@query("select doc_id, case when doc_id % 3 = 0 then lang when doc_id % 3 = 1 and coalesce(text, '') <> '' then text else coalesce(case when doc_id % 3 = 2 then ' ' end, '') end as given, doc_id % 3 = 2 or (doc_id % 3 = 1 and not regexp_matches(coalesce(text, ''), '\\S')) as bad from documents where lang is not null")
+def request_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two text fields of requests: the first that is not empty is taken, and must not be blank."""
+    k = F.col("doc_id") % 3
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang is not null")
+    given = tickets.request_text(F.when(k == 0, F.col("lang")).when(k == 1, "").otherwise(" "), F.when(k == 1, F.col("text")))
+    return docs.select("doc_id", given.alias("g")).select("doc_id", F.col("g.text").alias("given"), F.col("g.error").isNotNull().alias("bad"))
+
+
+@query("""select event_id, '{"type":"/erros/chamado-nao-carregado","title":"Resposta da API sem id ou texto do chamado.","status":400' || case when event_id % 3 = 0 then '' else ',"detail":"' || event_id || '"' end || '}' as body from events where event_id % 3 <> 1""")
+def payload_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem documents of payloads without an identifier or without a text."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    bad = tickets.from_payloads(rows.select("event_id", F.when(F.col("event_id") % 3 != 0, F.col("event_id")).alias("id"), F.when(F.col("event_id") % 3 != 2, F.col("event_type")).alias("text"), F.lit(None).cast("array<string>").alias("attachment_paths")), "event_id")
+    e = F.col("error")
+    return bad.where(e.isNotNull()).select("event_id", problem(e["slug"], e["message"], e["http_status"], e["detail"]).alias("body"))
+
+
 @query("select case when event_id % 3 <> 0 then cast(event_id as varchar) end as ticket_id, event_type as raw_text, event_id % 3 = 0 as bad from events")
 def payload_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -240,9 +381,9 @@ def corpus_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("expected").agg(F.count(F.lit(1)).alias("tickets"), F.count_if(F.col("symptom") == F.col("expected")).alias("right"), F.count_if(F.col("matches_text")).alias("confirmed"))
 
 
-@query()
+@query("select cast(page_id as varchar) as ticket_id, case when page_id % 5 = 0 then 1 else 3 end as members, case when page_id % 5 = 0 then 1 else 0 end as errors, case when page_id % 5 = 0 then 1 else 3 end as hits from pages")
 def archive_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Archives built in the query, expanded, their logs numbered and scanned."""
+    """An archive and a plain log for each page, expanded, their lines numbered and scanned; a fifth of the archives is broken."""
     import io
     import zipfile
 
@@ -251,14 +392,16 @@ def archive_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         z.writestr("b/app.log", "INFO ok\r\nudp packet loss\nSIP/408 timeout")
         z.writestr("a.png", b"x")
         z.writestr("../evil.log", "packet loss")
-    files = spark.range(20).select(F.col("id").cast("string").alias("ticket_id"), F.lit(0).alias("ord"), F.lit("pacote.zip").alias("name"), F.when(F.col("id") % 5 == 0, F.unhex(F.lit("00"))).otherwise(F.unhex(F.lit(data.getvalue().hex()))).alias("content"))
-    out = archives.expand(files)
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").cast("string").alias("ticket_id"), (F.col("page_id") % 5 == 0).alias("broken"))
+    zips = pages.select("ticket_id", F.lit(0).alias("ord"), F.lit("pacote.zip").alias("name"), F.when(F.col("broken"), F.unhex(F.lit("00"))).otherwise(F.unhex(F.lit(data.getvalue().hex()))).alias("content"))
+    plain = pages.select("ticket_id", F.lit(1).alias("ord"), F.lit("direto.log").alias("name"), F.encode(F.lit("heap out of memory\n"), "UTF-8").alias("content"))
+    out = archives.expand(zips.unionByName(plain))
     lines = log_lines.from_contents(out.where("error is null").where(role(F.col("name")) == "log"))
     hits = logs.find_hits(lines).groupBy("ticket_id").agg(F.count(F.lit(1)).alias("hits"))
     return out.groupBy("ticket_id").agg(F.count("name").alias("members"), F.count("error").alias("errors")).join(hits, "ticket_id", "left")
 
 
-@query()
+@query(o.chain("src as materialized (select cast(page_id as varchar) as ticket_id, html as text from pages)", o.entity_ctes(), last="select cast(m.ticket_id as bigint) as page_id, cast(coalesce(n, 0) as integer) as entities, cast(length(masked) as integer) as n_chars, md5(masked) as masked from masked m left join (select ticket_id, count(*) as n from accepted group by ticket_id) using (ticket_id)"))
 def anonymized_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", anonymize(F.col("html")).alias("a"))
-    return rows.select("page_id", F.size("a.entities").alias("entities"), F.length("a.masked").alias("n_chars"))
+    return rows.select("page_id", F.size("a.entities").alias("entities"), F.length("a.masked").alias("n_chars"), F.md5("a.masked").alias("masked"))

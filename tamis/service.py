@@ -4,10 +4,18 @@ from __future__ import annotations
 
 import argparse
 import json
+import random
 import sys
+import threading
+import uuid
+from collections.abc import Iterator
+from email.parser import BytesParser
+from email.policy import HTTP
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from urllib.parse import parse_qs
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tamis import fixed
@@ -20,16 +28,22 @@ from tamis.sources import archives, log_lines, tickets
 PROBLEM = "application/problem+json"
 
 
-def screen_files(spark: SparkSession, ticket_id: str, text: str, paths: list[str], config: Config) -> DataFrame:
-    """Screening of one loaded ticket with the attachments at ``paths``."""
-    loaded = spark.createDataFrame([(ticket_id, text)], "ticket_id string, raw_text string")
-    if not paths:
-        return screen(loaded, config=config)
-    files = archives.expand(archives.read_given(spark, ticket_id, paths), config)
-    if bad := files.where("error is not null").select("error").first():
-        raise ValueError(bad["error"])
-    numbered = files.select("ticket_id", (F.col("ord") * 1000 + F.col("member")).alias("ord"), "name", "content")
-    return screen(loaded, numbered.select("ticket_id", "ord", "name"), log_lines.from_contents(numbered.where(role(F.col("name")) == "log")), config)
+def verdict(loaded: DataFrame, files: DataFrame | None, output: Column, config: Config) -> Row:
+    """(status, exit_code, text) of one loaded ticket with its attachments (ticket_id, ord, name, content); text is the output wanted."""
+    held: list[DataFrame] = []
+    try:
+        if files is None:
+            out = screen(loaded, config=config, held=held)
+        else:
+            files = archives.expand(files, config)
+            if bad := files.where("error is not null").select("error").first():
+                raise ValueError(bad["error"])
+            numbered = files.select("ticket_id", (F.col("ord") * 1000 + F.col("member")).alias("ord"), "name", "content")
+            out = screen(loaded, numbered.select("ticket_id", "ord", "name"), log_lines.from_contents(numbered.where(role(F.col("name")) == "log")), config, held=held)
+        return out.select("status", "exit_code", output.alias("text")).first()
+    finally:
+        for df in held:
+            df.unpersist()
 
 
 def _problem(status: int, title: str, slug: str, detail: str = "") -> tuple[int, str, str]:
@@ -40,7 +54,22 @@ def readable_limit(limit: int) -> str:
     return f"{limit // (1 << 20)} MB" if limit >= 1 << 20 else f"{limit // 1024} KB" if limit >= 1024 else f"{limit} bytes"
 
 
-def handle(spark: SparkSession, method: str, path: str, body: bytes, config: Config) -> tuple[int, str, str]:
+def form(body: bytes, content_type: str) -> tuple[dict[str, str], list[tuple[str, bytes]]]:
+    """(fields, uploads (name, bytes) in order: anexos, then attachments) of a form's body."""
+    if content_type.startswith("application/x-www-form-urlencoded"):
+        return {k: v[0] for k, v in parse_qs(body.decode("utf-8", "replace"), keep_blank_values=True).items()}, []
+    message = BytesParser(policy=HTTP).parsebytes(b"Content-Type: " + content_type.encode("latin-1", "replace") + b"\r\n\r\n" + body)
+    fields, uploads = {}, {"anexos": [], "attachments": []}
+    for part in message.iter_parts() if message.is_multipart() else ():
+        name, data = part.get_param("name", header="content-disposition"), part.get_payload(decode=True) or b""
+        if part.get_filename() is None:
+            fields.setdefault(name, data.decode("utf-8", "replace"))
+        elif name in uploads:
+            uploads[name].append((part.get_filename(), data))
+    return fields, [*uploads["anexos"], *uploads["attachments"]]
+
+
+def handle(spark: SparkSession, method: str, path: str, body: bytes, config: Config, content_type: str = "application/json") -> tuple[int, str, str]:
     """(status, content type, body) of a request."""
     ok = "application/json"
     if (method, path) == ("GET", "/healthz"):
@@ -55,26 +84,41 @@ def handle(spark: SparkSession, method: str, path: str, body: bytes, config: Con
         return _problem(404, "Recurso não encontrado.", "erro-http")
     if len(body) > config.api_max_content_length:
         return _problem(413, f"Envio excede o limite de {readable_limit(config.api_max_content_length)}.", "envio-muito-grande")
-    try:
-        payload = json.loads(body or b"{}")
-    except ValueError:
-        payload = {}
+    uploads: list[tuple[str, bytes]] = []
+    if content_type.split(";")[0].strip().endswith("json"):
+        try:
+            payload = json.loads(body or b"{}")
+        except ValueError:
+            payload = {}
+    else:
+        payload, uploads = form(body, content_type)
     if not isinstance(payload, dict):
         return _problem(500, "Erro interno ao processar o chamado.", "erro-interno")
     text = payload.get("texto") or payload.get("text") or ""
     if not isinstance(text, str) or not text.strip():
         return _problem(400, "Campo 'texto' é obrigatório e não pode estar vazio.", "requisicao-invalida", "envie JSON {'texto': '...'} ou um campo de formulário 'texto'")
-    loaded = tickets.from_texts(spark.createDataFrame([(text,)], "text string"))
-    row = screen(loaded, config=config).select("status", screening_json().alias("body")).first()
-    return (422 if row["status"] == fixed.BLOCKED else 200), ok, row["body"]
+    ticket = uuid.uuid4().hex[:8]
+    loaded = spark.createDataFrame([(ticket, text)], "ticket_id string, raw_text string")
+    files = None
+    if uploads:
+        sent = spark.createDataFrame([(ticket, i, name, data) for i, (name, data) in enumerate(uploads) if name], "ticket_id string, ord int, name string, content binary")
+        files = sent.withColumn("name", archives.upload_name(F.col("ord"), F.col("name"))).where("name is not null")
+    try:
+        row = verdict(loaded, files, screening_json(), config)
+    except ValueError as e:
+        return _problem(400, "Anexo inválido.", "anexo-invalido", str(e))
+    return (422 if row["status"] == fixed.BLOCKED else 200), ok, row["text"]
 
 
 def serve(spark: SparkSession, config: Config) -> ThreadingHTTPServer:
+    turn = threading.Lock()
+
     class Handler(BaseHTTPRequestHandler):
         def answer(self) -> None:
             length = int(self.headers.get("Content-Length") or 0)
             body = self.rfile.read(min(length, config.api_max_content_length + 1))
-            status, kind, text = handle(spark, self.command, self.path, body, config)
+            with turn:  # requests share one session
+                status, kind, text = handle(spark, self.command, self.path, body, config, self.headers.get("Content-Type") or "")
             self.send_response(status)
             self.send_header("Content-Type", kind)
             self.end_headers()
@@ -85,48 +129,74 @@ def serve(spark: SparkSession, config: Config) -> ThreadingHTTPServer:
     return ThreadingHTTPServer((config.api_host, config.api_port), Handler)
 
 
-def read_interactive(lines) -> str:
-    """Lines up to FIM; blank ones are skipped."""
-    kept = []
+def read_interactive(lines: Iterator[str]) -> Iterator[str]:
+    """Tickets typed in, each up to a line FIM; lines are kept as they come, tickets of blank lines are passed over, and one without FIM is dropped."""
+    kept: list[str] = []
     for line in lines:
         if line.strip().upper() == "FIM":
-            break
-        if line.strip():
-            kept.append(line if line.endswith("\n") else line + "\n")
-    return "".join(kept)
+            if (text := "\n".join(kept)).strip():
+                yield text
+            kept = []
+        else:
+            kept.append(line.removesuffix("\n"))
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     parser = argparse.ArgumentParser(prog="tamis")
-    parser.add_argument("--text")
-    parser.add_argument("--file")
+    source = parser.add_mutually_exclusive_group()
+    source.add_argument("--text")
+    source.add_argument("--text-file", "--file", dest="text_file")
+    source.add_argument("--api-source", action="store_true", help="one ticket of the pool at random, with its log")
+    parser.add_argument("--pool", default="data/raw", help="folder of the pool")
     parser.add_argument("--attachments", nargs="*", default=[])
     parser.add_argument("--json", action="store_true")
     parser.add_argument("--interactive", action="store_true")
+    parser.add_argument("--verbose", action="store_true")
+    parser.add_argument("--quiet", action="store_true")
     parser.add_argument("--serve", action="store_true")
     args = parser.parse_args(argv)
+    if not (args.text or args.text_file or args.api_source or args.interactive or args.serve):
+        parser.error("informe --text, --text-file, --api-source ou --interactive")
     config = Config.from_env()
     spark = spark or SparkSession.builder.appName("tamis").getOrCreate()
+    if args.verbose or args.quiet:
+        spark.sparkContext.setLogLevel("DEBUG" if args.verbose else "ERROR")
     if args.serve:
         serve(spark, config).serve_forever()
-    if args.file:
-        loaded = tickets.read_text_files(spark, args.file)
-    elif args.interactive:
-        loaded = spark.createDataFrame([("interativo", read_interactive(sys.stdin))], "ticket_id string, raw_text string").withColumn("error", F.lit(None).cast("struct<message:string,detail:string>"))
-    else:
-        loaded = tickets.from_texts(spark.createDataFrame([(args.text,)], "text string"))
-    ticket = loaded.first()
+    output = screening_json() if args.json else report(config=config)
+
+    def show(loaded: DataFrame, files: DataFrame | None) -> int:
+        row = verdict(loaded, files, output, config)
+        print(json.dumps(json.loads(row["text"]), ensure_ascii=False, indent=2) if args.json else row["text"])
+        return row["exit_code"]
+
+    if args.interactive:
+        for text in read_interactive(sys.stdin):
+            show(spark.createDataFrame([("interativo", text)], "ticket_id string, raw_text string"), None)
+        return 0
+    attached: DataFrame | None = None
+    try:
+        if args.text_file:
+            loaded = tickets.read_text_files(spark, args.text_file)
+        elif args.api_source:
+            pool, attached = tickets.read_pool(spark, args.pool)
+            loaded = tickets.pick(pool, random.randrange(1 << 31))
+        else:
+            loaded = tickets.from_texts(spark.createDataFrame([(args.text,)], "text string"))
+        ticket = loaded.first()
+    except AnalysisException:
+        ticket = None
     if ticket is None or ticket["error"]:
         print(f"{ticket['error']['message']} {ticket['error']['detail']}".strip() if ticket else "Chamado não encontrado.", file=sys.stderr)
         return fixed.EXIT_ERROR
+    name = ticket["ticket_id"]
+    paths = args.attachments if attached is None else [r["path"] for r in attached.where(F.col("ticket_id") == name).select("path").collect()]
     try:
-        out = screen_files(spark, ticket["ticket_id"], ticket["raw_text"], args.attachments, config)
+        files = archives.read_given(spark, name, paths) if paths else None
+        return show(spark.createDataFrame([(name, ticket["raw_text"])], "ticket_id string, raw_text string"), files)
     except ValueError as e:
         print(f"Anexo inválido: {e}", file=sys.stderr)
         return fixed.EXIT_ERROR
-    row = out.select("exit_code", (screening_json() if args.json else report(config=config)).alias("text")).first()
-    print(json.dumps(json.loads(row["text"]), ensure_ascii=False, indent=2) if args.json else row["text"])
-    return 0 if args.interactive else row["exit_code"]
 
 
 if __name__ == "__main__":

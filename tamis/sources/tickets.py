@@ -32,15 +32,15 @@ def read_text_files(spark: SparkSession, path: str, glob: str = "*") -> DataFram
     return rows.withColumn("error", F.when(empty, error(*NOT_LOADED, "O texto do chamado está vazio.", F.col("path"))))
 
 
-def from_texts(texts: DataFrame) -> DataFrame:
-    """(ticket_id, raw_text, error) of inline (text); identifiers are random and differ from run to run."""
-    rows = texts.select(F.substring(F.replace(F.expr("uuid()"), F.lit("-"), F.lit("")), 1, 8).alias("ticket_id"), F.col("text").alias("raw_text"))
+def from_texts(texts: DataFrame, *more: str) -> DataFrame:
+    """(ticket_id, raw_text, error) of inline (text), and more columns of it; identifiers are random and differ from run to run."""
+    rows = texts.select(*more, F.substring(F.replace(F.expr("uuid()"), F.lit("-"), F.lit("")), 1, 8).alias("ticket_id"), F.col("text").alias("raw_text"))
     return rows.withColumn("error", F.when(F.coalesce(strip(F.col("raw_text")), F.lit("")) == "", error(*NOT_LOADED, "O texto do chamado está vazio.", F.lit(""))))
 
 
-def from_payloads(payloads: DataFrame) -> DataFrame:
-    """(ticket_id, raw_text, attachment_paths, error) of (id, text, attachment_paths). A blank text is a text here."""
-    rows = payloads.select(F.col("id").cast("string").alias("ticket_id"), F.col("text").cast("string").alias("raw_text"), F.coalesce("attachment_paths", F.array().cast("array<string>")).alias("attachment_paths"))
+def from_payloads(payloads: DataFrame, *more: str) -> DataFrame:
+    """(ticket_id, raw_text, attachment_paths, error) of (id, text, attachment_paths), and more columns of it. A blank text is a text here."""
+    rows = payloads.select(*more, F.col("id").cast("string").alias("ticket_id"), F.col("text").cast("string").alias("raw_text"), F.coalesce("attachment_paths", F.array().cast("array<string>")).alias("attachment_paths"))
     lacking = (F.coalesce("ticket_id", F.lit("")) == "") | (F.coalesce("raw_text", F.lit("")) == "")
     return rows.withColumn("error", F.when(lacking, error(*NOT_LOADED, "Resposta da API sem id ou texto do chamado.", F.coalesce("ticket_id", F.lit("")))))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -20,6 +22,12 @@ def tally(lines: DataFrame) -> DataFrame:
     return hits.groupBy("m.symptom", "m.label").agg(F.count(F.lit(1)).alias("hits"))
 
 
+def checkpoint(spark: SparkSession, name: str) -> str:
+    """A folder for a query's state below the shared one that the cluster names; a temporary one where none is set, as in tests."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return f"{(root or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/{name}"
+
+
 def run(lines: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
     """Tally what is there and stop; the checkpoint lets a later run go on from there."""
     return tally(lines).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,4 +1,6 @@
+import io
 import json
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -85,4 +87,44 @@ def test_command_line(spark, tmp_path, capsys):
     assert code == 0 and body["chamado"] == "req1" and body["analise_log"]["causa_dominante"] == fixed.AUDIO
     (tmp_path / "blank.md").write_text(" \n")
     assert main(["--file", str(tmp_path / "blank.md")], spark) == fixed.EXIT_ERROR
-    assert read_interactive(["um\n", "\n", "dois\n", " fim \n", "x\n"]) == "um\ndois\n"
+    assert list(read_interactive(["um\n", "\n", "  dois\n", " fim \n", " \n", "FIM\n", "x\n", "Fim", "y\n"])) == ["um\n\n  dois", "x"]
+
+
+def test_command_line_sources(spark, tmp_path, capsys, monkeypatch):
+    spark.catalog.clearCache()
+    for argv in ([], ["--text", "a", "--text-file", "b"], ["--text", "a", "--api-source"], ["--what"]):
+        with pytest.raises(SystemExit) as stop:
+            main(argv, spark)
+        assert stop.value.code == 2
+    assert main(["--text-file", str(tmp_path / "gone.md")], spark) == fixed.EXIT_ERROR
+    (tmp_path / "req7.md").write_bytes("Detalhes:\ndetalhe1 -> a ligação caiu no meio da chamada às 14:30".encode("cp1252"))
+    (tmp_path / "req7_log.txt").write_text("packet loss\n")
+    capsys.readouterr()
+    code = main(["--api-source", "--pool", str(tmp_path), "--json"], spark)
+    body = json.loads(capsys.readouterr().out)
+    assert code == 1 and body["chamado"] == "req7" and body["analise_log"]["confere_com_texto"] is True
+    monkeypatch.setattr("sys.stdin", io.StringIO("bom dia obrigado\nFIM\n\nFIM\na tela ficou branca e o sistema congelou\nfim\n"))
+    assert main(["--interactive"], spark) == 0
+    assert capsys.readouterr().out.count("[CHAMADO]          : interativo") == 2
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
+
+
+def test_uploads(spark):
+    archive = io.BytesIO()
+    with zipfile.ZipFile(archive, "w") as z:
+        z.writestr("app.log", "packet loss\nSIP/408\n")
+    edge = "----x"
+
+    def send(*parts, kind=f"multipart/form-data; boundary={edge}"):
+        body = b"".join(b"--" + edge.encode() + b"\r\nContent-Disposition: form-data; " + head.encode() + b"\r\n\r\n" + data + b"\r\n" for head, data in parts) + b"--" + edge.encode() + b"--\r\n"
+        return handle(spark, "POST", "/api/v1/screenings", body, Config(), kind)
+
+    text = ('name="texto"', "a tela ficou branca e o sistema congelou".encode())
+    assert send(text)[0] == 422
+    status, _, body = send(text, ('name="anexos"; filename="foto 1.PNG"', b"\x89PNG"), ('name="attachments"; filename="logs.zip"', archive.getvalue()), ('name="anexos"; filename="nota.docx"', b"x"), ('name="outro"; filename="a.log"', b"x"))
+    body = json.loads(body)
+    assert status == 200 and body["anexos"] == {"logs": 1, "visuais": 1, "outros": 0, "total": 2} and body["analise_log"]["ocorrencias"] == 2
+    status, kind, body = send(text, ('name="anexos"; filename="bad.zip"', b"no zip"))
+    assert status == 400 and kind == "application/problem+json" and json.loads(body)["type"] == "/erros/anexo-invalido"
+    assert send(('name="text"', b" "))[0] == 400
+    assert handle(spark, "POST", "/api/v1/screenings", "texto=bom+dia+obrigado".encode(), Config(), "application/x-www-form-urlencoded")[0] == 200
