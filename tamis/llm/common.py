@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -113,3 +114,19 @@ def name_rows(docs: DataFrame, salted: bool) -> DataFrame:
 def odd_names(docs: DataFrame) -> bool:
     """Whether a doc_id is null or repeated."""
     return not docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").isEmpty()
+
+
+FILTER_BITS = 24
+
+
+def member_filter(keys: DataFrame) -> Callable[[Column], Column]:
+    """A test whether a value may be one of keys (one column): no for most others, never for one of them.
+
+    The filter has 2^FILTER_BITS bits (2 MiB) in words of 64, one array for all rows, however many keys there are.
+    """
+    place = lambda value: F.pmod(F.xxhash64(value), F.lit(1 << FILTER_BITS))
+    words = keys.select(place(F.col(keys.columns[0])).alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits"))
+    every = keys.sparkSession.range(1 << FILTER_BITS - 6).select(F.col("id").alias("word")).join(words, "word", "left")
+    listed = F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits"))))
+    table_ = stored(every.agg(F.transform(listed, lambda w: w["bits"]).alias("words")), "member-filter").scalar()
+    return lambda value: F.getbit(F.get(table_, F.shiftright(place(value), 6).cast("int")), (place(value) % 64).cast("int")) == 1

@@ -9,8 +9,9 @@ Targets: sources by code point with null last weigh 5, 2, 1, repeating, and shar
 target stops at ``max_epochs`` times its source's size; the excess is shared again by weight among the
 others until none is above. Whole copies are taken: a target of r times the source's size gives every
 document floor(r) copies and one more to those in the first r - floor(r) of the source's tokens, in the
-order of a hash of the identifier. Running sums are taken in two levels (sums of hash ranges, then rows
-within a range) so that no task holds a source, however large. Target arithmetic runs on one row per source.
+order of a hash of the identifier. Running sums are taken in levels (spans of hash ranges, ranges, then rows
+within a range) so that no task holds a source, however large. Target arithmetic runs on one row per source, in
+running sums over parts of the sources' order, so that no task holds all sources.
 
 Null text has size 0; documents of size 0 are returned with nothing taken and no position; a null source is
 a source of its own, last; a repeated doc_id counts as rows of the same hash, ordered by source and size.
@@ -31,6 +32,7 @@ STARTS = (0.5, 1.0, 1.5)
 TOTAL_SHARE = 1.5
 MAX_EPOCHS = 2.0
 RANGE_ROWS = 4096
+SPAN_RANGES = 4096
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -40,26 +42,38 @@ def n_words(text: Column) -> Column:
     return F.length(F.translate(packed, " \t\n\u000b\f\r", "")).cast("bigint")
 
 
+def running(rows: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
+    """rows with sums over all rows up to each in the order, which must have no ties: by parts of the order, then within a part."""
+    placed = rows.select("*", *(c.alias(f"own_{name}") for name, c in sums.items())).repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    placed = stored(placed, "mix-ordered")
+    parts = placed.groupBy("part").agg(*(F.sum(f"own_{name}").alias(name) for name in sums))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
+    parts = parts.select("part", *(F.coalesce(F.sum(name).over(earlier), F.lit(0)).alias(f"before_{name}") for name in sums))
+    within = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = placed.join(F.broadcast(parts), "part")
+    return out.select(*rows.columns, *((F.col(f"before_{name}") + F.sum(f"own_{name}").over(within)).alias(name) for name in sums))
+
+
 def targets(sizes: DataFrame, weights=WEIGHTS, starts=STARTS, total_share: float = TOTAL_SHARE, max_epochs: float = MAX_EPOCHS) -> DataFrame:
     """(source, source_size) -> also target, start. Water-filling in closed form.
 
     A source is full exactly if its cap over its weight is below the common level; in the order of
     cap / weight, the level after the first k are full is (total - their caps) / (weight of the rest).
     """
-    turn = Window.orderBy(F.col("source").isNull(), "source")  # one row for each source
-    kind = ((F.row_number().over(turn) - 1) % len(weights)).cast("int")
+    by_name = [F.col("source").isNull(), F.col("source")]
+    kind = ((F.col("turn") - 1) % len(weights)).cast("int")
     weight = F.element_at(F.array(*map(F.lit, weights)), kind + 1)
     start = F.element_at(F.array(*map(F.lit, starts)), kind + 1)
-    rows = sizes.select("source", "source_size", weight.alias("weight"), start.alias("start"), (F.lit(max_epochs) * F.col("source_size")).alias("cap"))
-    by_level = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").isNull(), "source").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    everything = Window.partitionBy(F.lit(1))
-    total = F.lit(total_share) * F.sum("source_size").over(everything)
-    rows = rows.select("*", F.sum("cap").over(by_level).alias("caps"), F.sum("weight").over(by_level).alias("weights"), total.alias("total"), F.sum("weight").over(everything).alias("all_weights"))
-    # the level if this source and those before it are full, without it; it is full if its own cap is below the level before it
-    before = (F.col("total") - (F.col("caps") - F.col("cap"))) / (F.col("all_weights") - (F.col("weights") - F.col("weight")))
-    rows = rows.select("*", (F.col("cap") / F.col("weight") <= before).alias("full"), before.alias("level"))
-    level = F.min(F.when(~F.col("full"), F.struct(F.col("caps"), F.col("level")))).over(everything)["level"]
-    return rows.select("source", "source_size", F.when(F.col("full"), F.col("cap")).otherwise(level * F.col("weight")).alias("target"), "start")
+    rows = running(sizes.select("source", "source_size"), by_name, turn=F.lit(1).cast("bigint"))
+    rows = stored(rows.select("source", "source_size", weight.alias("weight"), start.alias("start"), (F.lit(max_epochs) * F.col("source_size")).alias("cap")), "mix-sources")
+    all_size, all_weights = rows.agg(F.sum("source_size"), F.sum("weight")).first()
+    total = total_share * (all_size or 0)
+    rows = running(rows, [F.col("cap") / F.col("weight"), *by_name], caps=F.col("cap"), weights=F.col("weight"))
+    # the level if the sources before it are full, without it; it is full if its own cap is below that
+    level = (F.lit(total) - (F.col("caps") - F.col("cap"))) / (F.lit(all_weights) - (F.col("weights") - F.col("weight")))
+    rows = stored(rows.select("*", level.alias("level")).select("*", (F.col("cap") / F.col("weight") <= F.col("level")).alias("full")), "mix-levels")
+    left = rows.where("not full").agg(F.min(F.struct("caps", "level"))["level"]).first()[0]
+    return rows.select("source", "source_size", F.when(F.col("full"), F.col("cap")).otherwise(F.lit(left).cast("double") * F.col("weight")).alias("target"), "start")
 
 
 def inverse_demand(share: Column, start: Column) -> Column:
@@ -80,9 +94,13 @@ def curriculum(docs: DataFrame, **kinds) -> DataFrame:
     rows = rows.withColumnRenamed("source", "s").join(plan, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     ranged = rows.withColumn("range", F.expr("shiftright(spot, bits)"))
     sums = ranged.groupBy("source", "range").agg(F.sum("size").alias("words"))
-    # rows of a source's ranges: one for each RANGE_ROWS / 2 documents or more
-    ordered = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col("source").alias("s"), F.col("range").alias("r"), F.coalesce(F.sum("words").over(ordered), F.lit(0)).alias("before"))
+    # a source has a range for RANGE_ROWS / 2 documents or more, and a span for SPAN_RANGES ranges
+    sums = stored(sums.withColumn("span", F.floor(F.col("range") / SPAN_RANGES)), "mix-ranges")
+    earlier = Window.rowsBetween(Window.unboundedPreceding, -1)
+    spans = sums.groupBy("source", "span").agg(F.sum("words").alias("words"))
+    spans = spans.select(F.col("source").alias("s"), F.col("span").alias("p"), F.coalesce(F.sum("words").over(earlier.partitionBy("source").orderBy("span")), F.lit(0)).alias("below"))
+    sums = sums.withColumn("here", F.coalesce(F.sum("words").over(earlier.partitionBy("source", "span").orderBy("range")), F.lit(0)))
+    sums = sums.join(spans, F.col("source").eqNullSafe(F.col("s")) & (F.col("span") == F.col("p"))).select(F.col("source").alias("s"), F.col("range").alias("r"), (F.col("below") + F.col("here")).alias("before"))
     within = Window.partitionBy("source", "range").orderBy("spot", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = ranged.withColumn("upto", F.sum("size").over(within)).join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r"))).drop("s", "r")
     upto, size, whole = F.col("before") + F.col("upto"), F.col("size"), F.col("source_size")

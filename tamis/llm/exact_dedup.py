@@ -3,8 +3,8 @@
 * ``flush``: every partition of a batch is a memtable; it is sorted by digest and written as one immutable
   sorted run (Parquet files with a Bloom filter on the digest, which lookups by digest can skip by).
 * ``compact``: the runs are merged; one row for each digest keeps the identifier that stays and the count.
-* ``lookup``: the digests that occur more than once, the hits, are folded into a filter of fixed size
-  (``FILTER_BITS`` bits, 2 MiB, however many there are). Rows that it passes are all rows of hits and few others;
+* The digests that occur more than once, the hits, are folded into a filter of fixed size
+  (``common.member_filter``, 2 MiB, however many there are). Rows that it passes are all rows of hits and few others;
   only their texts are shuffled.
 * ``verify``: these are held byte for byte: texts are grouped by (text, digest), which compares the texts
   themselves. Copies collapse before that shuffle, so a group with a third of all rows costs each task one row. A
@@ -22,10 +22,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.llm.common import scratch_path, stored, table, text_or_empty
+from tamis.llm.common import member_filter, scratch_path, stored, table, text_or_empty
 
 RUN_SCHEMA = "doc_id bigint, digest binary"
-FILTER_BITS = 24
 
 
 def sha256(text: Column) -> Column:
@@ -54,20 +53,6 @@ def compact(runs: DataFrame, keep: str = "min") -> DataFrame:
     return runs.groupBy("digest").agg(best("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
 
 
-def place(digest: Column) -> Column:
-    """Bit of the filter for a digest."""
-    return F.pmod(F.xxhash64(digest), F.lit(1 << FILTER_BITS))
-
-
-def lookup(hits: DataFrame) -> Column:
-    """Whether a row's digest may be among the hits, by a filter of 2^FILTER_BITS bits in words of 64, one array for all rows."""
-    words = hits.select(place(F.col("digest")).alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits"))
-    every = hits.sparkSession.range(1 << FILTER_BITS - 6).select(F.col("id").alias("word")).join(words, "word", "left")
-    table = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits")))), lambda w: w["bits"]).alias("words"))
-    at = place(F.col("digest"))
-    return F.getbit(F.get(stored(table, "digest-filter").scalar(), F.shiftright(at, 6).cast("int")), (at % 64).cast("int")) == 1
-
-
 def _rows(docs: DataFrame, digest) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text")).withColumn("digest", digest(F.col("text")))
 
@@ -78,7 +63,7 @@ def verify(docs: DataFrame, hits: DataFrame, keep: str = "min", digest=sha256) -
     Texts are grouped before the hits are joined: a join by digest would first bring all copies of a text together.
     """
     best = {"min": F.min, "max": F.max}[keep]
-    groups = _rows(docs, digest).where(lookup(hits)).groupBy("text", "digest").agg(best("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = _rows(docs, digest).where(member_filter(hits.select("digest"))(F.col("digest"))).groupBy("text", "digest").agg(best("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     texts = F.struct("keep_id", "group_size", F.sha2(F.encode("text", "UTF-8"), 512).alias("exact"))
     return groups.select("digest", texts.alias("group")).join(hits.select("digest"), "digest", "left_semi")
 

@@ -4,9 +4,9 @@ A list is a log of dated entries (pattern, action 'add' or 'drop', day). Per pat
 intervals [added, dropped), open at the end where nothing drops them; repeated adds and drops change nothing. A
 capture matches a pattern if it is the capture's host, a parent domain of it, or such a domain with a leading
 part of the path, and the as-of join keeps those whose interval holds the capture's fetch time. The join runs on
-equal keys: a capture is exploded into its possible patterns, as many as it has labels and path parts (paths
-beyond ``MAX_PATH_PARTS`` parts can't match entries that long; entries of more parts raise an error), and the
-newest entry at or before the fetch time decides.
+equal keys: a capture is exploded into its possible patterns, as many as it has labels and path parts (of these as
+many as the list's deepest entry has), those that a filter of the list's patterns rules out go before any shuffle,
+and the newest entry at or before the fetch time decides.
 
 Null or hostless urls and null fetch times match nothing and are kept; repeated rows give equal results;
 entries with null fields are ignored; adds and drops of one instant count as a drop. Extra columns are ignored;
@@ -18,9 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tamis.llm.common import stored, table
-
-MAX_PATH_PARTS = 4
+from tamis.llm.common import member_filter, stored, table
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -36,25 +34,25 @@ def host_of(url: Column) -> Column:
     return F.regexp_replace(host, r"\.+$", "")
 
 
-def patterns_of(url: Column) -> Column:
-    """All patterns that would match a url: parent domains, alone and with leading path parts."""
+def patterns_of(url: Column, depth: int) -> Column:
+    """All patterns that would match a url: parent domains, alone and with up to ``depth`` leading path parts."""
     labels = F.split(host_of(url), r"\.")
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     path = F.regexp_extract(F.lower(F.coalesce(url, F.lit(""))), r"^[a-z][a-z0-9+.-]*://[^/?#]*/([^?#]*)", 1)
     parts = F.filter(F.split(path, "/"), lambda x: x != "")
-    prefixes = F.transform(F.sequence(F.lit(0), F.least(F.size(parts), F.lit(MAX_PATH_PARTS))), lambda i: F.when(i == 0, F.lit("")).otherwise(F.concat(F.lit("/"), F.array_join(F.slice(parts, 1, F.greatest(i, F.lit(1))), "/"))))
+    prefixes = F.transform(F.sequence(F.lit(0), F.least(F.size(parts), F.lit(depth))), lambda i: F.when(i == 0, F.lit("")).otherwise(F.concat(F.lit("/"), F.array_join(F.slice(parts, 1, F.greatest(i, F.lit(1))), "/"))))
     return F.when(host_of(url) != "", F.array_distinct(F.flatten(F.transform(domains, lambda d: F.transform(prefixes, lambda p: F.concat(d, p))))))
 
 
 def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """(page_id, url, fetched_at, blocked, pattern, valid_from) of every capture; pattern: the longest active one."""
     listed = stored(intervals(entries), "url-intervals")
-    if not listed.where(F.size(F.split("pattern", "/")) > MAX_PATH_PARTS + 1).isEmpty():
-        raise ValueError(f"list entries have more than {MAX_PATH_PARTS} path parts")
+    depth = listed.agg(F.max(F.size(F.split("pattern", "/")))).first()[0] or 1
+    known = member_filter(listed.select("pattern"))
     rows = captures.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "fetched_at")
     # keys that no capture can lack: urls are matched once for each (url, time), and the rows joined back
     asked = rows.where("url is not null and fetched_at is not null").select("url", "fetched_at").distinct()
-    asked = asked.select("url", "fetched_at", F.explode(patterns_of(F.col("url"))).alias("pattern"))
+    asked = asked.select("url", "fetched_at", F.explode(patterns_of(F.col("url"), depth - 1)).alias("pattern")).where(known(F.col("pattern")))
     hits = asked.join(listed, "pattern").where((F.col("valid_from") <= F.col("fetched_at")) & (F.col("valid_to").isNull() | (F.col("fetched_at") < F.col("valid_to"))))
     best = hits.groupBy("url", "fetched_at").agg(F.max(F.struct(F.length("pattern"), F.col("pattern"), F.col("valid_from"))).alias("m")).select("url", "fetched_at", "m.pattern", "m.valid_from")
     return rows.join(best, ["url", "fetched_at"], "left").select("page_id", "url", "fetched_at", F.col("pattern").isNotNull().alias("blocked"), "pattern", "valid_from")

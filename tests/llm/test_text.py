@@ -397,8 +397,9 @@ def test_url_filter(spark):
     rows = url_filter.filter_urls(c, e).collect()
     assert len(rows) == len(captures) and {r["page_id"]: r["pattern"] for r in rows if r["blocked"]} == {2: "bad.example", 4: "bad.example", 6: "ok.example/spam/x"}
     assert url_filter.filter_urls(c, e.limit(0)).where("blocked").count() == 0 and url_filter.filter_urls(c.limit(0), e).count() == 0
-    with pytest.raises(ValueError):
-        url_filter.filter_urls(c, spark.createDataFrame([("a/b/c/d/e/f", "add")], "pattern string, action string").withColumn("at", F.to_timestamp_ntz(F.lit("2024-01-01"))))
+    deep = spark.createDataFrame([("ok.example/spam/x/y/a/b/c", "add")], "pattern string, action string").withColumn("at", F.to_timestamp_ntz(F.lit("2024-01-01")))
+    far = spark.createDataFrame([(1, "http://www.ok.example/spam/x/y/a/b/c/d?e"), (2, "http://ok.example/spam/x/y/a/b")], "page_id bigint, url string").withColumn("fetched_at", F.to_timestamp_ntz(F.lit("2024-02-01")))
+    assert {r["page_id"]: r["blocked"] for r in url_filter.filter_urls(far, deep).collect()} == {1: True, 2: False}
 
 
 # ---- mixing -----------------------------------------------------------------------------------------------
