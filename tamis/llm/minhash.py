@@ -243,3 +243,21 @@ def cluster(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFram
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster(table(spark, sf_dir, "documents")).drop("row")
+
+
+SQL = r"""
+with recursive w as materialized (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as materialized (
+  select distinct doc_id, md5(array_to_string(w[i:i + 4], ' ')) as h from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from w where len(w) > 0)),
+n as materialized (select doc_id, count(*) as n from s group by doc_id),
+links as materialized (
+  select p.x, p.y from (select l.doc_id as x, r.doc_id as y, count(*) as both from s l join s r on l.h = r.h and l.doc_id < r.doc_id group by l.doc_id, r.doc_id) p
+  join n nx on nx.doc_id = p.x join n ny on ny.doc_id = p.y where 100 * p.both >= 75 * (nx.n + ny.n - p.both)),
+reach as (
+  select x as doc_id, y as other from links union select y, x from links
+  union
+  select r.doc_id, l.other from reach r join (select x, y as other from links union all select y, x from links) l on l.x = r.other),
+low as (select doc_id, min(other) as m from reach group by doc_id)
+select w.doc_id, coalesce(n.n, 0) as n_shingles, least(w.doc_id, coalesce(low.m, w.doc_id)) as component_id, w.doc_id <= coalesce(low.m, w.doc_id) as kept
+from w left join n using (doc_id) left join low using (doc_id)
+"""

@@ -128,3 +128,15 @@ def dedup(docs: DataFrame, batches: int = BATCHES, width: int = WIDTH, gram: int
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL = r"""
+with t as materialized (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+win as materialized (select doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) as h from (select doc_id, w, unnest(range(1, len(w) - 48)) as i from t where len(w) >= 50)),
+low as (select h, min(doc_id) as d from win group by h having count(*) > 1),
+gone as materialized (select distinct doc_id, i + k as p from (select win.doc_id, i from win join low using (h) where win.doc_id > low.d), range(50) r(k)),
+kept as (select a.doc_id, string_agg(a.x, ' ' order by a.p) as x from (select doc_id, unnest(w) as x, generate_subscripts(w, 1) as p from t) a anti join gone g on g.doc_id = a.doc_id and g.p = a.p group by a.doc_id),
+n as (select doc_id, count(*) as n from gone group by doc_id)
+select t.doc_id, cast(len(w) as bigint) as n_words, coalesce(n.n, 0) as n_removed, sha256(coalesce(kept.x, '')) as kept_sha256
+from t left join n using (doc_id) left join kept using (doc_id)
+"""

@@ -73,3 +73,18 @@ def keep(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = keep(repeated(table(spark, sf_dir, "documents")))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL = r"""
+with t as materialized (select doc_id, hex(encode(coalesce(text, ''))) as b from documents),
+win as materialized (select doc_id, i, md5(substr(b, cast(2 * i + 1 as integer), 400)) as h from (select doc_id, b, unnest(range(0, length(b) // 2 - 199)) as i from t where length(b) >= 400)),
+twice as (select h from win group by h having count(*) > 1),
+starts as materialized (select doc_id, i, row_number() over (partition by doc_id order by i) as r, case when i > lag(i) over (partition by doc_id order by i) + 200 then 1 else 0 end as cut from win semi join twice using (h)),
+runs as materialized (select doc_id, s, min(i) as a, max(i) + 200 as z from (select *, sum(cut) over (partition by doc_id order by i) as s from starts) group by doc_id, s),
+told as (select doc_id, count(*) as n_spans, sum(z - a) as n_removed from runs group by doc_id),
+holes as (select doc_id, a, z, coalesce(lag(z) over (partition by doc_id order by a), 0) as before from runs),
+kept as (select h.doc_id, string_agg(substr(t.b, cast(2 * before + 1 as integer), cast(2 * (a - before) as integer)), '' order by a) as x, max(z) as z from holes h join t using (doc_id) group by h.doc_id)
+select t.doc_id, cast(length(t.b) // 2 as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans,
+       sha256(unhex(coalesce(kept.x || substr(t.b, cast(2 * kept.z + 1 as integer)), t.b))) as kept_sha256
+from t left join told using (doc_id) left join kept using (doc_id)
+"""

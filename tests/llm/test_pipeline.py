@@ -1,9 +1,11 @@
 import zlib
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tamis.llm import language_id, minhash
+from tamis.llm import language_id, minhash, registry
 from tests.llm.test_dedup import exact_expected, minhash_expected
 from tests.llm.test_text import leaks
 
@@ -38,6 +40,19 @@ def test_stages_against_brute_force(spark):
     assert minhash.WORDS == 5 and minhash.PERCENT == 75
 
 
+@pytest.mark.parametrize("name", sorted(n for n, sql in registry.oracle_sql().items() if n != "pipeline"))
+def test_query_against_duckdb(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages", "benchmark"):
+        con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    want = con.sql(registry.oracle_sql()[name]).df()
+    got = registry.queries()[name](spark, SF).toPandas()
+    columns = sorted(want.columns)
+    assert sorted(got.columns) == columns
+    rows = lambda df: sorted(map(repr, df[columns].astype(object).where(df[columns].notna(), None).values.tolist()))
+    assert rows(got) == rows(want)
+
+
 def test_stages_with_odd_rows(spark):
     """Rows of one doc_id with different texts go or stay by themselves; null ids can go; extra columns come along."""
     item = next(r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if len(r["text"].split()) > 15)
