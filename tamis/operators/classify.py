@@ -48,11 +48,14 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(fold_accents(F.lower(text)), r"(?U)[\s\x1c-\x1f]+"), lambda w: w != "")
 
 
-def grams_of(word: Column, config: Config = DEFAULT) -> Column:
-    padded = F.concat(F.lit(" "), word, F.lit(" "))
-    sizes = F.array(*(F.lit(n) for n in range(config.nlp_ngram_min, config.nlp_ngram_max + 1)))
-    fitting = F.filter(sizes, lambda n: n <= F.length(padded))
-    return F.flatten(F.transform(fitting, lambda n: F.transform(F.sequence(F.lit(1), F.length(padded) - n + 1), lambda i: F.substring(padded, i, n))))
+def with_grams(words: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """Rows of (word, ...) once for each n-gram of the word, as gram: cut place by place, which Spark compiles, where lambdas are interpreted."""
+    low, high = config.nlp_ngram_min, config.nlp_ngram_max
+    kept = [c for c in words.columns if c != "word"]
+    padded = words.select(*kept, F.concat(F.lit(" "), "word", F.lit(" ")).alias("_w")).where(F.length("_w") >= low)
+    places = padded.select(*kept, "_w", F.explode(F.sequence(F.lit(1), F.length("_w") - (low - 1))).alias("_i"))
+    cut = [F.when(F.col("_i") + (n - 1) <= F.length("_w"), F.substring("_w", F.col("_i"), F.lit(n))) for n in range(low, high + 1)]
+    return places.select(*kept, F.explode(F.array(*cut)).alias("gram")).where("gram is not null")
 
 
 def scores(texts: DataFrame, key: str, text: str, config: Config = DEFAULT) -> DataFrame:
@@ -61,7 +64,7 @@ def scores(texts: DataFrame, key: str, text: str, config: Config = DEFAULT) -> D
     # one exchange, by key; the sums below are all by key first and need no other
     words = texts.select(key, text).repartition(F.col(key)).select(key, F.explode(words_of(F.col(text))).alias("word"))
     counted = words.groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
-    grams = counted.select(key, "n", F.explode(grams_of(F.col("word"), config)).alias("gram")).join(model.select("gram"), "gram")
+    grams = with_grams(counted, config).join(model.select("gram"), "gram")
     tf = grams.groupBy(key, "gram").agg(F.sum("n").alias("n")).join(model, "gram")
     q = (1 + F.log("n")) * F.col("idf")
     sums = tf.select(key, q.alias("q"), "weights").groupBy(key).agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("norm"), *(F.sum(F.col("q") * F.get("weights", F.lit(k))).alias(f"s{k}") for k in range(len(fixed.ANCHORS))))

@@ -96,3 +96,12 @@ def test_many_matches_in_one_text(spark):
     for r in rows:
         want = [(m.start(), m.end()) for m in re.finditer("a@b.co", texts[r["i"]])]
         assert [(e["start"], e["end"]) for e in r["e"]] == want and all(e["raw"] == "a@b.co" for e in r["e"])
+
+
+def test_long_texts_without_digits_in_the_way(spark):
+    """Looking at the bones of a text costs no stack, however long it is, and hides no match."""
+    fill = "palavra - (outra) / mais. " * 40_000
+    texts = [fill + "valor R$  1.234,56 " + fill + "ligar (11) 98765-4321 " + fill, "cc:12345 x ag 123-4", "tel: ١٢٣٤٥-١٢٣٤"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", detect(F.col("text")).alias("e")).collect()
+    found = {r["i"]: [(e["kind"], e["raw"]) for e in r["e"]] for r in rows}
+    assert found[0] == [("VALOR", "R$  1.234,56"), ("TELEFONE", "(11) 98765-4321")] and [k for k, _ in found[1]] == ["CONTA", "CONTA"] and [k for k, _ in found[2]] == ["TELEFONE"]
