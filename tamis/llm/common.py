@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable
 from weakref import WeakKeyDictionary
 
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,8 +29,15 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-#: Scratch tables by session.
+#: Scratch tables and broadcast values by session.
 _made: WeakKeyDictionary[SparkSession, list[str]] = WeakKeyDictionary()
+_shared: WeakKeyDictionary[SparkSession, list[Broadcast]] = WeakKeyDictionary()
+
+
+def share(spark: SparkSession, value: object) -> Broadcast:
+    """value, of a size that its operator bounds, on every executor until the session is swept."""
+    _shared.setdefault(spark, []).append(spark.sparkContext.broadcast(value))
+    return _shared[spark][-1]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -44,8 +52,10 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def sweep(spark: SparkSession) -> None:
-    """Delete all scratch tables of this session; results that read them must have been written."""
-    made = _made.get(spark, [])
+    """Delete all scratch tables and broadcast values of this session; results that read them must have been written."""
+    made, shared = _made.get(spark, []), _shared.get(spark, [])
+    while shared:
+        shared.pop().destroy()
     while made:
         delete(spark, made.pop())
 

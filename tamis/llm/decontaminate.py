@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tamis.llm import arrays
 from tamis.llm.arrays import lean, pieces
-from tamis.llm.common import row_key, settle, stored, table, text_or_empty
+from tamis.llm.common import row_key, settle, share, stored, table, text_or_empty
 
 #: Ones are the token positions that a seed looks at. Every placing of two substitutions in ``LEAST`` or ``SPAN``
 #: tokens, the most that verification accepts, leaves some mask whole; found by enumeration, and a test enumerates them.
@@ -119,7 +119,7 @@ REGION = "doc bigint, row bigint, start int, doc_tokens binary, hits array<struc
 def find_hits(docs: DataFrame, bits: np.ndarray, short: list[int]) -> DataFrame:
     """Stretches of documents around neighbouring seeds that may be the benchmark's, with their tokens."""
     settle(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    shared = share(docs.sparkSession, bits)
     masks = [*MASKS, *("1" * n for n in short)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamis.llm.arrays import cut, lean, pieces
-from tamis.llm.common import settle, table
+from tamis.llm.common import settle, share, table
 
 PER_LANGUAGE = 2000
 MATRIX_BYTES = 1 << 26
@@ -156,7 +156,7 @@ def language(spark: SparkSession, model: Model, text: Column) -> Column:
     settle(spark)
     if model.logs.nbytes > MATRIX_BYTES:
         raise ValueError("the matrix is larger than what may be broadcast")
-    shared = spark.sparkContext.broadcast(model)
+    shared = share(spark, model)
 
     @lean
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
