@@ -100,8 +100,8 @@ def row_key(name: str = "text") -> Column:
     return F.xxhash64(F.col("doc_id").isNull(), text_or_empty(name))
 
 
-#: Rows of a few bytes that may be broadcast; about 64 MiB in memory.
-BROADCAST_ROWS = 1 << 20
+#: Rows of short keys (at most an identifier and a digest of 32 bytes) that may be broadcast; about 32 MiB in memory.
+BROADCAST_ROWS = 1 << 18
 
 
 def small(keys: DataFrame) -> DataFrame:

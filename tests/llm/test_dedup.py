@@ -207,6 +207,15 @@ def test_minhash_template_documents(spark):
     assert got == minhash_expected(docs)
 
 
+def test_minhash_beyond_what_may_be_broadcast(spark, documents, corpus, monkeypatch):
+    """Larger key tables are shuffled, with the same result."""
+    from tamis.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.cluster(documents).collect()}
+    assert got == minhash_expected(corpus)
+
+
 def test_minhash_of_nothing(no_documents):
     assert minhash.cluster(no_documents).count() == 0
 
