@@ -8,7 +8,10 @@ least ``SHARE`` of the places.
 
 Seeds of the benchmark are folded into a bit table of fixed size (``FILTER_BITS`` bits, 2 MiB, whatever the
 benchmark's size), which is broadcast to drop almost all document seeds while texts are read; those left are
-joined to the benchmark's seeds by key. Neighbouring hits of a document share one row of context tokens.
+joined to the benchmark's seeds by key. Neighbouring hits of a document share one row of context tokens, of at most
+``REGION_TOKENS`` and the context on both sides, as it is read once for each diagonal: a long document that holds many
+items would else be repeated whole for each of them. Windows that agree hold a seed of their own, so no result
+depends on where rows are cut.
 
 Tokens are runs of letters, digits and non-ASCII bytes; A-Z count as a-z. Null and empty texts and items match
 nothing. An item of fewer than ``SPAN`` tokens has one seed of all its tokens, and must agree in all. Repeated
@@ -36,6 +39,7 @@ SPAN = 12
 LEAST = 13
 SHARE = 0.8
 CONTEXT = 24
+REGION_TOKENS = 256
 FILTER_BITS = 24
 
 NOT_TOKEN = np.ones(256, dtype=bool)
@@ -143,7 +147,7 @@ def find_hits(docs: DataFrame, bits: np.ndarray, short: list[int]) -> DataFrame:
                 order = np.argsort(at, kind="stable")
                 at, key = at[order], key[order].view(np.int64)
                 row = np.searchsorted(cuts, at, side="right") - 1
-                heads = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (at[1:] - at[:-1] > CONTEXT)]))
+                heads = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (at[1:] - at[:-1] > CONTEXT) | (at[1:] // REGION_TOKENS != at[:-1] // REGION_TOKENS)]))
                 out = {"doc": [], "row": [], "start": [], "doc_tokens": [], "hits": []}
                 for a, b in zip(heads, [*heads[1:], len(at)], strict=True):
                     low, high = max(cuts[row[a]], at[a] - CONTEXT), min(cuts[row[a] + 1], at[b - 1] + SPAN + CONTEXT)

@@ -267,6 +267,19 @@ def test_decontaminate_edited_passages(spark):
     assert got == leaks(docs, items)
 
 
+def test_decontaminate_long_document_of_many_items(spark):
+    """A text that is benchmark throughout is cut into short rows, and every item is found, at the cuts too."""
+    rng = random.Random(6)
+    items = [(i, " ".join(f"w{rng.randrange(4000)}" for _ in range(rng.choice((9, 12, 13, 30))))) for i in range(150)]
+    long = " ".join(t for _, t in items)
+    lost = " ".join("zz" if i % 7 == 0 else w for i, w in enumerate(long.split()))
+    docs = spark.createDataFrame([(1, long), (2, lost)], "doc_id bigint, text string")
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    assert {r["doc_id"]: r["item_ids"] for r in decontaminate.decontaminate(docs, bench).collect()} == leaks([(1, long), (2, lost)], items)
+    regions = decontaminate.find_hits(docs, *decontaminate.seed_filter(decontaminate.prepare(bench))).collect()
+    assert len(regions) > 10 and max(len(r["doc_tokens"]) // 8 for r in regions) <= decontaminate.REGION_TOKENS + 2 * decontaminate.CONTEXT + decontaminate.SPAN
+
+
 def test_decontaminate_of_nothing(spark, no_documents, documents):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert decontaminate.decontaminate(no_documents, none).count() == 0
