@@ -33,6 +33,7 @@ TOTAL_SHARE = 1.5
 MAX_EPOCHS = 2.0
 RANGE_ROWS = 4096
 SPAN_RANGES = 4096
+SPOT_BITS = 60
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -83,10 +84,16 @@ def inverse_demand(share: Column, start: Column) -> Column:
     return F.least(F.lit(1.0), F.when(start + root == 0, F.lit(0.0)).otherwise(2 * share / (start + root)))
 
 
+def spot() -> Column:
+    """A document's place in its source's order: the first SPOT_BITS of the digest of its identifier, which other engines have too."""
+    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    return F.conv(F.substring(digest, 1, SPOT_BITS // 4), 16, 10).cast("bigint")
+
+
 def curriculum(docs: DataFrame, **kinds) -> DataFrame:
     """One row a document: doc_id, source, size, source_size, target, copies, taken, positions (one for each copy)."""
-    rows = stored(docs.select("doc_id", "source", n_words(text_or_empty()).alias("size")).withColumn("spot", F.xxhash64(F.col("doc_id").cast("string"))), "mix-sizes")
-    bits = 64 - F.greatest(F.lit(1), F.ceil(F.log2(F.greatest(F.col("n"), F.lit(1)) / RANGE_ROWS)) + 1).cast("int")
+    rows = stored(docs.select("doc_id", "source", n_words(text_or_empty()).alias("size")).withColumn("spot", spot()), "mix-sizes")
+    bits = SPOT_BITS - F.greatest(F.lit(1), F.ceil(F.log2(F.greatest(F.col("n"), F.lit(1)) / RANGE_ROWS)) + 1).cast("int")
     by_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     plan = targets(by_source.select("source", "source_size"), **kinds).join(by_source.select(F.col("source").alias("s"), bits.alias("bits")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     plan = stored(plan.coalesce(1), "mix-plan")
@@ -126,3 +133,22 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = curriculum(table(spark, sf_dir, "documents"))
     first = F.get("positions", F.lit(0))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", first.alias("position")).sort(F.col("position").asc_nulls_last(), "doc_id")
+
+
+SQL = r"""
+with d as materialized (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size, substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 15) as spot from documents),
+s as (select source, cast(sum(size) as bigint) as source_size from d group by source),
+k as (select *, (row_number() over (order by source is null, source) - 1) % 3 as kind from s),
+w as (select *, cast([5, 2, 1][kind + 1] as double) as weight, cast([0.5, 1, 1.5][kind + 1] as double) as start, cast(2 * source_size as double) as cap from k),
+sums as (select *, sum(cap) over o as caps, sum(weight) over o as weights, sum(weight) over () as all_weights, cast(1.5 as double) * sum(source_size) over () as total
+         from w window o as (order by cap / weight, source is null, source rows unbounded preceding)),
+levels as (select *, (total - (caps - cap)) / (all_weights - (weights - weight)) as level from sums),
+plan as (select source, source_size, start, case when cap / weight <= level then cap else weight * (select arg_min(level, caps) from levels where cap / weight > level) end as target from levels),
+placed as (select doc_id, size, source_size, target, start, target / nullif(source_size, 0) as epochs, sum(size) over (partition by d.source order by spot, doc_id nulls first, size rows unbounded preceding) - cast(size as double) / 2 as middle
+           from d join plan on d.source is not distinct from plan.source),
+counted as (select *, case when size > 0 then cast(floor(epochs) as integer) + cast(middle <= (epochs - floor(epochs)) * source_size as integer) else 0 end as copies from placed),
+shares as (select *, least(cast(1 as double), middle / greatest(target, cast(1 as double))) as share from counted)
+select doc_id, size, source_size, target, cast(size * copies as bigint) as taken, copies,
+       case when copies > 0 then least(cast(1 as double), 2 * share / (start + sqrt(greatest(cast(0 as double), start * start + 4 * (1 - start) * share)))) end as position
+from shares
+"""

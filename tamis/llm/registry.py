@@ -22,5 +22,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    sql = {"op2_url_filter": url_filter.SQL, "op4_exact_dedup": exact_dedup.SQL, "op5_suffix_dedup": suffix_dedup.SQL, "op6_substring_dedup": substring_dedup.SQL, "op8_minhash": minhash.SQL, "pipeline": pipeline.ORACLE_SQL}
+    sql = {"op2_url_filter": url_filter.SQL, "op4_exact_dedup": exact_dedup.SQL, "op5_suffix_dedup": suffix_dedup.SQL, "op6_substring_dedup": substring_dedup.SQL, "op8_minhash": minhash.SQL, "op10_curriculum_mix": curriculum.SQL, "pipeline": pipeline.ORACLE_SQL}
     return {name: text for name, text in sql.items() if text}
