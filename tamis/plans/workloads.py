@@ -20,6 +20,7 @@ from tamis.operators.screening import bundles, has_artifact, has_time, role, scr
 from tamis.plans import oracles as o
 from tamis.plans.wrapping import FILES, LOG_LINES, NARRATIVES, TICKETS, read
 from tamis.sources import archives, generator, log_lines, tickets
+from tamis.sources.tables import read_table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -65,7 +66,7 @@ def masked_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(o.chain("src as materialized (select cast(doc_id as varchar) as ticket_id, text from documents)", o.entity_ctes(), last="select ticket_id, kind, confidence, s as span_start, e as span_end from accepted"))
 def document_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read_table(spark, sf_dir, "documents")
     rows = docs.select(F.col("doc_id").cast("string").alias("ticket_id"), F.explode_outer(detect(F.col("text"))).alias("e")).where("e is not null")
     return rows.select("ticket_id", "e.kind", "e.confidence", F.col("e.start").alias("span_start"), F.col("e.end").alias("span_end"))
 
@@ -145,7 +146,7 @@ def symptom_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(o.chain("src as materialized (select conv_id || '/' || turn as ticket_id, text from conversations where text is not null)", o.inference_ctes("src", "text"), last=_INFERRED))
 def conversation_symptoms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("text is not null").select(F.concat_ws("/", "conv_id", "turn").alias("ticket_id"), "text")
+    rows = read_table(spark, sf_dir, "conversations").where("text is not null").select(F.concat_ws("/", "conv_id", "turn").alias("ticket_id"), "text")
     return infer(rows, "ticket_id", "text").select("ticket_id", "inference.symptom", "inference.confidence")
 
 
@@ -403,5 +404,5 @@ def archive_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(o.chain("src as materialized (select cast(page_id as varchar) as ticket_id, html as text from pages)", o.entity_ctes(), last="select cast(m.ticket_id as bigint) as page_id, cast(coalesce(n, 0) as integer) as entities, cast(length(masked) as integer) as n_chars, md5(masked) as masked from masked m left join (select ticket_id, count(*) as n from accepted group by ticket_id) using (ticket_id)"))
 def anonymized_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", anonymize(F.col("html")).alias("a"))
+    rows = read_table(spark, sf_dir, "pages").select("page_id", anonymize(F.col("html")).alias("a"))
     return rows.select("page_id", F.size("a.entities").alias("entities"), F.length("a.masked").alias("n_chars"), F.md5("a.masked").alias("masked"))

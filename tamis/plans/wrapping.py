@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tamis.sources.tables import read_table
+
 #: One shape of span or cue each.
 FRAGMENTS = (
     "contato fulano.tal@empresa.com.br por favor",
@@ -89,7 +91,7 @@ from {{pages}}"""
 
 def read(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     names = [n for n in ("documents", "events", "pages") if f"{{{n}}}" in sql]
-    return spark.sql(sql, **{n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names})
+    return spark.sql(sql, **{n: read_table(spark, sf_dir, n) for n in names})
 
 
 def duck(sql: str) -> str:
