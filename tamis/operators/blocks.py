@@ -20,8 +20,8 @@ def is_header(line: Column) -> Column:
 def parse(raw: Column) -> Column:
     """struct<blocks, is_structured> of a ticket body; null bodies have no blocks.
 
-    Lines are typed first; each block is then the slice of lines from its header to the next, and each field
-    the slice from its delimiter line to the next, so no state is carried from line to line.
+    Lines are typed and numbered first; each block is then the slice of lines from its header to the next, and each field
+    the slice from its delimiter line to the next, cut by number: no state is carried from line to line, and none is looked at twice.
     """
     body = F.translate(F.regexp_replace(F.coalesce(raw, F.lit("")), "^﻿+", ""), " ", " ")
     lines = F.transform(
@@ -30,11 +30,13 @@ def parse(raw: Column) -> Column:
     )
 
     def fields_of(inner: Column, starts: Column) -> Column:
+        head = F.get(inner, F.lit(0))["i"]
+
         def one(s: Column, k: Column) -> Column:
-            to = F.coalesce(F.get(starts, k + 1)["i"], F.lit(1 << 30))
-            more = F.filter(inner, lambda x: (x["i"] > s["i"]) & (x["i"] < to) & (x["text"] != ""))
+            to = F.coalesce(F.get(starts, k + 1)["i"], head + F.size(inner))
+            more = F.transform(F.slice(inner, s["i"] - head + 2, to - s["i"] - 1), lambda x: x["text"])
             halves = F.split(s["line"], "(?U)" + fixed.FIELD_DELIMITER, 2)
-            value = F.array_join(F.filter(F.concat(F.array(strip(F.get(halves, F.lit(1)))), F.transform(more, lambda x: x["text"])), lambda v: v != ""), " ")
+            value = F.array_join(F.filter(F.concat(F.array(strip(F.get(halves, F.lit(1)))), more), lambda v: v != ""), " ")
             return F.struct(strip(F.get(halves, F.lit(0))).alias("key"), value.alias("value"))
 
         return F.transform(starts, one)
@@ -86,10 +88,13 @@ def as_map(parsed: Column) -> Column:
     """{block: {key: value}}; of repeated names and keys the last holds. Fields of repeated blocks don't mix."""
 
     def last(entries: Column) -> Column:
-        return F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"]))
+        """The last entry of each key, in the order of those entries: of neighbours by key and place, the one before another key."""
+        placed = F.array_sort(F.transform(entries, lambda e, i: F.struct(e["key"], i.alias("i"))))
+        ends = let(placed, lambda p: F.array_sort(F.transform(F.filter(p, lambda x, k: ~F.coalesce(F.get(p, k + 1)["key"] == x["key"], F.lit(False))), lambda x: x["i"])))
+        return F.transform(ends, lambda i: F.get(entries, i))
 
     inner = F.transform(parsed["blocks"], lambda b: F.struct(b["name"].alias("key"), F.map_from_entries(last(b["fields"])).alias("value")))
-    return F.map_from_entries(last(inner))
+    return let(inner, lambda entries: F.map_from_entries(last(entries)))
 
 
 def parse_tickets(tickets: DataFrame) -> DataFrame:

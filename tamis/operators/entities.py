@@ -10,7 +10,7 @@ from tamis.functions.text import digits, let, marked_spans
 
 #: Sentinel around matches while spans are located; in the text itself it becomes OTHER, which is as long and as inert.
 MARK, OTHER = "\u0001", "\u0002"
-CANDIDATES = "array<struct<priority:int,start:int,end:int,kind:string,confidence:string,check:string>>"
+FOUND = "array<struct<start:int,end:int,kind:string,confidence:string,raw:string>>"
 ENTITIES = "array<struct<kind:string,start:int,end:int,raw:string,confidence:string>>"
 
 
@@ -31,8 +31,8 @@ def _parts(text: Column, rule: tuple) -> Column:
 
 
 def _labelled(rule: tuple, parts: Column) -> Column:
-    priority, kind, confidence, *_, check = rule
-    return F.struct(F.lit(priority).alias("priority"), F.lit(kind).alias("kind"), F.lit(confidence).alias("confidence"), F.lit(check).cast("string").alias("check"), parts.alias("parts"))
+    _, kind, confidence, *_, check = rule
+    return F.struct(F.lit(kind).alias("kind"), F.lit(confidence).alias("confidence"), F.lit(check).cast("string").alias("check"), parts.alias("parts"))
 
 
 def detect(text: Column) -> Column:
@@ -54,8 +54,28 @@ def bones(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"(?U)[^\d\s.()/-]+", "x"), r"(?U)x(?:[\s.()/-]*+x)++", "x")
 
 
+def without_overlaps(taken: Column, more: Column) -> Column:
+    """taken and those spans of more that overlap none of them; both are disjoint and by start, as is what is returned.
+
+    The starts of both are sorted together: the place of a span of more among them, less its place in more, is the number
+    of spans of taken that begin no later. So its neighbours in taken are looked up by number, with no search for each span.
+    """
+    starts = F.array_sort(F.concat(F.transform(taken, lambda a: a["start"].cast("bigint") * 2), F.transform(more, lambda b: b["start"].cast("bigint") * 2 + 1)))
+    places = F.filter(F.transform(starts, lambda x, i: F.when(x % 2 == 1, i)), lambda i: i.isNotNull())
+
+    def free(before: Column) -> Column:
+        def apart(b: Column, j: Column) -> Column:
+            n = F.get(before, j) - j
+            return F.coalesce(F.get(taken, n - 1)["end"] <= b["start"], F.lit(True)) & F.coalesce(F.get(taken, n)["start"] >= b["end"], F.lit(True))
+
+        return F.filter(more, apart)
+
+    merged = F.array_sort(F.concat(taken, let(places, free))).cast(FOUND)
+    return F.when(F.size(more) == 0, taken).when(F.size(taken) == 0, more).otherwise(merged)
+
+
 def _detect(text: Column) -> Column:
-    none, empty, nothing = F.array().cast(ENTITIES), F.array().cast(CANDIDATES), F.array().cast("array<string>")
+    none, empty, nothing = F.array().cast(ENTITIES), F.array().cast(FOUND), F.array().cast("array<string>")
     digit, at = text.rlike(r"(?U)\d"), F.contains(text, F.lit("@"))
 
     def found(inert: Column) -> Column:
@@ -66,45 +86,48 @@ def _detect(text: Column) -> Column:
             return _labelled(rule, F.when(wanted, _parts(inert, rule)).otherwise(nothing))
 
         def spans(rule: Column) -> Column:
-            of = F.filter(marked_spans(rule["parts"]), lambda s: s["raw"] != "")
-            return F.transform(of, lambda s: F.struct(rule["priority"], s["start"], s["end"], rule["kind"], rule["confidence"], rule["check"]))
+            holds = lambda s: F.when(rule["check"].isNull(), True).otherwise(is_brazilian_phone(s["raw"]) == (rule["check"] == "phone"))
+            of = F.filter(marked_spans(rule["parts"]), lambda s: (s["raw"] != "") & holds(s))
+            return F.transform(of, lambda s: F.struct(s["start"], s["end"], rule["kind"], rule["confidence"], s["raw"])).cast(FOUND)
 
-        # one expression finds the places of all rules' matches
-        return let(F.when(digit, bones(inert)).otherwise(""), lambda bare: F.flatten(F.transform(F.array(*(one(r, bare) for r in fixed.ENTITY_RULES)), spans)).cast(CANDIDATES))
+        # one expression finds the places of all rules' matches; earlier rules take theirs first
+        ruled = let(F.when(digit, bones(inert)).otherwise(""), lambda bare: F.transform(F.array(*(one(r, bare) for r in fixed.ENTITY_RULES)), spans))
+        return F.aggregate(ruled, empty, without_overlaps)
 
-    candidates = let(F.translate(text, MARK, OTHER), found)
+    by_start = let(F.translate(text, MARK, OTHER), found)
+    spans = F.transform(by_start, lambda c: F.struct(c["kind"], c["start"], c["end"], c["raw"], c["confidence"]))
+    return F.when(digit | at, spans.cast(ENTITIES)).otherwise(none)
 
-    def raw(c: Column) -> Column:
-        return F.substring(text, c["start"] + 1, c["end"] - c["start"])
 
-    def holds(c: Column) -> Column:
-        return F.when(c["check"].isNull(), True).otherwise(is_brazilian_phone(raw(c)) == (c["check"] == "phone"))
+#: Characters of the pieces that a text is cut into, so that a part of it is found without counting from its start.
+CHUNK = 512
 
-    ranked = F.array_sort(F.filter(candidates, holds))  # priority, then start: matches of a rule don't overlap
-    accepted = F.aggregate(
-        ranked,
-        empty,
-        lambda acc, c: F.when(F.exists(acc, lambda a: (a["start"] < c["end"]) & (c["start"] < a["end"])), acc).otherwise(F.array_append(acc, c)),
-    )
-    by_start = F.array_sort(F.transform(accepted, lambda c: F.struct(c["start"], c["end"], c["kind"], c["confidence"])))
-    spans = F.transform(by_start, lambda c: F.struct(c["kind"], c["start"], c["end"], raw(c).alias("raw"), c["confidence"]))
-    return F.when(digit | at, spans.cast(ENTITIES)).otherwise(none)
+
+def _between(chunks: Column, start: Column, end: Column) -> Column:
+    """The text from start to end; nothing where end is not beyond start."""
+    first = F.floor(start / F.lit(CHUNK)).cast("int")
+    many = F.when(end > start, F.floor((end - 1) / F.lit(CHUNK)).cast("int") - first + 1).otherwise(0)
+
+    def part(chunk: Column, i: Column) -> Column:
+        skip = F.when(i == 0, start - first * CHUNK).otherwise(0)
+        return F.substring(chunk, skip + 1, F.least(end - (first + i) * CHUNK, F.lit(CHUNK)) - skip)
+
+    return F.array_join(F.transform(F.slice(chunks, first + 1, many), part), "")
 
 
 def mask(text: Column, entities: Column) -> Column:
-    """text with the personal spans replaced by their tokens; protocol numbers, registrations and addresses stay."""
+    """text with the personal spans replaced by their tokens; protocol numbers, registrations and addresses stay. Linear in text and spans."""
     tokens = F.create_map(*(F.lit(x) for pair in fixed.MASKS.items() for x in pair))
     hidden = F.array_sort(F.transform(F.filter(entities, lambda e: ~e["kind"].isin(*fixed.VISIBLE_KINDS)), lambda e: F.struct(e["start"], e["end"], e["kind"])))
 
-    def masked(t: Column, spans: Column) -> Column:
-        return F.aggregate(
-            spans,
-            F.struct(F.lit("").alias("out"), F.lit(0).alias("pos")),
-            lambda acc, e: F.struct(F.concat(acc["out"], F.substring(t, acc["pos"] + 1, e["start"] - acc["pos"]), tokens[e["kind"]]).alias("out"), e["end"].alias("pos")),
-            lambda acc: F.concat(acc["out"], F.substring(t, acc["pos"] + 1, F.length(t))),
-        )
+    def masked(t: Column, spans: Column, chunks: Column) -> Column:
+        pieces = F.transform(spans, lambda e, i: F.concat(_between(chunks, F.coalesce(F.get(spans, i - 1)["end"], F.lit(0)), e["start"]), tokens[e["kind"]]))
+        return F.concat(F.array_join(pieces, ""), _between(chunks, F.element_at(spans, -1)["end"], F.length(t)))
+
+    def cut(t: Column, spans: Column) -> Column:
+        return let(F.regexp_extract_all(t, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)), lambda chunks: masked(t, spans, chunks))
 
-    return let(text, lambda t: let(hidden, lambda spans: F.when(F.size(spans) > 0, masked(t, spans)).otherwise(t)))
+    return let(text, lambda t: let(hidden, lambda spans: F.when(F.size(spans) > 0, cut(t, spans)).otherwise(t)))
 
 
 def anonymize(text: Column) -> Column:
