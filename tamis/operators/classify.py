@@ -99,10 +99,12 @@ def _decide(text: Column, order: Column, config: Config) -> Column:
 
 
 def infer(texts: DataFrame, key: str = "ticket_id", text: str = "masked", config: Config = DEFAULT) -> DataFrame:
-    """texts with ``inference``. Keys must be unique; rows with a null key are matched to nothing and score 0."""
-    found = scores(texts.where(F.length(strip(F.col(text))) >= config.nlp_min_text_length), key, text, config)
-    out = texts.join(found, key, "left")
-    return out.withColumn("inference", decide(F.col(text), ranked(F.col("cosines")), config)).drop("cosines")
+    """texts with ``inference``. Rows are told apart by key and text, so rows that repeat a key, or have none, have scores of their own."""
+    row = F.when(F.length(strip(F.col(text))) >= config.nlp_min_text_length, F.sha2(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("\0"), F.col(text)), 256))
+    named = texts.withColumn("_row", row)
+    found = scores(named.where("_row is not null").select("_row", text).distinct(), "_row", text, config)
+    out = named.join(found, "_row", "left")
+    return out.withColumn("inference", decide(F.col(text), ranked(F.col("cosines")), config)).drop("cosines", "_row")
 
 
 def infer_distinct(texts: DataFrame, text: str = "masked", config: Config = DEFAULT) -> DataFrame:

@@ -10,6 +10,9 @@ from tamis.config import DEFAULT, Config
 from tamis.functions.text import strip
 from tamis.operators.entities import mask_sensitive_data
 
+SYMPTOMS = tuple(sorted({s for s, _, _ in fixed.SIGNATURES}))
+#: Lines of a file whose hits are put in order together; a ticket's blocks are so many tasks' work.
+BLOCK_LINES = 1 << 14
 ANY_SIGNATURE = "(?iuU)" + "|".join(f"(?:{p})" for _, _, p in fixed.SIGNATURES)
 HITS = "array<struct<file_name:string,line_number:bigint,symptom:string,label:string,excerpt:string>>"
 
@@ -28,9 +31,13 @@ def find_hits(lines: DataFrame) -> DataFrame:
     return hits.select(*lines.columns, "m.symptom", "m.label")
 
 
+def _cut(line: Column, config: Config) -> Column:
+    return F.substring(strip(line), 1, config.log_excerpt_max_chars)
+
+
 def excerpt(line: Column, config: Config = DEFAULT) -> Column:
     """The line cut to its first characters, then masked."""
-    return mask_sensitive_data(F.substring(strip(line), 1, config.log_excerpt_max_chars))
+    return mask_sensitive_data(_cut(line, config))
 
 
 def retain(hits: DataFrame, config: Config = DEFAULT) -> DataFrame:
@@ -39,28 +46,63 @@ def retain(hits: DataFrame, config: Config = DEFAULT) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= config.log_max_hits)
 
 
-def analyze(hits: DataFrame, files: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """One row for every ticket with log files: counts, dominant cause and retained hits.
+def _counts() -> list[Column]:
+    return [F.count_if(F.col("symptom") == s).alias(s) for s in SYMPTOMS]
+
+
+def _told(config: Config) -> list[Column]:
+    """What the counts of a ticket's symptoms say: all hits, counts by symptom, and the most frequent, of equal ones the first by name."""
+    pairs = F.array_sort(F.filter(F.array(*(F.struct((-F.col(s)).alias("minus"), F.lit(s).alias("symptom")) for s in SYMPTOMS)), lambda c: c["minus"] < 0))
+    top = F.get(pairs, F.lit(0))
+    return [
+        sum((F.col(s) for s in SYMPTOMS[1:]), F.col(SYMPTOMS[0])).alias("total_hits"),
+        F.map_from_entries(F.transform(pairs, lambda c: F.struct(c["symptom"], -c["minus"]))).alias("counts_by_symptom"),
+        F.when(-top["minus"] >= config.log_dominance_min_hits, top["symptom"]).alias("dominant_symptom"),
+    ]
+
+
+def tally(hits: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """(ticket_id, total_hits, counts_by_symptom, dominant_symptom) of tickets with a hit.
+
+    One aggregation: tasks sum up their lines first, so one exchange of a row a ticket and task, however long its logs are.
+    """
+    return hits.groupBy("ticket_id").agg(*_counts()).select("ticket_id", *_told(config))
+
+
+def summarize(hits: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """The tally with the first hits of each ticket, by attachment and line, their excerpts masked.
+
+    Counts and hits go together, so lines are read once. Hits are first brought together by block of lines, which keeps
+    its counts and its first hits; a ticket with most lines is many blocks. A ticket's blocks are then walked in order,
+    and only those that begin before the cap is reached hand on their hits: as many blocks as the cap at most.
+    """
+    cap = config.log_max_hits
+    rows = hits.select("ticket_id", "att_ord", "symptom", F.floor(F.col("line_number") / F.lit(BLOCK_LINES)).alias("block"), F.struct("line_number", "file_name", "symptom", "label", _cut(F.col("line"), config).alias("text")).alias("hit"))
+    blocks = rows.groupBy("ticket_id", "att_ord", "block").agg(*_counts(), F.slice(F.array_sort(F.collect_list("hit")), 1, cap).alias("hits"))
+    total = sum((F.col(s) for s in SYMPTOMS[1:]), F.col(SYMPTOMS[0]))
+    earlier = Window.partitionBy("ticket_id").orderBy("att_ord", "block").rowsBetween(Window.unboundedPreceding, -1)
+    walked = blocks.withColumn("earlier", F.coalesce(F.sum(total).over(earlier), F.lit(0)))
+    first = F.collect_list(F.when(F.col("earlier") < cap, F.struct("att_ord", "block", "hits")))
+    tickets = walked.groupBy("ticket_id").agg(*(F.sum(s).alias(s) for s in SYMPTOMS), F.array_sort(first).alias("first"))
+    kept = F.slice(F.flatten(F.transform("first", lambda b: b["hits"])), 1, cap)
+    shown = F.transform(kept, lambda h: F.struct(h["file_name"], h["line_number"], h["symptom"], h["label"], mask_sensitive_data(h["text"]).alias("excerpt"))).cast(HITS)
+    return tickets.select("ticket_id", *_told(config), shown.alias("hits"))
+
+
+def analyze(hits: DataFrame, files: DataFrame, config: Config = DEFAULT, with_hits: bool = True) -> DataFrame:
+    """One row for every ticket with log files: counts, dominant cause and, if wanted, retained hits.
 
     files: (ticket_id, scanned_files). Counts cover all hits, retained or not.
     """
-    tally = hits.groupBy("ticket_id", "symptom").agg(F.count(F.lit(1)).alias("n"))
-    counts = tally.groupBy("ticket_id").agg(
-        F.sum("n").alias("total_hits"),
-        F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("minus"), F.col("symptom")))).alias("counted"),
-    )
-    kept = retain(hits, config).withColumn("excerpt", excerpt(F.col("line"), config))
-    kept = kept.groupBy("ticket_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.struct("file_name", "line_number", "symptom", "label", "excerpt").alias("hit")))).alias("ranked"))
-    top = F.get("counted", F.lit(0))
-    out = files.join(counts, "ticket_id", "left").join(kept, "ticket_id", "left")
+    found = summarize(hits, config) if with_hits else tally(hits, config).withColumn("hits", F.array().cast(HITS))
+    out = files.join(found, "ticket_id", "left")
     total = F.coalesce("total_hits", F.lit(0))
-    pairs = F.transform(F.coalesce("counted", F.array().cast("array<struct<minus:bigint,symptom:string>>")), lambda c: F.struct(c["symptom"], -c["minus"]))
     return out.select(
         "ticket_id",
         F.struct(
-            F.coalesce(F.transform("ranked", lambda r: r["hit"]).cast(HITS), F.array().cast(HITS)).alias("hits"),
-            F.map_from_entries(pairs).alias("counts_by_symptom"),
-            F.when(-top["minus"] >= config.log_dominance_min_hits, top["symptom"]).alias("dominant_symptom"),
+            F.coalesce("hits", F.array().cast(HITS)).alias("hits"),
+            F.coalesce("counts_by_symptom", F.create_map().cast("map<string,bigint>")).alias("counts_by_symptom"),
+            F.col("dominant_symptom"),
             total.alias("total_hits"),
             F.col("scanned_files"),
             (total > config.log_max_hits).alias("truncated"),

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +14,7 @@ from tamis.operators import logs
 from tamis.operators.blocks import parse_tickets
 from tamis.operators.classify import infer
 from tamis.operators.entities import anonymize, has_entity
+from tamis.scratch import stored
 
 EVIDENCE = "array<struct<item:string,satisfied:boolean>>"
 #: (masked text, entities, bundle) -> boolean column
@@ -79,21 +79,19 @@ def lookup(value: Column, table: dict[str, object]) -> Column:
     return out
 
 
-def screen(tickets: DataFrame, attachments: DataFrame | None = None, log_lines: DataFrame | None = None, config: Config = DEFAULT, rules: dict[str, tuple[tuple[str, Predicate], ...]] = RULES, held: list[DataFrame] | None = None) -> DataFrame:
+def screen(tickets: DataFrame, attachments: DataFrame | None = None, log_lines: DataFrame | None = None, config: Config = DEFAULT, rules: dict[str, tuple[tuple[str, Predicate], ...]] = RULES, with_hits: bool = True) -> DataFrame:
     """One verdict a ticket.
 
     tickets (ticket_id, raw_text); attachments (ticket_id, ord, name); log_lines (ticket_id, att_ord, file_name,
-    line_number, line). Tickets without log files have a null log_analysis.
+    line_number, line). Tickets without log files have a null log_analysis; its hits are empty unless they are wanted.
+    Rows that repeat a ticket_id get a verdict each, by their own text; attachments and logs belong to all of them.
 
-    The masked tickets are read twice, by the classifier and by the rules, so they are persisted (memory, then
-    local disk; a lost part is computed again). Without that the parser and detector would run twice, and filters
-    pushed through them would copy their expressions many times over. The persisted table is added to ``held``,
-    for the caller to unpersist when the verdicts are used.
+    The masked tickets are read twice, by the classifier and by the rules, so they are written to the shared folder
+    first. Without that the parser and detector would run twice, and filters pushed through them would copy their
+    expressions many times over. ``scratch.sweep`` deletes the table once the verdicts are used.
     """
     masked = parse_tickets(tickets).withColumn("a", anonymize(F.col("analysis_text"))).select("ticket_id", "discarded_blocks", "a.masked", "a.entities")
-    masked = masked.persist(StorageLevel.MEMORY_AND_DISK)
-    if held is not None:
-        held.append(masked)
+    masked = stored(masked, "masked")
     out = infer(masked, "ticket_id", "masked", config)
     none = F.struct(*(F.lit(0).cast("bigint").alias(n) for n in ("logs", "visuals", "others", "total")))
     if attachments is None:
@@ -103,7 +101,7 @@ def screen(tickets: DataFrame, attachments: DataFrame | None = None, log_lines:
         out = out.join(bundle, "ticket_id", "left").withColumn("bundle", F.coalesce("bundle", none))
         if log_lines is not None:
             files = bundle.where("bundle.logs > 0").select("ticket_id", F.col("bundle.logs").alias("scanned_files"))
-            out = out.join(logs.analyze(logs.find_hits(log_lines), files, config), "ticket_id", "left")
+            out = out.join(logs.analyze(logs.find_hits(log_lines), files, config, with_hits), "ticket_id", "left")
     symptom = F.col("inference.symptom")
     out = out.withColumn("evidences", evidence(symptom, F.col("masked"), F.col("entities"), F.col("bundle"), rules)).withColumn("status", status(symptom, F.col("evidences")))
     if "log_analysis" in out.columns and dict(out.dtypes)["log_analysis"] != "string":

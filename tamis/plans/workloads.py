@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis import fixed
+from tamis import fixed, scratch
 from tamis.config import Config
 from tamis.functions.decode import decode_ladder, decode_lossy
 from tamis.functions.render import http_status, problem, report, screening_json
@@ -182,10 +182,27 @@ def signature_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(o.chain(o.LOG_CTES, "tally as (select ticket_id, symptom, count(*) as n from hits group by ticket_id, symptom)", last="select ticket_id, symptom as dominant, cast(sum_n as bigint) as total_hits from (select *, sum(n) over (partition by ticket_id) as sum_n, row_number() over (partition by ticket_id order by n desc, symptom) as r from tally) where r = 1"))
 def dominant_cause(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = read(spark, sf_dir, LOG_LINES)
-    files = lines.groupBy("ticket_id").agg(F.count_distinct("att_ord").alias("scanned_files"))
-    out = logs.analyze(logs.find_hits(lines), files).where("log_analysis.total_hits > 0")
-    return out.select("ticket_id", F.col("log_analysis.dominant_symptom").alias("dominant"), "log_analysis.total_hits")
+    found = logs.tally(logs.find_hits(read(spark, sf_dir, LOG_LINES)))
+    return found.select("ticket_id", F.col("dominant_symptom").alias("dominant"), "total_hits")
+
+
+_RETAINED = "kept as (select *, row_number() over (partition by ticket_id order by line_number) as r from hits)"
+
+
+@query(
+    o.chain(
+        o.LOG_CTES, _RETAINED, "tally as (select ticket_id, symptom, count(*) as n from hits group by ticket_id, symptom)",
+        last="""select ticket_id, (select cast(sum(n) as bigint) from tally t where t.ticket_id = k.ticket_id) as total_hits,
+            (select string_agg(symptom || '=' || n, ';' order by symptom) from tally t where t.ticket_id = k.ticket_id) as counts,
+            string_agg(line_number || ':' || label || ':' || trim(replace(line, '(11) 98765-4321', '[TELEFONE_MASK]')), chr(10) order by line_number) as hits from kept k where r <= 5 group by ticket_id""",
+    )
+)
+def log_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and first hits of each ticket from one pass over its lines."""
+    found = logs.summarize(logs.find_hits(read(spark, sf_dir, LOG_LINES)), Config(log_max_hits=5))
+    counts = F.array_join(F.array_sort(F.transform(F.map_entries("counts_by_symptom"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))), ";")
+    hits = F.array_join(F.transform("hits", lambda h: F.concat_ws(":", h["line_number"].cast("string"), h["label"], h["excerpt"])), "\n")
+    return found.select("ticket_id", "total_hits", counts.alias("counts"), hits.alias("hits"))
 
 
 @query(o.chain(o.LOG_CTES, last="select ticket_id, line_number, label, trim(replace(line, '(11) 98765-4321', '[TELEFONE_MASK]')) as excerpt from (select *, row_number() over (partition by ticket_id order by line_number) as r from hits) where r <= 3"))
@@ -261,10 +278,10 @@ def status_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return screen(read(spark, sf_dir, TICKETS)).groupBy("symptom", "status").agg(F.count(F.lit(1)).alias("tickets"))
 
 
-def _with_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _with_logs(spark: SparkSession, sf_dir: str, with_hits: bool = True) -> DataFrame:
     lines = read(spark, sf_dir, LOG_LINES)
     files = lines.select("ticket_id", F.lit(0).alias("ord"), F.col("file_name").alias("name")).distinct()
-    return screen(read(spark, sf_dir, TICKETS), files, lines)
+    return screen(read(spark, sf_dir, TICKETS), files, lines, with_hits=with_hits)
 
 
 @query()
@@ -279,7 +296,7 @@ def screening_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(o.chain(*_VERDICTS, o.LOG_CTES, "tally as (select ticket_id, symptom, count(*) as n from hits group by ticket_id, symptom)", "top as (select * from (select *, row_number() over (partition by ticket_id order by n desc, symptom) as r from tally) where r = 1)", last=f"select v.ticket_id, v.symptom, t.symptom as dominant, case when t.symptom is not null and v.symptom not in ({o.q(fixed.UNKNOWN)}, {o.q(fixed.TOO_SHORT)}) then t.symptom = v.symptom end as matches_text from verdicts v left join top t using (ticket_id)"))
 def log_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _with_logs(spark, sf_dir).select("ticket_id", "symptom", F.col("log_analysis.dominant_symptom").alias("dominant"), "matches_text")
+    return _with_logs(spark, sf_dir, with_hits=False).select("ticket_id", "symptom", F.col("log_analysis.dominant_symptom").alias("dominant"), "matches_text")
 
 
 _DISCARDED = "discarded as (select t.ticket_id, coalesce(string_agg(b.block, ',' order by b.block_no), '') as names from tickets t left join blocks b on b.ticket_id = t.ticket_id and b.block <> 'detalhes' group by t.ticket_id)"
@@ -402,6 +419,54 @@ def archive_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("ticket_id").agg(F.count("name").alias("members"), F.count("error").alias("errors")).join(hits, "ticket_id", "left")
 
 
+#: Documents of one archive, and one archive in so many that is cut off.
+_PER_ZIP, _CUT = 20, 7
+
+
+def _zips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ticket_id, ord, name, content): the documents, a log each, packed by twenties; archives are written by Spark's tasks."""
+    import io
+    import zipfile
+
+    import pandas as pd
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        zip_id, data = int(rows["zip_id"].iloc[0]), io.BytesIO()
+        with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+            for d, text in sorted(zip(rows["doc_id"], rows["text"], strict=True)):
+                z.writestr(f"logs/doc{d:012d}.log", text)
+        content = data.getvalue()
+        return pd.DataFrame({"ticket_id": [str(zip_id)], "ord": [0], "name": ["pacote.zip"], "content": [content[: len(content) // 2] if zip_id % _CUT == 0 else content]})
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null").select(F.floor(F.col("doc_id") / _PER_ZIP).alias("zip_id"), "doc_id", "text")
+    return docs.groupBy("zip_id").applyInPandas(pack, archives.FILES)
+
+
+@query(
+    rf"""with logs as (select doc_id // {_PER_ZIP} as zip_id, doc_id, text, regexp_split_to_array(regexp_replace(text, '(\r\n|\r|\n)$', ''), '\r\n|\r|\n') as l from documents where text is not null)
+    select cast(zip_id as bigint) as zip_id, 'logs/doc' || lpad(cast(doc_id as varchar), 12, '0') || '.log' as name, false as bad, case when text = '' then 0 else len(l) end as lines, case when text <> '' then md5(array_to_string(l, chr(10))) end as digest from logs where zip_id % {_CUT} <> 0
+    union all select distinct cast(zip_id as bigint), null, true, 0, null from logs where zip_id % {_CUT} = 0"""
+)
+def archived_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents as logs in archives, read line by line; an archive that is cut off is one bad row."""
+    zips, config = scratch.stored(_zips(spark, sf_dir), "zips"), Config(zip_max_ratio=1_000_000)
+    names = archives.expand(zips, config, contents=False).select("ticket_id", archives.place(F.col("ord"), F.col("member")).alias("att_ord"), "name", F.col("error").isNotNull().alias("bad"))
+    lines = archives.read_log_lines(zips, config).groupBy("ticket_id", "att_ord").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("line_number", "line"))).alias("lines"))
+    whole = F.md5(F.array_join(F.transform("lines", lambda x: x["line"]), "\n"))
+    return names.join(lines, ["ticket_id", "att_ord"], "left").select(F.col("ticket_id").cast("bigint").alias("zip_id"), "name", "bad", F.coalesce("n", F.lit(0)).alias("lines"), whole.alias("digest"))
+
+
+@query("select page_id, cast(strlen(html) + 1 as bigint) as n_bytes, md5(html || chr(10)) as digest from pages where html is not null and page_id % 2 = 0")
+def attached_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as files, a folder each; tickets name every second one, and some that aren't there."""
+    folder = scratch.path(spark, "attached")
+    spark.read.parquet(f"{sf_dir}/pages.parquet").where("html is not null").select("page_id", F.col("html").alias("value")).repartition("page_id").write.partitionBy("page_id").text(folder)
+    written = archives.listing(spark, folder).select(F.regexp_extract("path", r"page_id=(\d+)/", 1).alias("ticket_id"), F.lit(0).alias("ord"), "path").where("ticket_id % 2 = 0")
+    missing = written.select("ticket_id", F.lit(1).alias("ord"), F.concat("path", F.lit(".gone")).alias("path"))
+    out = archives.read_attachments(written.unionByName(missing), folder)
+    return out.select(F.col("ticket_id").cast("bigint").alias("page_id"), F.octet_length("content").cast("bigint").alias("n_bytes"), F.md5("content").alias("digest"))
+
+
 @query(o.chain("src as materialized (select cast(page_id as varchar) as ticket_id, html as text from pages)", o.entity_ctes(), last="select cast(m.ticket_id as bigint) as page_id, cast(coalesce(n, 0) as integer) as entities, cast(length(masked) as integer) as n_chars, md5(masked) as masked from masked m left join (select ticket_id, count(*) as n from accepted group by ticket_id) using (ticket_id)"))
 def anonymized_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "pages").select("page_id", anonymize(F.col("html")).alias("a"))

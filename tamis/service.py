@@ -22,28 +22,27 @@ from tamis import fixed
 from tamis.config import Config
 from tamis.functions.render import report, screening_json, taxonomy
 from tamis.operators.classify import infer
-from tamis.operators.screening import role, screen
-from tamis.sources import archives, log_lines, tickets
+from tamis.operators.screening import screen
+from tamis.scratch import sweep
+from tamis.sources import archives, tickets
 
 PROBLEM = "application/problem+json"
 
 
 def verdict(loaded: DataFrame, files: DataFrame | None, output: Column, config: Config) -> Row:
     """(status, exit_code, text) of one loaded ticket with its attachments (ticket_id, ord, name, content); text is the output wanted."""
-    held: list[DataFrame] = []
     try:
         if files is None:
-            out = screen(loaded, config=config, held=held)
+            out = screen(loaded, config=config)
         else:
-            files = archives.expand(files, config)
-            if bad := files.where("error is not null").select("error").first():
+            names = archives.expand(files, config, contents=False)
+            if bad := names.where("error is not null").select("error").first():
                 raise ValueError(bad["error"])
-            numbered = files.select("ticket_id", (F.col("ord") * 1000 + F.col("member")).alias("ord"), "name", "content")
-            out = screen(loaded, numbered.select("ticket_id", "ord", "name"), log_lines.from_contents(numbered.where(role(F.col("name")) == "log")), config, held=held)
+            placed = names.select("ticket_id", archives.place(F.col("ord"), F.col("member")).alias("ord"), "name")
+            out = screen(loaded, placed, archives.read_log_lines(files, config), config)
         return out.select("status", "exit_code", output.alias("text")).first()
     finally:
-        for df in held:
-            df.unpersist()
+        sweep(loaded.sparkSession)
 
 
 def _problem(status: int, title: str, slug: str, detail: str = "") -> tuple[int, str, str]:

@@ -1,67 +1,163 @@
-"""Attachments: archives expanded, uploads renamed. The one place that needs a Python worker."""
+"""Attachments: files by path, archives expanded and their logs read line by line, uploads renamed.
+
+Archives need a Python worker. A task holds an archive's bytes and, of what is in it, one piece of ``PIECE`` bytes, one
+line, or one member where whole members are asked for. Whatever is wrong with an archive is one row with an error.
+"""
 
 from __future__ import annotations
 
 import io
+import posixpath
+import re
 import zipfile
 from collections.abc import Iterator
 from pathlib import PurePosixPath
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamis import fixed
 from tamis.config import DEFAULT, Config
 from tamis.functions.text import suffix
-
-MEMBERS = "ticket_id string, ord int, member int, name string, content binary, error string"
+from tamis.sources import log_lines
+
+MEMBERS = "ticket_id string, ord int, member int, name string, size bigint, content binary, error string"
+LINES = "ticket_id string, ord int, member int, name string, line_number bigint, line string"
+PIECE = 1 << 20
+#: Numbers that members of one archive may take; more than ``zip_max_members`` of any setting in use.
+PER_ARCHIVE = 1000
+Members = list[tuple[str, zipfile.ZipInfo]]
+
+
+def safe_name(name: str) -> str | None:
+    """Where a member is put below its archive, or None for one that would leave it."""
+    path = PurePosixPath(name.replace("\\", "/"))
+    kept = [p for p in path.parts if p not in (".", "..")]
+    if path.is_absolute() or not kept or ":" in kept[0] or posixpath.normpath(str(path)).split("/")[0] in ("..", "."):
+        return None
+    return "/".join(kept)
+
+
+def _guarded(archive: zipfile.ZipFile, config: Config) -> Members:
+    infos = archive.infolist()
+    if len(infos) > config.zip_max_members:
+        raise ValueError(f"archive has {len(infos)} members")
+    size, packed = sum(i.file_size for i in infos), sum(i.compress_size for i in infos)
+    if size > config.zip_max_bytes:
+        raise ValueError(f"archive holds {size} bytes")
+    if size / (packed or 1) > config.zip_max_ratio:
+        raise ValueError(f"archive is compressed {size / (packed or 1):.0f} times")
+    # of members of one name the last stays, as when files are written over
+    named = {name: info for info in infos if not info.is_dir() and (name := safe_name(info.filename))}
+    return sorted(named.items(), key=lambda x: x[0].split("/"))
+
+
+def checked(content: bytes, config: Config = DEFAULT) -> tuple[zipfile.ZipFile, Members]:
+    """An archive and its files by name, all read through once in pieces; raises ValueError where a guard fails or anything is damaged."""
+    try:
+        archive = zipfile.ZipFile(io.BytesIO(content))
+        members = _guarded(archive, config)
+        for _, info in members:
+            with archive.open(info) as file:
+                while file.read(PIECE):
+                    pass
+        return archive, members
+    except MemoryError:
+        raise
+    except Exception as e:  # a damaged archive can raise about anything: zlib.error, struct.error, IndexError, ...
+        raise ValueError(f"archive can't be read: {e}") from e
 
 
 def members_of(content: bytes, config: Config = DEFAULT) -> list[tuple[str, bytes]]:
-    """(name, bytes) of an archive's files by name; raises ValueError where a guard fails. Names that leave the archive are skipped."""
-    try:
-        with zipfile.ZipFile(io.BytesIO(content)) as archive:
-            infos = archive.infolist()
-            if len(infos) > config.zip_max_members:
-                raise ValueError(f"archive has {len(infos)} members")
-            size, packed = sum(i.file_size for i in infos), sum(i.compress_size for i in infos)
-            if size > config.zip_max_bytes:
-                raise ValueError(f"archive holds {size} bytes")
-            if size / (packed or 1) > config.zip_max_ratio:
-                raise ValueError(f"archive is compressed {size / (packed or 1):.0f} times")
-            safe = []
-            for info in infos:
-                parts = PurePosixPath(info.filename.replace("\\", "/"))
-                if not info.is_dir() and not parts.is_absolute() and ".." not in parts.parts and ":" not in parts.parts[0]:
-                    safe.append((str(parts), info))
-            return [(name, archive.read(info)) for name, info in sorted(safe, key=lambda x: PurePosixPath(x[0]).parts)]
-    except (zipfile.BadZipFile, OSError, RuntimeError, NotImplementedError, EOFError) as e:
-        raise ValueError(f"archive can't be read: {e}") from e
+    """(name, bytes) of an archive's files by name; raises ValueError where a guard fails or anything is damaged. Names that leave the archive are skipped."""
+    archive, members = checked(content, config)
+    return [(name, archive.read(info)) for name, info in members]
+
+
+def _is_archive(name: Column) -> Column:
+    return suffix(name).isin(*fixed.ARCHIVE_EXTENSIONS)
 
 
-def expand(files: DataFrame, config: Config = DEFAULT) -> DataFrame:
+def expand(files: DataFrame, config: Config = DEFAULT, contents: bool = True) -> DataFrame:
     """(ticket_id, ord, name, content) with archives replaced by their files, numbered again; a bad archive is one row with an error.
 
-    One archive is held by one task at a time; archives inside archives stay files.
+    Without contents only names and sizes are told. Archives inside archives stay files. A null content is a bad archive.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["ticket_id", "ord", "member", "name", "content", "error"]
-        for frame in frames:
-            for t, o, content in frame[["ticket_id", "ord", "content"]].itertuples(index=False):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.schema([("ticket_id", pa.string()), ("ord", pa.int32()), ("member", pa.int32()), ("name", pa.string()), ("size", pa.int64()), ("content", pa.binary()), ("error", pa.string())])
+        for batch in batches:
+            for t, o, content in zip(*(batch.column(c) for c in ("ticket_id", "ord", "content")), strict=True):
+                row = {"ticket_id": t.as_py(), "ord": o.as_py(), "member": 0, "name": None, "size": None, "content": None, "error": None}
                 try:
-                    rows = [(t, o, i, name, data, None) for i, (name, data) in enumerate(members_of(bytes(content), config))]
+                    archive, members = checked(content.as_py() or b"", config)
                 except ValueError as e:
-                    rows = [(t, o, 0, None, None, str(e))]
-                yield pd.DataFrame(rows, columns=columns)
-
-    archive = suffix(F.col("name")).isin(*fixed.ARCHIVE_EXTENSIONS)
-    unpacked = files.where(archive).select("ticket_id", F.col("ord").cast("int").alias("ord"), "content").mapInPandas(run, MEMBERS)
-    plain = files.where(~archive).select("ticket_id", F.col("ord").cast("int").alias("ord"), F.lit(0).alias("member"), "name", "content", F.lit(None).cast("string").alias("error"))
+                    yield pa.RecordBatch.from_pylist([row | {"error": str(e)}], kinds)
+                    continue
+                for i, (name, info) in enumerate(members):
+                    yield pa.RecordBatch.from_pylist([row | {"member": i, "name": name, "size": info.file_size, "content": archive.read(info) if contents else None}], kinds)
+
+    base = files.select("ticket_id", F.col("ord").cast("int").alias("ord"), "name", "content")
+    unpacked = base.where(_is_archive(F.col("name"))).select("ticket_id", "ord", "content").mapInArrow(run, MEMBERS)
+    content = F.col("content") if contents else F.lit(None).cast("binary").alias("content")
+    plain = base.where(~F.coalesce(_is_archive(F.col("name")), F.lit(False))).select("ticket_id", "ord", F.lit(0).alias("member"), "name", F.octet_length("content").cast("bigint").alias("size"), content, F.lit(None).cast("string").alias("error"))
     return plain.unionByName(unpacked)
 
 
+def place(ord_: Column, member: Column) -> Column:
+    """Number of a file among a ticket's files, those of archives in the place of their archive."""
+    return ord_ * PER_ARCHIVE + member
+
+
+_LINE = pa.schema([("ticket_id", pa.string()), ("ord", pa.int32()), ("member", pa.int32()), ("name", pa.string()), ("line_number", pa.int64()), ("line", pa.string())])
+
+
+def _is_log(name: str) -> bool:
+    return PurePosixPath(name.lower()).suffix in fixed.LOG_EXTENSIONS
+
+
+def line_batches(batches: Iterator[pa.RecordBatch], config: Config = DEFAULT) -> Iterator[pa.RecordBatch]:
+    """Numbered lines of the logs in archives (ticket_id, ord, content), about ``PIECE`` bytes at a time."""
+    for batch in batches:
+        for t, o, content in zip(*(batch.column(c) for c in ("ticket_id", "ord", "content")), strict=True):
+            try:
+                archive, members = checked(content.as_py() or b"", config)
+            except ValueError:
+                continue
+            for member, (name, info) in enumerate(members):
+                lines, size, first = [], 0, 1
+
+                def part(lines: list[str], first: int) -> pa.RecordBatch:
+                    n = len(lines)
+                    columns = ([t.as_py()] * n, [o.as_py()] * n, [member] * n, [name] * n, range(first, first + n), lines)  # noqa: B023
+                    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _LINE, strict=True)], schema=_LINE)
+
+                if not _is_log(name):
+                    continue
+                with archive.open(info) as raw:
+                    for line in io.TextIOWrapper(raw, "utf-8", "replace"):
+                        lines.append(line.removesuffix("\n"))
+                        size += len(line)
+                        if size > PIECE:
+                            yield part(lines, first)
+                            lines, size, first = [], 0, first + len(lines)
+                if lines:
+                    yield part(lines, first)
+
+
+def read_log_lines(files: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """(ticket_id, att_ord, file_name, line_number, line) of the logs among (ticket_id, ord, name, content), those in archives too.
+
+    A member is decoded and cut as it is unpacked and never held whole; bad archives have no lines.
+    """
+    base = files.select("ticket_id", F.col("ord").cast("int").alias("ord"), "name", "content")
+    packed = base.where(_is_archive(F.col("name"))).select("ticket_id", "ord", "content").mapInArrow(lambda batches: line_batches(batches, config), LINES)
+    packed = packed.select("ticket_id", place(F.col("ord"), F.col("member")).alias("att_ord"), F.col("name").alias("file_name"), "line_number", "line")
+    plain = base.where(suffix(F.col("name")).isin(*fixed.LOG_EXTENSIONS)).withColumn("ord", place(F.col("ord"), F.lit(0)))
+    return log_lines.from_contents(plain).unionByName(packed)
+
+
 FILES = "ticket_id string, ord int, name string, content binary"
 
 
@@ -69,10 +165,30 @@ def _plain(path: Column) -> Column:
     return F.regexp_replace(path, "^file:/*", "/")
 
 
+def _contents(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(at, content) of files that exist; characters that a path pattern would give a meaning have none."""
+    if not paths:
+        return spark.createDataFrame([], "at string, content binary")
+    literal = [re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in paths]
+    return spark.read.format("binaryFile").load(literal).select(_plain(F.col("path")).alias("at"), "content")
+
+
+def listing(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, length) of the files below a folder; none is opened."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length")
+
+
 def read_attachments(paths: DataFrame, folder: str) -> DataFrame:
-    """(ticket_id, ord, name, content) of (ticket_id, ord, path) below a folder; paths that don't exist are skipped."""
-    there = paths.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return paths.join(there.select(_plain(F.col("path")).alias("at"), "content"), _plain(F.col("path")) == F.col("at")).select("ticket_id", "ord", F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+    """(ticket_id, ord, name, content) of (ticket_id, ord, path) below a folder; paths that don't exist are skipped.
+
+    The folder's listing, names and sizes, is joined first, and only files that a ticket names are opened. Their names
+    go through the driver, as those of any files that Spark reads; contents don't.
+    """
+    spark = paths.sparkSession
+    wanted = paths.select("ticket_id", "ord", "path", _plain(F.col("path")).alias("at"))
+    there = listing(spark, folder).select("path", _plain(F.col("path")).alias("at"))
+    found = [r["path"] for r in there.join(wanted.select("at").distinct(), "at", "left_semi").select("path").toLocalIterator()]
+    return wanted.join(_contents(spark, found), "at").select("ticket_id", "ord", F.element_at(F.split("path", "/"), -1).alias("name"), "content")
 
 
 def read_given(spark: SparkSession, ticket_id: str, paths: list[str]) -> DataFrame:

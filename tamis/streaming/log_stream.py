@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tamis import scratch
 from tamis.operators.logs import ANY_SIGNATURE, match
 
 
@@ -23,9 +22,8 @@ def tally(lines: DataFrame) -> DataFrame:
 
 
 def checkpoint(spark: SparkSession, name: str) -> str:
-    """A folder for a query's state below the shared one that the cluster names; a temporary one where none is set, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{(root or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/{name}"
+    """A folder for a query's state below the shared one that the cluster names."""
+    return f"{scratch.root(spark)}/{name}"
 
 
 def run(lines: DataFrame, name: str, checkpoint: str) -> StreamingQuery:

@@ -1,6 +1,9 @@
+import random
+from collections import Counter
+
 from pyspark.sql import functions as F
 
-from tamis import fixed
+from tamis import fixed, scratch
 from tamis.config import Config
 from tamis.operators import logs
 from tamis.sources.log_lines import from_contents, read_large
@@ -47,6 +50,33 @@ def test_cap_counts_and_ties(spark):
     assert floor["log_analysis"]["dominant_symptom"] is None
 
 
+def test_hits_of_many_blocks_against_sorting(spark, monkeypatch):
+    """The first hits and the counts are those of all lines in order, however lines fall into blocks and files."""
+    rng = random.Random(3)
+    data = [(f"t{rng.randrange(3)}", rng.randrange(3), f"f{rng.randrange(2)}", i, rng.choice([*LINES])) for i in range(3000)] + [("big", 0, "f", i, "UDP PACKET LOSS") for i in range(4000)] + [(None, 0, "f", 1, "UDP PACKET LOSS")]
+    lines = spark.createDataFrame(data, SCHEMA).repartition(5)
+    label = {k: v for k, v in LINES.items() if v}
+    symptom = {v: s for s, v, _ in fixed.SIGNATURES}
+    for size in (7, 100, 1 << 14):
+        monkeypatch.setattr(logs, "BLOCK_LINES", size)
+        got = {r["ticket_id"]: r for r in logs.summarize(logs.find_hits(lines), Config(log_max_hits=50)).collect()}
+        assert set(got) == {"t0", "t1", "t2", "big", None}
+        for t, r in got.items():
+            own = sorted((x for x in data if x[0] == t and x[4] in label), key=lambda x: (x[1], x[3]))
+            assert [(h["file_name"], h["line_number"], h["label"]) for h in r["hits"]] == [(x[2], x[3], label[x[4]]) for x in own[:50]]
+            counts = Counter(symptom[label[x[4]]] for x in own)
+            assert r["total_hits"] == len(own) and r["counts_by_symptom"] == counts and r["dominant_symptom"] == min(counts, key=lambda s: (-counts[s], s))
+
+
+def test_one_pass_and_one_exchange(spark):
+    """The tally reads its lines once and shuffles a row a ticket and task; the hits need one exchange more, by block."""
+    spark.range(1000).selectExpr("cast(id % 5 as string) as ticket_id", "0 as att_ord", "'f' as file_name", "id as line_number", "'packet loss' as line").write.mode("overwrite").parquet(path := scratch.path(spark, "lines"))
+    found = logs.find_hits(spark.read.parquet(path))
+    for df, exchanges in ((logs.tally(found), 1), (logs.summarize(found), 2)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == exchanges and "partial_" in plan
+
+
 def test_tri_state(spark):
     df = spark.createDataFrame([(fixed.UX, fixed.UX), (fixed.UX, fixed.AUDIO), (None, fixed.UX), (fixed.UX, fixed.UNKNOWN)], "d string, s string")
     assert [r[0] for r in df.select(logs.matches_text(F.col("d"), F.col("s"))).collect()] == [True, False, None, None]

@@ -41,6 +41,15 @@ def test_status_and_missing(screened):
     assert rows["other"]["log_analysis"]["total_hits"] == 0 and rows["other"]["matches_text"] is None
 
 
+def test_repeated_ticket_ids_have_verdicts_of_their_own(spark):
+    """Rows of one id are told apart by their text; rows without an id are screened, too."""
+    rows = [("a", "fila travada nao distribui as chamadas"), ("a", "audio picotando cortando durante a chamada"), ("a", "audio picotando cortando durante a chamada"), (None, "fila travada nao distribui as chamadas"), (None, "xxxxx yyyyy")]
+    alone = {t: screen(spark.createDataFrame([("1", t)], "ticket_id string, raw_text string")).first() for t in {t for _, t in rows}}
+    got = screen(spark.createDataFrame(rows, "ticket_id string, raw_text string")).collect()
+    assert sorted(((r["ticket_id"], r["masked"], r["symptom"], r["confidence"]) for r in got), key=str) == sorted(((i, t, alone[t]["symptom"], alone[t]["confidence"]) for i, t in rows), key=str)
+    assert {alone[t]["symptom"] for _, t in rows} == {fixed.QUEUE, fixed.AUDIO, fixed.UNKNOWN}
+
+
 def test_json_contract(screened):
     rows = {r["ticket_id"]: json.loads(r["j"]) for r in screened.select("ticket_id", screening_json().alias("j")).collect()}
     assert list(rows["ok"]) == ["chamado", "status", "acao_necessaria", "sintoma", "confianca", "alternativas", "texto_analisado", "evidencias", "pendencias", "dados_sensiveis", "blocos_descartados", "anexos", "analise_log", "codigo_saida"]
