@@ -14,12 +14,13 @@
    of the backbone with ``SHARE`` of the text. Pages are joined with their host's template (one row a host) and the
    blocks in its slots are extracted but for the fixed ones. Containers that are never article (menus, forms,
    scripts, comments, ...) are passed over by tag, or by a class, id or role that says only that, unless they hold
-   most of the page's text and the page has no article. Headings and paragraphs are not passed over by name, and
+   most of the page's text and the page has no article. Headings and paragraphs are passed over by an advert's name only, and
    sections in an article not by their id. A page without the host's slots is read by itself in the same way.
 
 Null html gives empty text; a null url or one without a host makes pages of one nameless host; a null page_id is
 kept. Repeated rows get equal results. Unclosed and misnested tags are closed as browsers close paragraphs and
-lists; a text of any length is read whole. Extra columns are ignored; empty tables give no rows.
+lists, elements nested deeper than ``MOST_DEPTH`` become siblings, and a tag that no > ends is text; a page of any length
+is read whole, in time proportional to it. Extra columns are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -42,7 +43,11 @@ COPIES = 0.5
 PLAIN_COPIES = 0.9
 LEAST_PAGES = 4
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|textarea|svg|title)\b(?:"[^"]*"|'[^']*'|[^'">])*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<[/!?][^>]*>|[^<]+|<""", re.S | re.I)
+_RAW = "script|style|noscript|template|iframe|textarea|svg|title"
+_REST = r"""<!--.*?(?:-->|\Z)|<(%s)\b%s>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)(%s)>|<[/!?]%s>|[^<]+|<"""
+_QUOTED, _BARE = r"""(?:"[^"]*"|'[^']*'|[^'">])*+""", r"[^<>]*+"
+#: The second is for what follows a tag that no > ends: there a tag ends at the next < or >, so nothing is looked through again and again.
+_TOKEN, _AFTER_UNENDED = re.compile(_REST % (_RAW, _QUOTED, _QUOTED, "[^>]*+"), re.S | re.I), re.compile(_REST % (_RAW, _BARE, _BARE, _BARE), re.S | re.I)
 _ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 _WORD = re.compile(r"[a-z]+")
@@ -53,11 +58,13 @@ NEVER = set("head button select menu dialog object canvas audio video".split())
 #: these go too, unless they are left open around, or wrap, most of a page that has no article
 BESIDE = set("nav footer aside form header".split())
 SECTIONS = set("body article main section div td".split())
-NAMED = set("ad ads adv advert advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent notice notices alert comment comments reply replies disqus sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead share sharing social related recommended subscribe newsletter popup modal widget toolbar pagination pager login signup search".split())
+NAMED = set("ad ads adv adbox adslot adsense advert adverts advertisement advertisements advertising banner commentlist sponsor sponsored promo promotion cookie cookies consent notice notices alert comment comments reply replies disqus sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead share sharing social related recommended subscribe newsletter popup modal widget toolbar pagination pager login signup search".split())
 NAMED_ARTICLES = set("ad ads advert advertisement sponsored promo comment comments reply replies related".split())
+#: names that go for paragraphs, too
+NAMED_ADVERTS = set("ad ads adv adbox adslot advert adverts advertisement advertisements advertising sponsored".split())
 #: words that say nothing beside a name of NAMED: comment-list, ad-slot
-NEUTRAL = set("area bar block bottom box btn button buttons col column container icon icons inner item items left link links list main outer page post right section site slot top unit wrap wrapper".split())
-#: headings and paragraphs are never dropped by name
+NEUTRAL = set("area bar big block body bottom box btn button buttons col column container icon icons inner item items large left link links list main outer page post reader right section site slot small thread top unit user users wide wrap wrapper x".split())
+#: headings and paragraphs are dropped by no other name
 TOLD = set("h1 h2 h3 h4 h5 h6 p blockquote pre figure figcaption".split())
 #: a start tag closes an open element of these names, up to the boundaries
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -85,6 +92,29 @@ def _named(attributes: dict[str, str], kinds: tuple[str, ...], known: set[str])
     return False
 
 
+#: Elements that may be open at once; deeper ones become siblings, as in browsers.
+MOST_DEPTH = 512
+#: Characters of class names that a path shows; longer ones are named by a digest.
+SHOWN_NAMES = 64
+
+
+def tokens(html: str) -> Iterator[re.Match]:
+    """Tags, comments, unshown elements and texts in order, each looked at once. A tag that no > ends is text."""
+    at, rule = 0, _TOKEN
+    while at < len(html):
+        m = rule.match(html, at)
+        at = m.end()
+        if m[0] == "<" and (html[at : at + 1].isalpha() or html[at : at + 1] in ("/", "!", "?")):
+            rule = _AFTER_UNENDED
+        yield m
+
+
+def _label(names: list[str]) -> str:
+    """What tells containers of one tag apart in a path: all their class names."""
+    shown = "".join(f".{n}" for n in names)
+    return shown if len(shown) <= SHOWN_NAMES else f"{'.main' if 'main' in names else ''}.{_key(shown) & (1 << 64) - 1:016x}"
+
+
 def _text_key(path: str, text: str) -> int:
     return _key(f"{path}\0{text}")
 
@@ -104,15 +134,19 @@ def read_page(html: str) -> tuple[list[str], list[tuple[tuple[str, ...], bool, s
     """
     root = _Open("", "", False, False, ())
     stack, opened, blocks, parts, names_open, beside = [root], [], [], [], 0, set()
+    sections: dict[str, tuple[str, ...]] = {}  # of each path the containers along it, which many blocks share
 
     def flush() -> None:
         if parts:
             text = " ".join("".join(parts).split())
             parts.clear()
             if text and not stack[-1].never:
-                blocks.append((stack[-1].named, tuple(x.path for x in stack if x.tag in SECTIONS), stack[-1].article, text))
+                top = stack[-1]
+                if top.path not in sections:
+                    sections[top.path] = tuple(x.path for x in stack if x.tag in SECTIONS)
+                blocks.append((top.named, sections[top.path], top.article, text))
 
-    for m in _TOKEN.finditer(html):
+    for m in tokens(html):
         tag = m[3]
         if tag is None:
             s = m[0]
@@ -144,6 +178,9 @@ def read_page(html: str) -> tuple[list[str], list[tuple[tuple[str, ...], bool, s
                     break
                 if stack[i].tag in BOUNDS[tag]:
                     break
+        if len(stack) > MOST_DEPTH:
+            flush()
+            stack.pop()
         top = stack[-1]
         own = _attributes(m[4]) if m[4] else {}
         names = [w for kind, value in own.items() if kind in ("class", "id", "role") for w in _WORD.findall(value.lower())]
@@ -159,12 +196,13 @@ def read_page(html: str) -> tuple[list[str], list[tuple[tuple[str, ...], bool, s
             named = tag in BESIDE and not (tag == "header" and top.article)
             if named:
                 beside.add(names_open + 1)
-            named = named or bool(names) and tag not in TOLD and tag not in ("html", "body") and _named(own, ("class", "role") if top.article and tag == "section" else ("class", "id", "role"), NAMED)
+            known = NAMED_ADVERTS if tag in TOLD else NAMED
+            named = named or bool(names) and tag not in ("html", "body") and _named(own, ("class", "role") if top.article and tag == "section" else ("class", "id", "role"), known)
         never = never or "hidden" in own or bool("style" in own and _NOT_SHOWN.search(own["style"]))
         if named:
             names_open += 1
             around = (*around, names_open)
-        path = top.path if inline else f"{top.path}/{tag}" + "".join(f".{n}" for n in names[:4])
+        path = top.path if inline else f"{top.path}/{tag}{_label(names)}"
         stack.append(_Open(tag, path, never, article, around))
         if tag in SECTIONS and not never:
             opened.append((around, path))
@@ -188,9 +226,13 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for path in opened:
                 counts[path] = counts.get(path, 0) + 1
             texts: dict[tuple[str, str, bool], int] = {}
+            held: dict[int, list] = {}
+            for paths, _, text in blocks:
+                held.setdefault(id(paths), [paths, 0])[1] += len(text)
+            for paths, n in held.values():
+                for path in ("", *paths):
+                    chars[path] = chars.get(path, 0) + n
             for paths, article, text in blocks:
-                for path in ("", *dict.fromkeys(paths)):
-                    chars[path] = chars.get(path, 0) + len(text)
                 k = (paths[-1] if paths else "", text, article)
                 texts[k] = texts.get(k, 0) + 1
             found = [(path, False, None, n, chars.get(path, 0)) for path, n in counts.items()] + [(p, a, _text_key(p, t), n, n * len(t)) for (p, t, a), n in texts.items()]

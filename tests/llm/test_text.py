@@ -2,6 +2,7 @@ import itertools
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import duckdb
@@ -332,6 +333,41 @@ def test_names_alone_drop_no_text():
         assert len(blocks) == 1 and blocks[0][2].startswith("All the text.") and len(opened) == 2
 
 
+def test_pages_are_read_in_linear_time():
+    """Unended tags, quotes that never close, deep nesting and stray end tags cost in proportion, up to 5 MB."""
+    made = {
+        "tags": lambda n: "<a " * n, "quotes": lambda n: "<a '\"" * n, "declarations": lambda n: "<!" * n, "ends": lambda n: "</ " * n, "scripts": lambda n: "<script " * n,
+        "nested": lambda n: "<div class='x y'>a" * n, "menus": lambda n: "<nav>b" * n, "inline": lambda n: "<b>c" * n, "stray": lambda n: "<div>" * (n // 2) + "</p>" * (n // 2), "blank": lambda n: "<p a" + " " * n + ">",
+    }
+
+    def seconds(html):
+        began = time.time()
+        html_extract.read_page(html)
+        return time.time() - began
+
+    for name, make in made.items():
+        n = 500_000 // (len(make(1000)) // 1000 or 1)
+        few = max(seconds(make(n // 10)), 0.02)
+        assert seconds(make(n)) < 25 * few, name
+    assert seconds("<p>text <a " * 500_000) < 60
+
+
+def test_malformed_pages_keep_their_text():
+    shown = lambda html: [t for *_, t in html_extract.read_page(html)[1]]
+    assert shown("<p>one <b>two</b> <a href='x>three</p><p title=y>four</p>") == ["one two <a href='x>three", "four"]
+    assert shown('<p title="a > b">x</p><p>1 < 2 <!-- no --> 3</p><img src="' + "d" * 100_000 + '"><p>end') == ["x", "1 < 2 3", "end"]
+    deep = "".join(f"<div>{i} " for i in range(2000))
+    assert " ".join(shown(deep + "</div>" * 2000 + "<p>end")) == " ".join(map(str, range(2000))) + " end"
+    names = "a b c d e f g".split()
+    paths = html_extract.read_page("".join(f"<div class='{' '.join(names[:k])}'>x</div>" for k in range(8)) + f"<div class='main {' '.join('n' * i for i in range(40))}'>y</div>")[0]
+    assert len(set(paths)) == 9 and ".main." in paths[-1] and len(paths[-1]) < 64
+
+
+def test_comments_and_adverts_in_articles():
+    parts = "<div class='user-comment'>No</div><ol class='commentlist'><li>No</ol><p class='advertisement'>No</p><div class='ad-300x250 promo-box-big'>No</div><div class='ad-300x250'>No</div><p class='share-price'>Price</p>"
+    assert [t for *_, t in html_extract.read_page(f"<body><article><p>Text</p>{parts}<p>End</p></article>")[1]] == ["Text", "Price", "End"]
+
+
 def test_template_texts_in_articles(spark):
     """An unnamed notice of every page goes inside main as well; copies of one article stay whole, and so do texts of some pages."""
     page = "<body><nav>Menu</nav><main><p>We use many partners</p><h1>Story %d</h1><p>%s</p><div class='x'><p>Call us today</p></div></main></body>"
