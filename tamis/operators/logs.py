@@ -69,24 +69,37 @@ def tally(hits: DataFrame, config: Config = DEFAULT) -> DataFrame:
     return hits.groupBy("ticket_id").agg(*_counts()).select("ticket_id", *_told(config))
 
 
-def summarize(hits: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """The tally with the first hits of each ticket, by attachment and line, their excerpts masked.
+def partials(hits: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """(ticket_id, a count for each of SYMPTOMS, first array<struct<att_ord, line_number, ...>>): what summaries are made of, and can be ``merged``.
 
     Counts and hits go together, so lines are read once. Hits are first brought together by block of lines, which keeps
     its counts and its first hits; a ticket with most lines is many blocks. A ticket's blocks are then walked in order,
     and only those that begin before the cap is reached hand on their hits: as many blocks as the cap at most.
     """
     cap = config.log_max_hits
-    rows = hits.select("ticket_id", "att_ord", "symptom", F.floor(F.col("line_number") / F.lit(BLOCK_LINES)).alias("block"), F.struct("line_number", "file_name", "symptom", "label", _cut(F.col("line"), config).alias("text")).alias("hit"))
+    rows = hits.select("ticket_id", "att_ord", "symptom", F.floor(F.col("line_number") / F.lit(BLOCK_LINES)).alias("block"), F.struct("att_ord", "line_number", "file_name", "symptom", "label", _cut(F.col("line"), config).alias("text")).alias("hit"))
     blocks = rows.groupBy("ticket_id", "att_ord", "block").agg(*_counts(), F.slice(F.array_sort(F.collect_list("hit")), 1, cap).alias("hits"))
     total = sum((F.col(s) for s in SYMPTOMS[1:]), F.col(SYMPTOMS[0]))
     earlier = Window.partitionBy("ticket_id").orderBy("att_ord", "block").rowsBetween(Window.unboundedPreceding, -1)
     walked = blocks.withColumn("earlier", F.coalesce(F.sum(total).over(earlier), F.lit(0)))
-    first = F.collect_list(F.when(F.col("earlier") < cap, F.struct("att_ord", "block", "hits")))
-    tickets = walked.groupBy("ticket_id").agg(*(F.sum(s).alias(s) for s in SYMPTOMS), F.array_sort(first).alias("first"))
-    kept = F.slice(F.flatten(F.transform("first", lambda b: b["hits"])), 1, cap)
-    shown = F.transform(kept, lambda h: F.struct(h["file_name"], h["line_number"], h["symptom"], h["label"], mask_sensitive_data(h["text"]).alias("excerpt"))).cast(HITS)
-    return tickets.select("ticket_id", *_told(config), shown.alias("hits"))
+    return merged(walked.withColumn("first", F.when(F.col("earlier") < cap, F.col("hits"))), config)
+
+
+def merged(parts: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """One row a ticket of rows like those of ``partials``: counts added up, and of all first hits the first."""
+    first = F.slice(F.array_sort(F.flatten(F.collect_list("first"))), 1, config.log_max_hits)
+    return parts.groupBy("ticket_id").agg(*(F.sum(s).alias(s) for s in SYMPTOMS), first.alias("first"))
+
+
+def shown(tickets: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """(ticket_id, total_hits, counts_by_symptom, dominant_symptom, hits with masked excerpts) of merged rows."""
+    hits = F.transform("first", lambda h: F.struct(h["file_name"], h["line_number"], h["symptom"], h["label"], mask_sensitive_data(h["text"]).alias("excerpt"))).cast(HITS)
+    return tickets.select("ticket_id", *_told(config), hits.alias("hits"))
+
+
+def summarize(hits: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """The tally with the first hits of each ticket, by attachment and line, their excerpts masked."""
+    return shown(partials(hits, config), config)
 
 
 def analyze(hits: DataFrame, files: DataFrame, config: Config = DEFAULT, with_hits: bool = True) -> DataFrame:

@@ -16,6 +16,7 @@ from tamis.operators import logs
 from tamis.operators.blocks import as_map, block, field, narrative, parse_tickets
 from tamis.operators.classify import infer, infer_distinct, label_and_score, parse_symptom, vocabulary
 from tamis.operators.entities import anonymize, detect, mask_sensitive_data
+from tamis.operators.memo import infer_remembered
 from tamis.operators.screening import bundles, has_artifact, has_time, role, screen
 from tamis.plans import oracles as o
 from tamis.plans.wrapping import FILES, LOG_LINES, NARRATIVES, TICKETS, read
@@ -169,6 +170,15 @@ def parsed_symptoms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", parse_symptom(told).alias("symptom"))
 
 
+@query(o.chain(o.NARRATIVE_CTE, o.inference_ctes("src", "text"), last="select ticket_id, symptom as label, confidence as score from inferred"))
+def remembered_symptoms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches that share most texts, with a table of verdicts: the second classifies only what the first had not."""
+    rows, table = read(spark, sf_dir, NARRATIVES).select("ticket_id", "doc_id", "text"), scratch.path(spark, "verdicts")
+    infer_remembered(rows.where("doc_id % 4 <> 0"), table, "text")
+    out = infer_remembered(rows, table, "text")
+    return out.select("ticket_id", label_and_score(F.col("inference")).alias("x")).select("ticket_id", "x.*")
+
+
 # ---- logs -------------------------------------------------------------------------------------------------
 @query(o.chain(o.LOG_CTES, last="select ticket_id, line_number, symptom, label from hits"))
 def log_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,6 +250,32 @@ def streamed_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(name)
 
 
+def _write_segments(lines: DataFrame, folder: str) -> None:
+    ordered = lines.repartition("ticket_id").sortWithinPartitions("ticket_id", "file_name", "line_number")
+    ordered.select("ticket_id", "file_name", F.col("line").alias("value")).write.mode("append").partitionBy("ticket_id", "file_name").text(folder)
+
+
+@query(
+    o.chain(
+        o.LOG_CTES, "placed as (select ticket_id, line_number, row_number() over (partition by ticket_id order by line_number) as place from log_lines)",
+        "kept as (select h.*, p.place, row_number() over (partition by h.ticket_id order by h.line_number) as r, count(*) over (partition by h.ticket_id) as n from hits h join placed p using (ticket_id, line_number))",
+        last="select ticket_id, any_value(n) as total_hits, string_agg(place || ':' || label, ';' order by place) as hits from kept where r <= 5 group by ticket_id",
+    )
+)
+def streamed_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each ticket's log arrives in two segments; the stream is started again for the second, goes on with the line numbers, and ends with what one pass finds."""
+    from tamis.streaming.ticket_state import TicketState, read_segments
+
+    lines, folder = read(spark, sf_dir, LOG_LINES), scratch.path(spark, "segments")
+    half = lines.agg(F.max("line_number")).scalar() / 2
+    state, checkpoint = TicketState(spark, scratch.path(spark, "ticket-state"), Config(log_max_hits=5)), scratch.path(spark, "ticket-stream")
+    for part in (lines.where(F.col("line_number") <= half), lines.where(F.col("line_number") > half)):
+        _write_segments(part, folder)
+        state.run(read_segments(spark, folder), checkpoint).awaitTermination()
+    hits = F.array_join(F.transform("hits", lambda h: F.concat_ws(":", h["line_number"].cast("string"), h["label"])), ";")
+    return state.result().select("ticket_id", "total_hits", hits.alias("hits"))
+
+
 # ---- attachments and evidence -----------------------------------------------------------------------------
 @query(o.chain(o.FILE_CTE, last=f"select ticket_id, ord, name, {o.ROLE_SQL} as role from files"))
 def attachment_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -346,17 +382,25 @@ def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---- sources ----------------------------------------------------------------------------------------------
-_LATIN = r"regexp_replace(text, '[^\x00-\xff]', '?', 'g')"
+_LATIN = r"regexp_replace(spaced, '[^\x00-\xff]', '?', 'g')"
 
 
-@query(f"select doc_id, text as decoded, text as lossy from documents where doc_id % 4 <> 2 union all select doc_id, {_LATIN} || ' “€5”', 'x' from documents where doc_id % 4 = 2")
+@query(
+    rf"""select doc_id, text as decoded, text as lossy from documents where doc_id % 4 <> 2
+    union all select doc_id, {_LATIN} || ' “€5”', regexp_replace({_LATIN}, '[^\x00-\x7f]', chr(65533), 'g') || ' ' || chr(65533) || chr(65533) || '5' || chr(65533)
+    from (select doc_id, regexp_replace(text, '([^\x00-\x7f])', '\1 ', 'g') as spaced from documents where doc_id % 4 = 2)"""
+)
 def encoding_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents in three encodings, a quarter of them in Windows-1252, decoded again."""
+    """Documents in three encodings, a quarter of them in Windows-1252, decoded again and read as damaged UTF-8.
+
+    In that quarter a space follows every character beyond ASCII, so that no two of them look like one of UTF-8.
+    """
     text, marks = F.col("text"), " “€5”".encode("cp1252").hex()
-    cp1252 = F.concat(F.encode(F.regexp_replace(text, r"[^\x00-\xff]", "?"), "ISO-8859-1"), F.unhex(F.lit(marks)))
+    spaced = F.regexp_replace(text, r"([^\x00-\x7f])", "$1 ")
+    cp1252 = F.concat(F.encode(F.regexp_replace(spaced, r"[^\x00-\xff]", "?"), "ISO-8859-1"), F.unhex(F.lit(marks)))
     content = F.when(F.col("doc_id") % 4 == 0, F.concat(F.unhex(F.lit("EFBBBF")), F.encode(text, "UTF-8"))).when(F.col("doc_id") % 4 == 2, cp1252).otherwise(F.encode(text, "UTF-8"))
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", content.alias("content"))
-    return rows.select("doc_id", decode_ladder(F.col("content")).alias("decoded"), F.when(F.col("doc_id") % 4 == 2, "x").otherwise(F.regexp_replace(decode_lossy(F.col("content")), "^﻿", "")).alias("lossy"))
+    return rows.select("doc_id", decode_ladder(F.col("content")).alias("decoded"), F.regexp_replace(decode_lossy(F.col("content")), "^﻿", "").alias("lossy"))
 
 
 @query("select doc_id, text as raw_text, not regexp_matches(coalesce(text, ''), '\\S') as bad, 8 as id_chars from documents")
@@ -365,13 +409,13 @@ def inline_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "raw_text", F.col("error").isNotNull().alias("bad"), F.length("ticket_id").alias("id_chars"))
 
 
-@query("select doc_id, case when doc_id % 3 = 0 then lang when doc_id % 3 = 1 and coalesce(text, '') <> '' then text else coalesce(case when doc_id % 3 = 2 then ' ' end, '') end as given, doc_id % 3 = 2 or (doc_id % 3 = 1 and not regexp_matches(coalesce(text, ''), '\\S')) as bad from documents where lang is not null")
+@query("select doc_id, case doc_id % 3 when 0 then coalesce(nullif(text, ''), lang, '') when 1 then coalesce(nullif(lang, ''), text, '') else coalesce(text, '') end as given, not regexp_matches(case doc_id % 3 when 0 then coalesce(nullif(text, ''), lang, '') when 1 then coalesce(nullif(lang, ''), text, '') else coalesce(text, '') end, '\\S') as bad from documents")
 def request_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The two text fields of requests: the first that is not empty is taken, and must not be blank."""
+    """The two text fields of requests, whole texts in either or one alone: the first that is not empty is taken, and must not be blank."""
     k = F.col("doc_id") % 3
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang is not null")
-    given = tickets.request_text(F.when(k == 0, F.col("lang")).when(k == 1, "").otherwise(" "), F.when(k == 1, F.col("text")))
-    return docs.select("doc_id", given.alias("g")).select("doc_id", F.col("g.text").alias("given"), F.col("g.error").isNotNull().alias("bad"))
+    first, second = F.when(k == 0, F.col("text")).when(k == 1, F.col("lang")).otherwise(""), F.when(k == 0, F.col("lang")).otherwise(F.col("text"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", tickets.request_text(first, second).alias("g")).select("doc_id", F.col("g.text").alias("given"), F.col("g.error").isNotNull().alias("bad"))
 
 
 @query("""select event_id, '{"type":"/erros/chamado-nao-carregado","title":"Resposta da API sem id ou texto do chamado.","status":400' || case when event_id % 3 = 0 then '' else ',"detail":"' || event_id || '"' end || '}' as body from events where event_id % 3 <> 1""")
@@ -390,6 +434,42 @@ def payload_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tickets.from_payloads(payloads).select("ticket_id", "raw_text", F.col("error").isNotNull().alias("bad"))
 
 
+#: Payloads of a page.
+_PAGE = 500
+
+
+def _write_pages(payloads: DataFrame, folder: str) -> None:
+    """Pages 0, 1, ... of (page, id, text) as JSON lines, each written by the task that has it."""
+    import json
+
+    import pandas as pd
+    import pyarrow.fs as pafs
+
+    def write(rows: pd.DataFrame) -> pd.DataFrame:
+        fs, at = pafs.FileSystem.from_uri(folder if ":/" in folder else f"file://{folder}")
+        fs.create_dir(at)
+        lines = [json.dumps({k: v for k, v in (("id", None if pd.isna(i) else int(i)), ("text", t)) if v is not None}) for i, t in zip(rows["id"], rows["text"], strict=True)]
+        with fs.open_output_stream(f"{at}/page-{int(rows['page'].iloc[0])}.json") as file:
+            file.write("\n".join(lines).encode())
+        return rows[["page"]].head(1)
+
+    payloads.groupBy("page").applyInPandas(write, "page bigint").count()
+
+
+@query("select case when doc_id % 3 <> 0 then cast(doc_id as varchar) end as ticket_id, text as raw_text, doc_id % 3 = 0 or coalesce(text, '') = '' as bad from documents")
+def fetched_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as the pages of a service desk, read by table name."""
+    from tamis.sources import payload_source
+
+    payload_source.register(spark)
+    docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), scratch.path(spark, "desk")
+    pages = docs.withColumn("page", F.floor(F.col("doc_id") / _PAGE))
+    _write_pages(pages.select("page", F.when(F.col("doc_id") % 3 != 0, F.col("doc_id")).alias("id"), "text"), folder)
+    name = f"desk_{uuid.uuid4().hex}"
+    spark.read.format(payload_source.NAME).option("at", folder).load().createOrReplaceTempView(name)
+    return tickets.from_payloads(spark.table(name)).select("ticket_id", "raw_text", F.col("error").isNotNull().alias("bad"))
+
+
 @query()
 def corpus_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = generator.tickets(spark, 200)
