@@ -470,13 +470,15 @@ def fetched_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tickets.from_payloads(spark.table(name)).select("ticket_id", "raw_text", F.col("error").isNotNull().alias("bad"))
 
 
-@query()
+@query(f"select case cast((page_id + 7) % {len(generator.NARRATIVES)} as integer) {' '.join(f'when {i} then {o.q(s)}' for i, (s, _) in enumerate(generator.NARRATIVES))} end as expected, count(*) as tickets, count(*) as right, count(*) as confirmed, count(*) as approved from pages group by all")
 def corpus_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = generator.tickets(spark, 200)
-    lines = generator.log_lines(spark, 200, 50)
-    files = lines.select("ticket_id", F.lit(0).alias("ord"), F.col("file_name").alias("name")).distinct()
-    out = screen(made, files, lines).join(made.select("ticket_id", "expected"), "ticket_id")
-    return out.groupBy("expected").agg(F.count(F.lit(1)).alias("tickets"), F.count_if(F.col("symptom") == F.col("expected")).alias("right"), F.count_if(F.col("matches_text")).alias("confirmed"))
+    """A made ticket and log for each page: every symptom is told right, confirmed by its log among 1,500 to 2,500 lines, and has its evidence."""
+    ids = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("id")).repartition(spark.sparkContext.defaultParallelism)
+    made, lines = generator.tickets_of(ids), generator.log_lines_of(ids)
+    files = made.select("ticket_id", F.lit(0).alias("ord"), F.concat("ticket_id", F.lit("_log.txt")).alias("name"))
+    out = screen(made, files, lines, with_hits=False).join(made.select("ticket_id", "expected"), "ticket_id")
+    right = F.col("symptom") == F.col("expected")
+    return out.groupBy("expected").agg(F.count(F.lit(1)).alias("tickets"), F.count_if(right).alias("right"), F.count_if(F.col("matches_text")).alias("confirmed"), F.count_if(F.col("status") == fixed.APPROVED).alias("approved"))
 
 
 @query("select cast(page_id as varchar) as ticket_id, case when page_id % 5 = 0 then 1 else 3 end as members, case when page_id % 5 = 0 then 1 else 0 end as errors, case when page_id % 5 = 0 then 1 else 3 end as hits from pages")

@@ -21,13 +21,13 @@ MOST_BLOCKS = 1_000_000
 
 
 def read_large(spark: SparkSession, path: str, wanted: Column | None = None) -> DataFrame:
-    """(file_path, line_number, line) of files too large for one task; only lines where ``wanted`` holds, if given.
+    """(file_path, line_number, line) of files too large for one task; only lines where ``wanted`` holds, if given. Bytes that are no UTF-8 are replaced.
 
     A split file's blocks are counted first; a line's number is its place in its block plus the lines of the blocks
     before. A block is read by one task in order, so places need no sort. Only the counts are shuffled, and are
     broadcast, unless there are more than ``MOST_BLOCKS`` blocks, so lines stay where they are read.
     """
-    lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    lines = spark.read.text(path).select(F.make_valid_utf8("value").alias("line"), F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
     before = Window.partitionBy("file_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     counts = lines.groupBy("file_path", "block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
     counts = counts.select("file_path", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))

@@ -28,7 +28,7 @@ FILE = ["ticket_id", "file_name"]
 def read_segments(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
     """The lines of arriving segments, with the file and block they stand in."""
     lines = spark.readStream.schema(SEGMENTS).option("maxFilesPerTrigger", files_per_trigger).text(folder)
-    return lines.select("ticket_id", "file_name", F.col("value").alias("line"), F.col("_metadata.file_name").alias("segment"), F.col("_metadata.file_block_start").alias("block"))
+    return lines.select("ticket_id", "file_name", F.make_valid_utf8("value").alias("line"), F.col("_metadata.file_name").alias("segment"), F.col("_metadata.file_block_start").alias("block"))
 
 
 def numbered(batch: DataFrame, lengths: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -95,14 +95,15 @@ def test_lines_of_contents(spark):
 
 def test_numbers_in_split_files(spark, tmp_path):
     text = [f"line {i} " + "y" * (i % 50) for i in range(3000)]
-    (tmp_path / "big.log").write_text("\n".join(text) + "\n")
+    (tmp_path / "big.log").write_bytes("\n".join(text).encode() + b"\nbad \xff\xc3( byte\n")
+    text.append("bad \ufffd\ufffd( byte")
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
     try:
         rows = read_large(spark, str(tmp_path)).orderBy("line_number").collect()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
-    assert [r["line"] for r in rows] == text and rows[-1]["line_number"] == 3000
+    assert [r["line"] for r in rows] == text and rows[-1]["line_number"] == 3001
 
 
 def test_stream_goes_on_from_its_checkpoint(spark, tmp_path):

@@ -5,9 +5,12 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from tamis import fixed
 from tamis.config import DEFAULT, Config
 from tamis.functions.decode import decode_ladder, decode_lossy
 from tamis.functions.text import fold_accents, stem, suffix
+from tamis.operators.blocks import parse_tickets
+from tamis.operators.logs import find_hits
 from tamis.sources import archives, generator, tickets
 
 
@@ -83,6 +86,14 @@ def test_inline_and_generator(spark):
     assert generator.log_lines(spark, 3, 10).where("line like '%CallerID%'").count() == 3
 
 
+def test_made_tickets_have_all_blocks(spark):
+    rows = [r["parsed"]["blocks"] for r in parse_tickets(generator.tickets(spark, 20).select("ticket_id", "raw_text")).collect()]
+    assert all([b["name"] for b in r] == list(fixed.BLOCKS) for r in rows) and all(f["value"] for r in rows for b in r for f in b["fields"])
+    counts = {r["ticket_id"]: r["n"] for r in generator.log_lines(spark, 20).groupBy("ticket_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert len(counts) == 20 and all(1500 <= n <= 2500 for n in counts.values()) and len(set(counts.values())) > 10
+    assert find_hits(generator.log_lines(spark, 20)).groupBy("ticket_id").count().where("count = 1").count() == 20
+
+
 def test_config_from_env():
     assert Config.from_env({"TAMIS_NLP_THRESHOLD": "0.5", "TAMIS_LOG_MAX_HITS": "x"}) == Config(nlp_threshold=0.5)
 
