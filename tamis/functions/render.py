@@ -57,7 +57,7 @@ def report(width: int | None = None, config: Config = DEFAULT) -> Column:
         heavy,
         when(always, "[CHAMADO]          : ", F.col("ticket_id")),
         when(always, "[TEXTO ANALISADO]  : ", F.col("masked")),
-        when(always, "[SINTOMA INFERIDO] : ", F.col("symptom"), " (Confiança: ", F.format_string("%.1f", F.col("confidence") * 100), "%)"),
+        when(always, "[SINTOMA INFERIDO] : ", F.col("symptom"), " (Confiança: ", F.format_number(F.col("confidence") * 100, 1), "%)"),
         F.when(F.col("bundle.total") > 0, F.format_string("[ANEXOS]           : %d log(s), %d evidência(s) visual(is), %d outro(s)", "bundle.logs", "bundle.visuals", "bundle.others")),
         when(F.size("entities") > 0, "[DADOS SENSÍVEIS]  : ", listed),
         when(always, "[STATUS]           : ", lookup(F.col("status"), fixed.STATUS_TITLES)),

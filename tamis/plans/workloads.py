@@ -325,11 +325,6 @@ def screening_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_logs(spark, sf_dir).select("ticket_id", screening_json().alias("body"), http_status(F.col("status")).alias("http_status"))
 
 
-@query()
-def screening_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _with_logs(spark, sf_dir).select("ticket_id", report().alias("report"))
-
-
 @query(o.chain(*_VERDICTS, o.LOG_CTES, "tally as (select ticket_id, symptom, count(*) as n from hits group by ticket_id, symptom)", "top as (select * from (select *, row_number() over (partition by ticket_id order by n desc, symptom) as r from tally) where r = 1)", last=f"select v.ticket_id, v.symptom, t.symptom as dominant, case when t.symptom is not null and v.symptom not in ({o.q(fixed.UNKNOWN)}, {o.q(fixed.TOO_SHORT)}) then t.symptom = v.symptom end as matches_text from verdicts v left join top t using (ticket_id)"))
 def log_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_logs(spark, sf_dir, with_hits=False).select("ticket_id", "symptom", F.col("log_analysis.dominant_symptom").alias("dominant"), "matches_text")
@@ -381,6 +376,72 @@ def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("ticket_id", line("STATUS").alias("title"), line("AÇÃO NECESSÁRIA").alias("action"), line("ANÁLISE DE LOG").alias("log"), listed.cast("bigint").alias("listed"))
 
 
+#: Parts of documents and reports beside the verdict: entity counts, evidence, logs and their first hits.
+_PARTS = (
+    "kinds as (select ticket_id, string_agg(kind || '=' || n, ', ' order by kind) as listed from (select ticket_id, kind, count(*) as n from accepted group by all) group by ticket_id)",
+    f"""needed as (select ticket_id, 1 as place, {o.q(fixed.ITEM_TIME)} as item, has_time as met from checks where symptom in ({o.q(fixed.AUDIO)}, {o.q(fixed.QUEUE)})
+        union all select ticket_id, 2, {o.q(fixed.ITEM_PHONE)}, has_phone from checks where symptom = {o.q(fixed.AUDIO)} union all select ticket_id, 1, {o.q(fixed.ITEM_ARTIFACT)}, has_artifact from checks where symptom = {o.q(fixed.UX)})""",
+    "others as (select ticket_id, string_agg(label || ':' || cast(round(round(score, 4) * 10000) as bigint), ';' order by r) as listed from ranks where r > 1 group by ticket_id)",
+    "listed as (select ticket_id, line_number, symptom, label, trim(replace(line, '(11) 98765-4321', '[TELEFONE_MASK]')) as excerpt from (select *, row_number() over (partition by ticket_id order by line_number) as r from hits) where r <= 100)",
+)
+_OPEN = f"v.symptom in ({o.q(fixed.UNKNOWN)}, {o.q(fixed.TOO_SHORT)})"
+
+
+@query(
+    o.chain(
+        *_LOGGED_VERDICTS, _LOGGED, *_TOP, *_PARTS,
+        last=f"""select v.ticket_id, array_to_string(list_filter([
+        repeat('=', 50), '[CHAMADO]          : ' || v.ticket_id, '[TEXTO ANALISADO]  : ' || v.masked,
+        '[SINTOMA INFERIDO] : ' || v.symptom || ' (Confiança: ' || printf('%.1f', v.confidence * 100) || '%)',
+        case when l.ticket_id is not null then '[ANEXOS]           : 1 log(s), 0 evidência(s) visual(is), 0 outro(s)' end,
+        '[DADOS SENSÍVEIS]  : ' || k.listed,
+        '[STATUS]           : ' || {o.case("v.status", fixed.STATUS_TITLES)},
+        '[AÇÃO NECESSÁRIA]  : ' || case when v.status = 'BLOQUEADO' then 'Devolver chamado ao solicitante cobrando: ' || replace(v.missing, '; ', ', ') else {o.case("v.status", fixed.ACTIONS)} end,
+        case when e.told is not null then repeat('-', 50) || chr(10) || '[EVIDÊNCIAS]' || chr(10) || e.told end,
+        case when l.ticket_id is not null then repeat('-', 50) end,
+        case when l.n = 0 then '[ANÁLISE DE LOG]   : Nenhuma assinatura de erro conhecida encontrada.'
+             when l.n > 0 then '[ANÁLISE DE LOG]   : ' || l.n || ' ocorrência(s) em 1 arquivo(s)' || case when l.n > 100 then ' (exibindo os primeiros)' else '' end || ':' || chr(10) || h.told end,
+        case when l.n > 0 and {_OPEN} then '[INDÍCIO TÉCNICO]  : O log aponta ''' || t.symptom || '''. Como o texto não permitiu inferir o sintoma, use o log como ponto de partida.'
+             when l.n > 0 and t.symptom = v.symptom then '[CONFIRMAÇÃO]      : Causa técnica no log confirma o sintoma relatado.'
+             when l.n > 0 then '[⚠️ DIVERGÊNCIA]    : Log aponta causa técnica de ''' || t.symptom || ''', mas o texto do chamado indica ''' || v.symptom || '''. Revisar antes de prosseguir.' end,
+        repeat('=', 50)], lambda x: x is not null), chr(10)) as report
+        from verdicts v left join logged l using (ticket_id) left join top t using (ticket_id) left join kinds k using (ticket_id)
+        left join (select ticket_id, string_agg(case when met then '  [OK  ] ' else '  [FALTA] ' end || item, chr(10) order by place) as told from needed group by ticket_id) e using (ticket_id)
+        left join (select ticket_id, string_agg('  - app.log:' || line_number || ' [' || label || '] ' || excerpt, chr(10) order by line_number) as told from listed group by ticket_id) h using (ticket_id)""",
+    )
+)
+def screening_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole reports, line by line."""
+    return _with_logs(spark, sf_dir).select("ticket_id", report().alias("report"))
+
+
+@query(
+    o.chain(
+        *_LOGGED_VERDICTS, _LOGGED, *_TOP, *_PARTS,
+        last=f"""select v.ticket_id, case when v.symptom = {o.q(fixed.TOO_SHORT)} then '' else r.listed end as alternatives, coalesce(e.told, '') as evidence, coalesce(k.listed, '') as entities,
+            l.n > 100 as truncated, case when l.n > 0 and not {_OPEN} then t.symptom = v.symptom end as matches, c.told as counts, h.told as hits
+            from verdicts v left join logged l using (ticket_id) left join top t using (ticket_id) left join kinds k using (ticket_id) left join others r using (ticket_id)
+            left join (select ticket_id, string_agg(item || '=' || met, ';' order by place) as told from needed group by ticket_id) e using (ticket_id)
+            left join (select ticket_id, string_agg(symptom || '=' || n, ';' order by symptom) as told from tally group by ticket_id) c using (ticket_id)
+            left join (select ticket_id, string_agg('app.log:' || line_number || ':' || symptom || ':' || label || ':' || excerpt, chr(10) order by line_number) as told from listed group by ticket_id) h using (ticket_id)""",
+    )
+)
+def screening_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other parts of the JSON documents, read back from them: alternatives, evidence, entities, all of the log analysis."""
+    hit = "array<struct<arquivo:string,linha:bigint,tipo:string,sintoma:string,trecho:string>>"
+    kind = f"alternativas array<struct<codigo:string,confianca:double>>, evidencias array<struct<item:string,atendida:boolean>>, dados_sensiveis map<string,bigint>, analise_log struct<truncado:boolean,confere_com_texto:boolean,contagem_por_sintoma:map<string,bigint>,ocorrencias_detalhadas:{hit}>"
+    b = _with_logs(spark, sf_dir).select("ticket_id", F.from_json(screening_json(), kind).alias("b")).select("ticket_id", "b.*")
+    told = lambda values, by, *parts: F.array_join(F.transform(values, lambda x: F.concat_ws(by, *(p(x).cast("string") for p in parts))), ";")
+    counts = lambda m: F.array_sort(F.transform(F.map_entries(m), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))))
+    log = F.col("analise_log")
+    hits = F.array_join(F.transform(log["ocorrencias_detalhadas"], lambda h: F.concat_ws(":", h["arquivo"], h["linha"].cast("string"), h["sintoma"], h["tipo"], h["trecho"])), "\n")
+    return b.select(
+        "ticket_id", told("alternativas", ":", lambda x: x["codigo"], lambda x: F.round(x["confianca"] * 10000).cast("bigint")).alias("alternatives"),
+        told("evidencias", "=", lambda x: x["item"], lambda x: x["atendida"]).alias("evidence"), F.array_join(counts("dados_sensiveis"), ", ").alias("entities"),
+        log["truncado"].alias("truncated"), log["confere_com_texto"].alias("matches"), F.nullif(F.array_join(counts(log["contagem_por_sintoma"]), ";"), F.lit("")).alias("counts"), F.nullif(hits, F.lit("")).alias("hits"),
+    )
+
+
 # ---- sources ----------------------------------------------------------------------------------------------
 _LATIN = r"regexp_replace(spaced, '[^\x00-\xff]', '?', 'g')"
 

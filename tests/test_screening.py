@@ -66,6 +66,18 @@ def test_report(screened):
     assert "cobrando: " + fixed.ITEM_ARTIFACT in rows["ux"]
 
 
+def test_confidence_is_rounded_as_written(spark):
+    """One digit of the number's exact value: 0.15 as a percentage is just below the middle, and other formats round it up."""
+    from tamis.functions.render import report
+
+    row = {"ticket_id": "1", "masked": "x", "symptom": fixed.UX, "status": "APROVADO", "action": "a"}
+    base = spark.createDataFrame([(*row.values(), i / 10000) for i in range(0, 10001, 25)], ", ".join(f"{k} string" for k in row) + ", confidence double")
+    empty = screen(spark.createDataFrame([], "ticket_id string, raw_text string")).drop(*row, "confidence")
+    whole = base.select("*", *(F.lit(None).cast(t).alias(n) for n, t in empty.dtypes))
+    for r in whole.select("confidence", report().alias("t")).collect():
+        assert f"(Confiança: {r['confidence'] * 100:.1f}%)" in r["t"]
+
+
 def test_roles(spark):
     names = {"a.LOG": "log", "b.JPeG": "visual", "c.zip": "other", ".log": "other", "x/y.tar.out": "log", "none": "other", "dot.": "other"}
     got = spark.createDataFrame([(n,) for n in names], "n string").select("n", role(F.col("n")).alias("r")).collect()
