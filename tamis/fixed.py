@@ -138,3 +138,47 @@ SIGNATURES = (
 LOG_EXTENSIONS = (".txt", ".log", ".csv", ".json", ".out")
 VISUAL_EXTENSIONS = (".png", ".jpg", ".jpeg", ".gif", ".bmp", ".pdf")
 ARCHIVE_EXTENSIONS = (".zip",)
+
+# ---- fixed values: messages -------------------------------------------------------------------------------
+EMPTY_TICKET = "O texto do chamado está vazio."
+INCOMPLETE_PAYLOAD = "Resposta da API sem id ou texto do chamado."
+NO_TICKET = "Chamado não encontrado."
+TEXT_NEEDED = "Campo 'texto' é obrigatório e não pode estar vazio."
+TEXT_NEEDED_DETAIL = "envie JSON {'texto': '...'} ou um campo de formulário 'texto'"
+TOO_LARGE = "Envio excede o limite de {limit}."
+BAD_ATTACHMENT = "Anexo inválido."
+INTERNAL_ERROR = "Erro interno ao processar o chamado."
+NO_RESOURCE = "Recurso não encontrado."
+SOURCE_NEEDED = "informe --text, --text-file, --api-source ou --interactive"
+SLUGS = {
+    EMPTY_TICKET: "chamado-nao-carregado",
+    INCOMPLETE_PAYLOAD: "chamado-nao-carregado",
+    TEXT_NEEDED: "requisicao-invalida",
+    TOO_LARGE: "envio-muito-grande",
+    BAD_ATTACHMENT: "anexo-invalido",
+    INTERNAL_ERROR: "erro-interno",
+    NO_RESOURCE: "erro-http",
+}
+
+# ---- fixed values: lines of the text report ---------------------------------------------------------------
+REPORT = {
+    "ticket": "[CHAMADO]          : ",
+    "text": "[TEXTO ANALISADO]  : ",
+    "symptom": "[SINTOMA INFERIDO] : ",
+    "confidence": " (Confiança: ",
+    "files": "[ANEXOS]           : %d log(s), %d evidência(s) visual(is), %d outro(s)",
+    "entities": "[DADOS SENSÍVEIS]  : ",
+    "status": "[STATUS]           : ",
+    "action": "[AÇÃO NECESSÁRIA]  : ",
+    "return": "Devolver chamado ao solicitante cobrando: ",
+    "evidence": "[EVIDÊNCIAS]",
+    "met": "  [OK  ] ",
+    "lacking": "  [FALTA] ",
+    "no hits": "[ANÁLISE DE LOG]   : Nenhuma assinatura de erro conhecida encontrada.",
+    "hits": "[ANÁLISE DE LOG]   : %d ocorrência(s) em %d arquivo(s)",
+    "first": " (exibindo os primeiros)",
+    "confirmed": "[CONFIRMAÇÃO]      : Causa técnica no log confirma o sintoma relatado.",
+}
+#: each is cut where the log's cause and the text's symptom go
+REPORT_DIVERGENCE = ("[⚠️ DIVERGÊNCIA]    : Log aponta causa técnica de '", "', mas o texto do chamado indica '", "'. Revisar antes de prosseguir.")
+REPORT_HINT = ("[INDÍCIO TÉCNICO]  : O log aponta '", "'. Como o texto não permitiu inferir o sintoma, use o log como ponto de partida.")

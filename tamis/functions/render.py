@@ -45,7 +45,7 @@ def screening_json() -> Column:
 
 def report(width: int | None = None, config: Config = DEFAULT) -> Column:
     """The boxed text report of a row of ``screening.screen``; absent parts are null and drop out."""
-    n = width or config.report_width
+    n, say, apart, hint = width or config.report_width, fixed.REPORT, fixed.REPORT_DIVERGENCE, fixed.REPORT_HINT
     heavy, light = F.lit("=" * n), F.lit("-" * n)
     log, some = F.col("log_analysis"), F.col("log_analysis").isNotNull()
     hits = some & (log["total_hits"] > 0)
@@ -55,23 +55,23 @@ def report(width: int | None = None, config: Config = DEFAULT) -> Column:
     always = F.lit(True)
     lines = F.array(
         heavy,
-        when(always, "[CHAMADO]          : ", F.col("ticket_id")),
-        when(always, "[TEXTO ANALISADO]  : ", F.col("masked")),
-        when(always, "[SINTOMA INFERIDO] : ", F.col("symptom"), " (Confiança: ", F.format_number(F.col("confidence") * 100, 1), "%)"),
-        F.when(F.col("bundle.total") > 0, F.format_string("[ANEXOS]           : %d log(s), %d evidência(s) visual(is), %d outro(s)", "bundle.logs", "bundle.visuals", "bundle.others")),
-        when(F.size("entities") > 0, "[DADOS SENSÍVEIS]  : ", listed),
-        when(always, "[STATUS]           : ", lookup(F.col("status"), fixed.STATUS_TITLES)),
-        F.when(F.col("status") == fixed.BLOCKED, F.concat(F.lit("[AÇÃO NECESSÁRIA]  : Devolver chamado ao solicitante cobrando: "), F.array_join("missing", ", "))).otherwise(F.concat(F.lit("[AÇÃO NECESSÁRIA]  : "), F.col("action"))),
+        when(always, say["ticket"], F.col("ticket_id")),
+        when(always, say["text"], F.col("masked")),
+        when(always, say["symptom"], F.col("symptom"), say["confidence"], F.format_number(F.col("confidence") * 100, 1), "%)"),
+        F.when(F.col("bundle.total") > 0, F.format_string(say["files"], "bundle.logs", "bundle.visuals", "bundle.others")),
+        when(F.size("entities") > 0, say["entities"], listed),
+        when(always, say["status"], lookup(F.col("status"), fixed.STATUS_TITLES)),
+        F.when(F.col("status") == fixed.BLOCKED, F.concat(F.lit(say["action"] + say["return"]), F.array_join("missing", ", "))).otherwise(F.concat(F.lit(say["action"]), F.col("action"))),
         F.when(F.size("evidences") > 0, light),
-        F.when(F.size("evidences") > 0, F.lit("[EVIDÊNCIAS]")),
-        F.when(F.size("evidences") > 0, F.array_join(F.transform("evidences", lambda e: F.concat(F.when(e["satisfied"], "  [OK  ] ").otherwise("  [FALTA] "), e["item"])), "\n")),
+        F.when(F.size("evidences") > 0, F.lit(say["evidence"])),
+        F.when(F.size("evidences") > 0, F.array_join(F.transform("evidences", lambda e: F.concat(F.when(e["satisfied"], say["met"]).otherwise(say["lacking"]), e["item"])), "\n")),
         F.when(some, light),
-        F.when(some & ~hits, F.lit("[ANÁLISE DE LOG]   : Nenhuma assinatura de erro conhecida encontrada.")),
-        when(hits, F.format_string("[ANÁLISE DE LOG]   : %d ocorrência(s) em %d arquivo(s)", log["total_hits"], log["scanned_files"]), F.when(log["truncated"], " (exibindo os primeiros)").otherwise(""), ":"),
+        F.when(some & ~hits, F.lit(say["no hits"])),
+        when(hits, F.format_string(say["hits"], log["total_hits"], log["scanned_files"]), F.when(log["truncated"], say["first"]).otherwise(""), ":"),
         F.when(hits, F.array_join(F.transform(log["hits"], lambda h: F.concat(F.lit("  - "), h["file_name"], F.lit(":"), h["line_number"].cast("string"), F.lit(" ["), h["label"], F.lit("] "), h["excerpt"])), "\n")),
-        when(hits & (F.col("matches_text") == False), "[⚠️ DIVERGÊNCIA]    : Log aponta causa técnica de '", log["dominant_symptom"], "', mas o texto do chamado indica '", F.col("symptom"), "'. Revisar antes de prosseguir."),  # noqa: E712
-        F.when(hits & F.col("matches_text"), F.lit("[CONFIRMAÇÃO]      : Causa técnica no log confirma o sintoma relatado.")),
-        when(hits & F.col("matches_text").isNull(), "[INDÍCIO TÉCNICO]  : O log aponta '", F.coalesce(log["dominant_symptom"], F.lit("")), "'. Como o texto não permitiu inferir o sintoma, use o log como ponto de partida."),
+        when(hits & (F.col("matches_text") == False), apart[0], log["dominant_symptom"], apart[1], F.col("symptom"), apart[2]),  # noqa: E712
+        F.when(hits & F.col("matches_text"), F.lit(say["confirmed"])),
+        when(hits & F.col("matches_text").isNull(), hint[0], F.coalesce(log["dominant_symptom"], F.lit("")), hint[1]),
         heavy,
     )
     return F.array_join(lines, "\n")

@@ -45,8 +45,8 @@ def verdict(loaded: DataFrame, files: DataFrame | None, output: Column, config:
         sweep(loaded.sparkSession)
 
 
-def _problem(status: int, title: str, slug: str, detail: str = "") -> tuple[int, str, str]:
-    return status, PROBLEM, json.dumps({"type": f"/erros/{slug}", "title": title, "status": status} | ({"detail": detail} if detail else {}), ensure_ascii=False)
+def _problem(status: int, message: str, detail: str = "", **more: str) -> tuple[int, str, str]:
+    return status, PROBLEM, json.dumps({"type": f"/erros/{fixed.SLUGS[message]}", "title": message.format(**more) if more else message, "status": status} | ({"detail": detail} if detail else {}), ensure_ascii=False)
 
 
 def readable_limit(limit: int) -> str:
@@ -80,9 +80,9 @@ def handle(spark: SparkSession, method: str, path: str, body: bytes, config: Con
     if (method, path) == ("GET", "/api/v1/symptoms"):
         return 200, ok, json.dumps(taxonomy(), ensure_ascii=False)
     if (method, path) != ("POST", "/api/v1/screenings"):
-        return _problem(404, "Recurso não encontrado.", "erro-http")
+        return _problem(404, fixed.NO_RESOURCE)
     if len(body) > config.api_max_content_length:
-        return _problem(413, f"Envio excede o limite de {readable_limit(config.api_max_content_length)}.", "envio-muito-grande")
+        return _problem(413, fixed.TOO_LARGE, limit=readable_limit(config.api_max_content_length))
     uploads: list[tuple[str, bytes]] = []
     if content_type.split(";")[0].strip().endswith("json"):
         try:
@@ -92,10 +92,10 @@ def handle(spark: SparkSession, method: str, path: str, body: bytes, config: Con
     else:
         payload, uploads = form(body, content_type)
     if not isinstance(payload, dict):
-        return _problem(500, "Erro interno ao processar o chamado.", "erro-interno")
+        return _problem(500, fixed.INTERNAL_ERROR)
     text = payload.get("texto") or payload.get("text") or ""
     if not isinstance(text, str) or not text.strip():
-        return _problem(400, "Campo 'texto' é obrigatório e não pode estar vazio.", "requisicao-invalida", "envie JSON {'texto': '...'} ou um campo de formulário 'texto'")
+        return _problem(400, fixed.TEXT_NEEDED, fixed.TEXT_NEEDED_DETAIL)
     ticket = uuid.uuid4().hex[:8]
     loaded = spark.createDataFrame([(ticket, text)], "ticket_id string, raw_text string")
     files = None
@@ -105,7 +105,7 @@ def handle(spark: SparkSession, method: str, path: str, body: bytes, config: Con
     try:
         row = verdict(loaded, files, screening_json(), config)
     except ValueError as e:
-        return _problem(400, "Anexo inválido.", "anexo-invalido", str(e))
+        return _problem(400, fixed.BAD_ATTACHMENT, str(e))
     return (422 if row["status"] == fixed.BLOCKED else 200), ok, row["text"]
 
 
@@ -155,7 +155,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     parser.add_argument("--serve", action="store_true")
     args = parser.parse_args(argv)
     if not (args.text or args.text_file or args.api_source or args.interactive or args.serve):
-        parser.error("informe --text, --text-file, --api-source ou --interactive")
+        parser.error(fixed.SOURCE_NEEDED)
     config = Config.from_env()
     spark = spark or SparkSession.builder.appName("tamis").getOrCreate()
     if args.verbose or args.quiet:
@@ -186,7 +186,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     except AnalysisException:
         ticket = None
     if ticket is None or ticket["error"]:
-        print(f"{ticket['error']['message']} {ticket['error']['detail']}".strip() if ticket else "Chamado não encontrado.", file=sys.stderr)
+        print(f"{ticket['error']['message']} {ticket['error']['detail']}".strip() if ticket else fixed.NO_TICKET, file=sys.stderr)
         return fixed.EXIT_ERROR
     name = ticket["ticket_id"]
     paths = args.attachments if attached is None else [r["path"] for r in attached.where(F.col("ticket_id") == name).select("path").collect()]
@@ -194,7 +194,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         files = archives.read_given(spark, name, paths) if paths else None
         return show(spark.createDataFrame([(name, ticket["raw_text"])], "ticket_id string, raw_text string"), files)
     except ValueError as e:
-        print(f"Anexo inválido: {e}", file=sys.stderr)
+        print(f"{fixed.BAD_ATTACHMENT} {e}", file=sys.stderr)
         return fixed.EXIT_ERROR
 
 

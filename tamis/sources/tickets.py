@@ -11,17 +11,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tamis import fixed
 from tamis.functions.decode import decode_ladder
 from tamis.functions.text import stem, strip
 
 PAYLOAD = "id string, text string, attachment_paths array<string>"
 
 
-def error(slug: str, http_status: int, message: str, detail: Column) -> Column:
-    return F.struct(F.lit(slug).alias("slug"), F.lit(http_status).alias("http_status"), F.lit(message).alias("message"), detail.alias("detail"))
-
-
-NOT_LOADED = ("chamado-nao-carregado", 400)
+def error(message: str, detail: Column, http_status: int = 400) -> Column:
+    return F.struct(F.lit(fixed.SLUGS[message]).alias("slug"), F.lit(http_status).alias("http_status"), F.lit(message).alias("message"), detail.alias("detail"))
 
 
 def read_text_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -29,20 +27,20 @@ def read_text_files(spark: SparkSession, path: str, glob: str = "*") -> DataFram
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
     rows = files.select(stem(F.col("path")).alias("ticket_id"), decode_ladder(F.col("content")).alias("raw_text"), "path")
     empty = F.coalesce(strip(F.col("raw_text")), F.lit("")) == ""
-    return rows.withColumn("error", F.when(empty, error(*NOT_LOADED, "O texto do chamado está vazio.", F.col("path"))))
+    return rows.withColumn("error", F.when(empty, error(fixed.EMPTY_TICKET, F.col("path"))))
 
 
 def from_texts(texts: DataFrame, *more: str) -> DataFrame:
     """(ticket_id, raw_text, error) of inline (text), and more columns of it; identifiers are random and differ from run to run."""
     rows = texts.select(*more, F.substring(F.replace(F.expr("uuid()"), F.lit("-"), F.lit("")), 1, 8).alias("ticket_id"), F.col("text").alias("raw_text"))
-    return rows.withColumn("error", F.when(F.coalesce(strip(F.col("raw_text")), F.lit("")) == "", error(*NOT_LOADED, "O texto do chamado está vazio.", F.lit(""))))
+    return rows.withColumn("error", F.when(F.coalesce(strip(F.col("raw_text")), F.lit("")) == "", error(fixed.EMPTY_TICKET, F.lit(""))))
 
 
 def from_payloads(payloads: DataFrame, *more: str) -> DataFrame:
     """(ticket_id, raw_text, attachment_paths, error) of (id, text, attachment_paths), and more columns of it. A blank text is a text here."""
     rows = payloads.select(*more, F.col("id").cast("string").alias("ticket_id"), F.col("text").cast("string").alias("raw_text"), F.coalesce("attachment_paths", F.array().cast("array<string>")).alias("attachment_paths"))
     lacking = (F.coalesce("ticket_id", F.lit("")) == "") | (F.coalesce("raw_text", F.lit("")) == "")
-    return rows.withColumn("error", F.when(lacking, error(*NOT_LOADED, "Resposta da API sem id ou texto do chamado.", F.coalesce("ticket_id", F.lit("")))))
+    return rows.withColumn("error", F.when(lacking, error(fixed.INCOMPLETE_PAYLOAD, F.coalesce("ticket_id", F.lit("")))))
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
@@ -73,5 +71,5 @@ def read_pool(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 def request_text(texto: Column, text: Column) -> Column:
     """struct<text, error> of a request's two text fields: the first that is not empty, which must not be blank."""
     given = F.coalesce(F.nullif(texto, F.lit("")), F.nullif(text, F.lit("")), F.lit(""))
-    bad = error("requisicao-invalida", 400, "Campo 'texto' é obrigatório e não pode estar vazio.", F.lit("envie JSON {'texto': '...'} ou um campo de formulário 'texto'"))
+    bad = error(fixed.TEXT_NEEDED, F.lit(fixed.TEXT_NEEDED_DETAIL))
     return F.struct(given.alias("text"), F.when(strip(given) == "", bad).alias("error"))
