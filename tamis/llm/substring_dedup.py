@@ -15,7 +15,8 @@ more than one run.
 Null and empty texts have no words; texts of fewer words than a window keep all. Batches may come in any order
 of identifiers, but a batch is judged against what came before it and itself only. Rows with a repeated doc_id
 count as one document that starts the windows of all, each row cut by its own text; a null doc_id removes nothing
-and is removed by nothing. Extra columns are ignored; empty tables give no rows.
+and is removed by nothing. Extra columns are ignored; empty tables give no rows. A text of 2^28 words or more is an
+error, as places have so many bits.
 """
 
 from __future__ import annotations

@@ -8,7 +8,7 @@ buckets with more members are refined by the identifiers of the buckets at later
 Null and empty texts have no bytes; texts shorter than ``width`` keep all; matches never cross documents;
 copies of a document remove each other (both go), as both start elsewhere. Every row is a document of its own, also
 with a null doc_id or one that other rows have too; equal rows are copies of each other. Extra columns are
-ignored; empty tables give no rows.
+ignored; empty tables give no rows. A text of 2^28 bytes or more is an error, as places have so many bits.
 """
 
 from __future__ import annotations
