@@ -507,4 +507,4 @@ def test_curriculum_of_nothing(no_documents):
 # ---- entry ------------------------------------------------------------------------------------------------
 def test_registered():
     names = __spark_entry__.queries()
-    assert {n.split("_")[0] for n in names if re.match(r"op\d+_", n)} == {f"op{i}" for i in range(1, 11)} and "pipeline" in names
+    assert {n.split("_")[0] for n in names if re.match(r"op\d+_", n)} == {f"op{i}" for i in range(1, 14)} and "pipeline" in names
