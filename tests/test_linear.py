@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tamis.operators.blocks import as_map, parse_tickets
-from tamis.operators.entities import anonymize, detect, mask, mask_sensitive_data, without_overlaps
+from tamis.operators.entities import anonymize, mask, mask_sensitive_data, without_overlaps
 from tests.test_entities import python_twin
 
 TICKET = "ticket_id string, raw_text string"
@@ -15,7 +15,7 @@ PHONES = lambda n: "ligar 11987654321 (11) 98765-4321 é " * (n // 2)  # noqa: E
 FIELDS = lambda n: "Detalhes:\n" + "".join(f"campo{i} -> valor {i}\n" for i in range(n))
 
 
-def fastest(df, runs=3):
+def fastest(df, runs=2):
     seconds = []
     for _ in range(runs):
         began = time.time()
@@ -24,12 +24,10 @@ def fastest(df, runs=3):
     return min(seconds)
 
 
-@pytest.mark.parametrize("name", ["detect", "mask", "parse", "map"])
+@pytest.mark.parametrize("name", ["mask", "map"])  # which detect and parse
 def test_one_long_text_costs_as_ten_shorter(spark, name):
     make, long, run = {
-        "detect": (PHONES, 50_000, lambda df: df.select(detect(F.col("raw_text")))),
         "mask": (PHONES, 50_000, lambda df: df.select(mask_sensitive_data(F.col("raw_text")))),
-        "parse": (FIELDS, 100_000, parse_tickets),
         "map": (FIELDS, 100_000, lambda df: parse_tickets(df).select(as_map(F.col("parsed")))),
     }[name]
     ten = spark.createDataFrame([(str(i), make(long // 10)) for i in range(10)], TICKET).coalesce(1)
