@@ -58,6 +58,17 @@ def with_grams(words: DataFrame, config: Config = DEFAULT) -> DataFrame:
     return places.select(*kept, F.explode(F.array(*cut)).alias("gram")).where("gram is not null")
 
 
+def char_gram_array(word: Column, config: Config = DEFAULT) -> Column:
+    """array<string> of a word's n-grams, one for each place: for use in a row, where ``with_grams`` makes rows."""
+
+    def cut(w: Column) -> Column:
+        of = lambda n: F.transform(F.sequence(F.lit(1), F.length(w) - (n - 1)), lambda i: F.substring(w, i, F.lit(n)))
+        some = [F.when(F.length(w) >= n, of(n)).otherwise(F.array().cast("array<string>")) for n in range(config.nlp_ngram_min, config.nlp_ngram_max + 1)]
+        return F.concat(*some)
+
+    return let(F.concat(F.lit(" "), word, F.lit(" ")), cut)
+
+
 def scores(texts: DataFrame, key: str, text: str, config: Config = DEFAULT) -> DataFrame:
     """(key, cosines array<double> by anchor) of the texts that share an n-gram with the anchors."""
     model = F.broadcast(vocabulary(texts.sparkSession, config))

@@ -139,7 +139,7 @@ def mask_sensitive_data(text: Column) -> Column:
     return anonymize(text)["masked"]
 
 
-def has_entity(entities: Column, kind: str, least: str = fixed.MEDIUM) -> Column:
+def has_entity(entities: Column, kind: str | Column, least: str | Column = fixed.MEDIUM) -> Column:
     return F.exists(entities, lambda e: (e["kind"] == kind) & ((F.lit(least) == fixed.MEDIUM) | (e["confidence"] == fixed.HIGH)))
 
 

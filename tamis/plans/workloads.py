@@ -22,6 +22,7 @@ from tamis.plans import oracles as o
 from tamis.plans.wrapping import FILES, LOG_LINES, NARRATIVES, TICKETS, read
 from tamis.sources import archives, generator, log_lines, tickets
 from tamis.sources.tables import read_table
+from tamis.sql import VOCABULARY, register
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -614,3 +615,42 @@ def attached_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def anonymized_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "pages").select("page_id", anonymize(F.col("html")).alias("a"))
     return rows.select("page_id", F.size("a.entities").alias("entities"), F.length("a.masked").alias("n_chars"), F.md5("a.masked").alias("masked"))
+
+
+# ---- functions of SQL -------------------------------------------------------------------------------------
+#: The exchange by ticket is made once and read by both that need masked texts.
+_SQL_SCREENING = f"""
+with masked as (select /*+ repartition(ticket_id) */ ticket_id, mask_sensitive_data(ticket_text(raw_text)) as masked from {{tickets}}),
+split as (select ticket_id, symptom_words(masked) as words from masked),
+counted as (select ticket_id, word, count(*) as n from split lateral view outer explode(words) as word where word is not null group by ticket_id, word),
+cut as (select ticket_id, word_grams(word) as grams, n from counted),
+grams as (select ticket_id, gram, sum(n) as n from cut lateral view outer explode(grams) as gram where gram is not null group by ticket_id, gram),
+weighted as (select ticket_id, (1 + ln(n)) * idf as q, weights from grams join {VOCABULARY} using (gram)),
+norms as (select ticket_id, sqrt(sum(q * q)) as norm from weighted group by ticket_id),
+dots as (select ticket_id, anchor, sum(q * w) as dot from weighted lateral view posexplode(weights) as anchor, w group by ticket_id, anchor),
+scored as (select ticket_id, transform(array_sort(collect_list(struct(anchor, dot / norm as score))), x -> x.score) as cosines from dots join norms using (ticket_id) group by ticket_id),
+told as (select ticket_id, masked, symptom_of(masked, cosines) as s from masked left join scored using (ticket_id))
+select ticket_id, masked, s.symptom, s.confidence from told"""
+
+
+@query(o.chain(o.TICKET_CTE, o.BLOCK_CTES, o.ANALYSIS_CTES, o.entity_ctes(), o.inference_ctes("masked", "masked"), last="select ticket_id, masked, symptom, confidence from inferred join masked using (ticket_id)"))
+def sql_screening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tickets read, masked and classified by one SQL text."""
+    register(spark)
+    return spark.sql(_SQL_SCREENING, tickets=read(spark, sf_dir, TICKETS))
+
+
+@query(o.chain(o.NARRATIVE_CTE, o.entity_ctes(), last="select kind, confidence, count(*) as n, cast(sum(e - s) as bigint) as chars from accepted group by kind, confidence"))
+def sql_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register(spark)
+    text = """select e.kind, e.confidence, count(*) as n, sum(e.end - e.start) as chars
+              from (select detect_entities(text) as found from {narratives}) lateral view outer explode(found) as e where e is not null group by e.kind, e.confidence"""
+    return spark.sql(text, narratives=read(spark, sf_dir, NARRATIVES))
+
+
+@query(o.chain(o.LOG_CTES, last="select ticket_id, symptom, label, count(*) as hits, min(line_number) as first_line from hits group by ticket_id, symptom, label"))
+def sql_log_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register(spark)
+    text = """select ticket_id, s.symptom, s.label, count(*) as hits, min(line_number) as first_line
+              from (select ticket_id, line_number, log_signature(line) as s from {lines}) where s is not null group by ticket_id, s.symptom, s.label"""
+    return spark.sql(text, lines=read(spark, sf_dir, LOG_LINES))
