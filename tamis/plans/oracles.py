@@ -90,13 +90,28 @@ def _grams(source: str, key: str, text: str) -> str:
     group by all)"""
 
 
-MODEL_CTES = f"""{_ANCHORS},
+def model_ctes(anchors: str, many: str) -> str:
+    """weights(anchor, gram, w) and idf(gram, idf) of anchors(anchor, label, text), of which there are so many."""
+    return f"""{anchors},
 anchor_grams as materialized (select * from {_grams("anchors", "anchor", "text")}),
-idf as materialized (select gram, ln((1 + {len(fixed.ANCHORS)}) / (1 + count(*))) + 1 as idf from anchor_grams group by gram),
+idf as materialized (select gram, ln((1 + {many}) / (1 + count(*))) + 1 as idf from anchor_grams group by gram),
 raw_weights as (select anchor, gram, (1 + ln(tf)) * idf as w from anchor_grams join idf using (gram)),
 weights as materialized (select anchor, gram, w / sqrt(sum(w * w) over (partition by anchor)) as w from raw_weights)"""
 
 
+MODEL_CTES = model_ctes(_ANCHORS, str(len(fixed.ANCHORS)))
+
+
+def cosine_ctes(source: str, text: str) -> str:
+    """cosines(ticket_id, anchor, label, score) of source(ticket_id, text), scores as they are ranked."""
+    return f"""
+tfq as materialized (select ticket_id, gram, (1 + ln(tf)) * idf as qw from {_grams(source, "ticket_id", text)} join idf using (gram)),
+norms as (select ticket_id, sqrt(sum(qw * qw)) as norm from tfq group by ticket_id),
+cosines as (
+  select ticket_id, anchor, label, round(dot / norm, 9) as score
+  from (select ticket_id, anchor, sum(qw * w) as dot from tfq join weights using (gram) group by all) join norms using (ticket_id) join anchors using (anchor))"""
+
+
 def inference_ctes(source: str, text: str) -> str:
     """inferred(ticket_id, symptom, confidence) from source(ticket_id, text)."""
     labels = ", ".join(f"({q(x)})" for x in sorted({label for label, _ in fixed.ANCHORS}))

@@ -13,6 +13,7 @@ from tamis.functions.decode import decode_ladder, decode_lossy
 from tamis.functions.render import http_status, problem, report, screening_json
 from tamis.functions.text import normalize_header
 from tamis.operators import logs
+from tamis.operators.anchors import fit_anchors, label_scores, nearest_anchor
 from tamis.operators.blocks import as_map, block, field, narrative, parse_tickets
 from tamis.operators.classify import infer, infer_distinct, label_and_score, parse_symptom, vocabulary
 from tamis.operators.entities import anonymize, detect, mask_sensitive_data
@@ -617,6 +618,33 @@ def anonymized_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", F.size("a.entities").alias("entities"), F.length("a.masked").alias("n_chars"), F.md5("a.masked").alias("masked"))
 
 
+# ---- anchors in a table -----------------------------------------------------------------------------------
+@query(o.chain(o.NARRATIVE_CTE, o.MODEL_CTES, o.cosine_ctes("src", "text"), last="select ticket_id, label, round(max(score), 6) as score from cosines where score > 0 group by ticket_id, label"))
+def fitted_symptoms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tickets' texts against the symptoms' anchors, fitted as a table."""
+    model = fit_anchors(spark.createDataFrame([(i, label, text) for i, (label, text) in enumerate(fixed.ANCHORS)], "anchor int, label string, text string"))
+    return label_scores(read(spark, sf_dir, NARRATIVES), model, text="text").select("ticket_id", "label", F.round("score", 6).alias("score"))
+
+
+_LABELLED = "anchors as materialized (select cast(doc_id as varchar) as anchor, concat_ws('/', 'quality', quality, 'toxic', toxic) as label, text from documents join labels using (doc_id) where text is not null)"
+_TURNS = "src as materialized (select conv_id || '/' || turn as ticket_id, text from conversations)"
+
+
+@query(
+    o.chain(
+        o.model_ctes(_LABELLED, "(select count(*) from anchors)"), _TURNS, o.cosine_ctes("src", "text"),
+        last="select ticket_id, label, anchor, round(score, 6) as score from (select *, row_number() over (partition by ticket_id order by score desc, label, anchor) as r from cosines where score > 0) where r = 1",
+    )
+)
+def nearest_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All turns of conversations against all labelled documents as anchors, in blocks."""
+    labelled = read_table(spark, sf_dir, "documents").join(read_table(spark, sf_dir, "labels"), "doc_id")
+    anchors = labelled.select(F.col("doc_id").alias("anchor"), F.concat_ws("/", F.lit("quality"), "quality", F.lit("toxic"), "toxic").alias("label"), "text")
+    turns = read_table(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("ticket_id"), "text")
+    near = nearest_anchor(turns, fit_anchors(anchors), text="text")
+    return near.select("ticket_id", "label", "anchor", F.round("score", 6).alias("score"))
+
+
 # ---- functions of SQL -------------------------------------------------------------------------------------
 #: The exchange by ticket is made once and read by both that need masked texts.
 _SQL_SCREENING = f"""
