@@ -14,14 +14,15 @@ from pyspark.sql import functions as F
 
 from tamis import scratch
 from tamis.config import DEFAULT, Config
+from tamis.functions.text import let
 from tamis.operators.classify import with_grams, words_of
 
-#: Anchors of a block.
-WIDTH = 64
+#: Anchors of a block: so many sums still make short compiled code; 64 took half as long again.
+WIDTH = 16
 #: Anchors that are numbered together, about: a bucket is one sort, of keys only.
 BUCKET = 4096
-#: Rows of the model that are sent to all tasks: at most 16,384 * (8 * WIDTH + about 100) bytes, or 10 MiB.
-BROADCAST_ROWS = 1 << 14
+#: Rows of the model that are sent to all tasks: at most 32,768 * (8 * WIDTH + about 100) bytes, or 7 MiB.
+BROADCAST_ROWS = 1 << 15
 #: Cosines are ranked by this many decimals, so that equal ones tie in whatever order they were summed.
 DECIMALS = 9
 
@@ -36,11 +37,13 @@ class AnchorModel:
     config: Config
 
 
-def counted_grams(texts: DataFrame, keys: list[str], text: str, config: Config) -> DataFrame:
-    """(keys, gram, n): how often each n-gram stands in the words of a text. Null and blank texts have none."""
-    words = texts.select(*keys, F.explode_outer(words_of(F.col(text))).alias("word")).where("word is not null")
-    counted = words.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("n"))
-    return with_grams(counted, config).groupBy(*keys, "gram").agg(F.sum("n").alias("n"))
+def counted_grams(texts: DataFrame, key: str, text: str, config: Config) -> DataFrame:
+    """(key, gram, n): how often each n-gram stands in the words of a text. Null and blank texts have none."""
+    # one exchange, by key, for this and all sums by key that follow; of a set number, as few bytes of text are many n-grams
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = texts.select(key, text).repartition(tasks, F.col(key)).select(key, F.explode_outer(words_of(F.col(text))).alias("word")).where("word is not null")
+    counted = words.groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
+    return with_grams(counted, config).groupBy(key, "gram").agg(F.sum("n").alias("n"))
 
 
 def fit_anchors(anchors: DataFrame, anchor: str = "anchor", label: str = "label", text: str = "text", config: Config = DEFAULT) -> AnchorModel:
@@ -57,33 +60,31 @@ def fit_anchors(anchors: DataFrame, anchor: str = "anchor", label: str = "label"
     many = table.count()
     order = Window.partitionBy("bucket").orderBy("label", "anchor", "key")
     numbered = table.select("key", "anchor", "label", F.pmod(F.xxhash64("key"), F.lit(-(-many // BUCKET) or 1)).alias("bucket")).withColumn("number", F.row_number().over(order) - 1)
-    block = F.concat_ws(".", F.col("bucket").cast("string"), F.floor(F.col("number") / WIDTH).cast("string"))
-    places = scratch.stored(numbered.select("key", block.alias("block"), (F.col("number") % WIDTH).alias("place"), "anchor", "label"), "places")
+    slots = scratch.stored(numbered.select("key", (F.shiftleft(F.col("bucket").cast("bigint"), 32) + F.col("number")).alias("slot"), "anchor", "label"), "places")
+    block, place = F.expr(f"slot div {WIDTH}").alias("block"), (F.col("slot") % WIDTH).cast("int").alias("place")
 
-    grams = counted_grams(table, ["key"], "text", config).join(places.select("key", "block", "place"), "key")
-    grams = scratch.stored(grams, "anchor-grams")
+    grams = scratch.stored(counted_grams(table.join(slots.select("key", "slot"), "key"), "slot", "text", config), "anchor-grams").select("slot", block, place, "gram", "n")
     known = grams.groupBy("gram").agg((F.log(F.lit(1 + many) / (1 + F.count(F.lit(1)))) + 1).alias("idf"), F.min("block").alias("head"))
     raw = grams.join(known, "gram").withColumn("w", (1 + F.log("n")) * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("key")))
-    unit = raw.withColumn("w", F.col("w") / norm)
-    # at most WIDTH entries a row
-    held = unit.groupBy("gram", "block").agg(F.any_value("idf").alias("idf"), F.any_value(F.col("block") == F.col("head")).alias("first"), F.map_from_entries(F.collect_list(F.struct("place", "w"))).alias("held"))
-    weights = F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda i: F.coalesce(F.col("held")[i], F.lit(0.0)))
-    cells = scratch.stored(held.select("gram", "block", "idf", "first", weights.alias("weights")), "anchor-cells")
-    return AnchorModel(cells, places.drop("key"), cells.count(), config)
+    unit = raw.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("slot")))).withColumn("w", F.col("w") / F.col("norm"))
+    side = [F.sum(F.when(F.col("place") == k, F.col("w"))).alias(f"w{k}") for k in range(WIDTH)]
+    held = unit.groupBy("gram", "block", "idf", (F.col("block") == F.col("head")).alias("first")).agg(*side)
+    weights = F.array(*(F.coalesce(f"w{k}", F.lit(0.0)) for k in range(WIDTH))).alias("weights")
+    cells = scratch.stored(held.select("gram", "block", "idf", "first", weights), "anchor-cells")
+    return AnchorModel(cells, slots.select(block, place, "anchor", "label"), cells.count(), config)
 
 
 def _cosines(texts: DataFrame, key: str, text: str, model: AnchorModel) -> DataFrame:
     """(key, block, cosines array<double> of WIDTH): a row for each text and block that share an n-gram."""
-    grams = counted_grams(texts.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where("_key is not null"), ["_key"], "_text", model.config)
+    grams = counted_grams(texts.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where("_key is not null"), "_key", "_text", model.config)
     # a small model goes to where the texts' counts are; a large one is met by n-gram, between two exchanges that adaptive execution can split
     cells = F.broadcast(model.cells) if model.rows <= BROADCAST_ROWS else model.cells.hint("merge")
     q = (1 + F.log("n")) * F.col("idf")
     met = grams.join(cells, "gram").select("_key", "block", "first", q.alias("q"), "weights")
     dots = [F.sum(F.col("q") * F.get("weights", F.lit(k))).alias(f"s{k}") for k in range(WIDTH)]
     sums = met.groupBy("_key", "block").agg(F.sum(F.when(F.col("first"), F.col("q") * F.col("q"))).alias("squares"), *dots)
-    norm = F.sqrt(F.sum("squares").over(Window.partitionBy("_key")))
-    return sums.select("_key", "block", F.array(*(F.round(F.col(f"s{k}") / norm, DECIMALS) for k in range(WIDTH))).alias("cosines"))
+    normed = sums.withColumn("norm", F.sqrt(F.sum("squares").over(Window.partitionBy("_key"))))
+    return normed.select("_key", "block", F.array(*(F.round(F.col(f"s{k}") / F.col("norm"), DECIMALS) for k in range(WIDTH))).alias("cosines"))
 
 
 def _first(score: Column, *more: str) -> Column:
@@ -106,7 +107,7 @@ def nearest_anchor(texts: DataFrame, model: AnchorModel, key: str = "ticket_id",
 
     Places of a block are in the order of label and name, so a block's best is found within its row and only that is looked up.
     """
-    scored = F.transform("cosines", lambda x, i: F.struct((-x).alias("minus"), i.alias("place")))
-    each = _cosines(texts, key, text, model).select("_key", "block", F.array_min(scored).alias("b")).where("b.minus < 0").select("_key", "block", "b.place", "b.minus")
-    best = each.join(model.places, ["block", "place"]).groupBy("_key").agg(F.min(F.struct("minus", "label", "anchor")).alias("best"))
+    best = lambda c: let(F.array_max(c), lambda top: F.struct((-top).alias("minus"), (F.array_position(c, top) - 1).cast("int").alias("place")))
+    each = _cosines(texts, key, text, model).select("_key", "block", let(F.col("cosines"), best).alias("b")).select("_key", "block", "b.place", "b.minus")
+    best = each.join(model.places, ["block", "place"]).groupBy("_key").agg(F.min(F.struct("minus", "label", "anchor")).alias("best")).where("best.minus < 0")
     return best.select(F.col("_key").alias(key), "best.label", (-F.col("best.minus")).alias("score"), "best.anchor")
