@@ -646,10 +646,10 @@ def nearest_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---- functions of SQL -------------------------------------------------------------------------------------
-#: The exchange by ticket is made once and read by both that need masked texts.
+#: Its result is stored, as two parts of the second text read it and Spark would mask the tickets for each.
+_SQL_MASKED = "select ticket_id, mask_sensitive_data(ticket_text(raw_text)) as masked from {tickets}"
 _SQL_SCREENING = f"""
-with masked as (select /*+ repartition(ticket_id) */ ticket_id, mask_sensitive_data(ticket_text(raw_text)) as masked from {{tickets}}),
-split as (select ticket_id, symptom_words(masked) as words from masked),
+with split as (select ticket_id, symptom_words(masked) as words from {{masked}}),
 counted as (select ticket_id, word, count(*) as n from split lateral view outer explode(words) as word where word is not null group by ticket_id, word),
 cut as (select ticket_id, word_grams(word) as grams, n from counted),
 grams as (select ticket_id, gram, sum(n) as n from cut lateral view outer explode(grams) as gram where gram is not null group by ticket_id, gram),
@@ -657,15 +657,16 @@ weighted as (select ticket_id, (1 + ln(n)) * idf as q, weights from grams join {
 norms as (select ticket_id, sqrt(sum(q * q)) as norm from weighted group by ticket_id),
 dots as (select ticket_id, anchor, sum(q * w) as dot from weighted lateral view posexplode(weights) as anchor, w group by ticket_id, anchor),
 scored as (select ticket_id, transform(array_sort(collect_list(struct(anchor, dot / norm as score))), x -> x.score) as cosines from dots join norms using (ticket_id) group by ticket_id),
-told as (select ticket_id, masked, symptom_of(masked, cosines) as s from masked left join scored using (ticket_id))
+told as (select ticket_id, masked, symptom_of(masked, cosines) as s from {{masked}} left join scored using (ticket_id))
 select ticket_id, masked, s.symptom, s.confidence from told"""
 
 
 @query(o.chain(o.TICKET_CTE, o.BLOCK_CTES, o.ANALYSIS_CTES, o.entity_ctes(), o.inference_ctes("masked", "masked"), last="select ticket_id, masked, symptom, confidence from inferred join masked using (ticket_id)"))
 def sql_screening(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tickets read, masked and classified by one SQL text."""
+    """Tickets read, masked and classified by SQL texts."""
     register(spark)
-    return spark.sql(_SQL_SCREENING, tickets=read(spark, sf_dir, TICKETS))
+    masked = scratch.stored(spark.sql(_SQL_MASKED, tickets=read(spark, sf_dir, TICKETS)), "masked")
+    return spark.sql(_SQL_SCREENING, masked=masked)
 
 
 @query(o.chain(o.NARRATIVE_CTE, o.entity_ctes(), last="select kind, confidence, count(*) as n, cast(sum(e - s) as bigint) as chars from accepted group by kind, confidence"))
