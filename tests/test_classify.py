@@ -1,7 +1,10 @@
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 from tamis import fixed
+from tamis.operators import classify
 from tamis.operators.classify import fit, infer, infer_distinct, label_and_score, parse_symptom
 
 CASES = {
@@ -60,3 +63,18 @@ def test_repeated_texts_are_classified_once(spark, inferred):
     texts = [t for t in CASES if t != ""] * 2
     rows = infer_distinct(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "n bigint, masked string")).collect()
     assert len(rows) == len(texts) and all(r["inference"] == inferred[r["masked"]] for r in rows)
+
+
+def test_texts_are_scored_where_they_stand(spark):
+    """No shuffle, and so no task that grows with the n-grams of all texts."""
+    rows = spark.createDataFrame([("1", "a ligacao caiu")], "ticket_id string, masked string")
+    assert "Exchange" not in infer(rows)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("piece", [classify.PIECE, 7])
+def test_counts_are_those_of_the_words(monkeypatch, piece):
+    monkeypatch.setattr(classify, "PIECE", piece)
+    grams = sorted(fit()[0])
+    for text in ["", "a", " \t ", "a b o", "oé de\x1cda fila", "\U0001f600chamada ", "fila" * 40, "　".join(t for _, t in fixed.ANCHORS)]:
+        counts = Counter(g for word in text.split() for g in classify.char_grams(word, 3, 5))
+        assert classify._counts(text, 3, 5).tolist() == [counts[g] for g in grams]
