@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from tamis import fixed, sql
 from tamis.operators.classify import infer, with_grams
 from tamis.operators.entities import anonymize
+from tamis.plans import workloads
 
 TEXTS = [
     "ligar (11) 98765-4321 hoje, a.b@empresa.com.br", "o botao de tabulacao travou", "it's a \\d test\nof 'quotes' \u0001 and 10.20.30.40",
@@ -62,3 +63,11 @@ def test_catalog_functions_serve_other_sessions(spark):
         assert spark.newSession().sql("select desk.mask_sensitive_data('ligar (11) 98765-4321')").first()[0] == "ligar [TELEFONE_MASK]"
     finally:
         spark.sql("drop database desk cascade")
+
+
+def test_screening_text_shuffles_nothing(spark, registered):
+    """The n-grams of all tickets are not rows to be shuffled; verdicts are those of the operator."""
+    masked = spark.createDataFrame([("1", "ligacao caiu no meio da chamada"), ("2", "xxxxx"), ("3", "")], "ticket_id string, masked string")
+    got = spark.sql(workloads._SQL_SCREENING, masked=masked)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == sorted((r["ticket_id"], r["masked"], r["inference"]["symptom"], r["inference"]["confidence"]) for r in infer(masked).collect())
