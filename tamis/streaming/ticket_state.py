@@ -1,7 +1,7 @@
 """What is known of each ticket's logs while their files keep arriving: counts, first hits, and lines so far.
 
 Logs arrive as segments: text files in folders ticket_id=<id>/file_name=<name>, where names of later segments sort after
-those of earlier ones. A micro-batch takes whole segments. It numbers their lines on from those of earlier batches and
+those of earlier ones, or packed, those of many tickets to a Parquet file. A micro-batch takes whole segments. It numbers their lines on from those of earlier batches and
 writes what it adds, one row a ticket and one a file, to a folder of its own, named by the batch. State is the sum of
 these folders, so a batch that is run again after a failure writes its folder over and changes nothing. Each ``COMPACT``
 batches all folders up to the batch are merged into one; a folder that holds the sum up to a batch replaces those before.
@@ -31,6 +31,18 @@ def read_segments(spark: SparkSession, folder: str, files_per_trigger: int = 100
     return lines.select("ticket_id", "file_name", F.make_valid_utf8("value").alias("line"), F.col("_metadata.file_name").alias("segment"), F.col("_metadata.file_block_start").alias("block"))
 
 
+def write_packed(lines: DataFrame, folder: str) -> None:
+    """Segments of many tickets to a Parquet file, a ticket's lines side by side and in order: as few files as tasks, however many tickets there are."""
+    ordered = lines.repartition("ticket_id").sortWithinPartitions("ticket_id", "file_name", "line_number")
+    ordered.select("ticket_id", "file_name", "line").write.mode("append").parquet(folder)
+
+
+def read_packed(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
+    """The same as ``read_segments``, of files that ``write_packed`` makes."""
+    lines = spark.readStream.schema("ticket_id string, file_name string, line string").option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+    return lines.select("ticket_id", "file_name", "line", F.col("_metadata.file_name").alias("segment"), F.col("_metadata.file_block_start").alias("block"))
+
+
 def numbered(batch: DataFrame, lengths: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(lines with att_ord and line_number, (ticket_id, file_name, lines) that the batch adds). lengths: lines of each file before it.
 

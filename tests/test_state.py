@@ -11,7 +11,7 @@ from tamis.operators import classify, logs, memo
 from tamis.plans.workloads import _write_segments
 from tamis.sources import payload_source, tickets
 from tamis.streaming import log_stream, ticket_state
-from tamis.streaming.ticket_state import TicketState, read_segments
+from tamis.streaming.ticket_state import TicketState, read_packed, read_segments, write_packed
 
 LINES = ["packet loss tel (11) 98765-4321", "heap out of memory", "INFO ok", "ACD_QUEUE error", "", "  sip/404 é"]
 SCHEMA = "ticket_id string, att_ord string, file_name string, line_number bigint, line string"
@@ -43,6 +43,19 @@ def test_stream_agrees_with_one_pass_after_restarts(spark, monkeypatch):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_packed_segments_agree_with_one_pass(spark):
+    """Many tickets in few files: batches follow the files, not the tickets."""
+    rng, config, folder, checkpoint = random.Random(5), Config(log_max_hits=7), scratch.path(spark, "packed"), scratch.path(spark, "ck")
+    lines = spark.createDataFrame([(f"t{t}", "a.log", "a.log", i, rng.choice(LINES)) for t in range(300) for i in range(1, rng.randint(2, 40))], SCHEMA)
+    state = TicketState(spark, scratch.path(spark, "state"), config)
+    for part in ("line_number <= 20", "line_number > 20"):
+        write_packed(lines.where(part), folder)
+        stream = state.run(read_packed(spark, folder), checkpoint)
+        stream.awaitTermination()
+        assert len([p for p in stream.recentProgress if p["numInputRows"]]) == 1
+    assert told(state.result()) == told(logs.summarize(logs.find_hits(lines), config))
+
+
 def test_a_batch_again_changes_nothing(spark):
     state = TicketState(spark, scratch.path(spark, "state"), Config(log_max_hits=3))
     batches = [spark.createDataFrame([("t", "a.log", "packet loss", f"s{n}", 0)] * 2, "ticket_id string, file_name string, line string, segment string, block bigint").coalesce(1) for n in range(3)]
