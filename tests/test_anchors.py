@@ -96,3 +96,16 @@ def test_odd_tables(spark):
     assert got == {(t, label): 1.0 for t in "12" for label in "xyw"}
     assert {r["label"] for r in a.nearest_anchor(texts, odd).collect()} == {"w"}
     assert a.label_scores(texts.limit(0), odd).count() == 0
+
+
+def test_few_texts_meet_a_large_model_where_it_lies(spark, many, monkeypatch):
+    """Cells of a large model are not shuffled for few texts, and results are the same where both are."""
+    monkeypatch.setattr(a, "BROADCAST_ROWS", 0)
+    rows, texts = many
+    model, data = a.fit_anchors(spark.createDataFrame(rows, ANCHORS)), spark.createDataFrame(texts, "ticket_id string, masked string")
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    near = a.nearest_anchor(data, model)
+    assert "SortMergeJoin [gram" not in plan(near)
+    monkeypatch.setattr(a, "BROADCAST_COUNTS", 0)
+    merged = a.nearest_anchor(data, model)
+    assert "SortMergeJoin [gram" in plan(merged) and sorted(map(tuple, near.collect())) == sorted(map(tuple, merged.collect()))
