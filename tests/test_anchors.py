@@ -109,3 +109,8 @@ def test_few_texts_meet_a_large_model_where_it_lies(spark, many, monkeypatch):
     monkeypatch.setattr(a, "BROADCAST_COUNTS", 0)
     merged = a.nearest_anchor(data, model)
     assert "SortMergeJoin [gram" in plan(merged) and sorted(map(tuple, near.collect())) == sorted(map(tuple, merged.collect()))
+
+
+def test_only_the_small_models_grams_are_summed(spark, small):
+    rows = spark.createDataFrame([("1", "a ligacao caiu zzzzzz")], "ticket_id string, masked string")
+    assert "LeftSemi" in a.label_scores(rows, small)._jdf.queryExecution().optimizedPlan().toString()
