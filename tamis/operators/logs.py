@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamis import fixed
 from tamis.config import DEFAULT, Config
-from tamis.functions.text import strip
+from tamis.functions.text import let, strip
 from tamis.operators.entities import mask_sensitive_data
 
 SYMPTOMS = tuple(sorted({s for s, _, _ in fixed.SIGNATURES}))
 #: Lines of a file whose hits are put in order together; a ticket's blocks are so many tasks' work.
 BLOCK_LINES = 1 << 14
 ANY_SIGNATURE = "(?iuU)" + "|".join(f"(?:{p})" for _, _, p in fixed.SIGNATURES)
+#: Of these every signature holds one, in lower case.
+LITERALS = ("http", "internal server error", "uncaught ", "heap out of memory", "jitter", "packet loss", "sip/4", "acd_queue", "agent_state", "routing_engine")
 HITS = "array<struct<file_name:string,line_number:bigint,symptom:string,label:string,excerpt:string>>"
 
 
@@ -25,9 +29,22 @@ def match(line: Column) -> Column:
     return F.get(table, first)
 
 
+def has_signature(line: Column) -> Column:
+    """Whether any signature fits. Literals are looked for first in ASCII lines; in others some letters have more than two forms.
+
+    The line is bound once, as a filter is pushed down to where lines are made, and its expression put in place of each mention.
+    """
+
+    def fits(x: Column) -> Column:
+        likely = let(F.lower(x), lambda low: reduce(lambda a, b: a | b, (F.contains(low, F.lit(s)) for s in LITERALS)))
+        return ((F.octet_length(x) != F.length(x)) | likely) & x.rlike(ANY_SIGNATURE)
+
+    return let(line, fits)
+
+
 def find_hits(lines: DataFrame) -> DataFrame:
     """The lines (ticket_id, att_ord, file_name, line_number, line) with a signature, and its symptom and label."""
-    hits = lines.where(F.col("line").rlike(ANY_SIGNATURE)).withColumn("m", match(F.col("line")))
+    hits = lines.where(has_signature(F.col("line"))).withColumn("m", match(F.col("line")))
     return hits.select(*lines.columns, "m.symptom", "m.label")
 
 

@@ -74,13 +74,15 @@ def log_lines_of(ids: DataFrame, least: int = LEAST_LINES, most: int = MOST_LINE
     cause = F.when(F.lit(False), "")
     for s, texts in CAUSES.items():
         cause = cause.when(told == s, _one_of(texts, _pick(seed, "cause", len(texts))))
-    rows = ids.select("id", count.alias("n"), F.concat(cause, F.lit(" | CallerID: "), _phone(seed, "affected")).alias("cause"))
-    rows = rows.select("id", "cause", F.pmod(F.xxhash64(F.lit(seed), F.lit("at"), "id"), F.col("n")).alias("at"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    rows = ids.select("id", _name().alias("ticket_id"), count.alias("n"), F.concat(cause, F.lit(" | CallerID: "), _phone(seed, "affected")).alias("cause"))
+    rows = rows.select("id", "ticket_id", "cause", F.pmod(F.xxhash64(F.lit(seed), F.lit("at"), "id"), F.col("n")).alias("at"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
     stamp = F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + F.col("i")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    number = _pick(seed, "number", 400, F.col("i"))
-    kinds = F.array(*(F.format_string(t, number) for t in NOISE))
-    text = F.when(F.col("i") == F.col("at"), F.col("cause")).otherwise(F.get(kinds, _pick(seed, "kind", len(NOISE), F.col("i"))))
-    return rows.select(_name().alias("ticket_id"), F.lit(0).alias("att_ord"), F.concat(_name(), F.lit("_log.txt")).alias("file_name"), (F.col("i") + 1).cast("bigint").alias("line_number"), F.concat(stamp, F.lit(" "), text).alias("line"))
+    number = _pick(seed, "number", 400, F.col("i")).cast("string")
+    # only the line's own kind is filled in, with its number
+    kind = _one_of(NOISE, _pick(seed, "kind", len(NOISE), F.col("i")))
+    noise = F.replace(F.replace(kind, F.lit("%06d"), F.lpad(number, 6, "0")), F.lit("%d"), number)
+    text = F.when(F.col("i") == F.col("at"), F.col("cause")).otherwise(noise)
+    return rows.select("ticket_id", F.lit(0).alias("att_ord"), F.concat("ticket_id", F.lit("_log.txt")).alias("file_name"), (F.col("i") + 1).cast("bigint").alias("line_number"), F.concat(stamp, F.lit(" "), text).alias("line"))
 
 
 def tickets(spark: SparkSession, n: int, seed: int = 7) -> DataFrame:

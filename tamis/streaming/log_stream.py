@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tamis import scratch
-from tamis.operators.logs import ANY_SIGNATURE, match
+from tamis.operators.logs import has_signature, match
 
 
 def read_lines(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
@@ -17,7 +17,7 @@ def read_lines(spark: SparkSession, path: str, files_per_trigger: int = 100) ->
 
 def tally(lines: DataFrame) -> DataFrame:
     """(symptom, label, hits) over all lines so far; the state is one row a signature."""
-    hits = lines.where(F.col("line").rlike(ANY_SIGNATURE)).select(match(F.col("line")).alias("m"))
+    hits = lines.where(has_signature(F.col("line"))).select(match(F.col("line")).alias("m"))
     return hits.groupBy("m.symptom", "m.label").agg(F.count(F.lit(1)).alias("hits"))
 
 
