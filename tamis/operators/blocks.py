@@ -23,7 +23,7 @@ def parse(raw: Column) -> Column:
     Lines are typed and numbered first; each block is then the slice of lines from its header to the next, and each field
     the slice from its delimiter line to the next, cut by number: no state is carried from line to line, and none is looked at twice.
     """
-    body = F.translate(F.regexp_replace(F.coalesce(raw, F.lit("")), "^﻿+", ""), " ", " ")
+    body = F.replace(F.ltrim(F.coalesce(raw, F.lit("")), F.lit("\ufeff")), F.lit("\u00a0"), F.lit(" "))
     lines = F.transform(
         split_lines(body),
         lambda x, i: F.struct(i.alias("i"), x.alias("line"), is_header(x).alias("header"), F.contains(x, F.lit("->")).alias("field"), strip(x).alias("text")),

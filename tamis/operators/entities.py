@@ -26,7 +26,8 @@ def is_brazilian_phone(raw: Column) -> Column:
 def _parts(text: Column, rule: tuple) -> Column:
     """The text split around the rule's matches, which are every second part."""
     _, _, _, before, body, after, any_case, _ = rule
-    pattern = f"{'(?iuU)' if any_case else '(?U)'}({before})({body}){after}"
+    first = f"(?=[{STARTS[rule[0]]}])" if rule[0] in STARTS else ""
+    pattern = f"{'(?iuU)' if any_case else '(?U)'}{first}({before})({body}){after}"
     return F.split(F.regexp_replace(text, pattern, f"$1{MARK}$2{MARK}"), MARK, -1)
 
 
@@ -44,14 +45,24 @@ def detect(text: Column) -> Column:
 NEEDS = {
     11: r"\d{2}\.\d{3}\.\d{3}/\d{4}-\d{2}", 12: r"\d{3}\.\d{3}\.\d{3}-\d{2}", 13: r"\dx\d{2}", 14: r"\d\.\d{1,3}\.\d{1,3}\.\d",
     20: r"\d{6}", 21: r"\d{11}|\d{3}\.\d{3}\.\d{3}-\d{2}", 22: r"\d{4}[\s-]?\d{4}", 23: r"\d{3}[-.]?\d",
-    30: r"\(\d{2}\)\s*9?\d{4}", 31: r"\d{2}\s+9?\d{4}[-\s]\d{4}", 32: r"\d{4}-\d{4}", 40: r"\d{6}",
+    30: r"\d{2}\)\s*9?\d{4}", 31: r"\d{2}\s+9?\d{4}[-\s]\d{4}", 32: r"\d{4}-\d{4}", 40: r"\d{6}",
     50: r"\d{10}", 51: r"\d{11}", 52: r"\d{14}",
 }
 
 
+#: What a match of a rule, by priority, begins with: one character's class tells most places apart before words and bounds are looked at.
+STARTS = {
+    11: r"\d", 12: r"\d", 14: r"\d", 20: "pcrtion", 21: "cd", 22: "tfcrwz", 23: "ac", 30: "+(", 31: r"+\d", 32: r"\d", 40: "p", 50: r"\d", 51: r"\d", 52: r"\d",
+}
+
+
 def bones(text: Column) -> Column:
-    """Digits with the marks and white space next to them; all other stretches become one x. Cheap to look through sixteen times."""
-    return F.regexp_replace(F.regexp_replace(text, r"(?U)[^\d\s.()/-]+", "x"), r"(?U)x(?:[\s.()/-]*+x)++", "x")
+    """Stretches that begin with a digit, of digits, marks and white space, with an x between them; empty without digits. Cheap to look through sixteen times."""
+    return F.array_join(F.regexp_extract_all(text, F.lit(r"(?U)\d[\d\s.()/-]*"), F.lit(0)), "x")
+
+
+#: Pairs of spans that are held against each other one by one.
+FEW = 64
 
 
 def without_overlaps(taken: Column, more: Column) -> Column:
@@ -70,16 +81,21 @@ def without_overlaps(taken: Column, more: Column) -> Column:
 
         return F.filter(more, apart)
 
+    def few() -> Column:
+        apart = F.filter(more, lambda b: ~F.exists(taken, lambda a: (a["start"] < b["end"]) & (b["start"] < a["end"])))
+        return let(apart, lambda new: F.when(F.size(new) == 0, taken).otherwise(F.array_sort(F.concat(taken, new)))).cast(FOUND)
+
     merged = F.array_sort(F.concat(taken, let(places, free))).cast(FOUND)
-    return F.when(F.size(more) == 0, taken).when(F.size(taken) == 0, more).otherwise(merged)
+    return F.when(F.size(more) == 0, taken).when(F.size(taken) == 0, more).when(F.size(taken) * F.size(more) <= FEW, few()).otherwise(merged)
 
 
 def _detect(text: Column) -> Column:
     none, empty, nothing = F.array().cast(ENTITIES), F.array().cast(FOUND), F.array().cast("array<string>")
-    digit, at = text.rlike(r"(?U)\d"), F.contains(text, F.lit("@"))
 
-    def found(inert: Column) -> Column:
-        def one(rule: tuple, bare: Column) -> Column:
+    def found(inert: Column, bare: Column) -> Column:
+        at = F.contains(inert, F.lit("@"))
+
+        def one(rule: tuple) -> Column:
             wanted = at if rule[1] == "EMAIL" else bare.rlike("(?U)" + NEEDS[rule[0]])
             if rule[1] == "VALOR":
                 wanted = wanted & F.contains(inert, F.lit("$"))
@@ -91,12 +107,13 @@ def _detect(text: Column) -> Column:
             return F.transform(of, lambda s: F.struct(s["start"], s["end"], rule["kind"], rule["confidence"], s["raw"])).cast(FOUND)
 
         # one expression finds the places of all rules' matches; earlier rules take theirs first
-        ruled = let(F.when(digit, bones(inert)).otherwise(""), lambda bare: F.transform(F.array(*(one(r, bare) for r in fixed.ENTITY_RULES)), spans))
-        return F.aggregate(ruled, empty, without_overlaps)
+        matched = F.filter(F.array(*map(one, fixed.ENTITY_RULES)), lambda r: F.size(r["parts"]) > 1)
+        by_start = F.aggregate(F.transform(matched, spans), empty, without_overlaps)
+        kept = F.transform(by_start, lambda c: F.struct(c["kind"], c["start"], c["end"], c["raw"], c["confidence"])).cast(ENTITIES)
+        return F.when((bare != "") | at, kept).otherwise(none)
 
-    by_start = let(F.translate(text, MARK, OTHER), found)
-    spans = F.transform(by_start, lambda c: F.struct(c["kind"], c["start"], c["end"], c["raw"], c["confidence"]))
-    return F.when(digit | at, spans.cast(ENTITIES)).otherwise(none)
+    found_in = let(F.replace(text, F.lit(MARK), F.lit(OTHER)), lambda inert: let(bones(inert), lambda bare: found(inert, bare)))
+    return F.coalesce(found_in, none)
 
 
 #: Characters of the pieces that a text is cut into, so that a part of it is found without counting from its start.
@@ -124,7 +141,14 @@ def mask(text: Column, entities: Column) -> Column:
         pieces = F.transform(spans, lambda e, i: F.concat(_between(chunks, F.coalesce(F.get(spans, i - 1)["end"], F.lit(0)), e["start"]), tokens[e["kind"]]))
         return F.concat(F.array_join(pieces, ""), _between(chunks, F.element_at(spans, -1)["end"], F.length(t)))
 
+    def joined(t: Column, spans: Column) -> Column:
+        piece = lambda e, i: F.concat(let(F.coalesce(F.get(spans, i - 1)["end"], F.lit(0)), lambda s: F.substring(t, s + 1, e["start"] - s)), tokens[e["kind"]])
+        return F.concat(F.array_join(F.transform(spans, piece), ""), F.substring(t, F.element_at(spans, -1)["end"] + 1, F.length(t)))
+
     def cut(t: Column, spans: Column) -> Column:
+        return F.when(F.octet_length(t) <= CHUNK, joined(t, spans)).otherwise(chunked(t, spans))
+
+    def chunked(t: Column, spans: Column) -> Column:
         return let(F.regexp_extract_all(t, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)), lambda chunks: masked(t, spans, chunks))
 
     return let(text, lambda t: let(hidden, lambda spans: F.when(F.size(spans) > 0, cut(t, spans)).otherwise(t)))

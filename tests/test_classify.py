@@ -78,3 +78,14 @@ def test_counts_are_those_of_the_words(monkeypatch, piece):
     for text in ["", "a", " \t ", "a b o", "oé de\x1cda fila", "\U0001f600chamada ", "fila" * 40, "　".join(t for _, t in fixed.ANCHORS)]:
         counts = Counter(g for word in text.split() for g in classify.char_grams(word, 3, 5))
         assert classify._counts(text, 3, 5).tolist() == [counts[g] for g in grams]
+
+
+def test_raw_texts_fold_as_spark_folds(spark):
+    """The table by which raw texts are folded says of every character what the expression says."""
+    points = spark.range(0x110000).where("id < 55296 or id > 57343").select("id", F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+    table = classify._fold_table()
+    told = {r["id"]: r["f"] for r in points.select("id", classify.folded(F.col("c")).alias("f"), "c").where("f <> c").collect()}
+    codes = classify._codes(3, 5)
+    for c in set(told) | {c for c, to in table.items() if to != chr(c)}:
+        spark_, own = told.get(c, chr(c)), table.get(c, chr(c))
+        assert [codes.get(x, 0) for x in spark_] == [codes.get(x, 0) for x in own], hex(c)
