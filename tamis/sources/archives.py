@@ -9,11 +9,13 @@ from __future__ import annotations
 import io
 import posixpath
 import re
+import uuid
 import zipfile
 from collections.abc import Iterator
 from pathlib import PurePosixPath
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +29,10 @@ LINES = "ticket_id string, ord int, member int, name string, line_number bigint,
 PIECE = 1 << 20
 #: Numbers that members of one archive may take; more than ``zip_max_members`` of any setting in use.
 PER_ARCHIVE = 1000
+#: Names of files that may go through the driver; more are looked up and opened by tasks.
+FEW = 1000
+#: Rows that name files, of one task.
+PER_TASK = 2000
 Members = list[tuple[str, zipfile.ZipInfo]]
 
 
@@ -178,17 +184,113 @@ def listing(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length")
 
 
+#: Names below a folder that its listing doesn't have: hidden ones, and other ways to write a path.
+_UNLISTED = r"(^|/)(\.|_(?!metadata|common_metadata|[^/]*=)|/|$)|\._COPYING_(/|$)"
+
+
+def _located(spark: SparkSession, folder: str) -> tuple[str, str]:
+    """A folder's whole address, and the same as ``_plain`` writes it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    address = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/")
+    return address, re.sub("^file:/*", "/", address).rstrip("/")
+
+
+def _file_system(root: str) -> tuple[pafs.FileSystem, str]:
+    return (pafs.LocalFileSystem(), root) if root[:1] in ("", "/") else pafs.FileSystem.from_uri(root)
+
+
+def _for_tasks(root: str) -> bool:
+    """Whether tasks can open files there: pyarrow knows that kind of address."""
+    try:
+        _file_system(root)
+    except (ValueError, NotImplementedError, OSError):
+        return False
+    return True
+
+
+def _opened(wanted: DataFrame, root: str, tasks: int) -> DataFrame:
+    """(ticket_id, ord, path, content) of the files that exist, each read by the task that has its name; about ``PIECE`` bytes are held beside one file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = _file_system(root)
+        for batch in batches:
+            files = fs.get_file_info([base + at[len(root) :] for at in batch.column("at").to_pylist()])
+            rows, contents, size = [], [], 0
+            for i, file in enumerate(files):
+                if file.type != pafs.FileType.File:
+                    continue
+                with fs.open_input_file(file.path) as f:
+                    contents.append(f.read())
+                rows.append(i)
+                size += len(contents[-1])
+                if size > PIECE:
+                    yield _with_contents(batch, rows, contents)
+                    rows, contents, size = [], [], 0
+            if rows:
+                yield _with_contents(batch, rows, contents)
+
+    return wanted.repartition(tasks, "ticket_id", "ord", "at").mapInArrow(run, "ticket_id string, ord int, path string, content binary")
+
+
+def _with_contents(batch: pa.RecordBatch, rows: list[int], contents: list[bytes]) -> pa.RecordBatch:
+    named = batch.select(["ticket_id", "ord", "path"]).take(pa.array(rows))
+    return pa.RecordBatch.from_arrays([*named.columns, pa.array(contents, pa.binary())], ["ticket_id", "ord", "path", "content"])
+
+
 def read_attachments(paths: DataFrame, folder: str) -> DataFrame:
     """(ticket_id, ord, name, content) of (ticket_id, ord, path) below a folder; paths that don't exist are skipped.
 
-    The folder's listing, names and sizes, is joined first, and only files that a ticket names are opened. Their names
-    go through the driver, as those of any files that Spark reads; contents don't.
+    Only files that a ticket names are looked up and opened, by the tasks that have their names, whatever else lies in the
+    folder. Up to ``FEW`` names go through the driver to Spark's reader; so do all of them, joined with the folder's
+    listing, where pyarrow doesn't know the kind of address. Contents never do.
     """
     spark = paths.sparkSession
-    wanted = paths.select("ticket_id", "ord", "path", _plain(F.col("path")).alias("at"))
-    there = listing(spark, folder).select("path", _plain(F.col("path")).alias("at"))
-    found = [r["path"] for r in there.join(wanted.select("at").distinct(), "at", "left_semi").select("path").toLocalIterator()]
-    return wanted.join(_contents(spark, found), "at").select("ticket_id", "ord", F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+    address, root = _located(spark, folder)
+    wanted = paths.select("ticket_id", F.col("ord").cast("int").alias("ord"), "path", _plain(F.col("path")).alias("at"))
+    below = F.substr("at", F.lit(len(root) + 2))
+    wanted = wanted.where(F.startswith("at", F.lit(f"{root}/")) & ~F.regexp_like(below, F.lit(_UNLISTED)))
+    names = wanted.groupBy("at").agg(F.count(F.lit(1)).alias("n"))
+    n, rows = names.agg(F.count("at"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if n > FEW and _for_tasks(root):
+        read = _opened(wanted, root, max(spark.sparkContext.defaultParallelism, -(-rows // PER_TASK)))
+    else:
+        if n <= FEW:
+            found = [p for r in names.toLocalIterator() if _is_file(spark, p := address + r["at"][len(root) :])]
+        else:
+            there = listing(spark, folder).select("path", _plain(F.col("path")).alias("at"))
+            found = [r["path"] for r in there.join(names, "at", "left_semi").select("path").toLocalIterator()]
+        read = wanted.join(_contents(spark, found), "at")
+    return read.select("ticket_id", "ord", F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+
+
+def _is_file(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.exists(at) and fs.getFileStatus(at).isFile()
+
+
+def write_files(files: DataFrame, folder: str) -> DataFrame:
+    """(ticket_id, path) of (ticket_id, name, content) written below a folder as they are named, each by the task that has it.
+
+    A file is written beside its place and then moved there, so that a task that is run again, or twice, leaves whole files.
+    """
+    address, root = _located(files.sparkSession, folder)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (fs, base), made = _file_system(root), set()
+        for batch in batches:
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content"), strict=True):
+                path = f"{base}/{name}"
+                if (within := posixpath.dirname(path)) not in made:
+                    fs.create_dir(within)
+                    made.add(within)
+                part = f"{within}/.{uuid.uuid4().hex}"
+                with fs.open_output_stream(part, compression=None) as f:
+                    f.write(content.as_buffer())
+                fs.move(part, path)
+            yield pa.RecordBatch.from_arrays([batch.column("ticket_id"), pa.array([f"{address}/{name}" for name in batch.column("name").to_pylist()], pa.string())], ["ticket_id", "path"])
+
+    return files.select("ticket_id", "name", "content").mapInArrow(run, "ticket_id string, path string")
 
 
 def read_given(spark: SparkSession, ticket_id: str, paths: list[str]) -> DataFrame:

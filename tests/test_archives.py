@@ -5,9 +5,11 @@ import random
 import tracemalloc
 import zipfile
 
+import duckdb
 import pyarrow as pa
 
 from tamis.config import Config
+from tamis.plans import workloads
 from tamis.sources import archives
 from tests.test_sources import made_zip
 
@@ -90,3 +92,40 @@ def test_only_named_files_are_opened(spark, tmp_path):
     assert len([f for f in out.inputFiles() if f.endswith(".log")]) == 4 and not any("not%20named" in f or "not named" in f for f in out.inputFiles())
     nothing = archives.read_attachments(spark.createDataFrame([("t", 0, str(tmp_path / "gone.log"))], "ticket_id string, ord int, path string"), str(tmp_path))
     assert nothing.count() == 0
+
+
+def test_many_names_are_opened_by_tasks(spark, tmp_path):
+    """More names than may go through the driver give the same files as few do, of those that a listing has, as they are."""
+    there = ["a.log", "b [1].log", "c{x}*.log", "d é%20.log", "x.log.gz", "in/e.log"]
+    skipped = [".hidden.log", "_part.log", ".in/f.log", "in", "gone.log", "in/../a.log", "in//e.log", "in/", "../out/g.log"]
+    root, rows = tmp_path / "root", []
+    for n in ["in", ".in", "../out"]:
+        (root / n).mkdir(parents=True, exist_ok=True)
+    for n in [*there, ".hidden.log", "_part.log", ".in/f.log", "../out/g.log", "not named.log"]:
+        (root / n).write_text(n)
+    for i, n in enumerate([*there, *skipped]):
+        rows += [("t", i, f"{root}/{n}"), ("u", i, f"file://{root}/{n}")]
+    rows += [("t", 99, f"{tmp_path}/out/g.log"), ("t", 100, None), ("t", 101, str(root))]
+    kinds, got = "ticket_id string, ord int, path string", lambda df: sorted((r["ticket_id"], r["ord"], r["name"], bytes(r["content"]).decode()) for r in df.collect())
+    want = sorted((t, i, n.split("/")[-1], n) for t in "tu" for i, n in enumerate(there))
+    few = archives.read_attachments(spark.createDataFrame(rows, kinds), str(root))
+    assert got(few) == want and len(few.inputFiles()) == len(there)
+    for i in range(1100):
+        (root / f"many{i}.log").write_text(str(i))
+    more = [("v", i, f"{root}/many{i}.log") for i in range(1100)]
+    many = archives.read_attachments(spark.createDataFrame(rows + more, kinds), f"{root}/")
+    assert got(many) == sorted(want + [("v", i, f"many{i}.log", str(i)) for i in range(1100)])
+    assert not [f for f in many.inputFiles() if f.endswith(".log")]
+
+
+def test_attached_files_of_repeated_and_odd_pages(spark, tmp_path, monkeypatch):
+    """A number that comes again, with the same page or another, no number, a negative one, no html; with few names and with many."""
+    pages = [(2, "a"), (2, "a"), (2, "b\nc\r"), (4, ""), (6, None), (None, "d"), (-8, "é"), (3, "odd"), (10**15, "x" * 3_000_000)]
+    spark.createDataFrame(pages, "page_id bigint, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    want = sorted(con.sql(workloads.ORACLE_SQL["attached_files"]).fetchall())
+    for few in (archives.FEW, 0):
+        monkeypatch.setattr(archives, "FEW", few)
+        assert sorted(tuple(r) for r in workloads.attached_files(spark, str(tmp_path)).collect()) == want
+    assert len(want) == 6
