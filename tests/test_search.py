@@ -10,6 +10,7 @@ from tamis.config import Config
 from tamis.operators import search as s
 from tamis.operators.anchors import fit_anchors, nearest_anchor
 from tamis.operators.classify import char_grams
+from tamis.plans import workloads
 from tamis.plans.workloads import QUERIES
 from tests.test_anchors import ANCHORS, brute, many  # noqa: F401
 
@@ -98,6 +99,14 @@ def test_tables_grow_with_the_text_only(spark, monkeypatch):
     assert on_disk < 2 * size and shuffled() - before < 8 * size, (on_disk, shuffled() - before, size)
 
 
+def test_labels_are_sent_or_met(spark, monkeypatch):
+    """Few labels are sent to the documents by whatever threshold Spark has; the rows are the same where many are met by number."""
+    run = lambda: sorted(map(tuple, QUERIES["nearest_labelled"](spark, "/root/testdata/sf0.001").collect()))
+    sent = run()
+    monkeypatch.setattr(workloads, "_BROADCAST_LABELS", 0)
+    assert sent and run() == sent
+
+
 def stages(spark):
     sc = spark.sparkContext
     found = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
